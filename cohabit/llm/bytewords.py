@@ -106,15 +106,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def words(texts: pa.Array, solid: np.ndarray) -> Iterator[Words]:
-    """``solid`` says which bytes (after lower-casing) belong to a word."""
+def words(texts: pa.Array, solid: np.ndarray, fold: bool = True) -> Iterator[Words]:
+    """``solid`` says which bytes belong to a word, after lower-casing A-Z unless ``fold`` is false."""
     raw, offsets = buffers(texts)
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, min(n, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1))
         lo, hi = offsets[i], offsets[j]
         data = raw[lo:hi]
-        lower, rel = LOWER[data], offsets[i : j + 1] - lo
+        lower, rel = LOWER[data] if fold else data, offsets[i : j + 1] - lo
         inside = solid[lower]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[rel] = True
