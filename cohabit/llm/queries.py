@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, secrets
+from . import jaccard, secrets, sentencepiece
 from .common import table
 from .decontaminate import contaminated, mark
 from .quality import fit, held_out, score
@@ -47,6 +47,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, metadata=QUALITY_METADATA).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece.load()
+    coded = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces), pieces)
+    return coded.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -60,5 +66,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op5_jaccard": op5_jaccard, "op8_secrets": op8_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard": op5_jaccard, "op8_secrets": op8_secrets}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
