@@ -5,17 +5,18 @@
 2. Similar sets are partitioned into groups: three MinHash values each elect a leader, the
    leaders are compared exactly, and the links found give first groups.  A group is stored in
    chunks of at most ``chunk`` sets.
-3. Token-group matrix: a set can reach a similar one only if they share one of its first
-   n - ceil(t n) + 1 tokens in any fixed order, so only those tokens are stored, as (token, group).
-   The order puts tokens that many documents hold last (their counts are taken over all
-   documents), which keeps common passages out of the matrix.
-4. A set opens a group of another component only if a shared token and the size range allow it;
+3. Token-group matrix: two similar sets of n tokens share at least l of their first
+   n - ceil(t n) + l tokens in any fixed order, so only those tokens are stored, as (token, group);
+   l = 1 + n / 20.  The order puts tokens that many documents hold last (their counts are taken
+   over all documents), which keeps common passages out of the matrix.
+4. A set opens a group of another component only if enough shared tokens and the size range allow it;
    there the overlap with the group's token union must reach ceil(t n), and then its
    members are compared one by one until one links.  A link to any member joins the whole
    group, so members that are already connected are never compared with each other.
 
 No pair list of a group is formed: candidates are (set, group) rows.  Texts, not token
-arrays, are shuffled to the few comparisons.
+arrays, are shuffled to the few comparisons, and a bitmap of fixed size over the ids in question
+keeps most other texts out of that shuffle (it may let some pass, never drops one).
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 a text of fewer than ``n`` words is one shingle; rows that repeat a doc_id are one node; rows
@@ -37,6 +38,7 @@ from .components import components
 
 SEEDS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 HOT_LIMIT = 2_000_000
+BITMAP = 1 << 27
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -53,6 +55,11 @@ def least_overlap(size, num: int, den: int):
     return -(-num * size // den)
 
 
+def shared_least(size):
+    """l: tokens that two similar sets share at least among their first ones."""
+    return 1 + size // 20
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if min(len(a), len(b)) * den < num * max(len(a), len(b)) or not len(a):
         return False
@@ -91,7 +98,7 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) -> Da
                 if not len(s):
                     out.append(s.view(np.int64))
                     continue
-                need = len(s) - least_overlap(len(s), num, den) + 1
+                need = len(s) - least_overlap(len(s), num, den) + shared_least(len(s))
                 if len(known):
                     i = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     common = known[i] == s
@@ -123,6 +130,23 @@ def hot_tokens(docs: DataFrame, n: int, num: int, den: int, n_docs: int, rounds:
     return hot
 
 
+def _texts_of(plain: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (id, text) whose id may be in ``ids`` (id): a bitmap of BITMAP bits decides, so some others pass."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    word = ids.select(F.shiftright(bit, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int")).alias("bits"))
+    found = word.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most BITMAP / 32 rows
+    words32 = np.zeros(BITMAP // 32, dtype=np.uint32)
+    words32[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    at = plain.sparkSession.sparkContext.broadcast(words32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(2).to_numpy()
+            yield b.select([0, 1]).filter(pa.array((at.value[k >> 5] >> (k & 31).astype(np.uint32)) & 1 == 1))
+
+    return plain.select("id", "text", bit.alias("bit")).mapInArrow(run, "id long, text string")
+
+
 def _compare(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b, text of a, text of b) to the (a, b) that link."""
 
@@ -168,36 +192,39 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4
     named = sets.where("rep is not null")
 
     # leaders of the MinHash groups
-    votes = named.select("rep", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in range(3)])).alias("vote")).select("rep", "vote.*")
-    leaders = written(votes.groupBy("k", "m").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c"), "leaders")
-    pairs = written(votes.join(leaders, ["k", "m"]).where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
-    first = pairs.join(plain.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
-    both = first.join(plain.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+    votes = named.select("rep", "size", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in range(3)])).alias("vote")).select("rep", "size", "vote.*")
+    leaders = written(votes.groupBy("k", "m").agg(F.min_by("size", "rep").alias("own"), F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c"), "leaders")
+    pairs = written(votes.join(leaders, ["k", "m"]).where((F.col("rep") != F.col("leader")) & (F.least("size", "own") * den >= F.greatest("size", "own") * num)).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
+    texts = _texts_of(plain, pairs.select(F.col("a").alias("id")))
+    first = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
+    both = first.join(_texts_of(plain, pairs.select(F.col("b").alias("id"))).withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
     edges = written(_compare(both, n, num, den), "leader-links")
     grouped = components(edges)
 
     # groups in chunks
-    member = named.select(F.col("rep").alias("id")).distinct().join(grouped.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    member = named.select(F.col("rep").alias("id"), "size").distinct().join(grouped.withColumnRenamed("node", "id"), "id", "left").select("id", "size", F.coalesce("root", "id").alias("root"))
     member = written(member, "members")
     large = member.groupBy("root").count().where(F.col("count") > chunk).select("root", F.ceil(F.col("count") / chunk).alias("chunks"))
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("chunks")), F.lit(0))
-    member = written(member.join(written(large, "large-groups"), "root", "left").select("id", "root", F.xxhash64("root", part).alias("group")), "groups")
+    member = written(member.join(written(large, "large-groups"), "root", "left").select("id", "size", "root", F.xxhash64("root", part).alias("group")), "groups")
 
     # the token-group matrix, and who reaches which group
     hot = hot_tokens(plain, n, num, den, rows.count())
-    matrix = written(prefixes(plain, n, num, den, hot).where("size > 0").join(member, "id"), "prefixes").select("id", "size", "root", "group", F.explode("tokens").alias("token"))
-    shared = written(matrix.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "shared-tokens")
-    cells = written(matrix.join(shared, "token"), "cells")
-    unions = cells.groupBy("token", "group", "root").agg(F.min("size").alias("least"), F.max("size").alias("most")).withColumnRenamed("root", "other")
-    query = cells.select("token", "id", "size", "root")
-    reach = query.join(unions, "token").where((F.col("root") > F.col("other")) & (F.col("size") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("size") * den))
-    visits = written(reach.select("id", "group").distinct(), "visits")
+    matrix = written(prefixes(plain, n, num, den, hot).where("size > 0"), "prefixes").select("id", F.explode("tokens").alias("token"))
+    shared = written(matrix.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token"), "shared-tokens")
+    cells = written(matrix.join(shared, "token").join(member, "id").select("token", "id", "size", "root", "group"), "cells")
+    unions = cells.groupBy("token", "group", F.col("root").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    smaller = F.ceil(F.col("size") * num / den)
+    enough = F.least(smaller, 1 + F.floor(smaller / 20))
+    reach = cells.select("token", "id", "size", "root").join(unions, "token").where((F.col("root") > F.col("other")) & (F.col("size") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("size") * den))
+    visits = written(reach.groupBy("id", "size", "group").count().where(F.col("count") >= enough).select("id", "group"), "visits")
 
     # open the groups
     blocks = written(visits.groupBy("group").agg(F.ceil(F.count("*") / 128).alias("blocks")), "visited")
     guests = visits.join(blocks, "group").select("id", "group", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(False).alias("member"))
     hosts = member.join(blocks, "group").select("id", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("member"))
-    opened = written(guests.unionByName(hosts), "openings").join(plain, "id")
+    both = written(guests.unionByName(hosts), "openings")
+    opened = both.join(_texts_of(plain, both.select("id")), "id")
     edges = edges.unionByName(written(_open(opened, n, num, den), "group-links"))
 
     roots = components(edges).withColumnRenamed("node", "rep")
