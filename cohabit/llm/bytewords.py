@@ -56,6 +56,23 @@ ALNUM = _table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 SOLID = _table(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 
 
+def span_hashes(values, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span; ``values(lo, hi)`` gives a 64-bit number for each position.  Spans are sorted and disjoint."""
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(out):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(end, base + CHUNK, "right")))
+        v = values(base, end[j - 1])
+        power, inverse = _powers(len(v) + 1)
+        total = np.zeros(len(v) + 1, dtype=np.uint64)
+        np.cumsum(v * power[: len(v)], out=total[1:])
+        s, e = start[i:j] - base, end[i:j] - base
+        out[i:j] = _mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 @dataclass
 class Words:
     """Words of the rows ``first`` to ``first + rows`` of a batch.
@@ -74,19 +91,7 @@ class Words:
     at: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        out = np.empty(len(self.start), dtype=np.uint64)
-        i = 0
-        while i < len(out):
-            base = self.start[i]
-            j = max(i + 1, int(np.searchsorted(self.end, base + CHUNK, "right")))
-            seg = self.lower[base : self.end[j - 1]]
-            power, inverse = _powers(len(seg) + 1)
-            total = np.zeros(len(seg) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[seg] * power[: len(seg)], out=total[1:])
-            s, e = self.start[i:j] - base, self.end[i:j] - base
-            out[i:j] = _mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
-            i = j
-        return out
+        return span_hashes(lambda lo, hi: _BYTE[self.lower[lo:hi]], self.start, self.end)
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.at))
@@ -106,12 +111,19 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
+def row_groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of at most CHUNK bytes together, or one row."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, min(n, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1))
+        yield i, j
+        i = j
+
+
 def words(texts: pa.Array, solid: np.ndarray, fold: bool = True) -> Iterator[Words]:
     """``solid`` says which bytes belong to a word, after lower-casing A-Z unless ``fold`` is false."""
     raw, offsets = buffers(texts)
-    n, i = len(offsets) - 1, 0
-    while i < n:
-        j = max(i + 1, min(n, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1))
+    for i, j in row_groups(offsets):
         lo, hi = offsets[i], offsets[j]
         data = raw[lo:hi]
         lower, rel = LOWER[data] if fold else data, offsets[i : j + 1] - lo
@@ -123,7 +135,6 @@ def words(texts: pa.Array, solid: np.ndarray, fold: bool = True) -> Iterator[Wor
         start = np.flatnonzero(inside & (~before | edge[:-1]))
         end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         yield Words(i, j - i, data, lower, rel, start, end, np.searchsorted(start, rel))
-        i = j
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:

@@ -28,15 +28,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import _mix, buffers, row_groups, span_hashes
 from .common import free_name, without, written
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 FOLD_LIMIT = 60
-COMMON = 200_000
+COMMON = 100_000
 
 
 @dataclass(frozen=True)
@@ -88,13 +90,45 @@ class Cutter:
         self.prefix = SPACE if pieces.prefix else ""
 
     def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        text = self.prefix + text.replace(" ", SPACE)
-        k = self.kind[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        at = np.flatnonzero(~self.joins[k[:-1], k[1:]]) + 1
-        cuts = [0, *at.tolist(), len(text)]
-        return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return Units([text], self).strings() if text else []
+
+
+class Units:
+    """Units of some texts: spans of the joined text, row by row, with their hashes and the distinct ones."""
+
+    def __init__(self, texts: list[str | None], cutter: Cutter) -> None:
+        rows = [cutter.prefix + t.replace(" ", SPACE) if t else "" for t in texts]
+        self.text = "".join(rows)
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edge = np.cumsum([0, *map(len, rows)])
+        kind = cutter.kind[codes]
+        cut = np.ones(len(codes) + 1, dtype=bool)
+        cut[1:-1] = ~cutter.joins[kind[:-1], kind[1:]]
+        cut[edge] = True
+        at = np.flatnonzero(cut)
+        self.start, self.end = at[:-1], at[1:]
+        if not len(codes):
+            self.start = self.end = np.zeros(0, np.int64)
+        self.at = np.searchsorted(self.start, edge)
+        self.known, self.first, self.which = np.unique(hash_codes(codes, self.start, self.end), return_index=True, return_inverse=True)
+
+    def strings(self) -> list[str]:
+        return [self.text[a:b] for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)]
+
+    def distinct(self, chosen: np.ndarray | slice = slice(None)) -> list[str]:
+        """The strings of the distinct units (in the order of ``known``)."""
+        k = self.first[chosen]
+        return [self.text[a:b] for a, b in zip(self.start[k].tolist(), self.end[k].tolist(), strict=True)]
+
+
+def hash_codes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hashes(lambda lo, hi: _mix(codes[lo:hi].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), start, end)
+
+
+def hash_strings(strings: list[str]) -> np.ndarray:
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.cumsum([0, *map(len, strings)])
+    return hash_codes(codes, at[:-1], at[1:])
 
 
 def _byte_ids(char: Column, pieces: Pieces) -> Column:
@@ -141,16 +175,28 @@ def _viterbi_cuts(n: Column, edges: Column) -> Column:
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """Distinct (unit) of at most FOLD_LIMIT characters to (unit, ids).  The piece table is a vocabulary, so it is broadcast."""
     spark = units.sparkSession
-    table = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
+    order = sorted({score for _, _, score in pieces.rows}, reverse=True)
+    rank = {score: k for k, score in enumerate(order)}
+    scores = F.lit(np.array(order))
+    table = spark.createDataFrame([(p, i, rank[s]) for p, i, s in pieces.rows], "piece string, id int, rank int")
     n = F.length("unit")
     cut = lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("start"), (s + k).alias("end"), F.substring(F.col("unit"), s + 1, k).alias("piece")))
     parts = units.select("unit", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cut))).alias("part")).select("unit", "part.*")
     found = parts.join(F.broadcast(table), "piece", "left").where("id is not null or (start = 0 and end = 1)")
-    ends, inner = _bits(F.col("start"), F.col("end"))
-    edge = F.struct((-F.col("score")).alias("cost"), "start", "end", "id", "score", ends.alias("ends"), inner.alias("inner"))
-    lattice = found.groupBy("unit").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    # an edge is one long, in the order of (rank, start): rank, start (6 bits), length (5), id (20)
+    edge = ((F.col("rank").cast("long") * 64 + F.col("start")) * 32 + F.col("end") - F.col("start")) * (1 << 20) + F.col("id")
+    lattice = found.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("packed"))
+
+    def unpack(e: Column) -> Column:
+        start = F.shiftright(e, 25).bitwiseAND(F.lit(63)).cast("int")
+        end = start + F.shiftright(e, 20).bitwiseAND(F.lit(31)).cast("int")
+        ends, inner = _bits(start, end)
+        score = [] if pieces.fold == "merge" else [F.get(scores, F.shiftright(e, 31).cast("int")).alias("score")]
+        return F.struct(start.alias("start"), end.alias("end"), e.bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("id"), ends.alias("ends"), inner.alias("inner"), *score)
+
+    lattice = lattice.select("unit", F.transform("packed", unpack).alias("edges"))
     if pieces.fold == "merge":
-        folded = lattice.withColumn("merges", F.filter("edges", lambda e: e["inner"] > 0)).withColumn("cuts", _merged(n, F.col("merges")))
+        folded = lattice.withColumn("cuts", _merged(n, F.filter("edges", lambda e: e["inner"] > 0)))
     else:
         bit = lambda a, x: a + F.call_function("shiftleft", F.lit(1).cast("long"), x)
         folded = lattice.withColumn("path", _viterbi_cuts(n, F.col("edges"))).withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
@@ -210,6 +256,26 @@ def encode_long(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches whose text column holds at most a chunk of bytes."""
+    for b in batches:
+        for lo, hi in row_groups(buffers(b.column(column))[1]):
+            yield b.slice(lo, hi - lo)
+
+
+def _place(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in the sorted hashes; -1 if it doesn't."""
+    if not len(hashes):
+        return np.full(len(wanted), -1)
+    k = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return np.where(hashes[k] == wanted, k, -1)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of a list column."""
+    return pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
+
+
 def _count_units(texts: DataFrame, cutter) -> DataFrame:
     """(text) to (unit, n): occurrences of each unit, added up in each task first."""
 
@@ -221,11 +287,12 @@ def _count_units(texts: DataFrame, cutter) -> DataFrame:
             seen.clear()
             return out
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(cutter.value.units(t or ""))
-                if len(seen) > 300_000:
-                    yield flush()
+        for b in _slices(batches, 0):
+            u = Units(b.column(0).to_pylist(), cutter.value)
+            for unit, n in zip(u.distinct(), np.bincount(u.which, minlength=len(u.known)).tolist(), strict=True):
+                seen[unit] += n
+            if len(seen) > 200_000:
+                yield flush()
         yield flush()
 
     return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -249,39 +316,54 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
     long = counted.where(F.length("unit") > FOLD_LIMIT).select("unit").mapInArrow(long_units, "unit string, ids array<int>")
     lexicon = written(short.unionByName(long), "lexicon")
     chosen = counted.where((F.col("n") > 1) & (F.length("unit") <= FOLD_LIMIT)).orderBy(F.desc("n"), "unit").limit(common).select("unit")
-    top = written(lexicon.join(chosen, "unit"), "common-units").toArrow()  # at most `common` short rows
-    shared = spark.sparkContext.broadcast(dict(zip(top["unit"].to_pylist(), [x.values.to_numpy().astype(np.int32) for x in top["ids"]], strict=True)))
+    top = written(lexicon.join(chosen, "unit"), "common-units").toArrow().combine_chunks()  # at most `common` short rows
+    sizes, values = _lists(top["ids"].combine_chunks())
+    names = hash_strings(top["unit"].to_pylist())
+    order = np.argsort(names)
+    starts = np.cumsum(sizes) - sizes
+    # sorted hashes of the common units, and where their ids lie in one array
+    shared = spark.sparkContext.broadcast((names[order], starts[order], sizes[order], values.astype(np.int32)))
 
     key, own = free_name(docs, "_key"), free_name(docs, "_own")
     keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cut = shared.value, cutter.value
-        for b in batches:
-            found = [sorted({u for u in cut.units(t or "") if u not in known}) for t in b.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array([u for x in found for u in x], pa.string())], names=["key", "unit"])
+        for b in _slices(batches, 1):
+            u = Units(b.column(1).to_pylist(), cutter.value)
+            new = np.flatnonzero(_place(shared.value[0], u.known) < 0)
+            number = np.full(len(u.known), -1)
+            number[new] = np.arange(len(new))
+            row, k = np.repeat(np.arange(len(b)), np.diff(u.at)), number[u.which]
+            pairs = np.unique(row[k >= 0] * (len(new) + 1) + k[k >= 0])
+            units = pa.array(u.distinct(new), pa.string()).take(pa.array(pairs % (len(new) + 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs // (len(new) + 1))), units], names=["key", "unit"])
 
     missing = keyed.select(F.col(key), content.alias("text")).mapInArrow(rare, "key long, unit string")
     found = missing.join(lexicon, "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias(own)).withColumnRenamed("key", key)
     ready = keyed.join(found, key, "left").withColumn(to, F.lit(None).cast("array<int>"))
     drop = {key, own}
     out = ready.select(*[c for c in ready.columns if c not in drop])
-    columns = out.columns
+    columns, names_in = out.columns, ready.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cut = shared.value, cutter.value
-        for b in batches:
+        hashes, starts, sizes, values = shared.value
+        for b in _slices(batches, names_in.index(text)):
             names = b.schema.names
-            ptr, ids = [0], []
+            own_units = b.column(names.index(own)).flatten()
+            more, flat = _lists(own_units.field("ids"))
+            own_hash = hash_strings(own_units.field("unit").to_pylist())
+            by = np.argsort(own_hash)
+            pool = np.concatenate((values, flat.astype(np.int32)))
+            at, n = np.concatenate((starts, (len(values) + np.cumsum(more) - more)[by])), np.concatenate((sizes, more[by]))
             texts = b.column(names.index(text))
-            for t, more in zip(texts.to_pylist(), b.column(names.index(own)).to_pylist(), strict=True):
-                extra = {x["unit"]: np.array(x["ids"], np.int32) for x in more or []}
-                got = [known[u] if u in known else extra[u] for u in cut.units(t or "")]
-                ids += got
-                ptr.append(ptr[-1] + sum(map(len, got)))
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), flat, mask=texts.is_null() if texts.null_count else None)
+            u = Units(texts.to_pylist(), cutter.value)
+            place = _place(hashes, u.known)
+            new = place < 0
+            place[new] = len(hashes) + _place(own_hash[by], u.known[new])
+            idx = place[u.which]
+            ends = np.concatenate(([0], np.cumsum(n[idx])))
+            ids = pool[np.arange(ends[-1]) + np.repeat(at[idx] - ends[:-1], n[idx])]
+            lists = pa.ListArray.from_arrays(pa.array(ends[u.at], pa.int32()), pa.array(ids), mask=texts.is_null() if texts.null_count else None)
             yield pa.RecordBatch.from_arrays([lists if c == to else b.column(names.index(c)) for c in columns], names=columns)
 
     return ready.mapInArrow(run, out.schema)
