@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, secrets, sentencepiece
+from . import jaccard, secrets, sentencepiece, sharding
 from .common import table
 from .decontaminate import contaminated, mark
 from .quality import fit, held_out, score
@@ -57,6 +57,14 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+SHARDS = 24
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find(docs, secrets.fit(docs))
@@ -66,5 +74,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard": op5_jaccard, "op8_secrets": op8_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard": op5_jaccard, "op6_sharding": op6_sharding, "op8_secrets": op8_secrets}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
