@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, secrets, sentencepiece, sharding
+from . import jaccard, secrets, sentencepiece, sharding, warc
 from .common import table
 from .decontaminate import contaminated, mark
 from .quality import fit, held_out, score
@@ -74,5 +74,22 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard": op5_jaccard, "op6_sharding": op6_sharding, "op8_secrets": op8_secrets}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
+
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, lower(coalesce(url, '')) AS u, coalesce(html, '') AS h, row_number() OVER () AS rid FROM pages),
+q AS (SELECT *, sha256(h) AS payload_digest, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+             array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z]+://(?:www\.)?([^/?#]*)', 1), '.')), ',') || ')' || regexp_extract(u, '^[a-z]+://[^/?#]*([^#]*)', 1) AS url_key,
+             strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds((coalesce(page_id, 0) * 7919) % 31536000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM p),
+g AS (SELECT payload_digest, min(page_id) AS origin FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN origin IS NULL OR origin = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN origin IS NULL OR origin = page_id THEN NULL ELSE origin END AS refers_to, url_key, captured_at,
+       row_number() OVER (ORDER BY url_key, captured_at, page_id NULLS FIRST, rid) - 1 AS position
+FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard": op5_jaccard, "op6_sharding": op6_sharding, "op8_secrets": op8_secrets, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op10_warc": OP10_SQL}
