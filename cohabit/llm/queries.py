@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, secrets, sentencepiece, sharding, warc
+from . import jaccard, neardup, secrets, sentencepiece, sharding, warc
 from .common import table
 from .decontaminate import contaminated, mark
 from .quality import fit, held_out, score
@@ -74,6 +74,23 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.links(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+OP9_SQL = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e
+      WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND a.n > 0 AND b.n > 0
+      WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r AS (WITH RECURSIVE w(x, y) AS (SELECT x, y FROM l UNION SELECT w.x, l.y FROM w JOIN l ON w.y = l.x) SELECT x, min(y) AS m FROM w GROUP BY x),
+c AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM e LEFT JOIN c ON c.x = vec_id LEFT JOIN r ON r.x = vec_id
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
@@ -91,5 +108,5 @@ SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN origin IS NULL OR ori
 FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard": op5_jaccard, "op6_sharding": op6_sharding, "op8_secrets": op8_secrets, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op10_warc": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard": op5_jaccard, "op6_sharding": op6_sharding, "op8_secrets": op8_secrets, "op9_embeddings": op9_embeddings, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_embeddings": OP9_SQL, "op10_warc": OP10_SQL}
