@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, neardup, secrets, sentencepiece, sharding, warc
+from . import chat, jaccard, neardup, secrets, sentencepiece, sharding, urlfilter, warc
 from .common import table
 from .decontaminate import contaminated, mark
 from .quality import fit, held_out, score
@@ -47,6 +47,36 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, metadata=QUALITY_METADATA).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list from the pages' own URLs: some rules are added, some of those removed and added again."""
+    rules = pages.select(F.explode(urlfilter.rules_of(F.col("url"))).alias("rule")).distinct()
+    dice = F.conv(F.substring(F.md5("rule"), 1, 7), 16, 10).cast("long")
+    dated = rules.where(dice % 4 == 0).select("rule", dice.alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), dice % 3)).alias("k"))
+    return dated.select("rule", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("d") % 200 + F.col("k") * 60).cast("int")).alias("listed_on"), F.when(F.col("k") % 2 == 0, "add").otherwise("remove").alias("action"))
+
+
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(365)).cast("int")))
+    judged = urlfilter.judge(captures, list_entries(pages))
+    return judged.select("page_id", F.date_format("fetched_on", "yyyy-MM-dd").alias("fetched_on"), F.size("blocked_by").cast("long").alias("n_rules"), F.array_join("blocked_by", ",").alias("rules"), (F.size("blocked_by") > 0).alias("blocked"))
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+(/[^/?#]+)', 1) AS seg,
+                  DATE '2024-01-01' + CAST(((page_id * 7919) % 365 + 365) % 365 AS INTEGER) AS day FROM pages),
+c AS (SELECT DISTINCT page_id, url, day, unnest(list_concat(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda k: array_to_string((string_split(host, '.'))[k:], '.')),
+             CASE WHEN seg <> '' THEN [host || seg] ELSE [] END)) AS rule FROM p WHERE host <> ''),
+r AS (SELECT rule, CAST('0x' || substr(md5(rule), 1, 7) AS BIGINT) AS d FROM (SELECT DISTINCT rule FROM c)),
+e AS (SELECT rule, DATE '2024-01-01' + CAST(d % 200 + k * 60 AS INTEGER) AS f, k FROM (SELECT rule, d, unnest(range(0, d % 3 + 1)) AS k FROM r WHERE d % 4 = 0)),
+hit AS (SELECT c.page_id, c.url, c.day, c.rule FROM c JOIN e ON c.rule = e.rule WHERE e.k % 2 = 0 AND e.f <= c.day
+        AND NOT EXISTS (SELECT 1 FROM e x WHERE x.rule = e.rule AND x.f > e.f AND x.f <= c.day)),
+g AS (SELECT page_id, url, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, count(DISTINCT rule) AS n FROM hit GROUP BY page_id, url)
+SELECT p.page_id, strftime(p.day, '%Y-%m-%d') AS fetched_on, CAST(coalesce(n, 0) AS BIGINT) AS n_rules, coalesce(rules, '') AS rules, coalesce(n, 0) > 0 AS blocked
+FROM p LEFT JOIN g ON p.page_id = g.page_id AND p.url = g.url
+"""
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sentencepiece.load()
     coded = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces), pieces)
@@ -65,6 +95,21 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+OP7_SQL = """
+WITH t AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id),
+k AS (SELECT conv_id, turns, len(turns) AS n, list_transform(turns, lambda x: {'role': x.role, 'text': x.text}) AS body FROM t),
+x AS (SELECT DISTINCT body[1:i] AS body FROM (SELECT body, unnest(range(1, n)) AS i FROM k)),
+m AS (SELECT body, min(conv_id) AS conv_id, count(*) AS n_copies FROM k GROUP BY body)
+SELECT m.conv_id, CAST(k.n AS BIGINT) AS n_turns, m.n_copies,
+       array_to_string(list_transform(k.turns, lambda x: '<|im_start|>' || coalesce(x.role, '') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), '') AS rendered
+FROM m JOIN k ON k.conv_id = m.conv_id WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.body = m.body)
+"""
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find(docs, secrets.fit(docs))
@@ -108,5 +153,16 @@ SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN origin IS NULL OR ori
 FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_sentencepiece": op4_sentencepiece, "op5_jaccard": op5_jaccard, "op6_sharding": op6_sharding, "op8_secrets": op8_secrets, "op9_embeddings": op9_embeddings, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_embeddings": OP9_SQL, "op10_warc": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
+    "op3_urlfilter": op3_urlfilter,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_jaccard": op5_jaccard,
+    "op6_sharding": op6_sharding,
+    "op7_chat": op7_chat,
+    "op8_secrets": op8_secrets,
+    "op9_embeddings": op9_embeddings,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_urlfilter": OP3_SQL, "op7_chat": OP7_SQL, "op9_embeddings": OP9_SQL, "op10_warc": OP10_SQL}
