@@ -41,13 +41,18 @@ HOT_LIMIT = 2_000_000
 BITMAP = 1 << 27
 
 
-def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def shingle_runs(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Shingle hashes of each text in order; a text of fewer words is one shingle."""
     for w in words(texts, SOLID):
         h = w.hashes()
         k = windows(h, n)
         for lo, hi in zip(w.at[:-1].tolist(), w.at[1:].tolist(), strict=True):
-            yield np.unique(k[lo : hi - n + 1]) if hi - lo >= n else windows(h[lo:hi], hi - lo) if hi > lo else k[:0]
+            yield k[lo : hi - n + 1] if hi - lo >= n else windows(h[lo:hi], hi - lo) if hi > lo else k[:0]
+
+
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    return map(np.unique, shingle_runs(texts, n))
 
 
 def least_overlap(size, num: int, den: int):
@@ -111,23 +116,45 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) -> Da
     return docs.mapInArrow(run, "id long, size long, tokens array<long>")
 
 
-def hot_tokens(docs: DataFrame, n: int, num: int, den: int, n_docs: int, rounds: int = 2) -> np.ndarray:
-    """Tokens that stand among the first tokens of more than max(32, n_docs / 65536) documents.
+def _near(docs: DataFrame, n: int, hot: np.ndarray, reach: int = 16) -> DataFrame:
+    """Tokens that stand within ``reach`` places of a hot one in some text: one row per text and token."""
+    at = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = at.value
+        for b in batches:
+            found = []
+            for k in shingle_runs(b.column(1), n):
+                common = known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k
+                where = np.flatnonzero(common)
+                if len(where):
+                    d = np.zeros(len(k) + 1, dtype=np.int64)
+                    np.add.at(d, np.maximum(where - reach, 0), 1)
+                    np.add.at(d, np.minimum(where + reach + 1, len(k)), -1)
+                    found.append(np.unique(k[(np.cumsum(d)[:-1] > 0) & ~common]))
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else known[:0]).view(np.int64))], names=["token"])
+
+    return docs.mapInArrow(run, "token long")
+
+
+def hot_tokens(docs: DataFrame, n: int, num: int, den: int, n_docs: int) -> np.ndarray:
+    """Tokens that stand among the first tokens of more than max(32, n_docs / 65536) documents, sorted.
 
     So there are at most 65536 times the mean number of first tokens of them; beyond
-    ``HOT_LIMIT`` the most common are taken.  They only set the order of tokens, never the result.
+    ``HOT_LIMIT`` the most common are taken.  Hot tokens come from common passages, whose other
+    tokens stand beside them: those are counted in a second round.  Hot tokens only set the
+    order of tokens, never the result.
     """
     least = max(32, n_docs >> 16)
-    hot = np.zeros(0, dtype=np.uint64)
-    for _ in range(rounds):
-        counts = prefixes(docs, n, num, den, hot).select(F.explode("tokens").alias("token")).groupBy("token").count()
-        found = counts.where(F.col("count") > least).orderBy(F.desc("count"), "token").limit(HOT_LIMIT).select("token").toArrow()
-        new = found["token"].to_numpy().view(np.uint64)
-        more = np.union1d(hot, new)
-        if len(more) == len(hot):
-            break
-        hot = more
-    return hot
+
+    def common(tokens: DataFrame) -> np.ndarray:
+        counts = tokens.groupBy("token").count().where(F.col("count") > least)
+        found = counts.orderBy(F.desc("count"), "token").limit(HOT_LIMIT).select("token").toArrow()
+        return found["token"].to_numpy().view(np.uint64)
+
+    none = np.zeros(0, dtype=np.uint64)
+    hot = np.unique(common(prefixes(docs, n, num, den, none).select(F.explode("tokens").alias("token"))))
+    return np.union1d(hot, common(_near(docs, n, hot))) if len(hot) else hot
 
 
 def _texts_of(plain: DataFrame, ids: DataFrame) -> DataFrame:
