@@ -111,11 +111,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def row_groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Consecutive rows of at most CHUNK bytes together, or one row."""
+def row_groups(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of at most ``limit`` bytes together, or one row."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, min(n, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1))
+        j = max(i + 1, min(n, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield i, j
         i = j
 

@@ -27,18 +27,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import _mix, buffers, row_groups, span_hashes
+from .bytewords import buffers, row_groups, span_hashes
 from .common import free_name, without, written
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 FOLD_LIMIT = 60
 COMMON = 100_000
+SLICE_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,9 @@ class Units:
         if not len(codes):
             self.start = self.end = np.zeros(0, np.int64)
         self.at = np.searchsorted(self.start, edge)
-        self.known, self.first, self.which = np.unique(hash_codes(codes, self.start, self.end), return_index=True, return_inverse=True)
+        self.which, self.known = pd.factorize(hash_codes(codes, self.start, self.end))
+        self.first = np.zeros(len(self.known), dtype=np.int64)
+        self.first[self.which[::-1]] = np.arange(len(self.which))[::-1]
 
     def strings(self) -> list[str]:
         return [self.text[a:b] for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)]
@@ -122,7 +126,7 @@ class Units:
 
 
 def hash_codes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hashes(lambda lo, hi: _mix(codes[lo:hi].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), start, end)
+    return span_hashes(lambda lo, hi: codes[lo:hi] + np.uint64(0x9E3779B97F4A7C15), start, end)
 
 
 def hash_strings(strings: list[str]) -> np.ndarray:
@@ -180,28 +184,23 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     scores = F.lit(np.array(order))
     table = spark.createDataFrame([(p, i, rank[s]) for p, i, s in pieces.rows], "piece string, id int, rank int")
     n = F.length("unit")
-    cut = lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("start"), (s + k).alias("end"), F.substring(F.col("unit"), s + 1, k).alias("piece")))
-    parts = units.select("unit", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cut))).alias("part")).select("unit", "part.*")
-    found = parts.join(F.broadcast(table), "piece", "left").where("id is not null or (start = 0 and end = 1)")
-    # an edge is one long, in the order of (rank, start): rank, start (6 bits), length (5), id (20)
-    edge = ((F.col("rank").cast("long") * 64 + F.col("start")) * 32 + F.col("end") - F.col("start")) * (1 << 20) + F.col("id")
-    lattice = found.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("packed"))
-
-    def unpack(e: Column) -> Column:
-        start = F.shiftright(e, 25).bitwiseAND(F.lit(63)).cast("int")
-        end = start + F.shiftright(e, 20).bitwiseAND(F.lit(31)).cast("int")
-        ends, inner = _bits(start, end)
-        score = [] if pieces.fold == "merge" else [F.get(scores, F.shiftright(e, 31).cast("int")).alias("score")]
-        return F.struct(start.alias("start"), end.alias("end"), e.bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("id"), ends.alias("ends"), inner.alias("inner"), *score)
-
-    lattice = lattice.select("unit", F.transform("packed", unpack).alias("edges"))
+    start, k = F.col("start"), F.col("k")
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    parts = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - start))).alias("k"))
+    found = parts.withColumn("piece", F.substring(F.col("unit"), start + 1, k)).join(F.broadcast(table), "piece", "left").where("id is not null or (start = 0 and k = 1)")
+    ends, inner = _bits(start, start + k)
+    # sorted, the edges of a unit stand in the order of (rank, start)
+    fields = [(F.col("rank").cast("long") * 64 + start).alias("order"), ends.alias("ends"), inner.alias("inner"), "id"]
+    if pieces.fold == "viterbi":
+        fields += ["start", (start + k).alias("end"), F.get(scores, F.col("rank")).alias("score")]
+    lattice = found.groupBy("unit").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(*fields)))).alias("edges"))
     if pieces.fold == "merge":
-        folded = lattice.withColumn("cuts", _merged(n, F.filter("edges", lambda e: e["inner"] > 0)))
+        folded = lattice.withColumn("merges", F.filter("edges", lambda e: e["inner"] > 0)).withColumn("cuts", _merged(n, F.col("merges")))
     else:
         bit = lambda a, x: a + F.call_function("shiftleft", F.lit(1).cast("long"), x)
         folded = lattice.withColumn("path", _viterbi_cuts(n, F.col("edges"))).withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
     mine = lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0)
-    taken = folded.select("unit", "cuts", F.array_sort(F.transform(F.filter("edges", mine), lambda e: F.struct(e["start"], e["id"]))).alias("taken"))
+    taken = folded.select("unit", "cuts", F.array_sort(F.transform(F.filter("edges", mine), lambda e: F.struct(F.pmod(e["order"], F.lit(64)).cast("int").alias("start"), e["id"]))).alias("taken"))
 
     def at(s: Column) -> Column:
         known = F.filter("taken", lambda t: t["start"] == s)
@@ -259,7 +258,7 @@ def encode_long(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """Parts of the batches whose text column holds at most a chunk of bytes."""
     for b in batches:
-        for lo, hi in row_groups(buffers(b.column(column))[1]):
+        for lo, hi in row_groups(buffers(b.column(column))[1], SLICE_BYTES):
             yield b.slice(lo, hi - lo)
 
 
@@ -291,7 +290,7 @@ def _count_units(texts: DataFrame, cutter) -> DataFrame:
             u = Units(b.column(0).to_pylist(), cutter.value)
             for unit, n in zip(u.distinct(), np.bincount(u.which, minlength=len(u.known)).tolist(), strict=True):
                 seen[unit] += n
-            if len(seen) > 200_000:
+            if len(seen) > 150_000:
                 yield flush()
         yield flush()
 
