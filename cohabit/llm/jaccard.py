@@ -3,16 +3,17 @@
 1. Texts become sets of word-shingle hashes inside tasks; equal sets (128-bit fingerprint)
    are one *set* from here on, so copies cost one row each.
 2. Similar sets are partitioned into groups: three MinHash values each elect a leader, the
-   leaders are compared exactly, and the links found give first groups.  A group is stored in
-   chunks of at most ``chunk`` sets.
+   leaders are compared exactly, and the links found give first components.  Those of eight sets or
+   more are groups; the other sets are grouped by a MinHash value.  A group is stored in chunks of about
+   ``chunk`` sets.
 3. Token-group matrix: two similar sets of n tokens share at least l of their first
    n - ceil(t n) + l tokens in any fixed order, so only those tokens are stored, as (token, group);
    l = 1 + n / 20.  The order puts tokens that many documents hold last (their counts are taken
    over all documents), which keeps common passages out of the matrix.
-4. A set opens a group of another component only if enough shared tokens and the size range allow it;
-   there the overlap with the group's token union must reach ceil(t n), and then its
-   members are compared one by one until one links.  A link to any member joins the whole
-   group, so members that are already connected are never compared with each other.
+4. A set opens a group that holds another component only if enough shared tokens and the size range allow it;
+   there the overlap with the group's token union must reach ceil(t n), and then it is compared
+   with the members.  One link to each component that it meets is kept, and a set never opens a
+   group that holds its own component only.
 
 No pair list of a group is formed: candidates are (set, group) rows.  Texts, not token
 arrays, are shuffled to the few comparisons, and a bitmap of fixed size over the ids in question
@@ -188,30 +189,35 @@ def _compare(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _open(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Per group and block of visitors: (visitor, a member's id) for each visitor that links to the group."""
+    """Per group and block of visitors: (visitor, member), one for each other root among the members that it links to."""
 
     def run(group):
         group = group.combine_chunks()
-        texts, ids, own = group["text"].chunk(0) if group.num_rows else pa.array([], pa.string()), group["id"].to_pylist(), group["member"].to_pylist()
-        sets = list(shingle_sets(texts, n))
-        members = [i for i, m in enumerate(own) if m]
-        union = np.unique(np.concatenate([sets[i] for i in members])) if members else np.zeros(0, np.uint64)
+        ids, own, root = (group[c].to_numpy(zero_copy_only=False) for c in ("id", "member", "root"))
+        sets = list(shingle_sets(group["text"].chunk(0) if group.num_rows else pa.array([], pa.string()), n))
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        members = np.flatnonzero(own)
+        tokens = np.concatenate([sets[i] for i in members]) if len(members) else np.zeros(0, np.uint64)
+        order = np.argsort(tokens, kind="stable")
+        tokens, holder = tokens[order], np.repeat(np.arange(len(members)), size[members])[order]
         out = []
-        for i, s in enumerate(sets):
-            if own[i] or not len(s) or not len(union):
+        for i in np.flatnonzero(~own.astype(bool)).tolist():
+            lo, hi = (np.searchsorted(tokens, sets[i], side) for side in ("left", "right"))
+            held = hi - lo
+            # the bound: overlap with the union of the group
+            if not size[i] or int((held > 0).sum()) < least_overlap(int(size[i]), num, den):
                 continue
-            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-            if int((union[at] == s).sum()) < least_overlap(len(s), num, den):
-                continue
-            hit = next((j for j in members if linked(s, sets[j], num, den)), None)
-            if hit is not None:
-                out.append((ids[i], ids[hit]))
+            at = np.arange(held.sum()) + np.repeat(lo - np.cumsum(held) + held, held)
+            both = np.bincount(holder[at], minlength=len(members))
+            hit = (both * den >= num * (size[i] + size[members] - both)) & (root[members] != root[i])
+            for r in np.unique(root[members][hit]):
+                out.append((ids[i], ids[members][hit & (root[members] == r)][0]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return rows.groupBy("group", "block").applyInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, chunk: int = 64) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, chunk: int = 128) -> DataFrame:
     """(key, n_shingles, component_id) for every row: link where den * intersection >= num * union."""
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = written(describe(plain, n), "sets")
@@ -229,27 +235,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4
     grouped = components(edges)
 
     # groups in chunks
-    member = named.select(F.col("rep").alias("id"), "size").distinct().join(grouped.withColumnRenamed("node", "id"), "id", "left").select("id", "size", F.coalesce("root", "id").alias("root"))
+    member = named.select(F.col("rep").alias("id"), "size", "m0").distinct().join(grouped.withColumnRenamed("node", "id"), "id", "left").select("id", "size", "m0", F.coalesce("root", "id").alias("root"))
     member = written(member, "members")
-    large = member.groupBy("root").count().where(F.col("count") > chunk).select("root", F.ceil(F.col("count") / chunk).alias("chunks"))
+    large = written(member.groupBy("root").count().where("count >= 8").withColumnRenamed("count", "c"), "large-components")
+    member = member.join(large, "root", "left").withColumn("kin", F.when(F.col("c").isNotNull(), F.xxhash64(F.lit("root"), "root")).otherwise(F.xxhash64(F.lit("sketch"), "m0"))).drop("c", "m0")
+    member = written(member, "kin")
+    many = written(member.groupBy("kin").count().where(F.col("count") > chunk).select("kin", F.ceil(F.col("count") / chunk).alias("chunks")), "large-groups")
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("chunks")), F.lit(0))
-    member = written(member.join(written(large, "large-groups"), "root", "left").select("id", "size", "root", F.xxhash64("root", part).alias("group")), "groups")
+    member = written(member.join(many, "kin", "left").select("id", "size", "root", F.xxhash64("kin", part).alias("group")), "groups")
 
     # the token-group matrix, and who reaches which group
     hot = hot_tokens(plain, n, num, den, rows.count())
     matrix = written(prefixes(plain, n, num, den, hot).where("size > 0"), "prefixes").select("id", F.explode("tokens").alias("token"))
     shared = written(matrix.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token"), "shared-tokens")
     cells = written(matrix.join(shared, "token").join(member, "id").select("token", "id", "size", "root", "group"), "cells")
-    unions = cells.groupBy("token", "group", F.col("root").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    unions = cells.groupBy("token", "group").agg(F.min("root").alias("other"), F.min("size").alias("least"), F.max("size").alias("most"))
     smaller = F.ceil(F.col("size") * num / den)
     enough = F.least(smaller, 1 + F.floor(smaller / 20))
     reach = cells.select("token", "id", "size", "root").join(unions, "token").where((F.col("root") > F.col("other")) & (F.col("size") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("size") * den))
-    visits = written(reach.groupBy("id", "size", "group").count().where(F.col("count") >= enough).select("id", "group"), "visits")
+    visits = written(reach.groupBy("id", "size", "root", "group").count().where(F.col("count") >= enough).select("id", "root", "group"), "visits")
 
     # open the groups
     blocks = written(visits.groupBy("group").agg(F.ceil(F.count("*") / 128).alias("blocks")), "visited")
-    guests = visits.join(blocks, "group").select("id", "group", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(False).alias("member"))
-    hosts = member.join(blocks, "group").select("id", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("member"))
+    guests = visits.join(blocks, "group").select("id", "root", "group", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(False).alias("member"))
+    hosts = member.join(blocks, "group").select("id", "root", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("member"))
     both = written(guests.unionByName(hosts), "openings")
     opened = both.join(_texts_of(plain, both.select("id")), "id")
     edges = edges.unionByName(written(_open(opened, n, num, den), "group-links"))
