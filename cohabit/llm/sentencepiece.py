@@ -22,7 +22,6 @@ merge (or Viterbi) rule with a heap, since the fold is quadratic in the unit's l
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -177,7 +176,7 @@ def _viterbi_cuts(n: Column, edges: Column) -> Column:
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """Distinct (unit) of at most FOLD_LIMIT characters to (unit, ids).  The piece table is a vocabulary, so it is broadcast."""
+    """Distinct (unit) of 1 to FOLD_LIMIT characters to (unit, ids).  The piece table is a vocabulary, so it is broadcast."""
     spark = units.sparkSession
     order = sorted({score for _, _, score in pieces.rows}, reverse=True)
     rank = {score: k for k, score in enumerate(order)}
@@ -185,30 +184,50 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     table = spark.createDataFrame([(p, i, rank[s]) for p, i, s in pieces.rows], "piece string, id int, rank int")
     n = F.length("unit")
     start, k = F.col("start"), F.col("k")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    parts = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - start))).alias("k"))
-    found = parts.withColumn("piece", F.substring(F.col("unit"), start + 1, k)).join(F.broadcast(table), "piece", "left").where("id is not null or (start = 0 and k = 1)")
+    several = units.where(n > 1)
+    starts = several.select("unit", F.explode(F.sequence(F.lit(0), n - 2)).alias("start"))
+    parts = starts.select("unit", "start", F.explode(F.sequence(F.lit(2), F.least(F.lit(pieces.longest), n - start))).alias("k"))
+    # one row stays of a unit without any piece
+    found = parts.withColumn("piece", F.substring(F.col("unit"), start + 1, k)).join(F.broadcast(table), "piece", "left").where("id is not null or (start = 0 and k = 2)")
     ends, inner = _bits(start, start + k)
     # sorted, the edges of a unit stand in the order of (rank, start)
     fields = [(F.col("rank").cast("long") * 64 + start).alias("order"), ends.alias("ends"), inner.alias("inner"), "id"]
     if pieces.fold == "viterbi":
         fields += ["start", (start + k).alias("end"), F.get(scores, F.col("rank")).alias("score")]
     lattice = found.groupBy("unit").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(*fields)))).alias("edges"))
+    code = lambda s: F.ascii(F.substring(F.col("unit"), s + 1, F.lit(1)))
     if pieces.fold == "merge":
-        folded = lattice.withColumn("merges", F.filter("edges", lambda e: e["inner"] > 0)).withColumn("cuts", _merged(n, F.col("merges")))
+        folded = lattice.withColumn("cuts", _merged(n, F.col("edges")))
     else:
+        cost = [0.0] * (1 + max(ord(p) for p, _, _ in pieces.rows if len(p) == 1))
+        for p, _, score in pieces.rows:
+            if len(p) == 1:
+                cost[ord(p)] = score
         bit = lambda a, x: a + F.call_function("shiftleft", F.lit(1).cast("long"), x)
-        folded = lattice.withColumn("path", _viterbi_cuts(n, F.col("edges"))).withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
+        chars = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.get(F.lit(np.array(cost)), code(i)).alias("score")))
+        lone = F.filter(chars, lambda e: e["score"] < 0)
+        whole = F.concat(F.transform("edges", lambda e: F.struct(e["start"], e["end"], e["score"])), lone)
+        folded = lattice.withColumn("path", _viterbi_cuts(n, whole)).withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
     mine = lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0)
-    taken = folded.select("unit", "cuts", F.array_sort(F.transform(F.filter("edges", mine), lambda e: F.struct(F.pmod(e["order"], F.lit(64)).cast("int").alias("start"), e["id"]))).alias("taken"))
+    taken = folded.select("unit", "cuts", F.transform(F.filter("edges", mine), lambda e: F.struct(F.pmod(e["order"], F.lit(64)).cast("int").alias("start"), e["id"])).alias("taken"))
+
+    ids = [-1] * (1 + max(ord(p) for p, _, _ in pieces.rows if len(p) == 1))
+    for p, i, _ in pieces.rows:
+        if len(p) == 1:
+            ids[ord(p)] = i
+    by_code = F.lit(np.array(ids, dtype=np.int32))
+
+    def single(s: Column) -> Column:
+        known = F.coalesce(F.get(by_code, code(s)), F.lit(-1))
+        return F.when(known >= 0, F.array(known)).otherwise(_byte_ids(F.substring(F.col("unit"), s + 1, F.lit(1)), pieces))
 
     def at(s: Column) -> Column:
         known = F.filter("taken", lambda t: t["start"] == s)
         inside = F.col("cuts").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), s)) == 0
-        return F.when(F.size(known) > 0, F.transform(known, lambda t: t["id"])).when(inside, F.array().cast("array<int>")).otherwise(_byte_ids(F.substring(F.col("unit"), s + 1, F.lit(1)), pieces))
+        return F.when(inside, F.array().cast("array<int>")).when(F.size(known) > 0, F.transform(known, lambda t: t["id"])).otherwise(single(s))
 
-    plain = F.size("taken") == F.bit_count("cuts") - 1
-    return taken.select("unit", F.when(plain, F.transform("taken", lambda t: t["id"])).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at))).alias("ids"))
+    long_ones = taken.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("ids"))
+    return long_ones.unionByName(units.where(n == 1).select("unit", single(F.lit(0)).alias("ids")))
 
 
 def encode_long(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]]) -> list[int]:
@@ -278,29 +297,38 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _count_units(texts: DataFrame, cutter) -> DataFrame:
     """(text) to (unit, n): occurrences of each unit, added up in each task first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
-            seen.clear()
-            return out
+    def add_up(parts: list[tuple[Units, np.ndarray]]) -> pa.RecordBatch:
+        which, known = pd.factorize(np.concatenate([u.known for u, _ in parts]) if parts else np.zeros(0, np.uint64))
+        total = np.bincount(which, np.concatenate([n for _, n in parts]), len(known)).astype(np.int64) if parts else np.zeros(0, np.int64)
+        new, strings, done = np.ones(len(known), dtype=bool), [], 0
+        for u, n in parts:
+            mine = which[done : done + len(n)]
+            first = np.flatnonzero(new[mine])
+            new[mine] = False
+            strings += u.distinct(first)
+            done += len(n)
+        return pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), pa.array(total)], names=["unit", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for b in _slices(batches, 0):
             u = Units(b.column(0).to_pylist(), cutter.value)
-            for unit, n in zip(u.distinct(), np.bincount(u.which, minlength=len(u.known)).tolist(), strict=True):
-                seen[unit] += n
-            if len(seen) > 150_000:
-                yield flush()
-        yield flush()
+            n = np.bincount(u.which, minlength=len(u.known))
+            del u.which
+            parts.append((u, n))
+            size += len(n)
+            if size > 500_000:
+                yield add_up(parts)
+                parts, size = [], 0
+        yield add_up(parts)
 
     return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece_ids", common: int = COMMON) -> DataFrame:
-    """Adds ``to``, the ids of each text."""
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece_ids", decoded: str | None = None, common: int = COMMON) -> DataFrame:
+    """Adds ``to``, the ids of each text, and, if ``decoded`` names a column, the text that they decode to."""
     spark = docs.sparkSession
-    docs = without(docs, to)
+    docs = without(docs, to, *([decoded] if decoded else []))
     cutter = spark.sparkContext.broadcast(Cutter(pieces))
     content = F.col(f"`{text}`").cast("string")
     counted = written(_count_units(docs.select(content.alias("text")), cutter), "units")
@@ -340,9 +368,10 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
     missing = keyed.select(F.col(key), content.alias("text")).mapInArrow(rare, "key long, unit string")
     found = missing.join(lexicon, "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias(own)).withColumnRenamed("key", key)
     ready = keyed.join(found, key, "left").withColumn(to, F.lit(None).cast("array<int>"))
+    ready = ready.withColumn(decoded, F.lit(None).cast("string")) if decoded else ready
     drop = {key, own}
     out = ready.select(*[c for c in ready.columns if c not in drop])
-    columns, names_in = out.columns, ready.columns
+    columns, names_in, words = out.columns, ready.columns, (pieces.text_of, pieces.prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, starts, sizes, values = shared.value
@@ -363,23 +392,28 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
             ends = np.concatenate(([0], np.cumsum(n[idx])))
             ids = pool[np.arange(ends[-1]) + np.repeat(at[idx] - ends[:-1], n[idx])]
             lists = pa.ListArray.from_arrays(pa.array(ends[u.at], pa.int32()), pa.array(ids), mask=texts.is_null() if texts.null_count else None)
-            yield pa.RecordBatch.from_arrays([lists if c == to else b.column(names.index(c)) for c in columns], names=columns)
+            new_columns = {to: lists} | ({decoded: _decoded(lists, *words)} if decoded else {})
+            yield pa.RecordBatch.from_arrays([new_columns.get(c, b.column(names.index(c))) for c in columns], names=columns)
 
     return ready.mapInArrow(run, out.schema)
 
 
+def _decoded(lists: pa.Array, text_of: dict[int, bytes], prefix: bool) -> pa.Array:
+    out = []
+    for x in lists:
+        raw = b"".join([text_of.get(i, b"") for i in x.values.to_numpy().tolist()]) if x.is_valid else b""
+        out.append(raw[1 if prefix and raw[:1] == b" " else 0 :].decode(errors="replace") if x.is_valid else None)
+    return pa.array(out, pa.string())
+
+
 def decode(df: DataFrame, pieces: Pieces, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
     """Adds the text of the ids; null ids give null.  Bytes that are not UTF-8 become U+FFFD."""
     at = df.sparkSession.sparkContext.broadcast((pieces.text_of, pieces.prefix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of, prefix = at.value
         for b in batches:
-            out = []
-            for x in b.column(b.schema.get_field_index(ids)):
-                raw = b"".join([text_of.get(i, b"") for i in x.values.to_numpy().tolist()]) if x.is_valid else b""
-                out.append(raw[1 if prefix and raw[:1] == b" " else 0 :].decode(errors="replace") if x.is_valid else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == to else b.column(i) for i, c in enumerate(b.schema.names)], names=b.schema.names)
+            found = _decoded(b.column(b.schema.get_field_index(ids)), *at.value)
+            yield pa.RecordBatch.from_arrays([found if c == to else b.column(i) for i, c in enumerate(b.schema.names)], names=b.schema.names)
 
     plain = without(df, to).withColumn(to, F.lit(None).cast("string"))
     return plain.mapInArrow(run, plain.schema)
