@@ -11,7 +11,7 @@ rule with the dates as residual; the captures then look up their pairs.
 Defined results: an entry is active from its own date (inclusive) to its rule's next entry
 (exclusive); of several entries of one rule and date the removal wins; null URLs, null times and
 URLs without a host match nothing; null rules, dates or actions are no entries; repeated captures are
-each judged; an empty list blocks nothing.
+each judged; an empty list blocks nothing.  An input column ``blocked_by`` is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, without, written
 
 
 def host(url: Column) -> Column:
@@ -46,7 +46,8 @@ def intervals(entries: DataFrame, rule: str = "rule", date: str = "listed_on", a
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_on") -> DataFrame:
     """Adds ``blocked_by``, the sorted rules active at fetch time, to every capture."""
-    day, rules, out = (free_name(captures, x) for x in ("_day", "_rules", "blocked_by"))
+    captures, out = without(captures, "blocked_by"), "blocked_by"
+    day, rules = (free_name(captures, x) for x in ("_day", "_rules"))
     plain = captures.withColumns({day: F.col(f"`{fetched}`").cast("date"), rules: rules_of(F.col(f"`{url}`"))})
     site = plain.groupBy(F.col(rules).alias("rules"), F.col(day).alias("day")).agg(F.lit(1).alias("one")).where("rules is not null and day is not null")
     pairs = site.select("rules", "day", F.explode("rules").alias("rule"))
