@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import buffers, row_groups, span_hashes
+from .bytewords import row_groups, span_hashes
 from .common import free_name, without, written
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -274,13 +274,26 @@ def encode_long(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batches whose text column holds at most a chunk of bytes."""
     for b in batches:
-        for lo, hi in row_groups(buffers(b.column(column))[1], SLICE_BYTES):
+        sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        for lo, hi in row_groups(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), limit):
             yield b.slice(lo, hi - lo)
 
 
+def _pack(texts: pa.Array) -> pa.Array:
+    """Texts as their size and zstd bytes, which makes the one shuffle of whole texts smaller."""
+    codec = pa.Codec("zstd")
+    raw = [None if t is None else t.encode() for t in texts.to_pylist()]
+    return pa.array([None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw], pa.binary())
+
+
+def _unpack(packed: pa.Array) -> list[str | None]:
+    codec = pa.Codec("zstd")
+    return [None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True).decode() for p in packed.to_pylist()]
+
+
 def _place(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each wanted value stands in the sorted hashes; -1 if it doesn't."""
     if not len(hashes):
@@ -314,10 +327,10 @@ def _count_units(texts: DataFrame, cutter) -> DataFrame:
         for b in _slices(batches, 0):
             u = Units(b.column(0).to_pylist(), cutter.value)
             n = np.bincount(u.which, minlength=len(u.known))
-            del u.which
+            u.start, u.end, u.first, u.which = u.start[u.first], u.end[u.first], np.arange(len(u.first)), None
             parts.append((u, n))
             size += len(n)
-            if size > 500_000:
+            if size > 1_500_000:
                 yield add_up(parts)
                 parts, size = [], 0
         yield add_up(parts)
@@ -367,15 +380,22 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
 
     missing = keyed.select(F.col(key), content.alias("text")).mapInArrow(rare, "key long, unit string")
     found = missing.join(lexicon, "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias(own)).withColumnRenamed("key", key)
-    ready = keyed.join(found, key, "left").withColumn(to, F.lit(None).cast("array<int>"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, place_of_text):
+            yield b.set_column(place_of_text, pa.field(text, pa.binary()), _pack(b.column(place_of_text)))
+
+    place_of_text = keyed.columns.index(text)
+    loose = keyed.withColumn(text, content)
+    packed = loose.mapInArrow(pack, loose.withColumn(text, F.col(f"`{text}`").cast("binary")).schema)
+    ready = packed.join(found, key, "left").withColumn(to, F.lit(None).cast("array<int>"))
     ready = ready.withColumn(decoded, F.lit(None).cast("string")) if decoded else ready
     drop = {key, own}
-    out = ready.select(*[c for c in ready.columns if c not in drop])
+    out = ready.withColumn(text, F.col(f"`{text}`").cast("string")).select(*[F.col(f"`{c}`") for c in ready.columns if c not in drop])
     columns, names_in, words = out.columns, ready.columns, (pieces.text_of, pieces.prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, starts, sizes, values = shared.value
-        for b in _slices(batches, names_in.index(text)):
+        for b in _slices(batches, names_in.index(text), SLICE_BYTES // 2):
             names = b.schema.names
             own_units = b.column(names.index(own)).flatten()
             more, flat = _lists(own_units.field("ids"))
@@ -383,16 +403,17 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
             by = np.argsort(own_hash)
             pool = np.concatenate((values, flat.astype(np.int32)))
             at, n = np.concatenate((starts, (len(values) + np.cumsum(more) - more)[by])), np.concatenate((sizes, more[by]))
-            texts = b.column(names.index(text))
-            u = Units(texts.to_pylist(), cutter.value)
+            texts = _unpack(b.column(names.index(text)))
+            absent = pa.array([t is None for t in texts])
+            u = Units(texts, cutter.value)
             place = _place(hashes, u.known)
             new = place < 0
             place[new] = len(hashes) + _place(own_hash[by], u.known[new])
             idx = place[u.which]
             ends = np.concatenate(([0], np.cumsum(n[idx])))
             ids = pool[np.arange(ends[-1]) + np.repeat(at[idx] - ends[:-1], n[idx])]
-            lists = pa.ListArray.from_arrays(pa.array(ends[u.at], pa.int32()), pa.array(ids), mask=texts.is_null() if texts.null_count else None)
-            new_columns = {to: lists} | ({decoded: _decoded(lists, *words)} if decoded else {})
+            lists = pa.ListArray.from_arrays(pa.array(ends[u.at], pa.int32()), pa.array(ids), mask=absent if None in texts else None)
+            new_columns = {to: lists, text: pa.array(texts, pa.string())} | ({decoded: _decoded(lists, *words)} if decoded else {})
             yield pa.RecordBatch.from_arrays([new_columns.get(c, b.column(names.index(c))) for c in columns], names=columns)
 
     return ready.mapInArrow(run, out.schema)
