@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + n], b.column(1)[lo : lo + n], pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(idx)), pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(val))], names=["h", "y", "idx", "val"])
 
     # at most max_rows narrow rows are broadcast
-    joined = docs.join(F.broadcast(chosen), key).select(F.xxhash64(key).alias("h"), "_y", F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`") for c in metadata])
+    used = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`") for c in metadata])
+    joined = used.join(F.broadcast(chosen), key).select(F.xxhash64(key).alias("h"), "_y", "_text", *metadata)
     rows = written(joined.mapInArrow(extract, "h long, y double, idx array<int>, val array<float>"), "quality-train")
     size, spark = Model.size(len(metadata)), docs.sparkSession
     rng = np.random.default_rng(seed)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import words
-from .common import without, written
+from .common import free_name, without, written
 
 KINDS = ("assign", "access", "hex", "grammar")
 # The base patterns and their least lengths.
@@ -257,7 +257,7 @@ def find(docs: DataFrame, model: SecretModel, text: str = "text", to: str = "sec
 
 def redact(docs: DataFrame, model: SecretModel, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """Replaces every span by ``mark`` (touching or overlapping spans by one); null texts stay null."""
-    spans = "secret_spans_"
+    spans = free_name(docs, "secret_spans")
     found = find(docs, model, text, spans)
     piece = lambda a, s: F.struct(
         F.concat(a["out"], F.when(s["start"] > a["at"], F.concat(F.substring(F.col(f"`{text}`"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).when(a["at"] == 0, F.lit(mark)).otherwise(F.lit(""))).alias("out"),
