@@ -217,7 +217,7 @@ def _open(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return rows.groupBy("group", "block").applyInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, chunk: int = 128) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, chunk: int = 256) -> DataFrame:
     """(key, n_shingles, component_id) for every row: link where den * intersection >= num * union."""
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = written(describe(plain, n), "sets")
