@@ -330,7 +330,7 @@ def _count_units(texts: DataFrame, cutter) -> DataFrame:
             u.start, u.end, u.first, u.which = u.start[u.first], u.end[u.first], np.arange(len(u.first)), None
             parts.append((u, n))
             size += len(n)
-            if size > 1_500_000:
+            if size > 400_000:
                 yield add_up(parts)
                 parts, size = [], 0
         yield add_up(parts)
