@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohabit.config import COMPARISONS, LEAST_P, PRIORITY, THRESHOLDS
-from cohabit.plans.queries import COARSE, DIMS, SAMPLE, SEED
+from cohabit.plans.queries import DIMS, SAMPLE, SEED
 from cohabit.sources.fixtures import DUCKDB
 
 
@@ -52,7 +52,7 @@ auc AS (SELECT a.comparison, a.host_threshold, a.path_threshold, avg(CASE WHEN a
 
 
 def _auc(rows: tuple) -> str:
-    return f"""{_grid(COARSE)}, {_LABELS}, {_classes(rows)},
+    return f"""{_grid(THRESHOLDS)}, {_LABELS}, {_classes(rows)},
 cut AS (SELECT DISTINCT comparison, host_threshold, path_threshold, s AS c FROM x UNION SELECT DISTINCT comparison, host_threshold, path_threshold, CAST('-inf' AS DOUBLE) FROM x),
 pt AS (SELECT cut.comparison, cut.host_threshold, cut.path_threshold, c, any_value(np) AS np, any_value(nn) AS nn, sum(CASE WHEN pos = 1 AND s > c THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN pos = 0 AND s <= c THEN 1 ELSE 0 END) AS tn
        FROM cut JOIN x USING (comparison, host_threshold, path_threshold) GROUP BY ALL),
@@ -94,7 +94,7 @@ SELECT acc, richness, round(a / t - ln(t), 9) AS shannon, round(1 - b / (t * t),
  round(-(a / t - ln(t)), 9) AS shannon_entropy, round(CASE WHEN richness > 1 THEN -(a / t - ln(t)) / ln(richness) END, 9) AS pielou_j FROM s""",
     "host_threshold_counts": f"{_grid(THRESHOLDS)} SELECT host_tax_id AS tax_id, host_threshold AS threshold, host_dataset_count AS n FROM hc",
     "microbe_threshold_counts": f"{_grid(THRESHOLDS)} SELECT path_tax_id AS tax_id, path_threshold AS threshold, pathogen_dataset_count AS n FROM mc",
-    "pair_abundances": f"{_grid(COARSE)} SELECT ht AS host_tax_id, mt AS path_tax_id, count(*) AS n_rows, count(DISTINCT acc) AS n_acc, round(max(ha), 6) AS max_host, round(max(ma), 6) AS max_path FROM pa WHERE ht IN (FROM hids) AND mt IN (FROM mids) GROUP BY ALL",
+    "pair_abundances": f"{_grid(THRESHOLDS)} SELECT ht AS host_tax_id, mt AS path_tax_id, count(*) AS n_rows, count(DISTINCT acc) AS n_acc, round(max(ha), 6) AS max_host, round(max(ma), 6) AS max_path FROM pa WHERE ht IN (FROM hids) AND mt IN (FROM mids) GROUP BY ALL",
     "joint_threshold_counts": f"{_grid(THRESHOLDS)} SELECT * FROM jc",
     "threshold_summary": f"{_grid(THRESHOLDS)} SELECT * FROM grid",
     "expected_rows": f"{DUCKDB} SELECT CAST(count(DISTINCT host_tax_id) * count(DISTINCT path_tax_id) * 900 AS BIGINT) AS expected_rows FROM fx_meta",
@@ -107,7 +107,7 @@ jl AS (SELECT p.host_tax_id, p.path_tax_id, p.pathogen_root_label, t1.threshold
        FROM (SELECT DISTINCT host_tax_id, path_tax_id, pathogen_root_label FROM fx_meta) p CROSS JOIN t t1 CROSS JOIN t t2 LEFT JOIN pl ON ht = p.host_tax_id AND mt = p.path_tax_id AND lt = p.pathogen_root_label GROUP BY ALL)
 SELECT p.host_tax_id, p.path_tax_id, p.pathogen_root_label, jl.host_threshold, jl.path_threshold AS pathogen_threshold, host_dataset_count AS num_host_datasets, ml.c AS num_pathogen_datasets, jl.c AS num_shared_datasets
 FROM fx_meta p JOIN jl USING (host_tax_id, path_tax_id, pathogen_root_label) JOIN hc USING (host_tax_id, host_threshold) JOIN ml USING (path_tax_id, pathogen_root_label, path_threshold)""",
-    "threshold_set_intersections": f"{_grid(COARSE)} SELECT host_tax_id, path_tax_id, host_threshold, path_threshold, both_dataset_count AS num_shared_datasets FROM jc",
+    "threshold_set_intersections": f"{_grid(THRESHOLDS)} SELECT host_tax_id, path_tax_id, host_threshold, path_threshold, both_dataset_count AS num_shared_datasets FROM jc",
     "pair_abundance": f"{_ABUND} SELECT * FROM pr",
     "pair_abundance_summary": f"{_ABUND} SELECT count(*) AS n_rows, count(DISTINCT host_tax_id) AS n_hosts, count(DISTINCT microbe_tax_id) AS n_microbes, count(DISTINCT SRA_accession) AS n_accessions, round(avg(host_abundance), 6) AS avg_host_abundance, round(avg(microbe_abundance), 6) AS avg_microbe_abundance FROM pr",
     "unique_accessions": f"{DUCKDB} SELECT DISTINCT unnest(SRA_datasets) AS acc FROM fx_pairs_lists",
@@ -122,23 +122,23 @@ SELECT row_idx, col_idx, total_abundance AS value FROM fx_abundance JOIN r USING
     "dataset_embeddings": _embedding("acc", "tax_id"),
     "sign_table": f"{DUCKDB} SELECT tax_id, CAST(d AS INTEGER) AS dim, {_SIGN.format(key='tax_id')} AS sign FROM (SELECT DISTINCT tax_id FROM fx_abundance) CROSS JOIN range({DIMS}) r(d)",
     "taxa_ids": f"{DUCKDB} SELECT DISTINCT tax_id FROM fx_abundance",
-    "coverage_report": f"""{_grid(COARSE)}, g AS (SELECT * FROM grid WHERE host_dataset_count > 0 AND path_tax_id % 7 > 0), """
+    "coverage_report": f"""{_grid(THRESHOLDS)}, g AS (SELECT * FROM grid WHERE host_dataset_count > 0 AND path_tax_id % 7 > 0), """
     + ", ".join(f"m_{k} AS (SELECT DISTINCT {k} FROM fx_meta), d_{k} AS (SELECT DISTINCT {k} FROM g)" for k in ("host_tax_id", "path_tax_id"))
     + " UNION ALL ".join(f" SELECT '{k}' AS key, (SELECT count(*) FROM m_{k}) AS in_meta, (SELECT count(*) FROM d_{k}) AS in_data, (SELECT count(*) FROM (FROM m_{k} EXCEPT FROM d_{k})) AS only_meta, (SELECT count(*) FROM (FROM d_{k} EXCEPT FROM m_{k})) AS only_data" for k in ("host_tax_id", "path_tax_id")),
     "duplicate_pairs": f"{DUCKDB} SELECT host_tax_id, path_tax_id, count(*) AS n FROM fx_meta GROUP BY ALL HAVING count(*) > 1",
     "duplicate_labels": f"{DUCKDB} SELECT host_tax_id, path_tax_id, Interaction_type, count(*) AS n FROM fx_meta GROUP BY ALL HAVING count(*) > 1",
-    "resolve_labels": f"{_grid(COARSE)}, {_LABELS} SELECT * FROM lab",
-    "label_counts": f"{_grid(COARSE)}, {_LABELS} SELECT Interaction_type, count(*) AS n FROM lgrid GROUP BY ALL",
-    "sample_pairs": f"{_grid(COARSE)}, {_LABELS} SELECT * FROM samp",
-    "hypergeom_score": f"""{_grid(COARSE)}, k AS (SELECT DISTINCT host_dataset_count AS h, pathogen_dataset_count AS m, both_dataset_count AS s, n.n FROM grid CROSS JOIN n),
+    "resolve_labels": f"{_grid(THRESHOLDS)}, {_LABELS} SELECT * FROM lab",
+    "label_counts": f"{_grid(THRESHOLDS)}, {_LABELS} SELECT Interaction_type, count(*) AS n FROM lgrid GROUP BY ALL",
+    "sample_pairs": f"{_grid(THRESHOLDS)}, {_LABELS} SELECT * FROM samp",
+    "hypergeom_score": f"""{_grid(THRESHOLDS)}, k AS (SELECT DISTINCT host_dataset_count AS h, pathogen_dataset_count AS m, both_dataset_count AS s, n.n FROM grid CROSS JOIN n),
 p AS (SELECT h, m, s, CASE WHEN s <= greatest(0, m - (n - h)) THEN 1.0 WHEN s > least(m, h) THEN 0.0 ELSE list_sum(list_transform(range(s, least(h, m) + 1), lambda x: {_pmf("x", "h", "(n - h)", "m")})) END AS p FROM k)
 SELECT {_KEYS}, round(CASE WHEN p = 0 THEN {LEAST_P!r} ELSE p END, 6) AS hyp_geo_score, round(-log10(CASE WHEN p = 0 THEN {LEAST_P!r} ELSE least(p, 1.0) END), 4) + 0.0 AS neg_log_p
 FROM grid JOIN p ON h = host_dataset_count AND m = pathogen_dataset_count AND s = both_dataset_count""",
-    "log_odds": f"{_grid(COARSE)} SELECT {_KEYS}, round(host_dataset_count / n, 6) AS fh, round(pathogen_dataset_count / n, 6) AS fp, round(both_dataset_count / n, 6) AS fhp, round({_ODDS}, 6) AS log_odds FROM grid CROSS JOIN n",
-    "log_odds_local": f"""{_grid(COARSE)}, l AS (SELECT *, CAST(nullif(host_dataset_count + pathogen_dataset_count, 0) AS DOUBLE) AS k FROM grid)
+    "log_odds": f"{_grid(THRESHOLDS)} SELECT {_KEYS}, round(host_dataset_count / n, 6) AS fh, round(pathogen_dataset_count / n, 6) AS fp, round(both_dataset_count / n, 6) AS fhp, round({_ODDS}, 6) AS log_odds FROM grid CROSS JOIN n",
+    "log_odds_local": f"""{_grid(THRESHOLDS)}, l AS (SELECT *, CAST(nullif(host_dataset_count + pathogen_dataset_count, 0) AS DOUBLE) AS k FROM grid)
 SELECT {_KEYS}, round(host_dataset_count / k, 6) AS fh_2, round(pathogen_dataset_count / k, 6) AS fp_2, round(both_dataset_count / k, 6) AS fhp_2,
  round(log2((both_dataset_count / k + 1 / k) / ((host_dataset_count / k) * (pathogen_dataset_count / k) + 1 / k)), 6) AS log_odds_2 FROM l""",
-    "cooccurrence_metrics": f"""{_grid(COARSE)}, q AS (SELECT grid.*, n, CAST(both_dataset_count AS DOUBLE) AS a, greatest(host_dataset_count - both_dataset_count, 0.0) AS b, greatest(pathogen_dataset_count - both_dataset_count, 0.0) AS c FROM grid CROSS JOIN n),
+    "cooccurrence_metrics": f"""{_grid(THRESHOLDS)}, q AS (SELECT grid.*, n, CAST(both_dataset_count AS DOUBLE) AS a, greatest(host_dataset_count - both_dataset_count, 0.0) AS b, greatest(pathogen_dataset_count - both_dataset_count, 0.0) AS c FROM grid CROSS JOIN n),
 r AS (SELECT *, n - (a + b + c) AS d FROM q),
 s AS (SELECT *, a / n AS pa_, b / n AS pb_, c / n AS pc_, d / n AS pd_ FROM r)
 SELECT {_KEYS}, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d, round(CASE WHEN a + b + c > 0 THEN a / (a + b + c) END, 6) AS jaccard, round(CASE WHEN 2 * a + b + c > 0 THEN 2 * a / (2 * a + b + c) END, 6) AS sorensen_dice,
@@ -148,12 +148,12 @@ SELECT {_KEYS}, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE
  round(pa_ + pb_, 6) AS p_row1, round(pc_ + pd_, 6) AS p_row2, round(pa_ + pc_, 6) AS p_col1, round(pb_ + pd_, 6) AS p_col2,
  round(CASE WHEN pa_ > 0 THEN pa_ * log2(pa_ / ((pa_ + pb_) * (pa_ + pc_))) ELSE 0 END + CASE WHEN pb_ > 0 THEN pb_ * log2(pb_ / ((pa_ + pb_) * (pb_ + pd_))) ELSE 0 END
      + CASE WHEN pc_ > 0 THEN pc_ * log2(pc_ / ((pc_ + pd_) * (pa_ + pc_))) ELSE 0 END + CASE WHEN pd_ > 0 THEN pd_ * log2(pd_ / ((pc_ + pd_) * (pb_ + pd_))) ELSE 0 END, 6) + 0.0 AS mutual_info FROM s""",
-    "fisher_p": f"""{_grid(COARSE)}, k AS (SELECT DISTINCT host_dataset_count AS h, pathogen_dataset_count AS m, both_dataset_count AS a FROM grid),
+    "fisher_p": f"""{_grid(THRESHOLDS)}, k AS (SELECT DISTINCT host_dataset_count AS h, pathogen_dataset_count AS m, both_dataset_count AS a FROM grid),
 u AS (SELECT h, m, a, h - a AS b, m - a AS c, (h - a) + (m - a) AS d FROM k),
 w AS (SELECT *, a + b AS wh, c + d AS bl, a + c AS dr FROM u WHERE b >= 0 AND c >= 0),
 v AS (SELECT *, {_pmf("a", "wh", "bl", "dr")} AS p0, list_transform(range(greatest(0, dr - bl), least(dr, wh) + 1), lambda x: {_pmf("x", "wh", "bl", "dr")}) AS ps FROM w)
 SELECT {_KEYS}, round(least(1.0, list_sum(list_filter(ps, lambda q: q <= p0 * (1 + 1e-7)))), 6) AS fisher_p FROM grid LEFT JOIN v ON h = host_dataset_count AND m = pathogen_dataset_count AND a = both_dataset_count""",
-    "roc_points": f"""{_grid(COARSE)}, {_LABELS}, {_classes(_ONE)},
+    "roc_points": f"""{_grid(THRESHOLDS)}, {_LABELS}, {_classes(_ONE)},
 v AS (SELECT DISTINCT comparison, host_threshold, path_threshold, s, sign, np, nn FROM x),
 cut AS (SELECT *, (s + lead(s) OVER (PARTITION BY comparison, host_threshold, path_threshold ORDER BY s)) / 2 AS c FROM v UNION ALL SELECT DISTINCT comparison, host_threshold, path_threshold, CAST('-inf' AS DOUBLE), sign, np, nn, CAST(NULL AS DOUBLE) FROM v)
 SELECT cut.comparison, round(cut.host_threshold, 9) AS host_threshold, round(cut.path_threshold, 9) AS path_threshold, round(c * cut.sign, 6) AS cutoff,
@@ -163,7 +163,7 @@ FROM cut JOIN auc USING (comparison, host_threshold, path_threshold)""",
     "auc_summary": f"{_auc(_ONE)} SELECT * EXCLUDE raw FROM res",
     "auc_grid": f"{_auc(COMPARISONS)} SELECT * EXCLUDE raw FROM res",
     "roc_label_text": f"{_auc(_ONE)} SELECT comparison, host_threshold, path_threshold, 'AUC = ' || coalesce(printf('%.2f', CAST(round(CAST(round(raw, 9) AS DECIMAL(18, 9)), 2) AS DOUBLE)), 'NA') || chr(10) || 'N = ' || n_total AS label FROM res",
-    "score_histogram": f"""{_grid(COARSE)}, {_LABELS}, h AS (SELECT Interaction_type, round({_ODDS}, 9) AS x FROM lgrid JOIN samp USING (host_tax_id, path_tax_id, Interaction_type) CROSS JOIN n), e AS (SELECT min(x) AS lo, max(x) AS hi FROM h)
+    "score_histogram": f"""{_grid(THRESHOLDS)}, {_LABELS}, h AS (SELECT Interaction_type, round({_ODDS}, 9) AS x FROM lgrid JOIN samp USING (host_tax_id, path_tax_id, Interaction_type) CROSS JOIN n), e AS (SELECT min(x) AS lo, max(x) AS hi FROM h)
 SELECT Interaction_type, CAST(CASE WHEN hi > lo THEN least(50, 1 + floor((x - lo) / (hi - lo) * 50)) ELSE 1 END AS INTEGER) AS bin, count(*) AS n FROM h CROSS JOIN e GROUP BY ALL""",
     "status": f"{DUCKDB} SELECT 'Loaded ' || count(*) || ' pairs' AS status FROM fx_meta",
     "io_roundtrip": f"{DUCKDB} SELECT acc, tax_id, total_abundance FROM fx_abundance",

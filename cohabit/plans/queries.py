@@ -11,8 +11,6 @@ from cohabit.operators import diversity, embed, evaluate, extract, labels, matri
 from cohabit.sources import io
 from cohabit.sources.fixtures import frames, population
 
-#: A coarser grid for the queries whose oracles are quadratic.
-COARSE = (1e-06, 0.01, 0.03, 0.05, 0.07, 0.09)
 DIMS, SAMPLE, SEED = 32, 20, 42
 
 
@@ -62,8 +60,8 @@ def listed_pair_shared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_set_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = frames(spark, sf_dir)
-    h = thresholds.threshold_sets(fx["fx_host"], fx["fx_meta"].select(F.col("host_tax_id").alias("tax_id")), COARSE)
-    m = thresholds.threshold_sets(fx["fx_microbe"], fx["fx_meta"].select(F.col("path_tax_id").alias("tax_id")), COARSE)
+    h = thresholds.threshold_sets(fx["fx_host"], fx["fx_meta"].select(F.col("host_tax_id").alias("tax_id")))
+    m = thresholds.threshold_sets(fx["fx_microbe"], fx["fx_meta"].select(F.col("path_tax_id").alias("tax_id")))
     return thresholds.shared_by_lists(h, m)
 
 
@@ -129,7 +127,7 @@ def taxa_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grid(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
     fx = frames(spark, sf_dir)
     # several operators read it more than once
-    return fx, io.materialise(thresholds.threshold_summary(fx["fx_host"], fx["fx_microbe"], fx["fx_meta"], COARSE), "grid")
+    return fx, io.materialise(thresholds.threshold_summary(fx["fx_host"], fx["fx_microbe"], fx["fx_meta"]), "grid")
 
 
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:

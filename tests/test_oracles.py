@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from cohabit.config import THRESHOLDS
 from cohabit.plans.oracles import ORACLES
 from cohabit.plans.queries import QUERIES
 
@@ -36,3 +37,9 @@ def test_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(sql.columns)
     names = sorted(df.columns)
     assert norm(df.collect(), [df.columns.index(c) for c in names]) == norm(sql.fetchall(), [sql.columns.index(c) for c in names])
+
+
+@pytest.mark.parametrize("name", ["threshold_set_intersections", "hypergeom_score", "log_odds", "log_odds_local", "cooccurrence_metrics", "fisher_p", "auc_summary", "auc_grid", "roc_label_text"])
+def test_whole_grid(spark, name):
+    combos = QUERIES[name](spark, SF).select("host_threshold", "path_threshold").distinct().count()
+    assert combos == len(THRESHOLDS) ** 2 == 900
