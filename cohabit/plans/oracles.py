@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohabit.config import COMPARISONS, LEAST_P, PRIORITY, THRESHOLDS
-from cohabit.plans.queries import DIMS, SAMPLE, SEED
+from cohabit.plans.queries import STUDY
 from cohabit.sources.fixtures import DUCKDB
 
 
@@ -33,8 +33,8 @@ _LABELS = f"""lab AS (SELECT host_tax_id, path_tax_id, Interaction_type FROM (SE
         ORDER BY CASE Interaction_type {_RANK} ELSE 99 END, Interaction_type) AS k FROM fx_meta) WHERE k = 1),
 lgrid AS (SELECT grid.*, coalesce(Interaction_type, 'Random') AS Interaction_type FROM grid LEFT JOIN lab USING (host_tax_id, path_tax_id)),
 samp AS (SELECT host_tax_id, path_tax_id, Interaction_type FROM (SELECT *, row_number() OVER (PARTITION BY Interaction_type
-        ORDER BY md5('{SEED}|' || Interaction_type || '|' || host_tax_id || '|' || path_tax_id), host_tax_id, path_tax_id) AS k
-        FROM (SELECT DISTINCT host_tax_id, path_tax_id, Interaction_type FROM lgrid)) WHERE k <= {SAMPLE})"""
+        ORDER BY md5('{STUDY.seed}|' || Interaction_type || '|' || host_tax_id || '|' || path_tax_id), host_tax_id, path_tax_id) AS k
+        FROM (SELECT DISTINCT host_tax_id, path_tax_id, Interaction_type FROM lgrid)) WHERE k <= {STUDY.sample_n})"""
 _ODDS = "log2((both_dataset_count / n + 1 / n) / ((host_dataset_count / n) * (pathogen_dataset_count / n) + 1 / n))"
 _KEYS = "host_tax_id, path_tax_id, round(host_threshold, 9) AS host_threshold, round(path_threshold, 9) AS path_threshold, host_dataset_count, pathogen_dataset_count, both_dataset_count"
 
@@ -68,8 +68,8 @@ _SIGN = "CASE WHEN substr(md5(CAST({key} AS VARCHAR) || '#' || CAST(d // 32 AS V
 
 
 def _embedding(of: str, over: str) -> str:
-    return f"""{DUCKDB} SELECT {of}, CAST(d AS INTEGER) AS dim, round(sum(total_abundance * {_SIGN.format(key=over)}) / sqrt({DIMS}), 6) AS value
-FROM fx_abundance CROSS JOIN range({DIMS}) r(d) GROUP BY {of}, d"""
+    return f"""{DUCKDB} SELECT {of}, CAST(d AS INTEGER) AS dim, round(sum(total_abundance * {_SIGN.format(key=over)}) / sqrt({STUDY.dims}), 6) AS value
+FROM fx_abundance CROSS JOIN range({STUDY.dims}) r(d) GROUP BY {of}, d"""
 
 
 _LC = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
@@ -120,7 +120,7 @@ FROM fx_meta p JOIN jl USING (host_tax_id, path_tax_id, pathogen_root_label) JOI
 SELECT row_idx, col_idx, total_abundance AS value FROM fx_abundance JOIN r USING (acc) JOIN c USING (tax_id) WHERE total_abundance > 0""",
     "taxon_embeddings": _embedding("tax_id", "acc"),
     "dataset_embeddings": _embedding("acc", "tax_id"),
-    "sign_table": f"{DUCKDB} SELECT tax_id, CAST(d AS INTEGER) AS dim, {_SIGN.format(key='tax_id')} AS sign FROM (SELECT DISTINCT tax_id FROM fx_abundance) CROSS JOIN range({DIMS}) r(d)",
+    "sign_table": f"{DUCKDB} SELECT tax_id, CAST(d AS INTEGER) AS dim, {_SIGN.format(key='tax_id')} AS sign FROM (SELECT DISTINCT tax_id FROM fx_abundance) CROSS JOIN range({STUDY.dims}) r(d)",
     "taxa_ids": f"{DUCKDB} SELECT DISTINCT tax_id FROM fx_abundance",
     "coverage_report": f"""{_grid(THRESHOLDS)}, g AS (SELECT * FROM grid WHERE host_dataset_count > 0 AND path_tax_id % 7 > 0), """
     + ", ".join(f"m_{k} AS (SELECT DISTINCT {k} FROM fx_meta), d_{k} AS (SELECT DISTINCT {k} FROM g)" for k in ("host_tax_id", "path_tax_id"))

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohabit.config import Study
 from cohabit.operators import diversity, embed, evaluate, extract, labels, matrix, scores, thresholds
 from cohabit.sources import io
 from cohabit.sources.fixtures import frames, population
 
-DIMS, SAMPLE, SEED = 32, 20, 42
+STUDY = Study()
 
 
 def _rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
@@ -109,15 +110,15 @@ def coo_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def taxon_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(embed.taxon_embeddings(frames(spark, sf_dir)["fx_abundance"], DIMS))
+    return _rounded(embed.taxon_embeddings(frames(spark, sf_dir)["fx_abundance"], STUDY.dims))
 
 
 def dataset_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(embed.dataset_embeddings(frames(spark, sf_dir)["fx_abundance"], DIMS))
+    return _rounded(embed.dataset_embeddings(frames(spark, sf_dir)["fx_abundance"], STUDY.dims))
 
 
 def sign_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.sign_table(frames(spark, sf_dir)["fx_abundance"], "tax_id", DIMS)
+    return embed.sign_table(frames(spark, sf_dir)["fx_abundance"], "tax_id", STUDY.dims)
 
 
 def taxa_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +158,7 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.sample_pairs(_labelled(spark, sf_dir), SAMPLE, SEED)
+    return labels.sample_pairs(_labelled(spark, sf_dir), STUDY.sample_n, STUDY.seed)
 
 
 def hypergeom_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,12 +189,13 @@ def fisher_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scores.log_odds(_labelled(spark, sf_dir), population(spark, sf_dir))
     # equal scores must stay equal in both engines
-    return io.materialise(labels.sampled_rows(scored.withColumn("log_odds", F.round("log_odds", 9)), SAMPLE, SEED), "sampled")
+    return io.materialise(labels.sampled_rows(scored.withColumn("log_odds", F.round("log_odds", 9)), STUDY.sample_n, STUDY.seed), "sampled")
 
 
 def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = evaluate.roc_points(_sampled(spark, sf_dir))
-    finite = F.when(F.abs("cutoff") < float("inf"), F.col("cutoff"))
+    # halfway between scores of 9 decimals: 10 are exact, and only then is half a millionth rounded up
+    finite = F.round(F.when(F.abs("cutoff") < float("inf"), F.col("cutoff")), 10)
     return _rounded(points.withColumn("cutoff", finite), host_threshold=9, path_threshold=9)
 
 

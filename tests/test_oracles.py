@@ -43,3 +43,14 @@ def test_oracle(spark, duck, name):
 def test_whole_grid(spark, name):
     combos = QUERIES[name](spark, SF).select("host_threshold", "path_threshold").distinct().count()
     assert combos == len(THRESHOLDS) ** 2 == 900
+
+
+def test_whole_projection(spark):
+    for name in ("taxon_embeddings", "dataset_embeddings", "sign_table"):
+        assert QUERIES[name](spark, SF).agg({"dim": "max"}).first()[0] == 511
+
+
+def test_whole_sample(spark):
+    sampled = {r[0]: r[1] for r in QUERIES["sample_pairs"](spark, SF).groupBy("Interaction_type").count().collect()}
+    pairs = {r[0]: r[1] // 900 for r in QUERIES["label_counts"](spark, SF).collect()}
+    assert sampled == {k: min(n, 100) for k, n in pairs.items()} and max(sampled.values()) > 20
