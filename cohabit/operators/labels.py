@@ -44,11 +44,11 @@ def sampled_rows(df: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     return df.join(sample_pairs(df, n, seed), [*PAIR, "Interaction_type"])
 
 
-def coverage_report(meta: DataFrame, data: DataFrame) -> DataFrame:
-    """For hosts and microbes: ids in both inputs, and in one only."""
+def coverage_report(meta: DataFrame, data: DataFrame, path_data: DataFrame | None = None) -> DataFrame:
+    """For hosts and microbes: ids in both inputs, and in one only.  ``path_data`` holds the microbes where they are apart from the hosts."""
     out = []
-    for key in PAIR:
-        m, d = meta.select(key).distinct(), data.select(key).distinct()
+    for key, seen in zip(PAIR, (data, data if path_data is None else path_data), strict=True):
+        m, d = meta.select(key).distinct(), seen.select(key).distinct()
         both = m.withColumn("_m", F.lit(1)).join(d.withColumn("_d", F.lit(1)), key, "full")
         has = lambda c: F.count(c)
         out.append(both.agg(F.lit(key).alias("key"), has("_m").alias("in_meta"), has("_d").alias("in_data"), F.count_if(F.col("_d").isNull()).alias("only_meta"), F.count_if(F.col("_m").isNull()).alias("only_data")))

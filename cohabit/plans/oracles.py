@@ -122,8 +122,8 @@ SELECT row_idx, col_idx, total_abundance AS value FROM fx_abundance JOIN r USING
     "dataset_embeddings": _embedding("acc", "tax_id"),
     "sign_table": f"{DUCKDB} SELECT tax_id, CAST(d AS INTEGER) AS dim, {_SIGN.format(key='tax_id')} AS sign FROM (SELECT DISTINCT tax_id FROM fx_abundance) CROSS JOIN range({STUDY.dims}) r(d)",
     "taxa_ids": f"{DUCKDB} SELECT DISTINCT tax_id FROM fx_abundance",
-    "coverage_report": f"""{_grid(THRESHOLDS)}, g AS (SELECT * FROM grid WHERE host_dataset_count > 0 AND path_tax_id % 7 > 0), """
-    + ", ".join(f"m_{k} AS (SELECT DISTINCT {k} FROM fx_meta), d_{k} AS (SELECT DISTINCT {k} FROM g)" for k in ("host_tax_id", "path_tax_id"))
+    "coverage_report": f"""{DUCKDB}, """
+    + ", ".join(f"m_{k} AS (SELECT DISTINCT {k} FROM fx_meta), d_{k} AS (SELECT DISTINCT tax_id AS {k} FROM {v})" for k, v in (("host_tax_id", "fx_host"), ("path_tax_id", "fx_microbe")))
     + " UNION ALL ".join(f" SELECT '{k}' AS key, (SELECT count(*) FROM m_{k}) AS in_meta, (SELECT count(*) FROM d_{k}) AS in_data, (SELECT count(*) FROM (FROM m_{k} EXCEPT FROM d_{k})) AS only_meta, (SELECT count(*) FROM (FROM d_{k} EXCEPT FROM m_{k})) AS only_data" for k in ("host_tax_id", "path_tax_id")),
     "duplicate_pairs": f"{DUCKDB} SELECT host_tax_id, path_tax_id, count(*) AS n FROM fx_meta GROUP BY ALL HAVING count(*) > 1",
     "duplicate_labels": f"{DUCKDB} SELECT host_tax_id, path_tax_id, Interaction_type, count(*) AS n FROM fx_meta GROUP BY ALL HAVING count(*) > 1",

@@ -132,8 +132,9 @@ def _grid(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataF
 
 
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx, grid = _grid(spark, sf_dir)
-    return labels.coverage_report(fx["fx_meta"], grid.where("host_dataset_count > 0 and path_tax_id % 7 > 0"))
+    fx = frames(spark, sf_dir)
+    hosts, microbes = (fx[t].select(F.col("tax_id").alias(c)) for t, c in (("fx_host", "host_tax_id"), ("fx_microbe", "path_tax_id")))
+    return labels.coverage_report(fx["fx_meta"], hosts, microbes)
 
 
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

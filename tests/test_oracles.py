@@ -54,3 +54,8 @@ def test_whole_sample(spark):
     sampled = {r[0]: r[1] for r in QUERIES["sample_pairs"](spark, SF).groupBy("Interaction_type").count().collect()}
     pairs = {r[0]: r[1] // 900 for r in QUERIES["label_counts"](spark, SF).collect()}
     assert sampled == {k: min(n, 100) for k, n in pairs.items()} and max(sampled.values()) > 20
+
+
+def test_coverage_sees_every_taxon(spark):
+    got = {r["key"]: (r["in_meta"], r["in_data"], r["only_meta"], r["only_data"]) for r in QUERIES["coverage_report"](spark, SF).collect()}
+    assert got == {"host_tax_id": (20, 20, 0, 0), "path_tax_id": (10, 10, 0, 0)}

@@ -71,6 +71,15 @@ def test_label_priority_and_sample(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
 
 
+def test_coverage_with_gaps(spark):
+    meta = spark.createDataFrame([(1, 1001), (2, 1008), (2, 1015)], "host_tax_id long, path_tax_id long")
+    hosts = spark.createDataFrame([(1,), (2,), (3,), (3,)], "host_tax_id long")
+    microbes = spark.createDataFrame([(1001,), (1008,), (1009,)], "path_tax_id long")
+    got = {r["key"]: tuple(r)[1:] for r in labels.coverage_report(meta, hosts, microbes).collect()}
+    assert got == {"host_tax_id": (2, 3, 0, 1), "path_tax_id": (3, 3, 1, 1)}
+    assert {r["key"]: r["only_data"] for r in labels.coverage_report(meta, meta).collect()} == {"host_tax_id": 0, "path_tax_id": 0}
+
+
 def counts(spark, rows):
     return spark.createDataFrame(rows, "host_dataset_count bigint, pathogen_dataset_count bigint, both_dataset_count bigint")
 
