@@ -96,8 +96,14 @@ def expected_rows(pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS) ->
     return pairs.agg((F.count_distinct("host_tax_id") * F.count_distinct("path_tax_id") * len(thresholds) ** 2).alias("expected_rows"))
 
 
+def shared_counts(hosts: DataFrame, microbes: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """What intersecting the ``threshold_sets`` of all hosts and all microbes gives, without a list: joined by dataset."""
+    h, m = (pairs.select(c).distinct() for c in ("host_tax_id", "path_tax_id"))
+    return joint_counts(hosts, microbes, h.crossJoin(m), thresholds).withColumnRenamed("both_dataset_count", "num_shared_datasets")
+
+
 def threshold_sets(abundance: DataFrame, ids: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """(tax_id, threshold, n, datasets): also the list of datasets, for small studies."""
+    """(tax_id, threshold, n, datasets): also the list of datasets, for small studies; no registered query uses it."""
     levels = _levels(abundance, ids.select("tax_id").distinct(), thresholds)
     steps = F.broadcast(grid(abundance.sparkSession, thresholds))
     found = levels.join(steps, F.col("i") <= F.col("level")).groupBy("tax_id", "i").agg(F.collect_set("acc").alias("datasets"))
@@ -122,7 +128,7 @@ def listed_shared_counts(hosts: DataFrame, microbes: DataFrame, pairs: DataFrame
 
 
 def shared_by_lists(hosts: DataFrame, microbes: DataFrame) -> DataFrame:
-    """Joint counts from two ``threshold_sets`` by intersecting their lists (an inner product of small studies)."""
+    """Joint counts from two ``threshold_sets`` by intersecting their lists (small studies; ``shared_counts`` needs no lists)."""
     h = hosts.toDF("host_tax_id", "host_threshold", "num_host_datasets", "host_datasets")
     m = microbes.toDF("path_tax_id", "path_threshold", "num_pathogen_datasets", "path_datasets")
     return h.crossJoin(m).select("host_tax_id", "path_tax_id", "host_threshold", "path_threshold", F.size(F.array_intersect("host_datasets", "path_datasets")).cast("long").alias("num_shared_datasets"))

@@ -61,9 +61,7 @@ def listed_pair_shared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_set_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = frames(spark, sf_dir)
-    h = thresholds.threshold_sets(fx["fx_host"], fx["fx_meta"].select(F.col("host_tax_id").alias("tax_id")))
-    m = thresholds.threshold_sets(fx["fx_microbe"], fx["fx_meta"].select(F.col("path_tax_id").alias("tax_id")))
-    return thresholds.shared_by_lists(h, m)
+    return thresholds.shared_counts(fx["fx_host"], fx["fx_microbe"], fx["fx_meta"])
 
 
 def pair_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,8 @@ def test_whole_sample(spark):
 def test_coverage_sees_every_taxon(spark):
     got = {r["key"]: (r["in_meta"], r["in_data"], r["only_meta"], r["only_data"]) for r in QUERIES["coverage_report"](spark, SF).collect()}
     assert got == {"host_tax_id": (20, 20, 0, 0), "path_tax_id": (10, 10, 0, 0)}
+
+
+def test_intersections_collect_no_lists(spark):
+    plan = QUERIES["threshold_set_intersections"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "array_intersect" not in plan

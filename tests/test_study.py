@@ -51,6 +51,19 @@ def test_listed_pairs_keep_repeats_and_ask_for_the_label(spark):
     assert thresholds.listed_shared_counts(h, m, pairs, (0.5,), dedupe_pairs=True).count() == 2
 
 
+def test_shared_counts_brute_force(spark):
+    h = [(t, f"S{k % 17}", (k * t % 7) / 10) for t in (1, 2) for k in range(40)] + [(1, "S1", None), (8, "S1", 1.0)]
+    m = [(t, f"S{k % 13}", (k * t % 5) / 10, "V") for t in (3, 4) for k in range(30)]
+    hosts, microbes = spark.createDataFrame(h, schemas.HOST), spark.createDataFrame(m, schemas.MICROBE)
+    pairs = spark.createDataFrame([(1, 3, "V", "h", "p"), (2, 4, "V", "h", "p"), (9, 4, "V", "h", "p")], schemas.PAIRS)
+    levels = (0.1, 0.3, 0.6)
+    keep = lambda rows, t, x: {r[1] for r in rows if r[0] == t and r[2] is not None and r[2] >= x}
+    want = {(a, b, x, y): len(keep(h, a, x) & keep(m, b, y)) for a, b, x, y in product((1, 2, 9), (3, 4), levels, levels)}
+    assert {tuple(r)[:4]: r[4] for r in thresholds.shared_counts(hosts, microbes, pairs, levels).collect()} == want
+    sets = (thresholds.threshold_sets(df, pairs.select(pairs[c].alias("tax_id")), levels) for df, c in ((hosts, "host_tax_id"), (microbes, "path_tax_id")))
+    assert {tuple(r)[:4]: r[4] for r in thresholds.shared_by_lists(*sets).collect()} == want
+
+
 def test_accession_lists(spark):
     pairs = spark.createDataFrame([(1, 2, None), (1, 3, []), (1, 4, ["X", "X"]), (1, 5, ["unknown"]), (7, 7, ["X"])], schemas.PAIR_LISTS)
     a = abundance(spark, [("X", 4, 2.0), ("X", 4, 3.0), ("X", 7, 3.0), ("X", 1, None)])
