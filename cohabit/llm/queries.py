@@ -63,10 +63,11 @@ def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+(/[^/?#]+)', 1) AS seg,
+WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]+(/[^?#]*)', 1), '/') AS seg,
                   DATE '2024-01-01' + CAST(((page_id * 7919) % 365 + 365) % 365 AS INTEGER) AS day FROM pages),
-c AS (SELECT DISTINCT page_id, url, day, unnest(list_concat(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda k: array_to_string((string_split(host, '.'))[k:], '.')),
-             CASE WHEN seg <> '' THEN [host || seg] ELSE [] END)) AS rule FROM p WHERE host <> ''),
+s AS (SELECT page_id, url, day, seg, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda k: array_to_string((string_split(host, '.'))[k:], '.'))) AS suffix FROM p WHERE host <> ''),
+x AS (SELECT page_id, url, day, suffix, unnest(list_concat([''], list_transform(list_filter(range(1, len(seg) + 1), lambda k: seg[k] <> ''), lambda k: array_to_string(seg[1:k], '/')))) AS prefix FROM s),
+c AS (SELECT DISTINCT page_id, url, day, suffix || prefix AS rule FROM x),
 r AS (SELECT rule, CAST('0x' || substr(md5(rule), 1, 7) AS BIGINT) AS d FROM (SELECT DISTINCT rule FROM c)),
 e AS (SELECT rule, DATE '2024-01-01' + CAST(d % 200 + k * 60 AS INTEGER) AS f, k FROM (SELECT rule, d, unnest(range(0, d % 3 + 1)) AS k FROM r WHERE d % 4 = 0)),
 hit AS (SELECT c.page_id, c.url, c.day, c.rule FROM c JOIN e ON c.rule = e.rule WHERE e.k % 2 = 0 AND e.f <= c.day

@@ -1,16 +1,17 @@
 """URL filters (operator 3): a temporal list join.
 
 A block list changes over time: each dated entry adds a rule (a host suffix or a path prefix) or
-removes it.  Entries become validity intervals (``lead`` over each rule's dates), and an
+removes it.  A path prefix ends at a whole segment and holds on subdomains too.  Entries become validity intervals (``lead`` over each rule's dates), and an
 as-of join gives every capture the rules that were active when it was fetched.
 
 Captures are reduced to distinct (candidate rule, fetch day) pairs first, so a host that holds a third of
-all captures costs one row for each day.  Intervals and pairs meet in an equi-join on the
-rule with the dates as residual; the captures then look up their pairs.
+all captures asks the list once for each day.  Intervals and pairs meet in an equi-join on the
+rule with the dates as residual; the captures, by their distinct candidates and days, then look up their pairs.
 
 Defined results: an entry is active from its own date (inclusive) to its rule's next entry
 (exclusive); of several entries of one rule and date the removal wins; null URLs, null times and
-URLs without a host match nothing; null rules, dates or actions are no entries; repeated captures are
+URLs without a host match nothing; null rules, dates or actions are no entries;
+rules are compared with their host in lower case and without a slash at the end (paths keep their case); repeated captures are
 each judged; an empty list blocks nothing.  An input column ``blocked_by`` is replaced.
 """
 
@@ -27,19 +28,26 @@ def host(url: Column) -> Column:
 
 
 def rules_of(url: Column) -> Column:
-    """Every rule that could cover a URL: its host's suffixes of two labels or more, and host + first path segment."""
-    labels = F.split(host(url), r"\.")
+    """Every rule that could cover a URL: its host's suffixes of two labels or more, alone and with each prefix of its path in whole segments."""
+    labels, segments = F.split(host(url), r"\."), F.split(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+(/[^?#]*)", 1), "/")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, n), "."))
-    segment = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+(/[^/?#]+)", 1)
-    found = F.concat(suffixes, F.when(segment != "", F.array(F.concat(host(url), segment))).otherwise(F.array().cast("array<string>")))
+    ends = F.filter(F.sequence(F.lit(1), F.size(segments)), lambda k: F.get(segments, k - 1) != "")
+    paths = F.concat(F.array(F.lit("")), F.transform(ends, lambda k: F.array_join(F.slice(segments, F.lit(1), k), "/")))
+    found = F.flatten(F.transform(suffixes, lambda s: F.transform(paths, lambda p: F.concat(s, p))))
     return F.when(host(url) != "", F.array_distinct(found))
 
 
+def plain_rule(rule: Column) -> Column:
+    """A list's rule as ``rules_of`` spells it: host in lower case, no blanks around it, no slash at its end."""
+    bare = F.trim(rule)
+    return F.concat(F.lower(F.regexp_extract(bare, r"^[^/]*", 0)), F.regexp_replace(F.regexp_extract(bare, r"(?s)^[^/]*(.*)$", 1), r"/+$", ""))
+
+
 def intervals(entries: DataFrame, rule: str = "rule", date: str = "listed_on", action: str = "action") -> DataFrame:
     """(rule, valid_from, valid_to) of every added rule; valid_to is null while the rule stands."""
     clean = entries.where(F.col(rule).isNotNull() & F.col(date).isNotNull() & F.col(action).isin("add", "remove"))
-    daily = clean.groupBy(F.col(rule).alias("rule"), F.col(date).cast("date").alias("valid_from")).agg(F.max(action).alias("action"))
+    daily = clean.groupBy(plain_rule(F.col(rule)).alias("rule"), F.col(date).cast("date").alias("valid_from")).agg(F.max(action).alias("action"))
     dates = Window.partitionBy("rule").orderBy("valid_from")
     return daily.withColumn("valid_to", F.lead("valid_from").over(dates)).where("action = 'add'").select("rule", "valid_from", "valid_to")
 

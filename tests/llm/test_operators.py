@@ -112,6 +112,15 @@ def test_url_filter(spark):
     assert urlfilter.judge(caps, entries.limit(0)).where("size(blocked_by) > 0").count() == 0 and urlfilter.judge(caps.limit(0), entries).count() == 0
 
 
+def test_url_filter_prefixes_of_any_depth(spark):
+    urls = ["http://example.com/blog/spam/1?q=/z", "http://www.example.com/ads/x", "http://example.com/blog/spammy", "http://example.com/Ads", "http://example.com/blog//spam/", "http://WWW.Example.com:80/ads/#/b", "http://other.org/blog/spam", "http://example.com"]
+    caps = spark.createDataFrame([(i, u, "2024-01-05") for i, u in enumerate(urls)], "id int, url string, fetched_on string")
+    rules = ["example.com/blog/spam", "Example.COM/ads/", " OTHER.org", "www.example.com/ads/x", "example.com/blog/sp"]
+    entries = spark.createDataFrame([(r, "2024-01-01", "add") for r in rules], "rule string, listed_on string, action string")
+    got = {r["id"]: r["blocked_by"] for r in urlfilter.judge(caps, entries).collect()}
+    assert got == {0: ["example.com/blog/spam"], 1: ["example.com/ads", "www.example.com/ads/x"], 2: [], 3: [], 4: [], 5: ["example.com/ads"], 6: ["other.org"], 7: []}
+
+
 def test_sentencepiece_equals_the_library_and_round_trips(spark):
     import sentencepiece as lib
 
