@@ -3,8 +3,8 @@
 Credentials that the three base patterns find are labelled by their pattern.  For each
 label a prefix tree of character classes is built and statistically compatible states are
 merged (ALERGIA: Carrasco and Oncina 1994), which gives a probabilistic automaton of the
-format.  Every long token of every text is then scored by its log-likelihood ratio,
-in bits per character, against a class-bigram model of all other long tokens of the
+format.  Every token of eight characters or more, or what base spans leave of it, is then scored by its
+log-likelihood ratio, in bits per character, against a class-bigram model of all of these in the
 corpus; tokens that reach ``min_bits`` become spans of kind ``grammar``.
 
 The automata are fitted on at most ``max_values`` distinct credentials per label (those with
@@ -61,7 +61,7 @@ class Automaton:
 class SecretModel:
     automata: list[Automaton] = field(default_factory=list)
     background: np.ndarray = field(default_factory=lambda: np.zeros((N_CLASS + 1, N_CLASS)))
-    min_length: int = 16
+    min_length: int = ASSIGN_VALUE
     min_bits: float = 1.0
 
 
@@ -138,7 +138,7 @@ def infer(label: str, values: list[str], alpha: float = 0.01, least: int = 20) -
 
 
 def _spans(texts: pa.Array, min_length: int) -> Iterator[tuple]:
-    """For each chunk: its tokens, the base spans by row, the free long tokens and their rows, and the bytes by row."""
+    """For each chunk: its tokens, the base spans by row, starts, ends and rows of what long tokens hold outside base spans, and the bytes by row."""
     for tokens, hexes, caps, marks in zip(words(texts, _TOKEN, False), words(texts, _HEX, False), words(texts, _CAPS, False), words(texts, _SEPARATOR, False), strict=True):
         found: list[list[tuple[str, int, int, str]]] = [[] for _ in range(tokens.rows)]
         taken: list[list[tuple[int, int]]] = [[] for _ in range(tokens.rows)]
@@ -174,12 +174,19 @@ def _spans(texts: pa.Array, min_length: int) -> Iterator[tuple]:
                 add(kind, r, lo, hi)
         long = np.flatnonzero(tokens.end - tokens.start >= min_length)
         row = np.searchsorted(tokens.at, long, "right") - 1
-        free = np.ones(len(long), dtype=bool)
-        for n, (i, r) in enumerate(zip(long.tolist(), row.tolist(), strict=True)):
-            if taken[r]:
-                lo, hi = int(tokens.start[i] - tokens.offsets[r]), int(tokens.end[i] - tokens.offsets[r])
-                free[n] = not any(a < hi and lo < b for a, b in taken[r])
-        yield tokens, found, long[free], row[free], raw
+        start, end = tokens.start[long], tokens.end[long]
+        free, parts = np.ones(len(long), dtype=bool), []
+        for n in [n for n, r in enumerate(row.tolist()) if taken[r]]:
+            r, base = int(row[n]), int(tokens.offsets[row[n]])
+            at, hi = int(start[n]) - base, int(end[n]) - base
+            cuts = sorted((a, b) for a, b in taken[r] if a < hi and at < b)
+            free[n] = not cuts
+            for a, b in [*cuts, (hi, hi)] if cuts else []:
+                if a - at >= min_length:
+                    parts.append((at + base, a + base, r))
+                at = max(at, b)
+        more = np.array(parts, dtype=np.int64).reshape(-1, 3)
+        yield tokens, found, np.concatenate((start[free], more[:, 0])), np.concatenate((end[free], more[:, 1])), np.concatenate((row[free], more[:, 2])), raw
 
 
 def _score(model: SecretModel, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -203,18 +210,21 @@ def _score(model: SecretModel, data: np.ndarray, start: np.ndarray, end: np.ndar
     return best
 
 
-def fit(docs: DataFrame, text: str = "text", max_values: int = 500, min_length: int = 16, min_bits: float = 1.0) -> SecretModel:
+def fit(docs: DataFrame, text: str = "text", max_values: int = 500, min_length: int = ASSIGN_VALUE, min_bits: float = 1.0) -> SecretModel:
     """Learns the automata and the background from the corpus itself."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros((N_CLASS + 1) * N_CLASS, dtype=np.int64)
         for b in batches:
             known = set()
-            for w, found, long, _, _ in _spans(b.column(0), min_length):
+            for w, found, start, end, _, _ in _spans(b.column(0), min_length):
                 known.update((kind, value) for spans in found for kind, _, _, value in spans)
-                for i in long.tolist():
-                    c = _CLASS[w.data[w.start[i] : w.end[i]]]
-                    pairs += np.bincount(np.concatenate(([N_CLASS], c[:-1])) * N_CLASS + c, minlength=len(pairs))
+                n = end - start
+                first = np.cumsum(n) - n
+                c = _CLASS[w.data[np.repeat(start - first, n) + np.arange(n.sum())]]
+                last = np.concatenate(([N_CLASS], c[:-1]))[: len(c)]
+                last[first] = N_CLASS
+                pairs += np.bincount(last * N_CLASS + c, minlength=len(pairs))
             rows = sorted(known)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string()), pa.array([None] * len(rows), pa.int32()), pa.array([1] * len(rows), pa.int64())], names=["kind", "value", "pair", "n"])
         at = np.flatnonzero(pairs)
@@ -243,11 +253,11 @@ def find(docs: DataFrame, model: SecretModel, text: str = "text", to: str = "sec
         m = at.value
         for b in batches:
             out: list = []
-            for w, found, long, row, raw in _spans(b.column(b.schema.get_field_index(text)), m.min_length):
-                hit = np.flatnonzero(_score(m, w.data, w.start[long], w.end[long]) >= m.min_bits)
-                for i, r in zip(long[hit].tolist(), row[hit].tolist(), strict=True):
-                    start = len(raw(r)[: int(w.start[i] - w.offsets[r])].decode())
-                    found[r].append(("grammar", start, start + int(w.end[i] - w.start[i]), ""))
+            for w, found, start, end, row, raw in _spans(b.column(b.schema.get_field_index(text)), m.min_length):
+                hit = np.flatnonzero(_score(m, w.data, start, end) >= m.min_bits)
+                for lo, hi, r in zip(start[hit].tolist(), end[hit].tolist(), row[hit].tolist(), strict=True):
+                    begin = len(raw(r)[: lo - int(w.offsets[r])].decode())
+                    found[r].append(("grammar", begin, begin + hi - lo, ""))
                 out += [[{"kind": k, "start": s, "end": e} for k, s, e, _ in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))] for spans in found]
             yield pa.RecordBatch.from_arrays([pa.array(out, kind_of) if c == to else b.column(i) for i, c in enumerate(b.schema.names)], names=b.schema.names)
 
