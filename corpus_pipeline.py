@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``: each is written as Parquet and read again.
 
 quality (rejected documents go), near duplicates (one document of each group stays),
-benchmark decontamination (contaminated documents go), secrets (redacted), SentencePiece ids.
+benchmark decontamination (contaminated documents go), secrets (redacted), SentencePiece ids and their round trip.
 All stages but the last return the columns of ``documents``.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohabit.llm import decontaminate, jaccard, quality, secrets, sentencepiece
-from cohabit.llm.common import table, written
+from cohabit.llm.common import free_name, table, written
 
 #: Documents of a lower score are rejected.
 LEAST_QUALITY = 0.3
@@ -42,9 +42,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds piece_ids and n_pieces."""
-    coded = sentencepiece.encode(docs, sentencepiece.load())
-    return coded.withColumn("n_pieces", F.size("piece_ids").cast("long"))
+    """Adds piece_ids, n_pieces and round_trip: whether the ids decode to the text."""
+    back = free_name(docs, "_decoded")
+    coded = sentencepiece.encode(docs, sentencepiece.load(), decoded=back)
+    return coded.withColumns({"n_pieces": F.size("piece_ids").cast("long"), "round_trip": F.col(back).eqNullSafe(F.col("text"))}).drop(back)
 
 
 STAGES = [

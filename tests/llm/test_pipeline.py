@@ -17,3 +17,14 @@ def test_stages(spark):
     assert set(docs.columns) < set(out.columns) and 0 < out.count() <= docs.count()
     assert out.join(docs, "doc_id", "left_anti").count() == 0
     assert out.where("n_pieces <> size(piece_ids) or n_chars is null").count() == 0
+
+
+def test_last_stage_decodes(spark):
+    import sentencepiece as lib
+
+    sp = lib.SentencePieceProcessor(model_file=corpus_pipeline.sentencepiece.MODEL_PATH)
+    texts = ["a plain text", "", None, "two  blanks\n", "the sign \u2581 itself"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in corpus_pipeline.encode_pieces(spark, docs, SF).collect()}
+    assert [rows[i]["round_trip"] for i in range(5)] == [True, True, True, True, False]
+    assert all(rows[i]["piece_ids"] == (None if t is None else sp.encode(t)) for i, t in enumerate(texts)) and "_decoded" not in rows[0].asDict()
