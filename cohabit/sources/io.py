@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +50,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), rows_per_file: int = 0, mode: str = "errorifexists", compression: str = "zstd") -> None:
-    out = df.write.mode(mode).option("compression", compression)
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), rows_per_file: int = 0, mode: str = "errorifexists", compression: str = "zstd", order_by: Sequence[str] = ()) -> None:
+    """``order_by`` sorts the rows over all files, whose names then follow the order."""
+    out = (df.orderBy(*order_by) if order_by else df).write.mode(mode).option("compression", compression)
     if rows_per_file:
         out = out.option("maxRecordsPerFile", rows_per_file)
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
@@ -82,14 +87,80 @@ def status(df: DataFrame, what: str = "rows") -> DataFrame:
     return df.agg(F.concat(F.lit("Loaded "), F.count("*").cast("string"), F.lit(f" {what}")).alias("status"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named.
+
+    Where neither is set a temporary folder serves on one machine only; on a cluster each executor would
+    write to its own disk, so that is refused.
+    """
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return at or _own_dir(context.applicationId)
+
+
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{at}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, which cuts the lineage."""
+#: Where the rows of a materialised frame lie, and the scopes that are open, each with the frames it will discard.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_SCOPES: list[list[DataFrame]] = []
+
+
+def materialise(df: DataFrame, name: str, done: Sequence[DataFrame] = (), compression: str = "zstd") -> DataFrame:
+    """Writes the rows to the shared folder and reads them back, which cuts the lineage; then discards ``done`` and the write's shuffle files."""
     path = scratch(df.sparkSession, name)
-    write_parquet(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        write_parquet(df, path, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    discard(*done)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of materialised frames that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        if path := _PLACES.pop(df, None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of the writes inside at their end, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Discards at its end whatever was materialised inside it, but for the frames given to the function that it yields."""
+    mine: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        mine[:] = [x for x in mine if x is not df]
+        return df
+
+    _SCOPES.append(mine)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        discard(*mine)
