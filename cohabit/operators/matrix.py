@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from cohabit.schemas import need
+from cohabit.sources.io import materialise
 
 
 def dense_index(df: DataFrame, key: str, to: str = "idx") -> DataFrame:
     """0-based index of the distinct keys in their order, without a global window.
 
-    The keys are range-partitioned and kept, since the ranges come from a sample; each partition numbers its
-    rows, and the counts of the partitions before it (one number for each) are added.
+    The keys are range-partitioned and written once, since the ranges come from a sample; each range numbers its
+    rows, and the counts of the ranges before it (one number for each) are added.
     """
-    keys = df.select(key).distinct().orderBy(key).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK_2)
+    keys = materialise(df.select(key).distinct().orderBy(key).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = sorted(keys.groupBy("_part").count().collect())
     base, offsets = 0, []
     for part, n in counts:
