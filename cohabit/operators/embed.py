@@ -1,4 +1,4 @@
-"""Random-projection embeddings of taxa and datasets.
+"""Random-projection embeddings of taxa and datasets.  Rows with a null abundance add nothing.
 
 The sign of dimension i for a key is a hex digit of md5(key # block): 32 dimensions per block, below 8
 is -1.  So signs need no table and are the same for any partitioning.
@@ -26,21 +26,30 @@ def sign_table(df: DataFrame, key: str, dims: int = 512) -> DataFrame:
     return long.select(key, "dim", F.when(F.col("digit") < "8", -1).otherwise(1).alias("sign"))
 
 
-def project(abundance: DataFrame, of: str, over: str, dims: int = 512) -> DataFrame:
-    """(of, dim, value): sum over ``over`` of x * sign(over, dim) / sqrt(dims), in long form."""
-    rows = need(abundance, of, over, "total_abundance").groupBy(of, over).agg(F.sum("total_abundance").alias("x"))
-    digits = F.slice(F.split(_signature(F.col(over), dims), ""), 1, dims)
-    long = rows.select(of, "x", F.posexplode(digits).alias("dim", "digit"))
-    signed = F.when(F.col("digit") < "8", -F.col("x")).otherwise(F.col("x"))
-    return long.groupBy(of, "dim").agg((F.sum(signed) / math.sqrt(dims)).alias("value"))
-
-
 def taxon_embeddings(abundance: DataFrame, dims: int = 512) -> DataFrame:
-    return project(abundance, "tax_id", "acc", dims)
+    """(tax_id, dim, value): sum over the datasets of x * sign(acc, dim) / sqrt(dims), in long form.
+
+    A taxon may hold a large share of all rows, so each task adds up its part of every (taxon, dimension) before the shuffle.
+    """
+    rows = need(abundance, "tax_id", "acc", "total_abundance").where("total_abundance is not null").select("tax_id", F.col("total_abundance").alias("x"), F.split(_signature(F.col("acc"), dims), "").alias("digits"))
+    long = rows.select("tax_id", "x", F.posexplode(F.slice("digits", 1, dims)).alias("dim", "digit"))
+    signed = F.when(F.col("digit") < "8", -F.col("x")).otherwise(F.col("x"))
+    return long.groupBy("tax_id", "dim").agg((F.sum(signed) / math.sqrt(dims)).alias("value"))
 
 
 def dataset_embeddings(abundance: DataFrame, dims: int = 512) -> DataFrame:
-    return project(abundance, "acc", "tax_id", dims)
+    """(acc, dim, value): sum over the taxa of x * sign(tax_id, dim) / sqrt(dims), in long form.
+
+    A dataset has as many rows as taxa at most, so those meet in one row, and its array of sums is folded where it lies.
+    """
+    rows = need(abundance, "acc", "tax_id", "total_abundance").where("total_abundance is not null")
+    entry = F.struct(F.col("tax_id").alias("key"), F.col("total_abundance").cast("double").alias("x"))
+    found = rows.groupBy("acc").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    signed = lambda e: F.transform(F.slice(F.split(_signature(e["key"], dims), ""), 1, dims), lambda d: F.when(d < "8", -e["x"]).otherwise(e["x"]))
+    add = lambda total, e: F.zip_with(total, signed(e), lambda a, b: a + b)
+    sums = F.aggregate("entries", F.array_repeat(F.lit(0.0), dims), add)
+    long = found.select("acc", F.posexplode(sums).alias("dim", "total"))
+    return long.select("acc", "dim", (F.col("total") / math.sqrt(dims)).alias("value"))
 
 
 def as_vectors(long: DataFrame, key: str) -> DataFrame:
