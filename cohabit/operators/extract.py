@@ -25,8 +25,11 @@ def pair_abundance(pairs: DataFrame, abundance: DataFrame, interaction: str | No
     found = need(abundance, "acc", "tax_id", "total_abundance").where("total_abundance is not null")
     found = found.join(taxa, "tax_id", "left_semi").join(wanted.select("acc").distinct(), "acc", "left_semi")
     best = found.groupBy("acc", "tax_id").agg(F.max("total_abundance").alias("x"))
-    both = wanted.join(best, "acc").where((F.col("tax_id") == F.col("host_tax_id")) | (F.col("tax_id") == F.col("microbe_tax_id")))
-    of = lambda role: F.max(F.when(F.col("tax_id") == F.col(role), F.col("x")))
+    # one row for each member, so that the join's keys are dataset and taxon
+    roles = F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).alias("tax_id")) for c in ("host_tax_id", "microbe_tax_id")])
+    members = wanted.select("host_tax_id", "microbe_tax_id", "acc", F.explode(roles).alias("member")).select("host_tax_id", "microbe_tax_id", "acc", "member.*")
+    both = members.join(best, ["acc", "tax_id"])
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("x")))
     rows = both.groupBy("host_tax_id", "microbe_tax_id", "acc").agg(of("host_tax_id").alias("host_abundance"), of("microbe_tax_id").alias("microbe_abundance"))
     return rows.select("host_tax_id", "microbe_tax_id", "host_abundance", "microbe_abundance", F.col("acc").alias("SRA_accession"))
 
