@@ -6,11 +6,13 @@ run once for each distinct combination of counts and are joined back.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohabit.config import LEAST_P, N_TOTAL, N_UNIVERSE
-from cohabit.functions.stats import fisher_two_sided, hypergeom_upper
+from cohabit.functions.stats import fisher_two_sided, hypergeom_log_upper, hypergeom_upper
 
 COUNTS = ["host_dataset_count", "pathogen_dataset_count", "both_dataset_count"]
 
@@ -19,13 +21,17 @@ def _counts() -> tuple[Column, Column, Column]:
     return tuple(F.col(c) for c in COUNTS)
 
 
-def hypergeom_score(df: DataFrame, n_total: int = N_TOTAL) -> DataFrame:
-    """Adds hyp_geo_score = P(X >= shared) (0 becomes the least positive value) and neg_log_p."""
+def hypergeom_score(df: DataFrame, n_total: int = N_TOTAL, log_space: bool = False) -> DataFrame:
+    """Adds hyp_geo_score = P(X >= shared) (0 becomes the least positive value) and neg_log_p.
+
+    Probabilities below about 1e-308 all get the same neg_log_p, unless ``log_space`` takes it from their logarithm.
+    """
     h, m, s = _counts()
     known = df.select(*COUNTS).where(h.isNotNull() & m.isNotNull() & s.isNotNull()).distinct()
-    p = hypergeom_upper(s, h, F.lit(n_total) - h, m)
-    scored = known.withColumn("hyp_geo_score", p).withColumn("hyp_geo_score", F.when(F.col("hyp_geo_score") == 0, F.lit(LEAST_P)).otherwise(F.col("hyp_geo_score")))
-    return df.join(scored, COUNTS, "left").withColumn("neg_log_p", -F.log10("hyp_geo_score"))
+    args = (s, h, F.lit(n_total) - h, m)
+    scored = known.withColumn("hyp_geo_score", hypergeom_upper(*args)).withColumn("hyp_geo_score", F.when(F.col("hyp_geo_score") == 0, F.lit(LEAST_P)).otherwise(F.col("hyp_geo_score")))
+    neg_log_p = -hypergeom_log_upper(*args) / math.log(10) if log_space else -F.log10("hyp_geo_score")
+    return df.join(scored.withColumn("neg_log_p", neg_log_p), COUNTS, "left")
 
 
 def log_odds(df: DataFrame, n_total: int = N_TOTAL) -> DataFrame:
