@@ -17,8 +17,9 @@ N_UNIVERSE = 34_724_088
 # Fixed value: the score that stands for a probability that underflows to zero.
 LEAST_P = 1e-323
 
-# Labels in order of priority, and the comparisons (name, positive class, negative class).
+# Labels in order of priority, spelled as the comparisons spell them (a choice of this library, and a parameter).
 PRIORITY = ("Positive Control", "Negative Control", "Commensal", "PHI-Base")
+# The comparisons (name, positive class, negative class).
 COMPARISONS = (
     ("Pos vs Neg", "Positive Control", "Negative Control"),
     ("Pos vs Random", "Positive Control", "Random"),
