@@ -1,9 +1,12 @@
 """Hand goldens, invariants and edge cases of the study operators."""
 
 import math
+import os
 from itertools import product
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from cohabit import schemas
 from cohabit.functions.stats import fisher, log_pmf, upper_tail
@@ -32,6 +35,7 @@ def test_threshold_equality_counts_360_of_900(spark):
     pairs = spark.createDataFrame([(1, 2, "V", "h", "p")], schemas.PAIRS)
     rows = thresholds.threshold_summary(h, m, pairs).collect()
     assert len(rows) == 900 and sum(r["both_dataset_count"] for r in rows) == 360
+    assert thresholds.expected_rows(pairs).first()[0] == len(rows)
     assert all(r["both_dataset_count"] <= min(r["host_dataset_count"], r["pathogen_dataset_count"]) for r in rows)
 
 
@@ -70,6 +74,8 @@ def test_accession_lists(spark):
     got = sorted(map(tuple, extract.pair_abundance(pairs, a).collect()))
     assert got == [(1, 4, None, 3.0, "X"), (7, 7, 3.0, 3.0, "X")]
     assert sorted(r[0] for r in extract.unique_accessions(pairs).collect()) == ["X", "unknown"]
+    typed = pairs.withColumn("interaction_type", F.when(F.col("host_tax_id") == 7, "PHI-Base").otherwise("Commensal"))
+    assert [tuple(r) for r in extract.pair_abundance(typed, a, interaction="PHI-Base").collect()] == [(7, 7, 3.0, 3.0, "X")]
     meta = spark.createDataFrame([("X", 1), ("Z", 2)], "acc string, anything int")
     assert [tuple(r) for r in extract.accession_metadata(pairs, meta).collect()] == [("X", 1)]
     assert extract.accession_metadata(pairs, meta, with_pairs=True).count() == 2
@@ -111,6 +117,20 @@ def test_pair_score_goldens(spark):
     assert local[(0, 0, 0)]["log_odds_2"] is None
 
 
+def test_scores_in_log_space_and_with_a_universe(spark):
+    df = counts(spark, [(9_000, 9_000, 9_000), (9_000, 9_000, 8_999), (3, 3, 2)])
+    plain = {tuple(r)[:3]: r["neg_log_p"] for r in scores.hypergeom_score(df).collect()}
+    deep = {tuple(r)[:3]: r["neg_log_p"] for r in scores.hypergeom_score(df, log_space=True).collect()}
+    assert plain[(9_000, 9_000, 9_000)] == plain[(9_000, 9_000, 8_999)] and deep[(9_000, 9_000, 9_000)] > deep[(9_000, 9_000, 8_999)] > 10_000
+    assert deep[(3, 3, 2)] == pytest.approx(plain[(3, 3, 2)])
+    for u in (4, 10):  # a 2x2 table of u datasets: all tables with the same margins
+        white, black = 3, u - 3
+        pmf = [math.comb(white, k) * math.comb(black, 3 - k) / math.comb(u, 3) for k in range(4) if black >= 3 - k]
+        seen = math.comb(3, 2) * math.comb(black, 1) / math.comb(u, 3)
+        got = scores.fisher_p(df.where("host_dataset_count = 3"), n_universe=u).first()["fisher_p"]
+        assert got == pytest.approx(sum(p for p in pmf if p <= seen * (1 + 1e-7)))
+
+
 def test_exact_tests_against_integers():
     for white, black, draws in ((5, 7, 6), (30, 12, 20), (1, 50, 25)):
         total = math.comb(white + black, draws)
@@ -140,6 +160,10 @@ def test_roc_with_ties_and_one_class(spark):
     assert len(found) == 4 and all(a == pytest.approx(b) for a, b in zip(found, want, strict=True))
     flipped = df.withColumn("log_odds", -df["log_odds"])
     assert {r["host_threshold"]: r["auc"] for r in evaluate.auc_summary(flipped).collect()}[1.0] == pytest.approx(8 / 9)
+    # specificity + sensitivity is 5/3 at (2/3, 1) only; with a symmetric curve two cutoffs tie
+    even = spark.createDataFrame([(1.0, 1.0, "PHI-Base", x) for x in (1.0, 3.0)] + [(1.0, 1.0, "Negative Control", x) for x in (0.0, 2.0)], df.schema)
+    rows = [evaluate.auc_grid(even, (("PHI vs Neg", "PHI-Base", "Negative Control"),), ties=t).collect() for t in ("one", "all")]
+    assert len(rows[0]) == 1 and len(rows[1]) == 2 and {r["n_correct"] for r in rows[1]} == {3}
     text = {r["host_threshold"]: r["label"] for r in evaluate.roc_label_text(evaluate.auc_summary(df)).collect()}
     assert text == {1.0: "AUC = 0.89\nN = 6", 2.0: "AUC = NA\nN = 1"}
 
@@ -173,5 +197,53 @@ def test_io(spark, tmp_path):
     new = io.update_from(spark.createDataFrame([(1, "old"), (2, "keep")], "i int, s string"), spark.createDataFrame([(1, "new", 7)], "i int, s string, t int"), "i", ["s", "t"])
     assert sorted(map(tuple, new.collect()), key=str) == [(1, "new", 7), (2, "keep", None)]
     assert io.status(a, "pairs").first()[0] == "Loaded 1 pairs"
+    io.save_table(a, "kept_rows")
+    io.save_table(a, "kept_rows", mode="append")
+    assert spark.table("kept_rows").count() == 2
+    io.save_table(b, "kept_rows")
+    assert spark.table("kept_rows").columns == ["i", "d"]
+    io.view(a, "only_s", "s")
+    assert spark.sql("SELECT * FROM only_s").columns == ["s"]
+    io.write_parquet(spark.range(1000).repartition(5), f"{tmp_path}/sorted", order_by=["id"])
+    files = sorted(f for f in os.listdir(f"{tmp_path}/sorted") if f.endswith(".parquet"))
+    assert [x for f in files for x in pq.read_table(f"{tmp_path}/sorted/{f}")["id"].to_pylist()] == list(range(1000))
     with pytest.raises(ValueError, match="missing columns: x"):
         schemas.need(a, "x")
+
+
+def test_scratch_is_discarded(spark):
+    def folders():
+        at = io.shared_dir(spark).removeprefix("file:")
+        return set(os.listdir(at)) if os.path.isdir(at) else set()
+
+    before = folders()
+    one = io.materialise(spark.range(3).toDF("id"), "one")
+    two = io.materialise(one.where("id > 0"), "two", done=[one])
+    assert two.count() == 2 and {x.split("-")[0] for x in folders() - before} == {"two"}
+    with io.scope() as keep:
+        inner = io.materialise(two, "inner")
+        out = keep(io.materialise(inner, "out"))
+    io.discard(two, two, spark.range(1))
+    assert out.count() == 2 and {x.split("-")[0] for x in folders() - before} == {"out"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, applicationId = "local-cluster[2,1,512]", "none"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        io.shared_dir(Session())
+    Context.master = "local[2]"
+    assert os.path.isdir(io.shared_dir(Session()))
+
+
+def test_index_and_embeddings_do_not_depend_on_cached_blocks_or_exploded_shuffles(spark):
+    a = abundance(spark, [(f"S{i % 13:02}", i % 5, float(i % 3)) for i in range(60)])
+    assert "InMemoryTableScan" not in matrix.dense_index(a, "acc")._jdf.queryExecution().executedPlan().toString()
+    plan = embed.dataset_embeddings(a, 64)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate posexplode" in plan[: plan.index("Exchange hashpartitioning")]
