@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohabit.sources.io import discard, materialise, scope, scratch  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, one machine) a temporary one is made.
-    """
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return at or _own_dir(spark.sparkContext.applicationId)
-
-
-@cache
-def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them back.  Frames of ``done`` are deleted then."""
+    return materialise(df, name, done, compression="snappy")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -48,3 +29,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """The input without columns that an operator is about to add (output names win)."""
     low = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
+def count_bucket(n: Column) -> Column:
+    """Logarithmic bucket of a count, eight for each doubling: a few hundred at most, exact up to 11."""
+    return F.floor(F.log2(n) * 8).cast("int")
+
+
+def least_bucket(counts: DataFrame, most: int, n: str = "n") -> int:
+    """The smallest bucket from which on there are at most ``most`` rows: the largest counts without a sort."""
+    sizes = sorted(map(tuple, counts.groupBy(count_bucket(F.col(n)).alias("b")).count().collect()), reverse=True)
+    least, total = 1 << 10, 0
+    for b, size in sizes:
+        total += size
+        if total > most:
+            break
+        least = b
+    return least
