@@ -1,36 +1,41 @@
 """Sharding (operator 6) by sampled splitters; DataFrame functions only.
 
-1. Every record has a sort key: the high bits hash its text, the low bits its id, so equal
-   texts lie side by side and even a very large group of copies can be cut.
-2. A size-weighted sample of the keys (each record enters with a probability in proportion
+1. Every record has a sort key: the high bits hash its text, the low bits the record, so equal
+   texts lie side by side and even a very large group of copies can be divided among tasks.
+2. Groups of equal texts of over one part in ``per_shard`` of a shard (so at most shards x per_shard of them)
+   are placed whole, largest first, on the emptiest shard, as long as that stays below the level that all shards end at.
+   One that doesn't fit is cut, and fills the emptiest shards up to that level.
+3. A size-weighted sample of the keys (each record enters with a probability in proportion
    to its size) gives the quantiles that split the key space into ranges.
-3. The ranges' exact sizes are added up; ranges of over twice the mean are subdivided by hash.
-4. Within ranges a running sum, plus the offsets of the ranges before, gives each record's exact
-   place in the global order; the place decides the shard, so shard sizes are near equal
-   (law ``bytes``: they differ by about one record or one small group of equal texts).
-   A group of equal texts of at most ``group_share`` of a shard stays in the shard of
-   its first record; a larger one is cut where the shard is full.
+   The ranges' exact sizes are added up; ranges of over twice the mean are subdivided by key.
+4. Within ranges a running sum, plus the offsets of the ranges before, gives each small group's exact
+   place in the global order.  The shards' rooms, one after the other, lie along that order too, and
+   a small group goes where its middle lies.  So no group that fits in a shard is cut, and sizes differ by about
+   one part in ``per_shard`` (law ``bytes``), or by one record if that is larger.
 
-Only the sample's quantiles and one row per range (a fixed number) reach the driver.
+Only the sample's quantiles, one row per range and shard, and the large groups (all fixed numbers) reach the driver.
 
-Defined results: null texts count 8 bytes and have the CRC of the empty text; repeated rows are
+Defined results: null texts count 8 bytes, have the CRC of the empty text and belong to its group; repeated rows are
 records of their own; with fewer records than shards some shards stay empty; an empty table
-gives no rows; a null id sorts as 0.
+gives no rows; null ids are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, written
 
 SAMPLE = 20_000
-ID_BITS = 20
+PER_SHARD = 100
+LOW_BITS = 20
 
 
-def _case(key: Column, cuts: list[int], lo: int = 0, hi: int | None = None) -> Column:
-    """Index of the range that holds the key, as a balanced tree of comparisons."""
+def _case(key: Column, cuts: Sequence[float], lo: int = 0, hi: int | None = None) -> Column:
+    """How many of the sorted cuts the key has reached, as a balanced tree of comparisons."""
     hi = len(cuts) if hi is None else hi
     if lo == hi:
         return F.lit(lo)
@@ -38,61 +43,121 @@ def _case(key: Column, cuts: list[int], lo: int = 0, hi: int | None = None) -> C
     return F.when(key < F.lit(cuts[mid]), _case(key, cuts, lo, mid)).otherwise(_case(key, cuts, mid + 1, hi))
 
 
-def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", ranges_per_shard: int = 8, sample: int = SAMPLE, group_share: float = 0.001) -> DataFrame:
+def level(loads: Sequence[float], rest: float) -> float:
+    """The height that all shards reach when ``rest`` is poured over their loads."""
+    low, base = sorted(loads), 0.0
+    for k, x in enumerate(low, 1):
+        base += x
+        if k == len(low) or (base + rest) / k <= low[k]:
+            return (base + rest) / k
+    return rest
+
+
+def place(groups: Sequence[tuple[int, int, int]], shards: int, total: int, slack: float) -> tuple[dict[int, int], dict[int, list[tuple[float, int]]], list[float]]:
+    """Large groups (group, bytes, records) to: shard of each whole one, (bytes, shard) parts of each cut one, load of each shard."""
+    loads, rest = [0.0] * shards, float(total)
+    whole: dict[int, int] = {}
+    cut: dict[int, list[tuple[float, int]]] = {}
+    for group, size, n in sorted(groups, key=lambda g: (-g[1], g[0])):
+        k, top = min(range(shards), key=lambda i: (loads[i], i)), level(loads, rest)
+        if n == 1 or loads[k] + size <= top + slack:
+            whole[group] = k
+            loads[k] += size
+        else:
+            left, parts = float(size), []
+            for k in sorted(range(shards), key=lambda i: (loads[i], i)):
+                part = min(left, max(0.0, top - loads[k]))
+                if part > 0:
+                    parts.append((part, k))
+                    loads[k] += part
+                    left -= part
+            cut[group] = parts
+        rest -= size
+    return whole, cut, loads
+
+
+def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", ranges_per_shard: int = 8, sample: int = SAMPLE, per_shard: int = PER_SHARD) -> DataFrame:
     """(key, size, text_crc32, shard, slot) for each row; slots are gapless from 0 in each shard."""
     id_, content = F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")
-    group = F.shiftright(F.xxhash64(content), ID_BITS)
-    low = F.pmod(F.xxhash64(id_), F.lit(1 << ID_BITS))
+    group = F.shiftright(F.xxhash64(F.coalesce(content, F.lit(""))), LOW_BITS)
+    low = F.pmod(F.xxhash64(id_, F.monotonically_increasing_id()), F.lit(1 << LOW_BITS))
     plain = docs.select(
         id_.alias("id"), (F.coalesce(F.octet_length(content), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(content, F.lit("")).cast("binary")).alias("crc"),
-        group.alias("group"), (group * (1 << ID_BITS) + low).alias("key"),
+        group.alias("group"), (group * (1 << LOW_BITS) + low).alias("key"),
     )
     records = written(plain, "shard-records")
-    whole = records.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    total, want = whole["bytes"] or 0, shards * ranges_per_shard
+    total = records.agg(F.sum("size")).first()[0] or 0
+    limit = max(total, 1) / shards / per_shard
+    found = records.groupBy("group").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where(F.col("b") > limit).collect()  # at most shards x per_shard rows
+    whole, cut, loads = place([tuple(r) for r in found], shards, total, limit)
+    spark = docs.sparkSession
+    large = spark.createDataFrame([(g, k, False) for g, k in whole.items()] + [(g, None, True) for g in cut], "group long, home int, cut boolean")
+    small = F.col("cut").isNull()
+
+    # ranges: the groups that stay together have one key for this
+    want = shards * ranges_per_shard
     dice = F.pmod(F.xxhash64("key", "id"), F.lit(1 << 30)) / float(1 << 30)
-    weight = F.col("size") * (sample / max(total, 1))
-    drawn = records.where(dice < weight) if total else records.limit(0)
+    drawn = records.where(dice < F.col("size") * (sample / max(total, 1)))
     cuts = drawn.agg(F.percentile_approx("key", [k / want for k in range(1, want)], 100 * want)).first()[0]
     cuts = sorted(set(cuts or []))
-
-    ranged = records.withColumn("range", _case(F.col("key"), cuts))
-    sums = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("c")).collect()  # one row per range
+    tagged = records.join(F.broadcast(large), "group", "left").withColumn("at", F.when(small, F.col("group") * (1 << LOW_BITS)).otherwise(F.col("key")))
+    ranged = tagged.withColumn("range", _case(F.col("at"), cuts))
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("b")).collect()  # one row per range
     mean = max(1, total // max(1, len(sums)))
-    parts = {r["range"]: -(-r["b"] // (2 * mean)) for r in sums if r["b"] > 2 * mean}
     split = F.lit(0)
-    for r, k in sorted(parts.items()):
-        split = F.when(F.col("range") == r, F.floor((F.col("key") - _first(cuts, r)).cast("double") / _span(cuts, r) * k).cast("int")).otherwise(split)
+    for r, b in sorted(map(tuple, sums)):
+        if (k := -(-b // (2 * mean))) > 1:
+            split = F.when(F.col("range") == r, F.floor((F.col("at").cast("double") - _first(cuts, r)) / _span(cuts, r) * k).cast("int")).otherwise(split)
     ranged = ranged.withColumn("part", split)
 
-    inside = Window.partitionBy("range", "part").orderBy("key", "id", "crc", "size")
-    local = ranged.select("*", (F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("byte"), (F.row_number().over(inside) - 1).cast("long").alias("row"))
-    local = written(local, "shard-local")
-    blocks = sorted(local.groupBy("range", "part").agg(F.sum("size").alias("b"), F.count("*").alias("c")).collect(), key=lambda r: (r["range"], r["part"]))
-    offsets, b, c = [], 0, 0
-    for r in blocks:
-        offsets.append((r["range"], r["part"], b, c))
-        b, c = b + r["b"], c + r["c"]
-    at = docs.sparkSession.createDataFrame(offsets, "range int, part int, byte0 long, row0 long")
-    placed = local.join(F.broadcast(at), ["range", "part"]).withColumns({"byte": F.col("byte") + F.col("byte0"), "row": F.col("row") + F.col("row0")})
-
+    # exact places: bytes of small groups, and of groups that are cut, before each record
+    filled = F.when(small, F.col("size")).otherwise(0)
+    apart = F.when(F.col("cut"), F.col("size")).otherwise(0)
+    blocks = sorted(map(tuple, ranged.groupBy("range", "part").agg(F.sum(filled), F.sum(apart)).collect()))  # one row per range or part of it
+    offsets, small_bytes, cut_bytes = [], 0, 0
+    for r, p, b, c in blocks:
+        offsets.append((r, p, small_bytes, cut_bytes))
+        small_bytes, cut_bytes = small_bytes + b, cut_bytes + c
+    at = F.broadcast(spark.createDataFrame(offsets, "range int, part int, small0 long, cut0 long"))
+    inside = Window.partitionBy("range", "part").orderBy("at", "key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     together = Window.partitionBy("range", "part", "group")
-    small = F.sum("size").over(together) <= group_share * max(total, 1) / shards
-    start = F.when(small, F.min("byte").over(together)).otherwise(F.col("byte"))
-    middle = F.when(small, F.lit(0)).otherwise(F.col("size") / 2)
-    shard = F.least(F.lit(shards - 1), F.floor((start + middle) * shards / max(total, 1))).cast("int")
-    sharded = written(placed.withColumn("shard", shard), "shard-rows")
-    first = sharded.groupBy("shard").agg(F.min("row").alias("first"))
-    out = sharded.join(F.broadcast(first), "shard")
-    return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("row") - F.col("first")).alias("slot"))
-
-
-def _first(cuts: list[int], r: int) -> int:
-    return cuts[r - 1] if r else -(1 << 63)
+    run = ranged.withColumns({"small_at": F.sum(filled).over(inside) - filled, "cut_at": F.sum(apart).over(inside) - apart}).join(at, ["range", "part"])
+    middle = F.col("small0") + F.min("small_at").over(together) + F.sum("size").over(together) / 2
+
+    top, bounds, homes = level(loads, small_bytes), [], []
+    for k, load in enumerate(loads):
+        if (room := top - load) > 0:
+            homes.append(k)
+            bounds.append((bounds[-1] if bounds else 0.0) + room)
+    edges, owners, done = [], [], 0.0
+    for _, parts in sorted(cut.items()):
+        for part, k in parts:
+            done += part
+            edges.append(done)
+            owners.append(k)
+    pick = lambda shard_of, place_, ends: F.get(F.lit(shard_of), _case(place_, ends[:-1])) if shard_of else F.lit(0)
+    shard = F.when(small, pick(homes, middle, bounds)).when(F.col("cut"), pick(owners, F.col("cut0") + F.col("cut_at"), edges)).otherwise(F.col("home")).cast("int")
+    local = Window.partitionBy("range", "part", "shard").orderBy("at", "key", "id", "size")
+    sharded = run.withColumn("shard", shard).withColumn("row", F.row_number().over(local).cast("long") - 1).select("id", "size", "crc", "range", "part", "shard", "row")
+    sharded = written(sharded, "shard-rows", records)
+
+    counts = sorted(map(tuple, sharded.groupBy("shard", "range", "part").count().collect()))  # a fixed number of ranges and shards
+    firsts, before = [], 0
+    for i, (k, r, p, n) in enumerate(counts):
+        before = before if i and counts[i - 1][0] == k else 0
+        firsts.append((k, r, p, before))
+        before += n
+    first = F.broadcast(spark.createDataFrame(firsts, "shard int, range int, part int, first long"))
+    out = sharded.join(first, ["shard", "range", "part"])
+    return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("row") + F.col("first")).alias("slot"))
+
+
+def _first(cuts: list[int], r: int) -> float:
+    return float(cuts[r - 1]) if r else -(2.0**63)
 
 
 def _span(cuts: list[int], r: int) -> float:
-    return float((cuts[r] if r < len(cuts) else (1 << 63) - 1) - _first(cuts, r)) + 1.0
+    return (float(cuts[r]) if r < len(cuts) else 2.0**63) - _first(cuts, r) + 1.0
 
 
 def write(docs: DataFrame, path: str, shards: int = 24, key: str = "doc_id", text: str = "text") -> None:
