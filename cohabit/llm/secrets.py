@@ -4,7 +4,7 @@ Credentials that the three base patterns find are labelled by their pattern.  Fo
 label a prefix tree of character classes is built and statistically compatible states are
 merged (ALERGIA: Carrasco and Oncina 1994), which gives a probabilistic automaton of the
 format.  Every token of eight characters or more, or what base spans leave of it, is then scored by its
-log-likelihood ratio, in bits per character, against a class-bigram model of all of these in the
+log-likelihood ratio (its end counts like a character), in bits per character, against a class-bigram model of all of these in the
 corpus; tokens that reach ``min_bits`` become spans of kind ``grammar``.
 
 The automata are fitted on at most ``max_values`` distinct credentials per label (those with
@@ -50,7 +50,7 @@ _SEPARATOR = np.array([chr(b) in ":=" for b in range(256)])
 
 @dataclass
 class Automaton:
-    """next state and log2 probability by (state, class)."""
+    """Next state by (state, class), and log2 probability by (state, class or end)."""
 
     label: str
     step: np.ndarray
@@ -60,7 +60,7 @@ class Automaton:
 @dataclass
 class SecretModel:
     automata: list[Automaton] = field(default_factory=list)
-    background: np.ndarray = field(default_factory=lambda: np.zeros((N_CLASS + 1, N_CLASS)))
+    background: np.ndarray = field(default_factory=lambda: np.zeros((N_CLASS + 1, N_CLASS + 1)))
     min_length: int = ASSIGN_VALUE
     min_bits: float = 1.0
 
@@ -100,8 +100,6 @@ def infer(label: str, values: list[str], alpha: float = 0.01, least: int = 20) -
             if differ(ends[a], seen[a], ends[b], seen[b]) or any(differ(through(a, c), seen[a], through(b, c), seen[b]) for c in {*child[a], *child[b]}):
                 return False
             todo += [(child[a][c], child[b][c]) for c in child[a] if c in child[b] and (child[a][c], child[b][c]) != (a, b)]
-            if len(todo) > 10_000:
-                return False
         return True
 
     def fold(p: int, q: int) -> None:
@@ -128,69 +126,78 @@ def infer(label: str, values: list[str], alpha: float = 0.01, least: int = 20) -
         else:
             red.append(q)
     at = {q: i for i, q in enumerate(red)}
-    step, bits = np.zeros((len(red), N_CLASS), np.int64), np.zeros((len(red), N_CLASS))
+    step, bits = np.zeros((len(red), N_CLASS), np.int64), np.zeros((len(red), N_CLASS + 1))
     for q, i in at.items():
-        total = sum(taken[q].values())
+        total = sum(taken[q].values()) + ends[q] + 0.1 * (N_CLASS + 1)
         for c in range(N_CLASS):
             step[i, c] = at[child[q][c]] if c in child[q] else i
-            bits[i, c] = math.log2((through(q, c) + 0.1) / (total + 0.1 * N_CLASS))
+            bits[i, c] = math.log2((through(q, c) + 0.1) / total)
+        bits[i, N_CLASS] = math.log2((ends[q] + 0.1) / total)
     return Automaton(label, step, bits)
 
 
 def _spans(texts: pa.Array, min_length: int) -> Iterator[tuple]:
-    """For each chunk: its tokens, the base spans by row, starts, ends and rows of what long tokens hold outside base spans, and the bytes by row."""
+    """For each chunk: its tokens, the base spans by row, starts, ends and rows of what long tokens hold outside base spans, and ``point``.
+
+    ``point`` gives the code points before each byte of the chunk.
+    """
     for tokens, hexes, caps, marks in zip(words(texts, _TOKEN, False), words(texts, _HEX, False), words(texts, _CAPS, False), words(texts, _SEPARATOR, False), strict=True):
         found: list[list[tuple[str, int, int, str]]] = [[] for _ in range(tokens.rows)]
-        taken: list[list[tuple[int, int]]] = [[] for _ in range(tokens.rows)]
-        raws: dict[int, bytes] = {}
-
-        def raw(r: int, w=tokens, raws=raws) -> bytes:
-            if r not in raws:
-                raws[r] = w.data[w.offsets[r] : w.offsets[r + 1]].tobytes()
-            return raws[r]
-
-        def add(kind: str, r: int, lo: int, hi: int, found=found, taken=taken, raw=raw) -> None:
-            before = raw(r)[:lo].decode()
-            value = raw(r)[lo:hi].decode()
-            found[r].append((kind, len(before), len(before) + len(value), value))
-            taken[r].append((lo, hi))
+        taken: list[tuple[int, int]] = []
+        first = (tokens.data & 0xC0) != 0x80
+        point = np.concatenate(([0], np.cumsum(first)))
+        base = point[tokens.offsets]
 
         for r in np.flatnonzero(np.diff(marks.at)).tolist():
-            text = raw(r).decode()
+            lo, hi = int(tokens.offsets[r]), int(tokens.offsets[r + 1])
+            text, at = tokens.data[lo:hi].tobytes().decode(), None
             for m in ASSIGN.finditer(text):
                 if len(m[2]) >= ASSIGN_VALUE:
                     found[r].append(("assign", m.start(), m.end(), m[2]))
-                    lo = len(text[: m.start()].encode())
-                    taken[r].append((lo, lo + len(m[0])))
+                    if at is None:
+                        at = np.concatenate((lo + np.flatnonzero(first[lo:hi]), [hi]))  # byte of each code point
+                    taken.append((int(at[m.start()]), int(at[m.end()])))
         for w, kind, least in ((caps, "access", ACCESS_LENGTH), (hexes, "hex", HEX_LENGTH)):
             long = np.flatnonzero(w.end - w.start >= least)
             for i, r in zip(long.tolist(), (np.searchsorted(w.at, long, "right") - 1).tolist(), strict=True):
-                lo, hi = int(w.start[i] - w.offsets[r]), int(w.end[i] - w.offsets[r])
+                lo, hi = int(w.start[i]), int(w.end[i])
+                value = w.data[lo:hi].tobytes()
                 if kind == "access":
-                    k = raw(r).find(b"AKIA", lo, hi)
-                    if k < 0 or hi - k < least:
+                    k = value.find(b"AKIA")
+                    if k < 0 or hi - lo - k < least:
                         continue
-                    lo = k
-                add(kind, r, lo, hi)
+                    lo, value = lo + k, value[k:]
+                found[r].append((kind, int(point[lo] - base[r]), int(point[hi] - base[r]), value.decode()))
+                taken.append((lo, hi))
         long = np.flatnonzero(tokens.end - tokens.start >= min_length)
-        row = np.searchsorted(tokens.at, long, "right") - 1
-        start, end = tokens.start[long], tokens.end[long]
-        free, parts = np.ones(len(long), dtype=bool), []
-        for n in [n for n, r in enumerate(row.tolist()) if taken[r]]:
-            r, base = int(row[n]), int(tokens.offsets[row[n]])
-            at, hi = int(start[n]) - base, int(end[n]) - base
-            cuts = sorted((a, b) for a, b in taken[r] if a < hi and at < b)
-            free[n] = not cuts
-            for a, b in [*cuts, (hi, hi)] if cuts else []:
-                if a - at >= min_length:
-                    parts.append((at + base, a + base, r))
-                at = max(at, b)
-        more = np.array(parts, dtype=np.int64).reshape(-1, 3)
-        yield tokens, found, np.concatenate((start[free], more[:, 0])), np.concatenate((end[free], more[:, 1])), np.concatenate((row[free], more[:, 2])), raw
+        yield tokens, found, *_outside(tokens.start[long], tokens.end[long], np.searchsorted(tokens.at, long, "right") - 1, taken, min_length), point
+
+
+def _outside(start: np.ndarray, end: np.ndarray, row: np.ndarray, taken: list[tuple[int, int]], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the sorted, disjoint tokens hold outside ``taken``, in parts of at least ``least`` bytes."""
+    spans: list[list[int]] = []
+    for lo, hi in sorted(taken):
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(hi, spans[-1][1])
+        else:
+            spans.append([lo, hi])
+    if not spans:
+        return start, end, row
+    lo, hi = np.array(spans).T
+    a, b = np.searchsorted(hi, start, "right"), np.searchsorted(lo, end, "left")
+    free, parts = a >= b, []
+    for n in np.flatnonzero(~free).tolist():
+        at = int(start[n])
+        for x, y in [*spans[a[n] : b[n]], [int(end[n])] * 2]:
+            if x - at >= least:
+                parts.append((at, x, int(row[n])))
+            at = max(at, y)
+    more = np.array(parts, dtype=np.int64).reshape(-1, 3)
+    return tuple(np.concatenate((x[free], y)) for x, y in zip((start, end, row), more.T, strict=True))
 
 
 def _score(model: SecretModel, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Best log-likelihood ratio in bits per character; tokens advance together, one character a turn."""
+    """Best log-likelihood ratio in bits per character, ends included; tokens advance together, one character a turn."""
     order = np.argsort(start - end, kind="stable")
     s, n = start[order], (end - start)[order]
     total = [np.zeros(len(s)) for _ in model.automata]
@@ -206,6 +213,8 @@ def _score(model: SecretModel, data: np.ndarray, start: np.ndarray, end: np.ndar
         last[:k] = c
     best = np.full(len(s), -np.inf)
     if model.automata and len(s):
+        for a, t, q in zip(model.automata, total, state, strict=True):
+            t += a.bits[q, N_CLASS] - model.background[last, N_CLASS]
         best[order] = np.max(total, axis=0) / n
     return best
 
@@ -214,7 +223,7 @@ def fit(docs: DataFrame, text: str = "text", max_values: int = 500, min_length:
     """Learns the automata and the background from the corpus itself."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros((N_CLASS + 1) * N_CLASS, dtype=np.int64)
+        pairs = np.zeros((N_CLASS + 1) ** 2, dtype=np.int64)
         for b in batches:
             known = set()
             for w, found, start, end, _, _ in _spans(b.column(0), min_length):
@@ -224,7 +233,8 @@ def fit(docs: DataFrame, text: str = "text", max_values: int = 500, min_length:
                 c = _CLASS[w.data[np.repeat(start - first, n) + np.arange(n.sum())]]
                 last = np.concatenate(([N_CLASS], c[:-1]))[: len(c)]
                 last[first] = N_CLASS
-                pairs += np.bincount(last * N_CLASS + c, minlength=len(pairs))
+                pairs += np.bincount(last * (N_CLASS + 1) + c, minlength=len(pairs))
+                pairs += np.bincount(c[first + n - 1] * (N_CLASS + 1) + N_CLASS, minlength=len(pairs))
             rows = sorted(known)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string()), pa.array([None] * len(rows), pa.int32()), pa.array([1] * len(rows), pa.int64())], names=["kind", "value", "pair", "n"])
         at = np.flatnonzero(pairs)
@@ -232,15 +242,15 @@ def fit(docs: DataFrame, text: str = "text", max_values: int = 500, min_length:
 
     rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(gather, "kind string, value string, pair int, n long")
     seen = written(rows.groupBy("kind", "value", "pair").agg(F.sum("n").alias("n")), "secrets")
-    pairs = np.zeros((N_CLASS + 1, N_CLASS))
-    for r in seen.where(F.col("pair").isNotNull()).collect():  # at most 132 rows
-        pairs[r["pair"] // N_CLASS, r["pair"] % N_CLASS] = r["n"]
+    pairs = np.zeros((N_CLASS + 1, N_CLASS + 1))
+    for r in seen.where(F.col("pair").isNotNull()).collect():  # one row per pair of classes
+        pairs[divmod(r["pair"], N_CLASS + 1)] = r["n"]
     automata = []
     for kind in KINDS[:3]:
         values = [r[0] for r in seen.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(max_values).select("value").collect()]
         if values:
             automata.append(infer(kind, values))
-    background = np.log2((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * N_CLASS))
+    background = np.log2((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * (N_CLASS + 1)))
     return SecretModel(automata, background, min_length, min_bits)
 
 
@@ -253,11 +263,11 @@ def find(docs: DataFrame, model: SecretModel, text: str = "text", to: str = "sec
         m = at.value
         for b in batches:
             out: list = []
-            for w, found, start, end, row, raw in _spans(b.column(b.schema.get_field_index(text)), m.min_length):
+            for w, found, start, end, row, point in _spans(b.column(b.schema.get_field_index(text)), m.min_length):
                 hit = np.flatnonzero(_score(m, w.data, start, end) >= m.min_bits)
-                for lo, hi, r in zip(start[hit].tolist(), end[hit].tolist(), row[hit].tolist(), strict=True):
-                    begin = len(raw(r)[: lo - int(w.offsets[r])].decode())
-                    found[r].append(("grammar", begin, begin + hi - lo, ""))
+                begin = point[start[hit]] - point[w.offsets[row[hit]]]
+                for lo, n, r in zip(begin.tolist(), (end - start)[hit].tolist(), row[hit].tolist(), strict=True):
+                    found[r].append(("grammar", lo, lo + n, ""))
                 out += [[{"kind": k, "start": s, "end": e} for k, s, e, _ in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))] for spans in found]
             yield pa.RecordBatch.from_arrays([pa.array(out, kind_of) if c == to else b.column(i) for i, c in enumerate(b.schema.names)], names=b.schema.names)
 
