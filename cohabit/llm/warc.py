@@ -1,15 +1,17 @@
 """WARC archives and their merged index (operator 10).
 
 ``write`` makes one WARC 1.1 record per row with Spark's own text writer (the record end
-CR LF CR LF is the line separator), gzip-compressed, in files of about ``file_bytes``; each file
-is sorted by URL key and time, so its records are a sorted run.  Records with equal
+CR LF CR LF is the line separator), in files of about ``file_bytes``; each file
+is sorted by URL key and time, so its records are a sorted run.  By default the files are not compressed, so the
+index's offset and length are places in the file, where a record can be fetched alone; with ``compression="gzip"`` a file is one
+gzip stream and they are places in its decompressed bytes.  Records with equal
 payloads of at least ``least`` bytes are written once: the smallest id is the response,
 the others are revisits that refer to it.  ``read`` parses the files by Content-Length,
 so payloads may hold anything, and digests the payloads again.  ``merge_index`` cuts the key
 space into ranges and, in each range, merges the runs by URL key and time with a loser
 tree, which gives one globally ordered capture history.
 
-Defined results: a null payload is an empty one and a response; a null URL is an empty
+Keys are integers.  Defined results: a null payload is an empty one and a response; a null URL is an empty
 one; rows with equal payload and equal smallest id are all responses; a null id is written
 as an empty one and read back as null; an empty table gives an empty archive and no rows.
 Line breaks in URLs are written percent-encoded.
@@ -20,14 +22,13 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import discard, scratch, written
 
 # Fixed values of the WARC 1.1 standard.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
@@ -51,7 +52,7 @@ def capture_time(key: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", time: Column | None = None, least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", time: Column | None = None, least: int = LEAST, file_bytes: int = FILE_BYTES, compression: str = "none") -> None:
     """Writes the archive folder ``path``; ``time`` is the capture time as text."""
     id_ = F.col(f"`{key}`").cast("long")
     body = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
@@ -59,7 +60,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         id_.alias("id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("body"), F.octet_length(body).alias("bytes"), F.sha2(body, 256).alias("digest"), (capture_time(id_) if time is None else time).alias("time"),
     )
     shared = plain.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("origin"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = written(shared, "shared-payloads")
+    shared = written(shared, "shared-payloads")  # read by the write below, and discarded there
     size = plain.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
     per_file = max(1, file_bytes // (1 + (size["b"] or 0) // max(1, size["n"]) + 600))
 
@@ -73,7 +74,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length("http") + F.when(again, F.lit(0)).otherwise(F.col("bytes")), F.lit(END), F.col("http"), F.when(again, F.lit("")).otherwise(F.col("body")),
     )
     rows = plain.join(shared, "digest", "left").withColumn("http", http).withColumn("key", url_key(F.col("url")))
-    rows.sortWithinPartitions("key", "time", "id").select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    rows.sortWithinPartitions("key", "time", "id").select(record.alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+    discard(shared)
 
 
 _FIELD = re.compile(rb"\r\n([A-Za-z-]+): ([^\r\n]*)")
@@ -109,7 +111,7 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for fields, block, at, length in _records(gzip.decompress(content.as_buffer())):
+                for fields, block, at, length in _records(gzip.decompress(content.as_buffer()) if file.endswith(".gz") else content.as_buffer().to_pybytes()):
                     http, _, body = block.partition(b"\r\n\r\n")
                     kind, stated = fields[b"WARC-Type"].decode(), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:")
                     if kind == "response":
@@ -125,7 +127,7 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names=[x.split()[0] for x in schema.split(", ")])
 
     schema = _SCHEMA + (", payload binary" if payload else "")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(parse, schema)
 
 
@@ -189,7 +191,7 @@ def merge_index(records: DataFrame, per_range: int = 100_000) -> DataFrame:
         out = t.take(pa.array(taken)).drop_columns(["position"]).append_column("position", pa.array(range(len(taken)), pa.int64()))
         yield from out.select(t.column_names).combine_chunks().to_batches()
 
-    merged = written(ranged.mapInArrow(merge, ranged.schema), "merged-captures")
+    merged = written(ranged.mapInArrow(merge, ranged.schema), "merged-captures", keyed)
     counts = sorted(merged.groupBy("range").count().collect())  # one row per range
     base, offsets = 0, []
     for r, c in counts:
@@ -201,6 +203,6 @@ def merge_index(records: DataFrame, per_range: int = 100_000) -> DataFrame:
 
 def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Writes the pages to a new archive in the shared folder, reads it back, and merges its index."""
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = scratch(pages.sparkSession, "warc")
     write(pages, path, key, url, payload)
     return merge_index(read(pages.sparkSession, path))
