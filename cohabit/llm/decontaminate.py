@@ -8,7 +8,7 @@ The set is broadcast in blocks of at most ``block_windows`` windows, whose numbe
 counted first: a larger benchmark takes several passes over the documents, and memory
 stays bounded.
 
-Defined results: null and empty texts have no words and no hits; a benchmark item
+Item ids are integers.  Defined results: null and empty texts have no words and no hits; a benchmark item
 without words has no window; repeated benchmark rows count once by their id; rows
 with a null item id can hit words but add no id; an empty benchmark hits nothing.
 Added columns replace input columns of the same name.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, windows, words
-from .common import without, written
+from .common import free_name, without, written
 
 WINDOW = 13
 BLOCK_WINDOWS = 500_000
@@ -170,8 +170,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     """
     if action not in ("document", "span"):
         raise ValueError(f"action {action!r} is neither 'document' nor 'span'")
-    marked = mark(docs, benchmark, window, text, block_windows)
     if action == "document":
-        return marked.where(~contaminated(words_per_hit)).drop(*[c for c in ADDED if c not in docs.columns])
+        # the filter adds no column, so input columns of these names stay
+        aside = {c: free_name(docs, f"_{c}") for c in docs.columns if c.lower() in ADDED}
+        kept = mark(docs.withColumnsRenamed(aside), benchmark, window, aside.get(text, text), block_windows).where(~contaminated(words_per_hit))
+        return kept.drop(*ADDED).withColumnsRenamed({to: c for c, to in aside.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = mark(docs, benchmark, window, text, block_windows)
     marked = marked.withColumns({"spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "clean_text": F.lit(None).cast("string")})
     return marked.mapInArrow(_cutter(text), marked.schema)
