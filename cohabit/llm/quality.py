@@ -1,6 +1,6 @@
 """Quality classifier (operator 2): a factorisation machine over documents.
 
-score = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i (v_if x_i)^2])
+raw = w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i (v_if x_i)^2],  score = sigmoid(scale raw + shift)
 
 The bracket is the sum-of-squares identity, so all pairs of features interact in time
 linear in the features.  Features are hashed words, binned structure statistics of
@@ -8,7 +8,8 @@ the text, and binned numeric metadata columns that the caller names.
 
 The model is fitted on at most ``max_rows`` labelled rows (those with the smallest
 hash of their key) by sharded AdaGrad with parameter averaging: each round is one Spark
-job, and only ``shards`` parameter vectors of fixed size meet at the driver.  Scoring
+job, and only ``shards`` parameter vectors of fixed size meet at the driver.  An eighth of those rows is kept
+from training and sets scale and shift (Platt 1999, with smoothed targets), so that scores are probabilities.  Scoring
 is one map over whole texts without a shuffle.
 
 Defined results: null and empty texts have no words and get the score of their
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import SOLID, Words, words
-from .common import without, written
+from .common import discard, without, written
 
 WORD_BITS, STATS, BINS, META_BINS = 15, 16, 24, 64
 _LINE = np.array([b != 0x0A for b in range(256)])
@@ -54,6 +55,8 @@ class Model:
     w: np.ndarray
     v: np.ndarray
     n_rows: int = 0
+    scale: float = 1.0
+    shift: float = 0.0
 
     @staticmethod
     def size(n_meta: int) -> int:
@@ -138,18 +141,41 @@ def _train(model: Model, rows: list[tuple[np.ndarray, np.ndarray, float]], epoch
     return Model(w0, w, v, len(rows))
 
 
+def calibrate(raw: np.ndarray, y: np.ndarray, turns: int = 50) -> tuple[float, float]:
+    """Scale and shift of a logistic fit of y by raw, by Newton's method; 1 and 0 if a class is missing."""
+    n1, n0 = float((y > 0.5).sum()), float((y <= 0.5).sum())
+    if not n1 or not n0:
+        return 1.0, 0.0
+    goal = np.where(y > 0.5, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    spread = float(raw.std()) or 1.0
+    x = np.column_stack(((raw - raw.mean()) / spread, np.ones(len(raw))))
+    loss = lambda t: float(np.sum(np.logaddexp(0, x @ t) - goal * (x @ t)) + 1e-3 * t @ t)
+    t = np.array([1.0, 0.0])
+    for _ in range(turns):
+        p = 1 / (1 + np.exp(-(x @ t)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(2), x.T @ (p - goal) + 2e-3 * t)
+        while np.abs(step).max() > 1e-9 and loss(t - step) > loss(t):
+            step /= 2
+        t = t - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(t[0] / spread), float(t[1] - t[0] * raw.mean() / spread)) if t[0] > 0 else (1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = (), max_rows: int = 20_000, factors: int = 4, rounds: int = 4, epochs: int = 3, rate: float = 0.1, l2: float = 1e-4, batch: int = 64, shards: int = 8, seed: int = 7) -> Model:
     """Fits on at most ``max_rows`` labelled rows of ``labels`` (key, label) whose texts are in ``docs``."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.col(label).cast("double").alias("_y")).orderBy(F.xxhash64(key), "_y").limit(max_rows)
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    chosen = known.select(F.col(key), F.col(label).cast("double").alias("y")).orderBy(F.xxhash64(key), "y").limit(max_rows).select(F.col(key).alias("k"), "y")
+    names = tuple(f"m{i}" for i in range(len(metadata)))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, n, (ptr, idx, val) in _chunks(b, "_text", metadata):
+            for lo, n, (ptr, idx, val) in _chunks(b, "text", names):
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + n], b.column(1)[lo : lo + n], pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(idx)), pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(val))], names=["h", "y", "idx", "val"])
 
     # at most max_rows narrow rows are broadcast
-    used = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`") for c in metadata])
-    joined = used.join(F.broadcast(chosen), key).select(F.xxhash64(key).alias("h"), "_y", "_text", *metadata)
+    used = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(m) for c, m in zip(metadata, names, strict=True)])
+    joined = used.join(F.broadcast(chosen), "k").select(F.xxhash64("k").alias("h"), "y", "text", *names)
     rows = written(joined.mapInArrow(extract, "h long, y double, idx array<int>, val array<float>"), "quality-train")
     size, spark = Model.size(len(metadata)), docs.sparkSession
     rng = np.random.default_rng(seed)
@@ -164,9 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
         return step
 
+    apart = F.pmod(F.xxhash64("h"), F.lit(8)) == 0
     for r in range(rounds):
         at = spark.sparkContext.broadcast(model)
-        found = rows.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(trainer(at, r), "n long, w0 double, w binary, v binary").collect()
+        found = rows.where(~apart).groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInArrow(trainer(at, r), "n long, w0 double, w binary, v binary").collect()
         total = sum(x["n"] for x in found)
         at.unpersist()
         if not total:
@@ -174,7 +201,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         found.sort(key=lambda x: (x["n"], x["w0"]))
         mean = lambda k: sum(np.frombuffer(x[k], np.float32) * np.float32(x["n"] / total) for x in found)
         model = Model(sum(x["w0"] * x["n"] for x in found) / total, mean("w"), mean("v").reshape(size, factors), total)
-    return model
+
+    at = spark.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in filter(len, batches):
+            idx, val = b.column(1), b.column(2)
+            ptr = np.concatenate(([0], np.cumsum(idx.value_lengths().to_numpy()))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_raw(at.value, ptr, idx.flatten().to_numpy(), val.flatten().to_numpy())[0].astype(np.float64)), b.column(0)], names=["raw", "y"])
+
+    seen = rows.where(apart).select("y", "idx", "val").mapInArrow(measure, "raw double, y double").toArrow()  # an eighth of max_rows at most
+    order = np.lexsort((seen["y"].to_numpy(), seen["raw"].to_numpy()))
+    scale, shift = calibrate(seen["raw"].to_numpy()[order], seen["y"].to_numpy()[order])
+    discard(rows)
+    return Model(model.w0, model.w, model.v, model.n_rows + seen.num_rows, scale, shift)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", metadata: tuple[str, ...] = (), to: str = "score") -> DataFrame:
@@ -185,7 +225,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", metadata: tuple[str
         for b in batches:
             out = np.empty(len(b))
             for lo, n, csr in _chunks(b, text, metadata):
-                out[lo : lo + n] = 1 / (1 + np.exp(-np.clip(_raw(at.value, *csr)[0].astype(np.float64), -30, 30)))
+                raw = at.value.scale * _raw(at.value, *csr)[0].astype(np.float64) + at.value.shift
+                out[lo : lo + n] = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
             yield pa.RecordBatch.from_arrays([pa.array(out) if c == to else b.column(i) for i, c in enumerate(b.schema.names)], names=b.schema.names)
 
     plain = without(docs, to).withColumn(to, F.lit(None).cast("double"))
