@@ -17,7 +17,7 @@ Equal vectors are one vector with a multiplicity.
 Products in single precision are trusted only outside a margin of 1e-4 around the threshold;
 tiles with a value inside it are computed again in double precision.
 
-Defined results: vectors that are null, zero, empty, or hold null or non-finite components link
+Keys are integers.  Defined results: vectors that are null, zero, empty, or hold null or non-finite components link
 with nothing and are kept; vectors of different lengths never link; copies link with
 each other; rows with a null id have a null component; an empty table gives no rows.
 """
