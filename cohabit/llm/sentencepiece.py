@@ -10,8 +10,9 @@ unit.  A Spark higher-order ``aggregate`` then folds each unit's edges:
   leftmost first, until none is left.  For a BPE model the Viterbi path is *not* what the
   library returns (see the README for the share that differs), so the model's type decides.
 
-Units are encoded once for the corpus.  The ``common`` most frequent ones (a fixed number) are
-broadcast; the others return to their documents by a join.
+Units are encoded once for the corpus: counted inside tasks, dealt by unit, and folded where they
+lie, so the lattice needs no shuffle of its own.  The most frequent ones (``common`` at most, a fixed
+number) are broadcast; of the others, 64-bit hashes meet the lexicon and return to their documents by a join.
 
 Defined results: null texts give null ids, empty texts none; repeated rows are encoded
 alike; characters without a piece become byte pieces (or the unknown piece); a table without rows
@@ -22,7 +23,7 @@ merge (or Viterbi) rule with a heap, since the fold is quadratic in the unit's l
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,13 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import row_groups, span_hashes
-from .common import free_name, without, written
+from .common import count_bucket, free_name, least_bucket, without, written
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 FOLD_LIMIT = 60
-COMMON = 100_000
+COMMON = 1_000_000
 SLICE_BYTES = 1 << 19
+HELD_BYTES = 48 << 20
 
 
 @dataclass(frozen=True)
@@ -84,10 +86,11 @@ class Cutter:
         chars = sorted({ord(c) for p, _, _ in pieces.rows for c in p})
         self.kind = np.zeros(0x110000, dtype=np.int16)
         self.kind[chars] = np.arange(1, len(chars) + 1)
-        self.joins = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+        joins = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
         for p, _, _ in pieces.rows:
             k = self.kind[[ord(c) for c in p]]
-            self.joins[k[:-1], k[1:]] = True
+            joins[k[:-1], k[1:]] = True
+        self.joins = np.packbits(joins, axis=1)  # one bit for each pair of characters
         self.prefix = SPACE if pieces.prefix else ""
 
     def units(self, text: str) -> list[str]:
@@ -104,7 +107,7 @@ class Units:
         edge = np.cumsum([0, *map(len, rows)])
         kind = cutter.kind[codes]
         cut = np.ones(len(codes) + 1, dtype=bool)
-        cut[1:-1] = ~cutter.joins[kind[:-1], kind[1:]]
+        cut[1:-1] = (cutter.joins[kind[:-1], kind[1:] >> 3] >> (7 - (kind[1:] & 7)).astype(np.uint8)) & 1 == 0
         cut[edge] = True
         at = np.flatnonzero(cut)
         self.start, self.end = at[:-1], at[1:]
@@ -134,10 +137,15 @@ def hash_strings(strings: list[str]) -> np.ndarray:
     return hash_codes(codes, at[:-1], at[1:])
 
 
+def _constants(values: Iterable, kind: str) -> Column:
+    """An array literal, from one string (an element at a time costs a call to the JVM each)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def _byte_ids(char: Column, pieces: Pieces) -> Column:
     if not pieces.byte_ids:
         return F.array(F.lit(pieces.unknown))
-    table = F.array(*[F.lit(i) for i in pieces.byte_ids])
+    table = _constants(pieces.byte_ids, "int")
     digits = F.hex(F.encode(char, "UTF-8"))
     return F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), lambda k: F.element_at(table, F.conv(F.substring(digits, k * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
 
@@ -157,7 +165,7 @@ def _merged(n: Column, merges: Column) -> Column:
         return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts)
 
     whole = F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1
-    return F.when(F.size(merges) == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), whole, step))
+    return F.when(F.size(merges) == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n - 1, F.lit(1)), F.size(merges))), whole, step))
 
 
 def _viterbi_cuts(n: Column, edges: Column) -> Column:
@@ -175,27 +183,43 @@ def _viterbi_cuts(n: Column, edges: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
 
 
+def _reach(pieces: Pieces) -> Column:
+    """Longest piece by its first two characters (index 128 a + b; the word sign counts as 1, other characters as 0), at least 2."""
+    at = lambda c: ord(c) if ord(c) < 128 else int(c == SPACE)
+    table = np.zeros((128, 128), dtype=np.int32)
+    for p, _, _ in pieces.rows:
+        if len(p) > 1:
+            k = at(p[0]), at(p[1])
+            table[k] = max(table[k], len(p))
+    table[0, :] = table[:, 0] = pieces.longest
+    return _constants(table.ravel().tolist(), "int")
+
+
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """Distinct (unit) of 1 to FOLD_LIMIT characters to (unit, ids).  The piece table is a vocabulary, so it is broadcast."""
-    spark = units.sparkSession
+    """Distinct (unit, ...) to (unit, ..., ids); null ids for units of over FOLD_LIMIT characters.
+
+    The piece table is a vocabulary, so it is broadcast; rows dealt by unit stay where they are.
+    """
+    spark, kept = units.sparkSession, units.columns
     order = sorted({score for _, _, score in pieces.rows}, reverse=True)
     rank = {score: k for k, score in enumerate(order)}
-    scores = F.lit(np.array(order))
-    table = spark.createDataFrame([(p, i, rank[s]) for p, i, s in pieces.rows], "piece string, id int, rank int")
+    table = spark.createDataFrame([(p, i, rank[s]) for p, i, s in pieces.rows if len(p) > 1], "piece string, id int, rank int")
     n = F.length("unit")
     start, k = F.col("start"), F.col("k")
-    several = units.where(n > 1)
-    starts = several.select("unit", F.explode(F.sequence(F.lit(0), n - 2)).alias("start"))
-    parts = starts.select("unit", "start", F.explode(F.sequence(F.lit(2), F.least(F.lit(pieces.longest), n - start))).alias("k"))
-    # one row stays of a unit without any piece
+    code = lambda s: F.ascii(F.substring(F.col("unit"), s + 1, F.lit(1)))
+    ascii_ = lambda c: F.when(c < 128, c).otherwise((c == ord(SPACE)).cast("int"))
+    reach = F.get(_reach(pieces), ascii_(code(start)) * 128 + ascii_(code(start + 1)))
+    # one row stays of a unit without any piece, and of one that is too long
+    starts = units.select(*kept, F.explode(F.sequence(F.lit(0), F.when(n > FOLD_LIMIT, 0).otherwise(F.greatest(n - 2, F.lit(0))))).alias("start"))
+    starts = starts.withColumn("most", F.when(n > FOLD_LIMIT, 2).otherwise(F.least(reach, n - start))).where("most > 1 or start = 0")
+    parts = starts.select(*kept, "start", F.explode(F.sequence(F.lit(2), F.greatest(F.col("most"), F.lit(2)))).alias("k"))
     found = parts.withColumn("piece", F.substring(F.col("unit"), start + 1, k)).join(F.broadcast(table), "piece", "left").where("id is not null or (start = 0 and k = 2)")
     ends, inner = _bits(start, start + k)
     # sorted, the edges of a unit stand in the order of (rank, start)
-    fields = [(F.col("rank").cast("long") * 64 + start).alias("order"), ends.alias("ends"), inner.alias("inner"), "id"]
+    fields = [(F.col("rank").cast("long") * 64 + start).alias("order"), ends.alias("ends"), inner.alias("inner"), "id", "start"]
     if pieces.fold == "viterbi":
-        fields += ["start", (start + k).alias("end"), F.get(scores, F.col("rank")).alias("score")]
-    lattice = found.groupBy("unit").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(*fields)))).alias("edges"))
-    code = lambda s: F.ascii(F.substring(F.col("unit"), s + 1, F.lit(1)))
+        fields += [(start + k).alias("end"), F.get(_constants(order, "double"), F.col("rank")).alias("score")]
+    lattice = found.groupBy(*kept).agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull() & (n <= FOLD_LIMIT), F.struct(*fields)))).alias("edges"))
     if pieces.fold == "merge":
         folded = lattice.withColumn("cuts", _merged(n, F.col("edges")))
     else:
@@ -203,31 +227,31 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
         for p, _, score in pieces.rows:
             if len(p) == 1:
                 cost[ord(p)] = score
+        costs = _constants(cost, "double")
         bit = lambda a, x: a + F.call_function("shiftleft", F.lit(1).cast("long"), x)
-        chars = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.get(F.lit(np.array(cost)), code(i)).alias("score")))
+        chars = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.get(costs, code(i)).alias("score")))
         lone = F.filter(chars, lambda e: e["score"] < 0)
         whole = F.concat(F.transform("edges", lambda e: F.struct(e["start"], e["end"], e["score"])), lone)
         folded = lattice.withColumn("path", _viterbi_cuts(n, whole)).withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
     mine = lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0)
-    taken = folded.select("unit", "cuts", F.transform(F.filter("edges", mine), lambda e: F.struct(F.pmod(e["order"], F.lit(64)).cast("int").alias("start"), e["id"])).alias("taken"))
+    taken = folded.select(*kept, "cuts", F.transform(F.filter("edges", mine), lambda e: F.struct(e["start"], e["id"])).alias("taken"))
 
     ids = [-1] * (1 + max(ord(p) for p, _, _ in pieces.rows if len(p) == 1))
     for p, i, _ in pieces.rows:
         if len(p) == 1:
             ids[ord(p)] = i
-    by_code = F.lit(np.array(ids, dtype=np.int32))
+    by_code = _constants(ids, "int")
 
     def single(s: Column) -> Column:
         known = F.coalesce(F.get(by_code, code(s)), F.lit(-1))
         return F.when(known >= 0, F.array(known)).otherwise(_byte_ids(F.substring(F.col("unit"), s + 1, F.lit(1)), pieces))
 
-    def at(s: Column) -> Column:
-        known = F.filter("taken", lambda t: t["start"] == s)
-        inside = F.col("cuts").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), s)) == 0
-        return F.when(inside, F.array().cast("array<int>")).when(F.size(known) > 0, F.transform(known, lambda t: t["id"])).otherwise(single(s))
-
-    long_ones = taken.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("ids"))
-    return long_ones.unionByName(units.where(n == 1).select("unit", single(F.lit(0)).alias("ids")))
+    # a character between two neighbouring boundaries is a piece of its own
+    alone = lambda s: F.call_function("shiftright", F.col("cuts"), s).bitwiseAND(F.lit(3)) == 3
+    several = F.transform("taken", lambda t: F.struct(t["start"].alias("start"), F.array(t["id"]).alias("ids")))
+    singles = F.transform(F.filter(F.sequence(F.lit(0), n - 1), alone), lambda s: F.struct(s.alias("start"), single(s).alias("ids")))
+    ids = F.flatten(F.transform(F.sort_array(F.concat(several, singles)), lambda x: x["ids"]))
+    return taken.select(*kept, F.when(n <= FOLD_LIMIT, ids).alias("ids"))
 
 
 def encode_long(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]]) -> list[int]:
@@ -284,7 +308,7 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_B
 
 def _pack(texts: pa.Array) -> pa.Array:
     """Texts as their size and zstd bytes, which makes the one shuffle of whole texts smaller."""
-    codec = pa.Codec("zstd")
+    codec = pa.Codec("zstd", compression_level=3)
     raw = [None if t is None else t.encode() for t in texts.to_pylist()]
     return pa.array([None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw], pa.binary())
 
@@ -308,34 +332,45 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_units(texts: DataFrame, cutter) -> DataFrame:
-    """(text) to (unit, n): occurrences of each unit, added up in each task first."""
-
-    def add_up(parts: list[tuple[Units, np.ndarray]]) -> pa.RecordBatch:
-        which, known = pd.factorize(np.concatenate([u.known for u, _ in parts]) if parts else np.zeros(0, np.uint64))
-        total = np.bincount(which, np.concatenate([n for _, n in parts]), len(known)).astype(np.int64) if parts else np.zeros(0, np.int64)
-        new, strings, done = np.ones(len(known), dtype=bool), [], 0
-        for u, n in parts:
-            mine = which[done : done + len(n)]
-            first = np.flatnonzero(new[mine])
-            new[mine] = False
-            strings += u.distinct(first)
-            done += len(n)
-        return pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), pa.array(total)], names=["unit", "n"])
+    """(text) to (unit, n): occurrences of each unit, added up in each task over some megabytes of text at a time."""
+
+    def add_up(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> pa.RecordBatch:
+        which, known = pd.factorize(np.concatenate([h for h, _, _ in parts]))
+        first = np.zeros(len(known), dtype=np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        total = np.bincount(which, np.concatenate([n for _, n, _ in parts]), len(known)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([u for _, _, u in parts]).take(pa.array(first)), pa.array(total)], names=["unit", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for b in _slices(batches, 0):
             u = Units(b.column(0).to_pylist(), cutter.value)
-            n = np.bincount(u.which, minlength=len(u.known))
-            u.start, u.end, u.first, u.which = u.start[u.first], u.end[u.first], np.arange(len(u.first)), None
-            parts.append((u, n))
-            size += len(n)
-            if size > 400_000:
+            parts.append((u.known, np.bincount(u.which, minlength=len(u.known)), pa.array(u.distinct(), pa.string())))
+            size += parts[-1][2].nbytes + 16 * len(u.known)
+            if size > HELD_BYTES:
                 yield add_up(parts)
                 parts, size = [], 0
-        yield add_up(parts)
+        if parts:
+            yield add_up(parts)
 
-    return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "unit string, n long")
+
+
+def _lexicon(texts: DataFrame, pieces: Pieces, cutter) -> DataFrame:
+    """(text) to (hash, n, ids) of every distinct unit: 64-bit hash, occurrences, ids."""
+    spark = texts.sparkSession
+    width = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # the rows grow in number when exploded, so not by their bytes
+    units = _count_units(texts, cutter).repartition(width, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    rules = spark.sparkContext.broadcast((pieces, {p: (i, s) for p, i, s in pieces.rows}))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            units, ids = b.column(0).to_pylist(), b.column(2)
+            if ids.null_count:
+                ids = pa.array([encode_long(u, *rules.value) if x is None else x for u, x in zip(units, ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(hash_strings(units).view(np.int64)), b.column(1), ids], names=["hash", "n", "ids"])
+
+    return encode_units(units, pieces).mapInArrow(named, "hash long, n long, ids array<int>")
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece_ids", decoded: str | None = None, common: int = COMMON) -> DataFrame:
@@ -344,28 +379,20 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
     docs = without(docs, to, *([decoded] if decoded else []))
     cutter = spark.sparkContext.broadcast(Cutter(pieces))
     content = F.col(f"`{text}`").cast("string")
-    counted = written(_count_units(docs.select(content.alias("text")), cutter), "units")
-    short = encode_units(counted.where(F.length("unit") <= FOLD_LIMIT).groupBy("unit").agg(F.max("n").alias("n")).select("unit"), pieces)
-    rules = spark.sparkContext.broadcast((pieces, {p: (i, s) for p, i, s in pieces.rows}))
-
-    def long_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [encode_long(u, *rules.value) for u in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
-
-    long = counted.where(F.length("unit") > FOLD_LIMIT).select("unit").mapInArrow(long_units, "unit string, ids array<int>")
-    lexicon = written(short.unionByName(long), "lexicon")
-    chosen = counted.where((F.col("n") > 1) & (F.length("unit") <= FOLD_LIMIT)).orderBy(F.desc("n"), "unit").limit(common).select("unit")
-    top = written(lexicon.join(chosen, "unit"), "common-units").toArrow().combine_chunks()  # at most `common` short rows
-    sizes, values = _lists(top["ids"].combine_chunks())
-    names = hash_strings(top["unit"].to_pylist())
+    lexicon = written(_lexicon(docs.select(content.alias("text")), pieces, cutter), "lexicon")
+    often = (F.col("n") > 1) & (count_bucket(F.col("n")) >= least_bucket(lexicon.where("n > 1"), common))
+    top = lexicon.where(often).select("hash", "ids").toArrow().combine_chunks()  # at most `common` rows
+    sizes, values = _lists(top["ids"].combine_chunks() if isinstance(top["ids"], pa.ChunkedArray) else top["ids"])
+    names = top["hash"].to_numpy().view(np.uint64)
     order = np.argsort(names)
     starts = np.cumsum(sizes) - sizes
     # sorted hashes of the common units, and where their ids lie in one array
-    shared = spark.sparkContext.broadcast((names[order], starts[order], sizes[order], values.astype(np.int32)))
+    narrow = np.uint16 if max(i for _, i, _ in pieces.rows) < 1 << 16 else np.int32
+    shared = spark.sparkContext.broadcast((names[order], starts[order].astype(np.int32), sizes[order].astype(np.int32), values.astype(narrow)))
+    del top, names, starts, sizes, values
 
     key, own = free_name(docs, "_key"), free_name(docs, "_own")
-    keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]))
+    keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, 1):
@@ -375,11 +402,12 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
             number[new] = np.arange(len(new))
             row, k = np.repeat(np.arange(len(b)), np.diff(u.at)), number[u.which]
             pairs = np.unique(row[k >= 0] * (len(new) + 1) + k[k >= 0])
-            units = pa.array(u.distinct(new), pa.string()).take(pa.array(pairs % (len(new) + 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs // (len(new) + 1))), units], names=["key", "unit"])
+            units = pa.array(u.known[new].view(np.int64)[pairs % (len(new) + 1)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs // (len(new) + 1))), units], names=["key", "hash"])
+
+    missing = keyed.select(F.col(key), content.alias("text")).mapInArrow(rare, "key long, hash long")
+    found = missing.join(lexicon.where(~often).select("hash", "ids"), "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "ids")).alias(own)).withColumnRenamed("key", key)
 
-    missing = keyed.select(F.col(key), content.alias("text")).mapInArrow(rare, "key long, unit string")
-    found = missing.join(lexicon, "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias(own)).withColumnRenamed("key", key)
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, place_of_text):
             yield b.set_column(place_of_text, pa.field(text, pa.binary()), _pack(b.column(place_of_text)))
@@ -399,9 +427,9 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
             names = b.schema.names
             own_units = b.column(names.index(own)).flatten()
             more, flat = _lists(own_units.field("ids"))
-            own_hash = hash_strings(own_units.field("unit").to_pylist())
+            own_hash = own_units.field("hash").to_numpy(zero_copy_only=False).view(np.uint64)
             by = np.argsort(own_hash)
-            pool = np.concatenate((values, flat.astype(np.int32)))
+            pool = np.concatenate((values, flat.astype(values.dtype)))
             at, n = np.concatenate((starts, (len(values) + np.cumsum(more) - more)[by])), np.concatenate((sizes, more[by]))
             texts = _unpack(b.column(names.index(text)))
             absent = pa.array([t is None for t in texts])
@@ -412,7 +440,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
             idx = place[u.which]
             ends = np.concatenate(([0], np.cumsum(n[idx])))
             ids = pool[np.arange(ends[-1]) + np.repeat(at[idx] - ends[:-1], n[idx])]
-            lists = pa.ListArray.from_arrays(pa.array(ends[u.at], pa.int32()), pa.array(ids), mask=absent if None in texts else None)
+            lists = pa.ListArray.from_arrays(pa.array(ends[u.at], pa.int32()), pa.array(ids.astype(np.int32)), mask=absent if None in texts else None)
             new_columns = {to: lists, text: pa.array(texts, pa.string())} | ({decoded: _decoded(lists, *words)} if decoded else {})
             yield pa.RecordBatch.from_arrays([new_columns.get(c, b.column(names.index(c))) for c in columns], names=columns)
 
