@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohabit.llm import decontaminate, jaccard, quality, secrets, sentencepiece
-from cohabit.llm.common import free_name, table, written
+from cohabit.llm.common import free_name, scope, table, written
 
 #: Documents of a lower score are rejected.
 LEAST_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what the factorisation machine scores below LEAST_QUALITY; it is fitted on the labelled documents at hand."""
+    """Rejects what the factorisation machine scores below LEAST_QUALITY; a fifth of the labels is held out, so its rejections can be measured."""
     known = docs.select("doc_id", "text", "n_chars")
-    model = quality.fit(known, table(spark, sf_dir, "labels"), metadata=("n_chars",))
-    return quality.score(docs, model, metadata=("n_chars",), to="_score").where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    model = quality.fit(known, table(spark, sf_dir, "labels").where(~quality.held_out()), metadata=("n_chars",))
+    score = free_name(docs, "_score")
+    return quality.score(docs, model, metadata=("n_chars",), to=score).where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces credentials; n_chars follows where the text changed."""
-    clean = secrets.redact(docs.withColumn("_before", F.col("text")), secrets.fit(docs))
-    same = F.col("text").eqNullSafe(F.col("_before"))
+    before = free_name(docs, "_before")
+    clean = secrets.redact(docs.withColumn(before, F.col("text")), secrets.fit(docs))
+    same = F.col("text").eqNullSafe(F.col(before))
     return clean.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
@@ -63,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scope() as keep:  # what the stage itself wrote goes once its rows lie apart, and so do the rows before it
+            docs = keep(written(stage(spark, docs, sf_dir), name, docs))
     return docs
