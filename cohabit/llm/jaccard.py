@@ -19,7 +19,7 @@ No pair list of a group is formed: candidates are (set, group) rows.  Texts, not
 arrays, are shuffled to the few comparisons, and a bitmap of fixed size over the ids in question
 keeps most other texts out of that shuffle (it may let some pass, never drops one).
 
-Defined results: null, empty and blank texts have no shingles and link with nothing;
+Keys are integers.  Defined results: null, empty and blank texts have no shingles and link with nothing;
 a text of fewer than ``n`` words is one shingle; rows that repeat a doc_id are one node; rows
 with a null doc_id take the component of their copies, else null; an empty table gives no rows.
 """
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import SOLID, _mix, windows, words
-from .common import free_name, written
+from .common import count_bucket, discard, free_name, least_bucket, written
 from .components import components
 
 SEEDS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-HOT_LIMIT = 2_000_000
+HOT, HOT_LIMIT = 32, 2_000_000
 BITMAP = 1 << 27
 
 
@@ -138,19 +138,17 @@ def _near(docs: DataFrame, n: int, hot: np.ndarray, reach: int = 16) -> DataFram
     return docs.mapInArrow(run, "token long")
 
 
-def hot_tokens(docs: DataFrame, n: int, num: int, den: int, n_docs: int) -> np.ndarray:
-    """Tokens that stand among the first tokens of more than max(32, n_docs / 65536) documents, sorted.
+def hot_tokens(docs: DataFrame, n: int, num: int, den: int) -> np.ndarray:
+    """Tokens that stand among the first tokens of more than ``HOT`` documents, sorted; the most common, ``HOT_LIMIT`` at most.
 
-    So there are at most 65536 times the mean number of first tokens of them; beyond
-    ``HOT_LIMIT`` the most common are taken.  Hot tokens come from common passages, whose other
-    tokens stand beside them: those are counted in a second round.  Hot tokens only set the
-    order of tokens, never the result.
+    Hot tokens come from common passages, whose other tokens stand beside them: those are counted in a second
+    round.  Hot tokens only set the order of tokens, never the result.
     """
-    least = max(32, n_docs >> 16)
 
     def common(tokens: DataFrame) -> np.ndarray:
-        counts = tokens.groupBy("token").count().where(F.col("count") > least)
-        found = counts.orderBy(F.desc("count"), "token").limit(HOT_LIMIT).select("token").toArrow()
+        counts = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "token-counts")
+        found = counts.where(count_bucket(F.col("n")) >= least_bucket(counts, HOT_LIMIT)).select("token").toArrow()
+        discard(counts)
         return found["token"].to_numpy().view(np.uint64)
 
     none = np.zeros(0, dtype=np.uint64)
@@ -227,41 +225,42 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4
     # leaders of the MinHash groups
     votes = named.select("rep", "size", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in range(3)])).alias("vote")).select("rep", "size", "vote.*")
     leaders = written(votes.groupBy("k", "m").agg(F.min_by("size", "rep").alias("own"), F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c"), "leaders")
-    pairs = written(votes.join(leaders, ["k", "m"]).where((F.col("rep") != F.col("leader")) & (F.least("size", "own") * den >= F.greatest("size", "own") * num)).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
+    pairs = written(votes.join(leaders, ["k", "m"]).where((F.col("rep") != F.col("leader")) & (F.least("size", "own") * den >= F.greatest("size", "own") * num)).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs", leaders)
     texts = _texts_of(plain, pairs.select(F.col("a").alias("id")))
     first = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
     both = first.join(_texts_of(plain, pairs.select(F.col("b").alias("id"))).withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-    edges = written(_compare(both, n, num, den), "leader-links")
+    edges = written(_compare(both, n, num, den), "leader-links", pairs)
     grouped = components(edges)
 
     # groups in chunks
     member = named.select(F.col("rep").alias("id"), "size", "m0").distinct().join(grouped.withColumnRenamed("node", "id"), "id", "left").select("id", "size", "m0", F.coalesce("root", "id").alias("root"))
-    member = written(member, "members")
+    member = first_members = written(member, "members")
     large = written(member.groupBy("root").count().where("count >= 8").withColumnRenamed("count", "c"), "large-components")
     member = member.join(large, "root", "left").withColumn("kin", F.when(F.col("c").isNotNull(), F.xxhash64(F.lit("root"), "root")).otherwise(F.xxhash64(F.lit("sketch"), "m0"))).drop("c", "m0")
-    member = written(member, "kin")
+    member = kin = written(member, "kin", first_members, large)
     many = written(member.groupBy("kin").count().where(F.col("count") > chunk).select("kin", F.ceil(F.col("count") / chunk).alias("chunks")), "large-groups")
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("chunks")), F.lit(0))
-    member = written(member.join(many, "kin", "left").select("id", "size", "root", F.xxhash64("kin", part).alias("group")), "groups")
+    member = written(member.join(many, "kin", "left").select("id", "size", "root", F.xxhash64("kin", part).alias("group")), "groups", kin, many)
 
     # the token-group matrix, and who reaches which group
-    hot = hot_tokens(plain, n, num, den, rows.count())
-    matrix = written(prefixes(plain, n, num, den, hot).where("size > 0"), "prefixes").select("id", F.explode("tokens").alias("token"))
+    hot = hot_tokens(plain, n, num, den)
+    first_tokens = written(prefixes(plain, n, num, den, hot).where("size > 0"), "prefixes")
+    matrix = first_tokens.select("id", F.explode("tokens").alias("token"))
     shared = written(matrix.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token"), "shared-tokens")
-    cells = written(matrix.join(shared, "token").join(member, "id").select("token", "id", "size", "root", "group"), "cells")
+    cells = written(matrix.join(shared, "token").join(member, "id").select("token", "id", "size", "root", "group"), "cells", first_tokens, shared)
     unions = cells.groupBy("token", "group").agg(F.min("root").alias("other"), F.min("size").alias("least"), F.max("size").alias("most"))
     smaller = F.ceil(F.col("size") * num / den)
     enough = F.least(smaller, 1 + F.floor(smaller / 20))
     reach = cells.select("token", "id", "size", "root").join(unions, "token").where((F.col("root") > F.col("other")) & (F.col("size") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("size") * den))
-    visits = written(reach.groupBy("id", "size", "root", "group").count().where(F.col("count") >= enough).select("id", "root", "group"), "visits")
+    visits = written(reach.groupBy("id", "size", "root", "group").count().where(F.col("count") >= enough).select("id", "root", "group"), "visits", cells)
 
     # open the groups
     blocks = written(visits.groupBy("group").agg(F.ceil(F.count("*") / 128).alias("blocks")), "visited")
     guests = visits.join(blocks, "group").select("id", "root", "group", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(False).alias("member"))
     hosts = member.join(blocks, "group").select("id", "root", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("member"))
-    both = written(guests.unionByName(hosts), "openings")
+    both = written(guests.unionByName(hosts), "openings", visits, blocks, member)
     opened = both.join(_texts_of(plain, both.select("id")), "id")
-    edges = edges.unionByName(written(_open(opened, n, num, den), "group-links"))
+    edges = edges.unionByName(written(_open(opened, n, num, den), "group-links", both))
 
     roots = components(edges).withColumnRenamed("node", "rep")
     final = written(sets.select("size", "f1", "f2", "rep").join(roots, "rep", "left").select("size", "f1", "f2", F.coalesce("root", "rep").alias("root")), "set-roots")
