@@ -163,6 +163,8 @@ def _texts_of(plain: DataFrame, ids: DataFrame) -> DataFrame:
     found = word.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most BITMAP / 32 rows
     words32 = np.zeros(BITMAP // 32, dtype=np.uint32)
     words32[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    del found
+    pa.default_memory_pool().release_unused()
     at = plain.sparkSession.sparkContext.broadcast(words32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -390,6 +390,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
     narrow = np.uint16 if max(i for _, i, _ in pieces.rows) < 1 << 16 else np.int32
     shared = spark.sparkContext.broadcast((names[order], starts[order].astype(np.int32), sizes[order].astype(np.int32), values.astype(narrow)))
     del top, names, starts, sizes, values
+    pa.default_memory_pool().release_unused()
 
     key, own = free_name(docs, "_key"), free_name(docs, "_own")
     keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]))
