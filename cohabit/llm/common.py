@@ -31,6 +31,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` for functions that take columns by place: names (which may hold dots) don't matter to it."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def count_bucket(n: Column) -> Column:
     """Logarithmic bucket of a count, eight for each doubling: a few hundred at most, exact up to 11."""
     return F.floor(F.log2(n) * 8).cast("int")

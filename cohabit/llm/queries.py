@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, neardup, secrets, sentencepiece, sharding, urlfilter, warc
+from . import align, bpe, chat, jaccard, merkle, neardup, secrets, sentencepiece, sharding, urlfilter, warc
 from .common import table
 from .decontaminate import contaminated, mark
 from .quality import fit, held_out, score
@@ -154,6 +154,50 @@ SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN origin IS NULL OR ori
 FROM q LEFT JOIN g ON q.payload_digest = g.payload_digest
 """
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    values = lambda n: [F.col(c) for c in ("doc_id", "source", "lang")] + [n, F.col("text")]
+    chosen = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    tampered = F.when(chosen, merkle.leaf(*values(F.col("n_chars").cast("long") + 1)))
+    rows = docs.select("doc_id", "lang", merkle.leaf(*values(F.col("n_chars"))).alias("leaf"), tampered.alias("tampered"))
+    found = merkle.manifest(rows, "lang", "doc_id").withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_PARENTS = "list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')))"
+_CRC_BITS = "list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda z: CAST(0 AS BIGINT))), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+_CRC = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: {_CRC_BITS}), 4294967295)"
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+_LEAF = lambda n: "sha256(" + " || ".join(_FIELD(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+OP11_SQL = f"""
+WITH RECURSIVE x AS (SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 AND n_chars IS NOT NULL THEN {_LEAF("(n_chars + 1)")} END AS tampered FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS rid FROM x),
+lv AS (SELECT lang, 0 AS l, list(leaf ORDER BY pos) AS h FROM d GROUP BY lang UNION ALL SELECT lang, l + 1, {_PARENTS} FROM lv WHERE len(h) > 1),
+sr AS (SELECT lang, l AS depth, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS lpos FROM lv WHERE len(h) = 1),
+up AS (SELECT 0 AS l, list(subroot ORDER BY lpos) AS h FROM sr UNION ALL SELECT l + 1, {_PARENTS} FROM up WHERE len(h) > 1),
+root AS (SELECT l AS depth, h[1] AS root FROM up WHERE len(h) = 1),
+sib AS (SELECT rid, lv.l, pos >> lv.l AS place, lv.h[xor(pos >> lv.l, 1) + 1] AS s FROM d JOIN sr ON d.lang IS NOT DISTINCT FROM sr.lang JOIN lv ON lv.lang IS NOT DISTINCT FROM d.lang AND lv.l < sr.depth
+        UNION ALL SELECT rid, sr.depth + up.l, lpos >> up.l, up.h[xor(lpos >> up.l, 1) + 1] FROM d JOIN sr ON d.lang IS NOT DISTINCT FROM sr.lang CROSS JOIN root JOIN up ON up.l < root.depth),
+p AS (SELECT rid, list({{'place': place, 's': coalesce(s, '')}} ORDER BY l) AS steps FROM sib GROUP BY rid),
+f AS (SELECT d.rid, 1 AS k, coalesce(tampered, leaf) AS v, steps FROM d LEFT JOIN p USING (rid)
+      UNION ALL SELECT rid, k + 1, CASE WHEN steps[k].place % 2 = 0 THEN sha256(v || steps[k].s) ELSE sha256(steps[k].s || v) END, steps FROM f WHERE k <= coalesce(len(steps), 0))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda t: t.s), ''), '')) AS proof_sha256, v AS folded_root, v = root AS verified
+FROM d JOIN sr ON d.lang IS NOT DISTINCT FROM sr.lang CROSS JOIN root JOIN f ON f.rid = d.rid AND f.k = coalesce(len(steps), 0) + 1
+"""
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = bpe.encode(docs, bpe.load(), decoded_to="decoded")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.load(), sentencepiece.load(), derive={"groups_sha256": groups})
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -165,5 +209,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_embeddings": op9_embeddings,
     "op10_warc": op10_warc,
+    "op11_merkle": op11_merkle,
+    "op12_bpe": op12_bpe,
+    "op13_align": op13_align,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_urlfilter": OP3_SQL, "op7_chat": OP7_SQL, "op9_embeddings": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_urlfilter": OP3_SQL, "op7_chat": OP7_SQL, "op9_embeddings": OP9_SQL, "op10_warc": OP10_SQL, "op11_merkle": OP11_SQL}
