@@ -24,7 +24,7 @@ from cohabit.operators.ranks import ranked
 
 from .common import written
 
-FANOUT, LEVELS = 2, 4
+FANOUT, LEVELS = 2, 3
 PROOF = "array<struct<l:string,r:string>>"
 
 
