@@ -61,11 +61,13 @@ def log_pmf(x, white, black, draws) -> np.ndarray:
     return np.where(free, value, np.where(possible, 0.0, -np.inf))
 
 
-def _log_tail(x: np.ndarray, white: np.ndarray, black: np.ndarray, draws: np.ndarray, up: bool) -> np.ndarray:
-    """ln of the sum of the probabilities from x outwards."""
+def _log_tail(x: np.ndarray, white: np.ndarray, black: np.ndarray, draws: np.ndarray, up: bool, limit: np.ndarray | None = None, count: list[int] | None = None) -> np.ndarray:
+    """ln of the sum of the probabilities from x outwards, of ``limit`` of them at most; ``count`` gets the number of terms."""
     total = np.ones(len(x))
     at = np.arange(len(x))
     i, w, b, d, term = x.copy(), white, black, draws, np.ones(len(x))
+    left = np.full(len(x), np.inf) if limit is None else limit - 1.0
+    terms_seen = len(x)
     while len(at):
         steps = np.arange(min(4096, max(1, 8192 // len(at))))  # the fewer rows are left, the more terms of each at once
         j, w2, b2, d2 = (i[:, None] + steps if up else i[:, None] - steps), w[:, None], b[:, None], d[:, None]
@@ -73,11 +75,14 @@ def _log_tail(x: np.ndarray, white: np.ndarray, black: np.ndarray, draws: np.nda
             ratio = np.where(j < np.minimum(w2, d2), (w2 - j) * (d2 - j) / ((j + 1) * np.maximum(b2 - d2 + j + 1, 1)), 0.0)
         else:
             ratio = np.where(j > np.maximum(0, d2 - b2), j * (b2 - d2 + j) / np.maximum((w2 - j + 1) * (d2 - j + 1), 1), 0.0)
-        terms = term[:, None] * np.multiply.accumulate(ratio, axis=1)
+        terms = term[:, None] * np.multiply.accumulate(np.where(steps < left[:, None], ratio, 0.0), axis=1)
         total[at] += terms.sum(1)
+        terms_seen += int((terms > 1e-17 * total[at][:, None]).sum())
         more = terms[:, -1] >= 1e-17 * total[at]
-        i, term = i + len(steps) if up else i - len(steps), terms[:, -1]
-        at, i, w, b, d, term = (v[more] for v in (at, i, w, b, d, term))
+        i, term, left = i + len(steps) if up else i - len(steps), terms[:, -1], left - len(steps)
+        at, i, w, b, d, term, left = (v[more] for v in (at, i, w, b, d, term, left))
+    if count is not None:
+        count.append(terms_seen)
     return np.minimum(0.0, log_pmf(x, white, black, draws) + np.log(total))
 
 
@@ -93,6 +98,47 @@ def log_upper_tail(x, white, black, draws) -> np.ndarray:
     return out
 
 
+class MarginTails:
+    """ln P(X >= x) for rows sorted by margins (white, draws), side and, outwards last to first, x.
+
+    Rows of one margin share their sums: each adds only the terms between its x and the one before it, which lies further out, to what
+    that one found.  Rows below the mean do so downwards.  What the last row found is carried to the next batch.
+    """
+
+    def __init__(self, total: float) -> None:
+        self.total, self.count, self.held = float(total), [], None
+
+    def __call__(self, x: np.ndarray, white: np.ndarray, draws: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """``side``: -1 below the mean, 1 above it; 0 where the tail is certain or impossible."""
+        x, white, draws = (np.asarray(v, dtype=np.float64) for v in (x, white, draws))
+        black = self.total - white
+        out = np.where(x <= np.maximum(0, draws - black), 0.0, -np.inf)
+        for sign in (-1, 1):
+            k = np.flatnonzero(side == sign)
+            if not len(k):
+                continue
+            w, d, y, b = white[k], draws[k], x[k], black[k]
+            same = np.concatenate(([False], (w[1:] == w[:-1]) & (d[1:] == d[:-1])))
+            last = np.concatenate(([np.nan], y[:-1]))
+            carried = self.held if self.held and self.held[:3] == (sign, w[0], d[0]) else None
+            if carried:
+                same[0], last[0] = True, carried[3]
+            limit = np.where(same, np.abs(y - last), np.inf)
+            part = _log_tail(y - (sign < 0), w, b, d, sign > 0, limit, self.count)
+            if carried:
+                part[0] = np.logaddexp(part[0], carried[4])
+            at = [*np.flatnonzero(~same).tolist(), len(k)] if not same[0] else [0, *np.flatnonzero(~same).tolist(), len(k)]
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                if hi - lo > 1:
+                    part[lo:hi] = np.logaddexp.accumulate(part[lo:hi])
+            part = np.minimum(part, 0.0)
+            held = (sign, w[-1], d[-1], y[-1], part[-1])
+            out[k] = part if sign > 0 else np.log1p(-np.exp(part))
+            if k[-1] == len(x) - 1:
+                self.held = held
+        return out
+
+
 def upper_tail(x, white, black, draws) -> np.ndarray:
     """P(X >= x)"""
     return np.exp(log_upper_tail(x, white, black, draws))
@@ -125,16 +171,6 @@ def fisher(a, b, c, d) -> np.ndarray:
     return out
 
 
-@pandas_udf(DoubleType())
-def hypergeom_upper(x: pd.Series, white: pd.Series, black: pd.Series, draws: pd.Series) -> pd.Series:
-    return pd.Series(upper_tail(x, white, black, draws))
-
-
-@pandas_udf(DoubleType())
-def hypergeom_log_upper(x: pd.Series, white: pd.Series, black: pd.Series, draws: pd.Series) -> pd.Series:
-    return pd.Series(log_upper_tail(x, white, black, draws))
-
-
 @pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(fisher(a, b, c, d))

@@ -1,18 +1,26 @@
-"""Random-projection embeddings of taxa and datasets.  Rows with a null abundance add nothing.
+"""Random-projection embeddings of taxa and datasets.  Rows with a null abundance, or without the other id, add nothing.
 
 The sign of dimension i for a key is a hex digit of md5(key # block): 32 dimensions per block, below 8
-is -1.  So signs need no table and are the same for any partitioning.
+is -1.  So signs need no table and are the same for any partitioning.  Each task makes the signs of the
+distinct keys of a slice of rows as a matrix and adds up whole vectors; rows never become one row per dimension before they are sums.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohabit.schemas import need
 
+#: Rows whose signed values are held as a matrix at once, and bytes of sums that a task holds before it passes them on.
+SLICE, HELD_BYTES = 2048, 32 << 20
+
 
 def _signature(key: Column, dims: int) -> Column:
     blocks = [F.md5(F.concat(key.cast("string"), F.lit(f"#{b}"))) for b in range(-(-dims // 32))]
@@ -26,30 +34,120 @@ def sign_table(df: DataFrame, key: str, dims: int = 512) -> DataFrame:
     return long.select(key, "dim", F.when(F.col("digit") < "8", -1).otherwise(1).alias("sign"))
 
 
-def taxon_embeddings(abundance: DataFrame, dims: int = 512) -> DataFrame:
-    """(tax_id, dim, value): sum over the datasets of x * sign(acc, dim) / sqrt(dims), in long form.
-
-    A taxon may hold a large share of all rows, so each task adds up its part of every (taxon, dimension) before the shuffle.
+def signs(keys: list[str], dims: int) -> np.ndarray:
+    """A row of 1 and -1 for each key: the upper bit of every hex digit of its md5 blocks."""
+    blocks = range(-(-dims // 32))
+    raw = np.frombuffer(b"".join(hashlib.md5(f"{k}#{b}".encode()).digest() for k in keys for b in blocks), np.uint8).reshape(len(keys), len(blocks) * 16)
+    up = np.empty((len(keys), len(blocks) * 32), dtype=bool)
+    up[:, 0::2], up[:, 1::2] = raw & 0x80, raw & 0x08
+    return np.where(up[:, :dims], 1.0, -1.0)
+
+
+def _signed(b: pa.RecordBatch, dims: int) -> np.ndarray:
+    """x times the signs of the other id, a row for each row of (key, other, x)."""
+    other = b.column(1).dictionary_encode()
+    return b.column(2).to_numpy(zero_copy_only=False)[:, None] * signs(other.dictionary.to_pylist(), dims)[other.indices.to_numpy()]
+
+
+def _sums(keys: pa.Array, totals: np.ndarray) -> pa.RecordBatch:
+    n, dims = totals.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dims, pa.int32()), pa.array((totals + 0.0).ravel()))
+    return pa.RecordBatch.from_arrays([keys, lists], names=["key", "sums"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, len(b), SLICE):
+            yield b.slice(i, SLICE)
+
+
+def _accumulated(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """Sums of each key in a task, in one dense matrix that is passed on when it reaches its bound."""
+    place: dict[object, int] = {}
+    totals, kind = np.zeros((16, dims)), None
+    for b in _slices(batches):
+        kind = b.schema.field(0).type
+        keys = b.column(0).dictionary_encode(null_encoding="encode")
+        at = keys.indices.to_numpy()
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+        mine = np.array([place.setdefault(k, len(place)) for k in keys.dictionary.to_pylist()])[at[order][starts]]
+        if len(place) > len(totals):
+            totals = np.vstack((totals, np.zeros((max(len(totals), len(place) - len(totals)), dims))))
+        totals[mine] += np.add.reduceat(_signed(b, dims)[order], starts)
+        if totals.nbytes >= HELD_BYTES:
+            yield _sums(pa.array(list(place), kind), totals[: len(place)])
+            place, totals = {}, np.zeros((16, dims))
+    if place:
+        yield _sums(pa.array(list(place), kind), totals[: len(place)])
+
+
+def _run_sums(batches: Iterator[pa.RecordBatch], rows: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sums of each run of equal keys; runs may go on in the next batch."""
+    held: tuple[pa.Array, np.ndarray] | None = None
+    for b in _slices(batches):
+        at = b.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        totals, keys = np.add.reduceat(rows(b), starts), b.column(0).take(pa.array(starts))
+        if held is not None:
+            if held[0].equals(keys.slice(0, 1)):
+                totals[0] += held[1][0]
+            else:
+                yield _sums(*held)
+        if len(keys) > 1:
+            yield _sums(keys.slice(0, len(keys) - 1), totals[:-1])
+        held = keys.slice(len(keys) - 1), totals[-1:].copy()
+    if held is not None:
+        yield _sums(*held)
+
+
+def _rows(abundance: DataFrame, key: str, other: str) -> DataFrame:
+    rows = need(abundance, key, other, "total_abundance").where(F.col("total_abundance").isNotNull() & F.col(other).isNotNull())
+    return rows.select(F.col(key).alias("key"), F.col(other).cast("string").alias("other"), F.col("total_abundance").cast("double").alias("x"))
+
+
+def _scaled(sums: DataFrame, key: str, dims: int) -> DataFrame:
+    return sums.select(F.col("key").alias(key), F.transform("sums", lambda x: x / math.sqrt(dims)).alias("embedding"))
+
+
+def taxon_vectors(abundance: DataFrame, dims: int = 512) -> DataFrame:
+    """(tax_id, embedding): sum over the datasets of x * sign(acc, i) / sqrt(dims), as one array.
+
+    A taxon may hold a large share of all rows, so each task adds up its part of every taxon; one vector per
+    taxon and task is shuffled.
     """
-    rows = need(abundance, "tax_id", "acc", "total_abundance").where("total_abundance is not null").select("tax_id", F.col("total_abundance").alias("x"), F.split(_signature(F.col("acc"), dims), "").alias("digits"))
-    long = rows.select("tax_id", "x", F.posexplode(F.slice("digits", 1, dims)).alias("dim", "digit"))
-    signed = F.when(F.col("digit") < "8", -F.col("x")).otherwise(F.col("x"))
-    return long.groupBy("tax_id", "dim").agg((F.sum(signed) / math.sqrt(dims)).alias("value"))
+    rows = _rows(abundance, "tax_id", "acc")
+    shape = rows.select("key", F.array().cast("array<double>").alias("sums")).schema
+    parts = rows.mapInArrow(lambda b: _accumulated(b, dims), shape).repartition("key").sortWithinPartitions("key")
+    whole = lambda b: b.column(1).flatten().to_numpy().reshape(len(b), dims)
+    return _scaled(parts.mapInArrow(lambda b: _run_sums(b, whole), shape), "tax_id", dims)
 
 
-def dataset_embeddings(abundance: DataFrame, dims: int = 512) -> DataFrame:
-    """(acc, dim, value): sum over the taxa of x * sign(tax_id, dim) / sqrt(dims), in long form.
+def dataset_vectors(abundance: DataFrame, dims: int = 512, clustered: bool = False) -> DataFrame:
+    """(acc, embedding): sum over the taxa of x * sign(tax_id, i) / sqrt(dims), as one array.
 
-    A dataset has as many rows as taxa at most, so those meet in one row, and its array of sums is folded where it lies.
+    Rows are dealt by dataset and added up as they stream by.  ``clustered`` says that they are so dealt already (a
+    table bucketed by acc), which saves the shuffle.
     """
-    rows = need(abundance, "acc", "tax_id", "total_abundance").where("total_abundance is not null")
-    entry = F.struct(F.col("tax_id").alias("key"), F.col("total_abundance").cast("double").alias("x"))
-    found = rows.groupBy("acc").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    signed = lambda e: F.transform(F.slice(F.split(_signature(e["key"], dims), ""), 1, dims), lambda d: F.when(d < "8", -e["x"]).otherwise(e["x"]))
-    add = lambda total, e: F.zip_with(total, signed(e), lambda a, b: a + b)
-    sums = F.aggregate("entries", F.array_repeat(F.lit(0.0), dims), add)
-    long = found.select("acc", F.posexplode(sums).alias("dim", "total"))
-    return long.select("acc", "dim", (F.col("total") / math.sqrt(dims)).alias("value"))
+    rows = _rows(abundance, "acc", "tax_id")
+    dealt = rows if clustered else rows.repartition("key")
+    shape = rows.select("key", F.array().cast("array<double>").alias("sums")).schema
+    sums = dealt.sortWithinPartitions("key", "other", "x").mapInArrow(lambda b: _run_sums(b, lambda x: _signed(x, dims)), shape)
+    return _scaled(sums, "acc", dims)
+
+
+def _long(vectors: DataFrame, key: str) -> DataFrame:
+    return vectors.select(key, F.posexplode("embedding").alias("dim", "value"))
+
+
+def taxon_embeddings(abundance: DataFrame, dims: int = 512) -> DataFrame:
+    """``taxon_vectors`` in long form: (tax_id, dim, value)."""
+    return _long(taxon_vectors(abundance, dims), "tax_id")
+
+
+def dataset_embeddings(abundance: DataFrame, dims: int = 512, clustered: bool = False) -> DataFrame:
+    """``dataset_vectors`` in long form: (acc, dim, value)."""
+    return _long(dataset_vectors(abundance, dims, clustered), "acc")
 
 
 def as_vectors(long: DataFrame, key: str) -> DataFrame:

@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohabit.operators.ranks import ranked
 from cohabit.schemas import need
-from cohabit.sources.io import materialise
 
 
 def dense_index(df: DataFrame, key: str, to: str = "idx") -> DataFrame:
-    """0-based index of the distinct keys in their order, without a global window.
-
-    The keys are range-partitioned and written once, since the ranges come from a sample; each range numbers its
-    rows, and the counts of the ranges before it (one number for each) are added.
-    """
-    keys = materialise(df.select(key).distinct().orderBy(key).withColumn("_part", F.spark_partition_id()), "ranges")
-    counts = sorted(keys.groupBy("_part").count().collect())
-    base, offsets = 0, []
-    for part, n in counts:
-        offsets.append((part, base))
-        base += n
-    at = df.sparkSession.createDataFrame(offsets, "_part int, _base long")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return keys.withColumn("_row", local).join(F.broadcast(at), "_part").select(key, (F.col("_row") + F.col("_base")).alias(to))
+    """0-based index of the distinct keys in their order, without a global window."""
+    return ranked(df.select(key).distinct(), [key], to=to)
+
+
+def both_indices(df: DataFrame, row: str = "acc", col: str = "tax_id") -> DataFrame:
+    """(axis, row, col, idx): dense indices of the distinct keys of both axes, from one pass over the rows."""
+    ends = F.array(F.struct(F.lit("row").alias("axis"), F.col(row), F.lit(None).cast(df.schema[col].dataType).alias(col)), F.struct(F.lit("col").alias("axis"), F.lit(None).cast(df.schema[row].dataType).alias(row), F.col(col)))
+    keys = df.select(F.explode(ends).alias("x")).select("x.*").distinct()
+    return ranked(keys, [row, col], ["axis"], "idx")
 
 
 def to_coo(abundance: DataFrame) -> DataFrame:
     """(row_idx, col_idx, value) for each row with a value above 0; every id has an index, also where no value is."""
     rows = need(abundance, "acc", "tax_id", "total_abundance")
-    found = rows.where("total_abundance > 0").join(dense_index(rows, "acc", "row_idx"), "acc").join(dense_index(rows, "tax_id", "col_idx"), "tax_id")
+    index = both_indices(rows)
+    of = lambda axis, key, to: index.where(F.col("axis") == axis).select(key, F.col("idx").alias(to))
+    found = rows.where("total_abundance > 0").join(of("row", "acc", "row_idx"), "acc").join(of("col", "tax_id", "col_idx"), "tax_id")
     return found.select("row_idx", "col_idx", F.col("total_abundance").alias("value"))

@@ -1,18 +1,21 @@
 """Scores of pairs from their host, microbe and shared dataset counts.
 
 Input columns: host_dataset_count, pathogen_dataset_count, both_dataset_count.  Exact tests
-run once for each distinct combination of counts and are joined back.
+run once for each distinct combination of counts and are joined back; hypergeometric tails share the terms of equal host and microbe counts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohabit.config import LEAST_P, N_TOTAL, N_UNIVERSE
-from cohabit.functions.stats import fisher_two_sided, hypergeom_log_upper, hypergeom_upper
+from cohabit.functions.stats import MarginTails, fisher_two_sided
 
 COUNTS = ["host_dataset_count", "pathogen_dataset_count", "both_dataset_count"]
 
@@ -21,6 +24,27 @@ def _counts() -> tuple[Column, Column, Column]:
     return tuple(F.col(c) for c in COUNTS)
 
 
+def hypergeom_tails(counts: DataFrame, n_total: int = N_TOTAL) -> DataFrame:
+    """Adds log_p = ln P(X >= shared) to distinct counts without nulls.
+
+    Counts of one margin (host, microbe) meet in a task in order, so that each probability of the margin is summed once for all of them.
+    """
+    h, m, s = _counts()
+    possible = (s > F.greatest(F.lit(0), m - (F.lit(n_total) - h))) & (s <= F.least(h, m))
+    below = s.cast("decimal(19,0)") * n_total <= m.cast("decimal(19,0)") * h
+    side = F.when(~possible, 0).when(below, -1).otherwise(1)
+    sided = counts.select(*COUNTS, side.alias("side")).repartition(*COUNTS[:2]).sortWithinPartitions(*COUNTS[:2], "side", -s * F.col("side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tails = MarginTails(n_total)
+        for b in batches:
+            if len(b):
+                white, draws, x, side = (c.to_numpy() for c in b.columns)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.asarray(tails(x, white, draws, side), dtype=np.float64))], names=[*COUNTS, "log_p"])
+
+    return sided.mapInArrow(run, sided.select(*COUNTS, F.lit(0.0).alias("log_p")).schema)
+
+
 def hypergeom_score(df: DataFrame, n_total: int = N_TOTAL, log_space: bool = False) -> DataFrame:
     """Adds hyp_geo_score = P(X >= shared) (0 becomes the least positive value) and neg_log_p.
 
@@ -28,10 +52,10 @@ def hypergeom_score(df: DataFrame, n_total: int = N_TOTAL, log_space: bool = Fal
     """
     h, m, s = _counts()
     known = df.select(*COUNTS).where(h.isNotNull() & m.isNotNull() & s.isNotNull()).distinct()
-    args = (s, h, F.lit(n_total) - h, m)
-    scored = known.withColumn("hyp_geo_score", hypergeom_upper(*args)).withColumn("hyp_geo_score", F.when(F.col("hyp_geo_score") == 0, F.lit(LEAST_P)).otherwise(F.col("hyp_geo_score")))
-    neg_log_p = -hypergeom_log_upper(*args) / math.log(10) if log_space else -F.log10("hyp_geo_score")
-    return df.join(scored.withColumn("neg_log_p", neg_log_p), COUNTS, "left")
+    p = F.exp("log_p")
+    scored = hypergeom_tails(known, n_total).withColumn("hyp_geo_score", F.when(p == 0, F.lit(LEAST_P)).otherwise(p))
+    neg_log_p = -F.col("log_p") / math.log(10) if log_space else -F.log10("hyp_geo_score")
+    return df.join(scored.withColumn("neg_log_p", neg_log_p + F.lit(0.0)).drop("log_p"), COUNTS, "left")
 
 
 def log_odds(df: DataFrame, n_total: int = N_TOTAL) -> DataFrame:

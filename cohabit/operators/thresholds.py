@@ -30,7 +30,8 @@ def passed(x: Column, thresholds: Sequence[float]) -> Column:
     return out
 
 
-def _levels(abundance: DataFrame, ids: DataFrame, thresholds: Sequence[float], label: str | None = None) -> DataFrame:
+def levels_of(abundance: DataFrame, ids: DataFrame, thresholds: Sequence[float], label: str | None = None) -> DataFrame:
+    """(acc, tax_id[, label], level): how many thresholds a listed taxon passes in each dataset, where it passes any."""
     keys = ["tax_id", *([label] if label else [])]
     best = need(abundance, "acc", *keys, "total_abundance").join(ids, keys, "left_semi").groupBy("acc", *keys).agg(F.max("total_abundance").alias("x"))
     return best.select("acc", *keys, passed(F.col("x"), thresholds).alias("level")).where("level > 0")
@@ -45,7 +46,7 @@ def _at_least(counts: DataFrame, keys: list[str], level: str, value: str) -> Dat
 def threshold_counts(abundance: DataFrame, ids: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """(tax_id, threshold, n) for each listed id and threshold; ids without data count 0."""
     ids = ids.select("tax_id").distinct()
-    hist = _levels(abundance, ids, thresholds).groupBy("tax_id", F.col("level").alias("i")).agg(F.count("*").alias("n"))
+    hist = levels_of(abundance, ids, thresholds).groupBy("tax_id", F.col("level").alias("i")).agg(F.count("*").alias("n"))
     steps = F.broadcast(grid(abundance.sparkSession, thresholds))
     full = ids.crossJoin(steps).join(hist, ["tax_id", "i"], "left").fillna(0, ["n"])
     return _at_least(full, ["tax_id"], "i", "n").select("tax_id", "threshold", "n")
@@ -67,11 +68,16 @@ def joint_counts(hosts: DataFrame, microbes: DataFrame, skeleton: DataFrame, thr
     """
     names = ["host_tax_id", "path_tax_id", *(["pathogen_root_label"] if label else [])]
     skeleton = skeleton.select(*names).distinct()
-    h = _levels(hosts, skeleton.select(F.col("host_tax_id").alias("tax_id")).distinct(), thresholds).withColumnsRenamed({"tax_id": "host_tax_id", "level": "i"})
+    h = levels_of(hosts, skeleton.select(F.col("host_tax_id").alias("tax_id")).distinct(), thresholds).withColumnsRenamed({"tax_id": "host_tax_id", "level": "i"})
     ids = skeleton.select(F.col("path_tax_id").alias("tax_id"), *([F.col("pathogen_root_label").alias("pathogen_type")] if label else [])).distinct()
-    m = _levels(microbes, ids, thresholds, "pathogen_type" if label else None).withColumnsRenamed({"tax_id": "path_tax_id", "level": "j", "pathogen_type": "pathogen_root_label"})
+    m = levels_of(microbes, ids, thresholds, "pathogen_type" if label else None).withColumnsRenamed({"tax_id": "path_tax_id", "level": "j", "pathogen_type": "pathogen_root_label"})
     hist = h.join(m, "acc").groupBy(*names, "i", "j").agg(F.count("*").alias("n"))
-    steps = grid(skeleton.sparkSession, thresholds)
+    return pair_cells(hist, skeleton, thresholds)
+
+
+def pair_cells(hist: DataFrame, skeleton: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """Counts for every pair of ``skeleton`` and every two thresholds, from a histogram over levels (i, j, n) of each pair."""
+    names, steps = skeleton.columns, grid(skeleton.sparkSession, thresholds)
     cells = skeleton.crossJoin(F.broadcast(steps.select("i", F.col("threshold").alias("host_threshold")))).crossJoin(F.broadcast(steps.select(F.col("i").alias("j"), F.col("threshold").alias("path_threshold"))))
     full = cells.join(hist, [*names, "i", "j"], "left").fillna(0, ["n"])
     # one exchange by pair serves both sums
@@ -97,21 +103,11 @@ def expected_rows(pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS) ->
 
 
 def shared_counts(hosts: DataFrame, microbes: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """What intersecting the ``threshold_sets`` of all hosts and all microbes gives, without a list: joined by dataset."""
+    """What intersecting the sets of all hosts and all microbes gives (``bitmaps`` keeps the sets), joined by dataset."""
     h, m = (pairs.select(c).distinct() for c in ("host_tax_id", "path_tax_id"))
     return joint_counts(hosts, microbes, h.crossJoin(m), thresholds).withColumnRenamed("both_dataset_count", "num_shared_datasets")
 
 
-def threshold_sets(abundance: DataFrame, ids: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """(tax_id, threshold, n, datasets): also the list of datasets, for small studies; no registered query uses it."""
-    levels = _levels(abundance, ids.select("tax_id").distinct(), thresholds)
-    steps = F.broadcast(grid(abundance.sparkSession, thresholds))
-    found = levels.join(steps, F.col("i") <= F.col("level")).groupBy("tax_id", "i").agg(F.collect_set("acc").alias("datasets"))
-    full = ids.select("tax_id").distinct().crossJoin(steps).join(found, ["tax_id", "i"], "left")
-    lists = F.coalesce("datasets", F.array().cast("array<string>"))
-    return full.select("tax_id", "threshold", F.size(lists).cast("long").alias("n"), lists.alias("datasets"))
-
-
 def listed_shared_counts(hosts: DataFrame, microbes: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS, dedupe_pairs: bool = False) -> DataFrame:
     """The older form: listed pairs only, microbes of the pair's label only, repeated pairs kept unless ``dedupe_pairs``."""
     names = ["host_tax_id", "path_tax_id", "pathogen_root_label"]
@@ -119,16 +115,9 @@ def listed_shared_counts(hosts: DataFrame, microbes: DataFrame, pairs: DataFrame
     listed = listed.distinct() if dedupe_pairs else listed
     h = threshold_counts(hosts, listed.select(F.col("host_tax_id").alias("tax_id")), thresholds).toDF("host_tax_id", "host_threshold", "num_host_datasets")
     ids = listed.select(F.col("path_tax_id").alias("tax_id"), F.col("pathogen_root_label").alias("pathogen_type")).distinct()
-    hist = _levels(microbes, ids, thresholds, "pathogen_type").groupBy("tax_id", "pathogen_type", F.col("level").alias("i")).agg(F.count("*").alias("n"))
+    hist = levels_of(microbes, ids, thresholds, "pathogen_type").groupBy("tax_id", "pathogen_type", F.col("level").alias("i")).agg(F.count("*").alias("n"))
     full = ids.crossJoin(F.broadcast(grid(hosts.sparkSession, thresholds))).join(hist, ["tax_id", "pathogen_type", "i"], "left").fillna(0, ["n"])
     m = _at_least(full, ["tax_id", "pathogen_type"], "i", "n").select(F.col("tax_id").alias("path_tax_id"), F.col("pathogen_type").alias("pathogen_root_label"), F.col("threshold").alias("path_threshold"), F.col("n").alias("num_pathogen_datasets"))
     both = joint_counts(hosts, microbes, listed, thresholds, label=True).withColumnRenamed("both_dataset_count", "num_shared_datasets")
     out = listed.join(both, names).join(h, ["host_tax_id", "host_threshold"]).join(m, ["path_tax_id", "pathogen_root_label", "path_threshold"])
     return out.select(*names, "host_threshold", F.col("path_threshold").alias("pathogen_threshold"), "num_host_datasets", "num_pathogen_datasets", "num_shared_datasets")
-
-
-def shared_by_lists(hosts: DataFrame, microbes: DataFrame) -> DataFrame:
-    """Joint counts from two ``threshold_sets`` by intersecting their lists (small studies; ``shared_counts`` needs no lists)."""
-    h = hosts.toDF("host_tax_id", "host_threshold", "num_host_datasets", "host_datasets")
-    m = microbes.toDF("path_tax_id", "path_threshold", "num_pathogen_datasets", "path_datasets")
-    return h.crossJoin(m).select("host_tax_id", "path_tax_id", "host_threshold", "path_threshold", F.size(F.array_intersect("host_datasets", "path_datasets")).cast("long").alias("num_shared_datasets"))

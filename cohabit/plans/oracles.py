@@ -39,11 +39,12 @@ _ODDS = "log2((both_dataset_count / n + 1 / n) / ((host_dataset_count / n) * (pa
 _KEYS = "host_tax_id, path_tax_id, round(host_threshold, 9) AS host_threshold, round(path_threshold, 9) AS path_threshold, host_dataset_count, pathogen_dataset_count, both_dataset_count"
 
 
-def _classes(rows: tuple) -> str:
+def _classes(rows: tuple, sampled: bool = True) -> str:
     values = ", ".join(str(r) for r in rows)
+    chosen = "JOIN samp USING (host_tax_id, path_tax_id, Interaction_type)" if sampled else ""
     return f"""cmp(comparison, pos_class, neg_class) AS (VALUES {values}),
 sc AS (SELECT comparison, host_threshold, path_threshold, round({_ODDS}, 9) AS s, CASE WHEN Interaction_type = pos_class THEN 1 ELSE 0 END AS pos
-       FROM lgrid JOIN samp USING (host_tax_id, path_tax_id, Interaction_type) CROSS JOIN n JOIN cmp ON Interaction_type IN (pos_class, neg_class)),
+       FROM lgrid {chosen} CROSS JOIN n JOIN cmp ON Interaction_type IN (pos_class, neg_class)),
 side AS (SELECT comparison, host_threshold, path_threshold, sum(pos) AS np, sum(1 - pos) AS nn,
          CASE WHEN median(CASE WHEN pos = 0 THEN s END) <= median(CASE WHEN pos = 1 THEN s END) THEN 1 ELSE -1 END AS sign FROM sc GROUP BY ALL HAVING sum(pos) > 0 AND sum(1 - pos) > 0),
 x AS (SELECT comparison, host_threshold, path_threshold, s * sign AS s, pos, np, nn, sign FROM sc JOIN side USING (comparison, host_threshold, path_threshold)),
@@ -51,14 +52,15 @@ auc AS (SELECT a.comparison, a.host_threshold, a.path_threshold, avg(CASE WHEN a
         FROM x a JOIN x b USING (comparison, host_threshold, path_threshold) WHERE a.pos = 1 AND b.pos = 0 GROUP BY ALL)"""
 
 
-def _auc(rows: tuple) -> str:
-    return f"""{_grid(THRESHOLDS)}, {_LABELS}, {_classes(rows)},
+def _auc(rows: tuple, sampled: bool = True, ties: str = "row_number") -> str:
+    last = ", tp DESC" if ties == "row_number" else ""
+    return f"""{_grid(THRESHOLDS)}, {_LABELS}, {_classes(rows, sampled)},
 cut AS (SELECT DISTINCT comparison, host_threshold, path_threshold, s AS c FROM x UNION SELECT DISTINCT comparison, host_threshold, path_threshold, CAST('-inf' AS DOUBLE) FROM x),
 pt AS (SELECT cut.comparison, cut.host_threshold, cut.path_threshold, c, any_value(np) AS np, any_value(nn) AS nn, sum(CASE WHEN pos = 1 AND s > c THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN pos = 0 AND s <= c THEN 1 ELSE 0 END) AS tn
        FROM cut JOIN x USING (comparison, host_threshold, path_threshold) GROUP BY ALL),
-best AS (SELECT comparison, host_threshold, path_threshold, tp + tn AS n_correct FROM (SELECT *, row_number() OVER (PARTITION BY comparison, host_threshold, path_threshold ORDER BY tp * nn + tn * np DESC, tp DESC) AS k FROM pt) WHERE k = 1),
+best AS (SELECT comparison, host_threshold, path_threshold, tp + tn AS n_correct FROM (SELECT *, {ties}() OVER (PARTITION BY comparison, host_threshold, path_threshold ORDER BY tp * nn + tn * np DESC{last}) AS k FROM pt) WHERE k = 1),
 cnt AS (SELECT comparison, host_threshold, path_threshold, count(*) AS n_total FROM sc GROUP BY ALL),
-res AS (SELECT comparison, round(host_threshold, 9) AS host_threshold, round(path_threshold, 9) AS path_threshold, round(auc, 6) AS auc, CAST(coalesce(n_total, 0) AS BIGINT) AS n_total, CAST(n_correct AS BIGINT) AS n_correct, auc AS raw
+res AS (SELECT comparison, round(host_threshold, 9) AS host_threshold, round(path_threshold, 9) AS path_threshold, auc, CAST(coalesce(n_total, 0) AS BIGINT) AS n_total, CAST(n_correct AS BIGINT) AS n_correct
         FROM (SELECT DISTINCT host_threshold, path_threshold FROM grid) CROSS JOIN (SELECT comparison FROM cmp) LEFT JOIN cnt USING (comparison, host_threshold, path_threshold)
         LEFT JOIN auc USING (comparison, host_threshold, path_threshold) LEFT JOIN best USING (comparison, host_threshold, path_threshold))"""
 
@@ -67,8 +69,9 @@ _ONE = (("PHI vs Neg", "PHI-Base", "Negative Control"),)
 _SIGN = "CASE WHEN substr(md5(CAST({key} AS VARCHAR) || '#' || CAST(d // 32 AS VARCHAR)), CAST(d % 32 + 1 AS BIGINT), 1) < '8' THEN -1 ELSE 1 END"
 
 
-def _embedding(of: str, over: str) -> str:
-    return f"""{DUCKDB} SELECT {of}, CAST(d AS INTEGER) AS dim, round(sum(total_abundance * {_SIGN.format(key=over)}) / sqrt({STUDY.dims}), 6) AS value
+def _embedding(of: str, over: str, shown: str = "round({}, 6) + 0.0") -> str:
+    value = shown.format(f"(sum(total_abundance * {_SIGN.format(key=over)}) / sqrt({STUDY.dims}))")
+    return f"""{DUCKDB} SELECT {of}, CAST(d AS INTEGER) AS dim, {value} AS value
 FROM fx_abundance CROSS JOIN range({STUDY.dims}) r(d) GROUP BY {of}, d"""
 
 
@@ -79,6 +82,14 @@ def _pmf(x: str, white: str, black: str, draws: str) -> str:
     return f"exp({_LC.format(n=white, k=x)} + {_LC.format(n=black, k=f'({draws} - {x})')} - {_LC.format(n=f'({white} + {black})', k=draws)})"
 
 
+def _margins(n: str) -> str:
+    """k: distinct counts; mg: distinct margins, their support and the range of shared counts; pm: probabilities of each margin wherever they count."""
+    return f"""k AS (SELECT DISTINCT host_dataset_count AS h, pathogen_dataset_count AS m, both_dataset_count AS s, {n} AS n FROM grid CROSS JOIN n),
+mg AS (SELECT h, m, n, greatest(0, m - (n - h)) AS lo, least(h, m) AS hi, min(s) AS s0, max(s) AS s1, m * h / n AS mu, sqrt(greatest(1, m * h / n * (1 - h / n) * (n - m) / (n - 1))) AS sd FROM k GROUP BY ALL),
+pm AS (SELECT h, m, x, {_pmf("x", "h", "(n - h)", "m")} AS q
+       FROM (SELECT *, unnest(range(CAST(greatest(lo, least(s0, floor(mu - 12 * sd - 40))) AS BIGINT), CAST(least(hi, greatest(s1 + 5 * sd + 40, ceil(mu + 12 * sd + 40))) AS BIGINT) + 1)) AS x FROM mg))"""
+
+
 _PAIRS = "px AS (SELECT DISTINCT host_tax_id, microbe_tax_id, unnest(SRA_datasets) AS acc FROM fx_pairs_lists)"
 _ABUND = f"""{DUCKDB}, {_PAIRS},
 pr AS (SELECT host_tax_id, microbe_tax_id, max(CASE WHEN tax_id = host_tax_id THEN total_abundance END) AS host_abundance, max(CASE WHEN tax_id = microbe_tax_id THEN total_abundance END) AS microbe_abundance, px.acc AS SRA_accession
@@ -108,6 +119,9 @@ jl AS (SELECT p.host_tax_id, p.path_tax_id, p.pathogen_root_label, t1.threshold
 SELECT p.host_tax_id, p.path_tax_id, p.pathogen_root_label, jl.host_threshold, jl.path_threshold AS pathogen_threshold, host_dataset_count AS num_host_datasets, ml.c AS num_pathogen_datasets, jl.c AS num_shared_datasets
 FROM fx_meta p JOIN jl USING (host_tax_id, path_tax_id, pathogen_root_label) JOIN hc USING (host_tax_id, host_threshold) JOIN ml USING (path_tax_id, pathogen_root_label, path_threshold)""",
     "threshold_set_intersections": f"{_grid(THRESHOLDS)} SELECT host_tax_id, path_tax_id, host_threshold, path_threshold, both_dataset_count AS num_shared_datasets FROM jc",
+    "threshold_sets": f"""{_grid(THRESHOLDS)}, num AS (SELECT acc, row_number() OVER (ORDER BY acc) - 1 AS k FROM (SELECT acc FROM fx_host UNION SELECT acc FROM fx_microbe)),
+b AS (SELECT tax_id, acc, max(total_abundance) AS x FROM fx_host WHERE tax_id IN (FROM hids) GROUP BY ALL UNION ALL SELECT tax_id, acc, max(total_abundance) FROM fx_microbe WHERE tax_id IN (FROM mids) GROUP BY ALL)
+SELECT tax_id, threshold, k // 32768 AS chunk, count(*) AS n, sha256(string_agg(k, ',' ORDER BY k)) AS members_sha256 FROM b JOIN t ON x >= threshold JOIN num USING (acc) GROUP BY ALL""",
     "pair_abundance": f"{_ABUND} SELECT * FROM pr",
     "pair_abundance_summary": f"{_ABUND} SELECT count(*) AS n_rows, count(DISTINCT host_tax_id) AS n_hosts, count(DISTINCT microbe_tax_id) AS n_microbes, count(DISTINCT SRA_accession) AS n_accessions, round(avg(host_abundance), 6) AS avg_host_abundance, round(avg(microbe_abundance), 6) AS avg_microbe_abundance FROM pr",
     "unique_accessions": f"{DUCKDB} SELECT DISTINCT unnest(SRA_datasets) AS acc FROM fx_pairs_lists",
@@ -120,6 +134,8 @@ FROM fx_meta p JOIN jl USING (host_tax_id, path_tax_id, pathogen_root_label) JOI
 SELECT row_idx, col_idx, total_abundance AS value FROM fx_abundance JOIN r USING (acc) JOIN c USING (tax_id) WHERE total_abundance > 0""",
     "taxon_embeddings": _embedding("tax_id", "acc"),
     "dataset_embeddings": _embedding("acc", "tax_id"),
+    "taxon_embedding_columns": f"WITH e AS ({_embedding('tax_id', 'acc')}) SELECT tax_id, " + ", ".join(f"max(CASE WHEN dim = {i} THEN value END) AS emb_{i}" for i in range(STUDY.dims)) + " FROM e GROUP BY tax_id",
+    "dataset_vectors": f"WITH e AS ({_embedding('acc', 'tax_id', 'CAST(round({} * 1000000, 0) AS BIGINT)')}) SELECT acc, count(*) AS dims, string_agg(value, ',' ORDER BY dim) AS millionths FROM e GROUP BY acc",
     "sign_table": f"{DUCKDB} SELECT tax_id, CAST(d AS INTEGER) AS dim, {_SIGN.format(key='tax_id')} AS sign FROM (SELECT DISTINCT tax_id FROM fx_abundance) CROSS JOIN range({STUDY.dims}) r(d)",
     "taxa_ids": f"{DUCKDB} SELECT DISTINCT tax_id FROM fx_abundance",
     "coverage_report": f"""{DUCKDB}, """
@@ -130,24 +146,35 @@ SELECT row_idx, col_idx, total_abundance AS value FROM fx_abundance JOIN r USING
     "resolve_labels": f"{_grid(THRESHOLDS)}, {_LABELS} SELECT * FROM lab",
     "label_counts": f"{_grid(THRESHOLDS)}, {_LABELS} SELECT Interaction_type, count(*) AS n FROM lgrid GROUP BY ALL",
     "sample_pairs": f"{_grid(THRESHOLDS)}, {_LABELS} SELECT * FROM samp",
-    "hypergeom_score": f"""{_grid(THRESHOLDS)}, k AS (SELECT DISTINCT host_dataset_count AS h, pathogen_dataset_count AS m, both_dataset_count AS s, n.n FROM grid CROSS JOIN n),
-p AS (SELECT h, m, s, CASE WHEN s <= greatest(0, m - (n - h)) THEN 1.0 WHEN s > least(m, h) THEN 0.0 ELSE list_sum(list_transform(range(s, least(h, m) + 1), lambda x: {_pmf("x", "h", "(n - h)", "m")})) END AS p FROM k)
+    "hypergeom_score": f"""{_grid(THRESHOLDS)}, {_margins("n.n")},
+p AS (SELECT k.h, k.m, s, CASE WHEN s <= lo THEN 1.0 WHEN s > hi THEN 0.0 ELSE q END AS p FROM k JOIN mg USING (h, m) LEFT JOIN (SELECT k.h, k.m, s, sum(q) AS q FROM k JOIN pm ON pm.h = k.h AND pm.m = k.m AND x >= s GROUP BY ALL) USING (h, m, s))
 SELECT {_KEYS}, round(CASE WHEN p = 0 THEN {LEAST_P!r} ELSE p END, 6) AS hyp_geo_score, round(-log10(CASE WHEN p = 0 THEN {LEAST_P!r} ELSE least(p, 1.0) END), 4) + 0.0 AS neg_log_p
 FROM grid JOIN p ON h = host_dataset_count AND m = pathogen_dataset_count AND s = both_dataset_count""",
-    "log_odds": f"{_grid(THRESHOLDS)} SELECT {_KEYS}, round(host_dataset_count / n, 6) AS fh, round(pathogen_dataset_count / n, 6) AS fp, round(both_dataset_count / n, 6) AS fhp, round({_ODDS}, 6) AS log_odds FROM grid CROSS JOIN n",
+    # ln P(0) as a sum of small logarithms, then ratios of neighbours: exact enough for three digits far out in the tail
+    "hypergeom_log_score": f"""{_grid(THRESHOLDS)}, k AS (SELECT DISTINCT host_dataset_count AS h, pathogen_dataset_count AS m, both_dataset_count AS s FROM grid),
+mg AS (SELECT h, m, max(s) AS s1 FROM k GROUP BY ALL), z AS (SELECT h, unnest(range(1, m1 + 1)) AS m FROM (SELECT h, max(m) AS m1 FROM k GROUP BY h)),
+p0 AS (SELECT h, m, sum(ln(1 - CAST(h AS DOUBLE) / ({STUDY.n_total} - m + 1))) OVER (PARTITION BY h ORDER BY m) AS l0 FROM z),
+r AS (SELECT h, m, x, ln(CAST(h - x + 1 AS DOUBLE) * (m - x + 1) / (CAST(x AS DOUBLE) * ({STUDY.n_total} - h - m + x))) AS l FROM (SELECT h, m, unnest(range(1, least(h, m, s1 + 60) + 1)) AS x FROM mg)),
+lp AS (SELECT h, m, x, l0 + sum(l) OVER (PARTITION BY h, m ORDER BY x) AS l FROM r JOIN p0 USING (h, m)),
+p AS (SELECT k.h, k.m, s, any_value(a.l) + ln(sum(exp(b.l - a.l))) AS l FROM k JOIN lp a ON a.h = k.h AND a.m = k.m AND a.x = s JOIN lp b ON b.h = k.h AND b.m = k.m AND b.x BETWEEN s AND s + 60 GROUP BY ALL)
+SELECT {_KEYS}, round(-coalesce(l, 0.0) / ln(10.0), 3) + 0.0 AS neg_log_p FROM grid LEFT JOIN p ON h = host_dataset_count AND m = pathogen_dataset_count AND s = both_dataset_count""",
+    "fisher_p_universe": f"""{_grid(THRESHOLDS)}, {_margins("n.n")},
+p AS (SELECT k.h, k.m, s, least(1.0, sum(pm.q)) AS p FROM k JOIN pm o ON o.h = k.h AND o.m = k.m AND o.x = s JOIN pm ON pm.h = k.h AND pm.m = k.m AND pm.q <= o.q * (1 + 1e-7) GROUP BY ALL)
+SELECT {_KEYS}, round(p, 6) AS fisher_p FROM grid LEFT JOIN p ON h = host_dataset_count AND m = pathogen_dataset_count AND s = both_dataset_count""",
+    "log_odds": f"{_grid(THRESHOLDS)} SELECT {_KEYS}, host_dataset_count / n AS fh, pathogen_dataset_count / n AS fp, both_dataset_count / n AS fhp, round({_ODDS}, 9) + 0.0 AS log_odds FROM grid CROSS JOIN n",
     "log_odds_local": f"""{_grid(THRESHOLDS)}, l AS (SELECT *, CAST(nullif(host_dataset_count + pathogen_dataset_count, 0) AS DOUBLE) AS k FROM grid)
-SELECT {_KEYS}, round(host_dataset_count / k, 6) AS fh_2, round(pathogen_dataset_count / k, 6) AS fp_2, round(both_dataset_count / k, 6) AS fhp_2,
- round(log2((both_dataset_count / k + 1 / k) / ((host_dataset_count / k) * (pathogen_dataset_count / k) + 1 / k)), 6) AS log_odds_2 FROM l""",
+SELECT {_KEYS}, host_dataset_count / k AS fh_2, pathogen_dataset_count / k AS fp_2, both_dataset_count / k AS fhp_2,
+ round(log2((both_dataset_count / k + 1 / k) / ((host_dataset_count / k) * (pathogen_dataset_count / k) + 1 / k)), 9) AS log_odds_2 FROM l""",
     "cooccurrence_metrics": f"""{_grid(THRESHOLDS)}, q AS (SELECT grid.*, n, CAST(both_dataset_count AS DOUBLE) AS a, greatest(host_dataset_count - both_dataset_count, 0.0) AS b, greatest(pathogen_dataset_count - both_dataset_count, 0.0) AS c FROM grid CROSS JOIN n),
 r AS (SELECT *, n - (a + b + c) AS d FROM q),
 s AS (SELECT *, a / n AS pa_, b / n AS pb_, c / n AS pc_, d / n AS pd_ FROM r)
-SELECT {_KEYS}, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d, round(CASE WHEN a + b + c > 0 THEN a / (a + b + c) END, 6) AS jaccard, round(CASE WHEN 2 * a + b + c > 0 THEN 2 * a / (2 * a + b + c) END, 6) AS sorensen_dice,
- round(CASE WHEN a + b > 0 AND a + c > 0 THEN a / sqrt((a + b) * (a + c)) END, 6) AS ochiai,
- round(CASE WHEN a + b > 0 AND a + c > 0 AND b + d > 0 AND c + d > 0 THEN (a * d - b * c) / sqrt((a + b) * (a + c) * (b + d) * (c + d)) END, 6) AS phi,
- CAST((host_dataset_count - a) * (pathogen_dataset_count - a) AS DOUBLE) AS c_score, round(pa_, 6) AS p_a, round(pb_, 6) AS p_b, round(pc_, 6) AS p_c, round(pd_, 6) AS p_d,
- round(pa_ + pb_, 6) AS p_row1, round(pc_ + pd_, 6) AS p_row2, round(pa_ + pc_, 6) AS p_col1, round(pb_ + pd_, 6) AS p_col2,
+SELECT {_KEYS}, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d, CASE WHEN a + b + c > 0 THEN a / (a + b + c) END AS jaccard, CASE WHEN 2 * a + b + c > 0 THEN 2 * a / (2 * a + b + c) END AS sorensen_dice,
+ CASE WHEN a + b > 0 AND a + c > 0 THEN a / sqrt((a + b) * (a + c)) END AS ochiai,
+ CASE WHEN a + b > 0 AND a + c > 0 AND b + d > 0 AND c + d > 0 THEN (a * d - b * c) / sqrt((a + b) * (a + c) * (b + d) * (c + d)) END AS phi,
+ CAST((host_dataset_count - a) * (pathogen_dataset_count - a) AS DOUBLE) AS c_score, pa_ AS p_a, pb_ AS p_b, pc_ AS p_c, pd_ AS p_d,
+ pa_ + pb_ AS p_row1, pc_ + pd_ AS p_row2, pa_ + pc_ AS p_col1, pb_ + pd_ AS p_col2,
  round(CASE WHEN pa_ > 0 THEN pa_ * log2(pa_ / ((pa_ + pb_) * (pa_ + pc_))) ELSE 0 END + CASE WHEN pb_ > 0 THEN pb_ * log2(pb_ / ((pa_ + pb_) * (pb_ + pd_))) ELSE 0 END
-     + CASE WHEN pc_ > 0 THEN pc_ * log2(pc_ / ((pc_ + pd_) * (pa_ + pc_))) ELSE 0 END + CASE WHEN pd_ > 0 THEN pd_ * log2(pd_ / ((pc_ + pd_) * (pb_ + pd_))) ELSE 0 END, 6) + 0.0 AS mutual_info FROM s""",
+     + CASE WHEN pc_ > 0 THEN pc_ * log2(pc_ / ((pc_ + pd_) * (pa_ + pc_))) ELSE 0 END + CASE WHEN pd_ > 0 THEN pd_ * log2(pd_ / ((pc_ + pd_) * (pb_ + pd_))) ELSE 0 END, 9) + 0.0 AS mutual_info FROM s""",
     "fisher_p": f"""{_grid(THRESHOLDS)}, k AS (SELECT DISTINCT host_dataset_count AS h, pathogen_dataset_count AS m, both_dataset_count AS a FROM grid),
 u AS (SELECT h, m, a, h - a AS b, m - a AS c, (h - a) + (m - a) AS d FROM k),
 w AS (SELECT *, a + b AS wh, c + d AS bl, a + c AS dr FROM u WHERE b >= 0 AND c >= 0),
@@ -156,15 +183,21 @@ SELECT {_KEYS}, round(least(1.0, list_sum(list_filter(ps, lambda q: q <= p0 * (1
     "roc_points": f"""{_grid(THRESHOLDS)}, {_LABELS}, {_classes(_ONE)},
 v AS (SELECT DISTINCT comparison, host_threshold, path_threshold, s, sign, np, nn FROM x),
 cut AS (SELECT *, (s + lead(s) OVER (PARTITION BY comparison, host_threshold, path_threshold ORDER BY s)) / 2 AS c FROM v UNION ALL SELECT DISTINCT comparison, host_threshold, path_threshold, CAST('-inf' AS DOUBLE), sign, np, nn, CAST(NULL AS DOUBLE) FROM v)
-SELECT cut.comparison, round(cut.host_threshold, 9) AS host_threshold, round(cut.path_threshold, 9) AS path_threshold, round(c * cut.sign, 6) AS cutoff,
- round((SELECT count(*) FROM x WHERE x.pos = 0 AND x.s <= cut.s AND x.comparison = cut.comparison AND x.host_threshold = cut.host_threshold AND x.path_threshold = cut.path_threshold) / nn, 6) AS specificity,
- round((SELECT count(*) FROM x WHERE x.pos = 1 AND x.s > cut.s AND x.comparison = cut.comparison AND x.host_threshold = cut.host_threshold AND x.path_threshold = cut.path_threshold) / np, 6) AS sensitivity, round(auc, 6) AS auc
+SELECT cut.comparison, round(cut.host_threshold, 9) AS host_threshold, round(cut.path_threshold, 9) AS path_threshold, c * cut.sign AS cutoff,
+ (SELECT count(*) FROM x WHERE x.pos = 0 AND x.s <= cut.s AND x.comparison = cut.comparison AND x.host_threshold = cut.host_threshold AND x.path_threshold = cut.path_threshold) / nn AS specificity,
+ (SELECT count(*) FROM x WHERE x.pos = 1 AND x.s > cut.s AND x.comparison = cut.comparison AND x.host_threshold = cut.host_threshold AND x.path_threshold = cut.path_threshold) / np AS sensitivity, auc
 FROM cut JOIN auc USING (comparison, host_threshold, path_threshold)""",
-    "auc_summary": f"{_auc(_ONE)} SELECT * EXCLUDE raw FROM res",
-    "auc_grid": f"{_auc(COMPARISONS)} SELECT * EXCLUDE raw FROM res",
-    "roc_label_text": f"{_auc(_ONE)} SELECT comparison, host_threshold, path_threshold, 'AUC = ' || coalesce(printf('%.2f', CAST(round(CAST(round(raw, 9) AS DECIMAL(18, 9)), 2) AS DOUBLE)), 'NA') || chr(10) || 'N = ' || n_total AS label FROM res",
+    "auc_summary": f"{_auc(_ONE)} SELECT * FROM res",
+    "auc_grid": f"{_auc(COMPARISONS)} SELECT * FROM res",
+    "auc_grid_all_ties": f"{_auc(COMPARISONS, ties='rank')} SELECT * FROM res",
+    "auc_grid_unsampled": f"{_auc(COMPARISONS, sampled=False)} SELECT * FROM res",
+    "class_medians": f"""{_grid(THRESHOLDS)}, {_LABELS}, {_classes(COMPARISONS, sampled=False)}
+SELECT comparison, round(host_threshold, 9) AS host_threshold, round(path_threshold, 9) AS path_threshold, median(CASE WHEN pos = 1 THEN s END) AS case_median, median(CASE WHEN pos = 0 THEN s END) AS control_median
+FROM sc GROUP BY ALL HAVING sum(pos) > 0 AND sum(1 - pos) > 0""",
+    "roc_label_text": f"{_auc(_ONE)} SELECT comparison, host_threshold, path_threshold, 'AUC = ' || coalesce(printf('%.2f', CAST(round(CAST(round(auc, 9) AS DECIMAL(18, 9)), 2) AS DOUBLE)), 'NA') || chr(10) || 'N = ' || n_total AS label FROM res",
     "score_histogram": f"""{_grid(THRESHOLDS)}, {_LABELS}, h AS (SELECT Interaction_type, round({_ODDS}, 9) AS x FROM lgrid JOIN samp USING (host_tax_id, path_tax_id, Interaction_type) CROSS JOIN n), e AS (SELECT min(x) AS lo, max(x) AS hi FROM h)
 SELECT Interaction_type, CAST(CASE WHEN hi > lo THEN least(50, 1 + floor((x - lo) / (hi - lo) * 50)) ELSE 1 END AS INTEGER) AS bin, count(*) AS n FROM h CROSS JOIN e GROUP BY ALL""",
     "status": f"{DUCKDB} SELECT 'Loaded ' || count(*) || ' pairs' AS status FROM fx_meta",
     "io_roundtrip": f"{DUCKDB} SELECT acc, tax_id, total_abundance FROM fx_abundance",
 }
+ORACLES |= {"shared_by_bitmaps": ORACLES["threshold_set_intersections"], "listed_pairs_by_bitmaps": ORACLES["listed_pair_shared_counts"]}

@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohabit.config import Study
-from cohabit.operators import diversity, embed, evaluate, extract, labels, matrix, scores, thresholds
+from cohabit.operators import bitmaps, diversity, embed, evaluate, extract, labels, matrix, scores, thresholds
 from cohabit.sources import io
 from cohabit.sources.fixtures import frames, population
 
 STUDY = Study()
 
 
-def _rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
-    return df.select(*[F.round(c, other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _rounded(df: DataFrame, digits: int = 6, exact: bool = False, **other: int) -> DataFrame:
+    """Rounds sums and logarithms.  Ratios of counts may be ties at any number of digits and are equal in both engines as they are: ``exact`` leaves all but the columns of ``other``."""
+    kept = lambda c, t: t != "double" or (exact and c not in other)
+    return df.select(*[F.col(c) if kept(c, t) else F.round(c, other.get(c, digits)).alias(c) for c, t in df.dtypes])
 
 
 def alpha_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,28 @@ def threshold_set_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholds.shared_counts(fx["fx_host"], fx["fx_microbe"], fx["fx_meta"])
 
 
+def threshold_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every host's and microbe's datasets at each threshold, chunk by chunk, as numbers."""
+    fx = frames(spark, sf_dir)
+    numbers = bitmaps.dataset_numbers(fx["fx_host"], fx["fx_microbe"])
+    sets = [bitmaps.threshold_sets(bitmaps.level_sets(fx[t], fx["fx_meta"].select(F.col(c).alias("tax_id")).distinct(), numbers)) for t, c in (("fx_host", "host_tax_id"), ("fx_microbe", "path_tax_id"))]
+    listed = F.array_join(F.col("members").cast("array<string>"), ",")
+    return bitmaps.members(sets[0].unionByName(sets[1])).select("tax_id", "threshold", "chunk", "n", F.sha2(listed, 256).alias("members_sha256"))
+
+
+def shared_by_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = frames(spark, sf_dir)
+    numbers = bitmaps.dataset_numbers(fx["fx_host"], fx["fx_microbe"])
+    ids = [fx["fx_meta"].select(c).distinct() for c in ("host_tax_id", "path_tax_id")]
+    sets = [bitmaps.level_sets(fx[t], i.toDF("tax_id"), numbers) for t, i in zip(("fx_host", "fx_microbe"), ids, strict=True)]
+    return bitmaps.shared_counts(*sets, ids[0].crossJoin(ids[1]))
+
+
+def listed_pairs_by_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = frames(spark, sf_dir)
+    return bitmaps.listed_shared_counts(fx["fx_host"], fx["fx_microbe"], fx["fx_meta"])
+
+
 def pair_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = frames(spark, sf_dir)
     return extract.pair_abundance(fx["fx_pairs_lists"], fx["fx_abundance"])
@@ -115,6 +139,18 @@ def dataset_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(embed.dataset_embeddings(frames(spark, sf_dir)["fx_abundance"], STUDY.dims))
 
 
+def taxon_embedding_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wide row per taxon, as a sink of columns wants it."""
+    return _rounded(embed.as_columns(embed.taxon_vectors(frames(spark, sf_dir)["fx_abundance"], STUDY.dims), "tax_id", STUDY.dims))
+
+
+def dataset_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector per dataset, here as a text of its values in millionths."""
+    vectors = embed.dataset_vectors(frames(spark, sf_dir)["fx_abundance"], STUDY.dims)
+    whole = F.transform("embedding", lambda x: F.round(x * 1_000_000, 0).cast("long").cast("string"))
+    return vectors.select("acc", F.size("embedding").cast("long").alias("dims"), F.array_join(whole, ",").alias("millionths"))
+
+
 def sign_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.sign_table(frames(spark, sf_dir)["fx_abundance"], "tax_id", STUDY.dims)
 
@@ -165,19 +201,31 @@ def hypergeom_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scores.hypergeom_score(grid, population(spark, sf_dir)), neg_log_p=4, host_threshold=9, path_threshold=9)
 
 
+def hypergeom_log_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the full population of datasets, in logarithms."""
+    _, grid = _grid(spark, sf_dir)
+    return _rounded(scores.hypergeom_score(grid, STUDY.n_total, log_space=True).drop("hyp_geo_score"), neg_log_p=3, host_threshold=9, path_threshold=9)
+
+
+def fisher_p_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against all datasets instead of the pair's own."""
+    _, grid = _grid(spark, sf_dir)
+    return _rounded(scores.fisher_p(grid, population(spark, sf_dir)), host_threshold=9, path_threshold=9)
+
+
 def log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, grid = _grid(spark, sf_dir)
-    return _rounded(scores.log_odds(grid, population(spark, sf_dir)), host_threshold=9, path_threshold=9)
+    return _rounded(scores.log_odds(grid, population(spark, sf_dir)), exact=True, log_odds=9, host_threshold=9, path_threshold=9)
 
 
 def log_odds_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, grid = _grid(spark, sf_dir)
-    return _rounded(scores.log_odds_local(grid), host_threshold=9, path_threshold=9)
+    return _rounded(scores.log_odds_local(grid), exact=True, log_odds_2=9, host_threshold=9, path_threshold=9)
 
 
 def cooccurrence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, grid = _grid(spark, sf_dir)
-    return _rounded(scores.cooccurrence_metrics(grid, population(spark, sf_dir)), host_threshold=9, path_threshold=9)
+    return _rounded(scores.cooccurrence_metrics(grid, population(spark, sf_dir)), exact=True, mutual_info=9, host_threshold=9, path_threshold=9)
 
 
 def fisher_p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,17 +241,33 @@ def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = evaluate.roc_points(_sampled(spark, sf_dir))
-    # halfway between scores of 9 decimals: 10 are exact, and only then is half a millionth rounded up
-    finite = F.round(F.when(F.abs("cutoff") < float("inf"), F.col("cutoff")), 10)
-    return _rounded(points.withColumn("cutoff", finite), host_threshold=9, path_threshold=9)
+    finite = F.when(F.abs("cutoff") < float("inf"), F.col("cutoff"))
+    return _rounded(points.withColumn("cutoff", finite), exact=True, host_threshold=9, path_threshold=9)
 
 
 def auc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.auc_summary(_sampled(spark, sf_dir)), host_threshold=9, path_threshold=9)
+    return _rounded(evaluate.auc_summary(_sampled(spark, sf_dir)), exact=True, host_threshold=9, path_threshold=9)
 
 
 def auc_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.auc_grid(_sampled(spark, sf_dir)), host_threshold=9, path_threshold=9)
+    return _rounded(evaluate.auc_grid(_sampled(spark, sf_dir)), exact=True, host_threshold=9, path_threshold=9)
+
+
+def auc_grid_all_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All best cutoffs of a combination where several tie."""
+    return _rounded(evaluate.auc_grid(_sampled(spark, sf_dir), ties="all"), exact=True, host_threshold=9, path_threshold=9)
+
+
+def auc_grid_unsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid over all pairs instead of a sample of each label."""
+    scored = scores.log_odds(_labelled(spark, sf_dir), population(spark, sf_dir)).withColumn("log_odds", F.round("log_odds", 9))
+    return _rounded(evaluate.auc_grid(scored), exact=True, host_threshold=9, path_threshold=9)
+
+
+def class_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians of the scores of either class over all pairs."""
+    scored = scores.log_odds(_labelled(spark, sf_dir), population(spark, sf_dir)).withColumn("log_odds", F.round("log_odds", 9))
+    return _rounded(evaluate.class_medians(scored), exact=True, host_threshold=9, path_threshold=9)
 
 
 def roc_label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,8 +295,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         alpha_diversity, host_threshold_counts, microbe_threshold_counts, pair_abundances, joint_threshold_counts, threshold_summary, expected_rows, listed_pair_shared_counts,
-        threshold_set_intersections, pair_abundance, pair_abundance_summary, unique_accessions, accession_metadata, accession_metadata_with_pairs, metadata_summary,
-        coo_index_rows, coo_index_cols, coo_matrix, taxon_embeddings, dataset_embeddings, sign_table, taxa_ids, coverage_report, duplicate_pairs, duplicate_labels, resolve_labels,
-        label_counts, sample_pairs, hypergeom_score, log_odds, log_odds_local, cooccurrence_metrics, fisher_p, roc_points, auc_summary, auc_grid, roc_label_text, score_histogram, status, io_roundtrip,
+        threshold_set_intersections, threshold_sets, shared_by_bitmaps, listed_pairs_by_bitmaps, pair_abundance, pair_abundance_summary, unique_accessions, accession_metadata, accession_metadata_with_pairs, metadata_summary,
+        coo_index_rows, coo_index_cols, coo_matrix, taxon_embeddings, taxon_embedding_columns, dataset_embeddings, dataset_vectors, sign_table, taxa_ids, coverage_report, duplicate_pairs, duplicate_labels, resolve_labels,
+        label_counts, sample_pairs, hypergeom_score, hypergeom_log_score, log_odds, log_odds_local, cooccurrence_metrics, fisher_p, fisher_p_universe, roc_points, auc_summary, auc_grid, auc_grid_all_ties, auc_grid_unsampled, class_medians, roc_label_text, score_histogram, status, io_roundtrip,
     )
 }

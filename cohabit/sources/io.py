@@ -149,6 +149,18 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside hand at most so many rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Discards at its end whatever was materialised inside it, but for the frames given to the function that it yields."""

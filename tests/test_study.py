@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohabit import schemas
 from cohabit.functions.stats import fisher, log_pmf, upper_tail
-from cohabit.operators import diversity, embed, evaluate, extract, labels, matrix, scores, thresholds
+from cohabit.operators import bitmaps, diversity, embed, evaluate, extract, labels, matrix, scores, thresholds
 from cohabit.sources import io
 
 
@@ -64,8 +64,14 @@ def test_shared_counts_brute_force(spark):
     keep = lambda rows, t, x: {r[1] for r in rows if r[0] == t and r[2] is not None and r[2] >= x}
     want = {(a, b, x, y): len(keep(h, a, x) & keep(m, b, y)) for a, b, x, y in product((1, 2, 9), (3, 4), levels, levels)}
     assert {tuple(r)[:4]: r[4] for r in thresholds.shared_counts(hosts, microbes, pairs, levels).collect()} == want
-    sets = (thresholds.threshold_sets(df, pairs.select(pairs[c].alias("tax_id")), levels) for df, c in ((hosts, "host_tax_id"), (microbes, "path_tax_id")))
-    assert {tuple(r)[:4]: r[4] for r in thresholds.shared_by_lists(*sets).collect()} == want
+    numbers = bitmaps.dataset_numbers(hosts, microbes)
+    sets = [bitmaps.level_sets(df, pairs.select(pairs[c].alias("tax_id")).distinct(), numbers, levels) for df, c in ((hosts, "host_tax_id"), (microbes, "path_tax_id"))]
+    every = pairs.select("host_tax_id").distinct().crossJoin(pairs.select("path_tax_id").distinct())
+    assert {tuple(r)[:4]: r[4] for r in bitmaps.shared_counts(*sets, every, levels).collect()} == want
+    name = {r["number"]: r["acc"] for r in numbers.collect()}
+    for rows, s in ((h, sets[0]), (m, sets[1])):
+        got = {(r["tax_id"], r["threshold"]): {name[k] for k in r["members"]} for r in bitmaps.members(bitmaps.threshold_sets(s, levels)).collect()}
+        assert got == {(t, x): keep(rows, t, x) for t in {r[0] for r in rows} - {8} for x in levels if keep(rows, t, x)}
 
 
 def test_accession_lists(spark):
