@@ -48,6 +48,7 @@ class PieceBPE:
     symbols: np.ndarray
     unknown: int
     n_ids: int
+    cutter: Cutter
 
 
 def piece_bpe(pieces: Pieces) -> PieceBPE:
@@ -60,18 +61,14 @@ def piece_bpe(pieces: Pieces) -> PieceBPE:
     order = {score: k for k, score in enumerate(sorted({s for _, _, s in pieces.rows}, reverse=True))}
     pairs = [(symbol[p[:i]], symbol[p[i:]], order[s], symbol[p]) for p, _, s in pieces.rows for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol]
     codes = np.array(sorted(ord(c) for c in symbol if len(c) == 1), dtype=np.uint32)
-    return PieceBPE(Merges.build(pairs), pieces, codes, np.array([symbol[chr(c)] for c in codes.tolist()], dtype=np.int64), 1 + max(symbol.values()), size)
+    return PieceBPE(Merges.build(pairs), pieces, codes, np.array([symbol[chr(c)] for c in codes.tolist()], dtype=np.int64), 1 + max(symbol.values()), size, Cutter(pieces))
 
 
 class PieceEncoder(Encoder):
     """Encodes texts with a piece model in one task; units are cut where no piece spans, as in ``sentencepiece``."""
 
-    def __init__(self, coder: PieceBPE) -> None:
-        super().__init__(coder)
-        self.cutter = Cutter(coder.pieces)
-
     def words(self, texts: list[str | None]) -> Units:
-        return Units(texts, self.cutter)
+        return Units(texts, self.coder.cutter)
 
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at = np.cumsum([0, *map(len, words)])

@@ -30,8 +30,8 @@ from .sentencepiece import _place, hash_codes
 
 MODEL_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 #: Text bytes cut at once, and text bytes whose new words are merged together.
-SLICE_BYTES, GROUP_BYTES = 1 << 20, 12 << 20
-HELD_WORDS = 600_000
+SLICE_BYTES, GROUP_BYTES = 1 << 19, 3 << 20
+HELD_WORDS = 400_000
 
 LETTER, NUMBER, BLANK, OTHER = range(4)
 
