@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohabit.operators.prefilter import hash_bitmap, may_hold
 from cohabit.schemas import need
 
 
@@ -21,13 +22,13 @@ def unique_accessions(pairs: DataFrame) -> DataFrame:
 def pair_abundance(pairs: DataFrame, abundance: DataFrame, interaction: str | None = None) -> DataFrame:
     """Largest abundance of host and microbe of each pair in each listed dataset, where either is known."""
     wanted = exploded(pairs, interaction).distinct()
-    taxa = wanted.select(F.col("host_tax_id").alias("tax_id")).union(wanted.select("microbe_tax_id")).distinct()
-    found = need(abundance, "acc", "tax_id", "total_abundance").where("total_abundance is not null")
-    found = found.join(taxa, "tax_id", "left_semi").join(wanted.select("acc").distinct(), "acc", "left_semi")
-    best = found.groupBy("acc", "tax_id").agg(F.max("total_abundance").alias("x"))
     # one row for each member, so that the join's keys are dataset and taxon
     roles = F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).alias("tax_id")) for c in ("host_tax_id", "microbe_tax_id")])
     members = wanted.select("host_tax_id", "microbe_tax_id", "acc", F.explode(roles).alias("member")).select("host_tax_id", "microbe_tax_id", "acc", "member.*")
+    keys = ["acc", "tax_id"]
+    # of the abundance table only rows that some pair may ask for reach a shuffle
+    found = may_hold(need(abundance, *keys, "total_abundance").where("total_abundance is not null"), hash_bitmap(members, keys), keys)
+    best = found.groupBy(*keys).agg(F.max("total_abundance").alias("x"))
     both = members.join(best, ["acc", "tax_id"])
     of = lambda role: F.max(F.when(F.col("role") == role, F.col("x")))
     rows = both.groupBy("host_tax_id", "microbe_tax_id", "acc").agg(of("host_tax_id").alias("host_abundance"), of("microbe_tax_id").alias("microbe_abundance"))
@@ -43,9 +44,11 @@ def pair_abundance_summary(rows: DataFrame) -> DataFrame:
 
 def accession_metadata(pairs: DataFrame, meta: DataFrame, with_pairs: bool = False) -> DataFrame:
     """Metadata rows, all columns untouched, of every listed dataset; ``with_pairs`` gives a row per pair."""
+    wanted = unique_accessions(pairs)
+    near = may_hold(meta, hash_bitmap(wanted, ["acc"]), ["acc"])
     if with_pairs:
-        return meta.join(exploded(pairs).distinct(), "acc")
-    return meta.join(unique_accessions(pairs), "acc", "left_semi")
+        return near.join(exploded(pairs).distinct(), "acc")
+    return near.join(wanted, "acc", "left_semi")
 
 
 def metadata_summary(rows: DataFrame) -> DataFrame:

@@ -43,13 +43,21 @@ def _at_least(counts: DataFrame, keys: list[str], level: str, value: str) -> Dat
     return counts.withColumn(value, F.sum(value).over(top))
 
 
+def level_counts(abundance: DataFrame, ids: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """(tax_id, i, n): in how many datasets a listed taxon passes exactly i thresholds."""
+    return levels_of(abundance, ids, thresholds).groupBy("tax_id", F.col("level").alias("i")).agg(F.count("*").alias("n"))
+
+
+def taxon_cells(hist: DataFrame, ids: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """(tax_id, threshold, n) for each of the distinct ids and each threshold, from ``level_counts``."""
+    full = ids.crossJoin(F.broadcast(grid(ids.sparkSession, thresholds))).join(hist, ["tax_id", "i"], "left").fillna(0, ["n"])
+    return _at_least(full, ["tax_id"], "i", "n").select("tax_id", "threshold", "n")
+
+
 def threshold_counts(abundance: DataFrame, ids: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """(tax_id, threshold, n) for each listed id and threshold; ids without data count 0."""
     ids = ids.select("tax_id").distinct()
-    hist = levels_of(abundance, ids, thresholds).groupBy("tax_id", F.col("level").alias("i")).agg(F.count("*").alias("n"))
-    steps = F.broadcast(grid(abundance.sparkSession, thresholds))
-    full = ids.crossJoin(steps).join(hist, ["tax_id", "i"], "left").fillna(0, ["n"])
-    return _at_least(full, ["tax_id"], "i", "n").select("tax_id", "threshold", "n")
+    return taxon_cells(level_counts(abundance, ids, thresholds), ids, thresholds)
 
 
 def pair_abundances(hosts: DataFrame, microbes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -75,6 +83,13 @@ def joint_counts(hosts: DataFrame, microbes: DataFrame, skeleton: DataFrame, thr
     return pair_cells(hist, skeleton, thresholds)
 
 
+def joint_levels(hosts: DataFrame, microbes: DataFrame, host_ids: DataFrame, microbe_ids: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """(host_tax_id, path_tax_id, i, j, n): in how many datasets a host passes exactly i and a microbe exactly j thresholds."""
+    h = levels_of(hosts, host_ids, thresholds).withColumnsRenamed({"tax_id": "host_tax_id", "level": "i"})
+    m = levels_of(microbes, microbe_ids, thresholds).withColumnsRenamed({"tax_id": "path_tax_id", "level": "j"})
+    return h.join(m, "acc").groupBy("host_tax_id", "path_tax_id", "i", "j").agg(F.count("*").alias("n"))
+
+
 def pair_cells(hist: DataFrame, skeleton: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """Counts for every pair of ``skeleton`` and every two thresholds, from a histogram over levels (i, j, n) of each pair."""
     names, steps = skeleton.columns, grid(skeleton.sparkSession, thresholds)

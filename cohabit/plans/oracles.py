@@ -201,3 +201,5 @@ SELECT Interaction_type, CAST(CASE WHEN hi > lo THEN least(50, 1 + floor((x - lo
     "io_roundtrip": f"{DUCKDB} SELECT acc, tax_id, total_abundance FROM fx_abundance",
 }
 ORACLES |= {"shared_by_bitmaps": ORACLES["threshold_set_intersections"], "listed_pairs_by_bitmaps": ORACLES["listed_pair_shared_counts"]}
+ORACLES |= {"threshold_summary_incremental": ORACLES["threshold_summary"], "clustered_alpha_diversity": ORACLES["alpha_diversity"], "row_groups": ORACLES["io_roundtrip"]}
+ORACLES["pair_abundance_interaction"] = f"{_ABUND} SELECT * FROM pr WHERE (host_tax_id + microbe_tax_id) % 3 = 0"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohabit.config import Study
-from cohabit.operators import bitmaps, diversity, embed, evaluate, extract, labels, matrix, scores, thresholds
+from cohabit.operators import bitmaps, diversity, embed, evaluate, extract, labels, matrix, scores, state, thresholds
 from cohabit.sources import io
 from cohabit.sources.fixtures import frames, population
 
@@ -52,6 +53,42 @@ def threshold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholds.threshold_summary(fx["fx_host"], fx["fx_microbe"], fx["fx_meta"])
 
 
+def threshold_summary_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored state: the datasets arrive in three batches, and one batch arrives again."""
+    fx = frames(spark, sf_dir)
+    folder, third = io.scratch(spark, "state"), F.pmod(F.crc32("acc"), F.lit(3))
+    for batch, which in (("base", 0), ("second", 1), ("third", 2), ("second", 1)):
+        state.append_batch(folder, batch, fx["fx_host"].where(third == which), fx["fx_microbe"].where(third == which), fx["fx_meta"])
+    out = io.materialise(state.threshold_summary(state.read_state(spark, folder), fx["fx_meta"]), "summary")
+    io.delete(spark, folder)
+    return out
+
+
+def clustered_alpha_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a table bucketed by dataset: no exchange after the write."""
+    name = f"abundance_{uuid.uuid4().hex}"
+    io.save_table(frames(spark, sf_dir)["fx_abundance"], name, bucket_by=["acc"], buckets=16, sort_by=["acc", "tax_id"])
+    out = io.materialise(_rounded(diversity.alpha_diversity(spark.table(name), 5, clustered=True), 9), "diversity")
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written in order, in groups of 100,000 at most, and read back."""
+    path = io.scratch(spark, "row-groups")
+    io.write_parquet(frames(spark, sf_dir)["fx_abundance"], path, order_by=["tax_id", "acc"], rows_per_group=100_000)
+    out = io.materialise(io.read_parquet(spark, path, ["acc", "tax_id", "total_abundance"]), "read-back")
+    io.delete(spark, path)
+    return out
+
+
+def pair_abundance_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one kind of interaction only; the kind here follows from the ids."""
+    fx = frames(spark, sf_dir)
+    kind = F.when((F.col("host_tax_id") + F.col("microbe_tax_id")) % 3 == 0, "PHI-Base").otherwise("Commensal")
+    return extract.pair_abundance(fx["fx_pairs_lists"].withColumn("interaction_type", kind), fx["fx_abundance"], interaction="PHI-Base")
+
+
 def expected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholds.expected_rows(frames(spark, sf_dir)["fx_meta"])
 
@@ -288,15 +325,17 @@ def io_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     parquet, csv = io.scratch(spark, "roundtrip-parquet"), io.scratch(spark, "roundtrip-csv")
     io.write_parquet(rows.withColumn("acc_prefix", F.substring("acc", 1, 5)), parquet, ["acc_prefix"], 100_000)
     io.write_csv(io.read_parquet(spark, parquet, ["acc", "tax_id", "total_abundance"], union_by_name=True), csv)
-    return io.read_csv(spark, csv, "acc string, tax_id bigint, total_abundance double")
+    out = io.materialise(io.read_csv(spark, csv, "acc string, tax_id bigint, total_abundance double"), "roundtrip")
+    io.delete(spark, parquet, csv)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        alpha_diversity, host_threshold_counts, microbe_threshold_counts, pair_abundances, joint_threshold_counts, threshold_summary, expected_rows, listed_pair_shared_counts,
-        threshold_set_intersections, threshold_sets, shared_by_bitmaps, listed_pairs_by_bitmaps, pair_abundance, pair_abundance_summary, unique_accessions, accession_metadata, accession_metadata_with_pairs, metadata_summary,
+        alpha_diversity, clustered_alpha_diversity, host_threshold_counts, microbe_threshold_counts, pair_abundances, joint_threshold_counts, threshold_summary, threshold_summary_incremental, expected_rows, listed_pair_shared_counts,
+        threshold_set_intersections, threshold_sets, shared_by_bitmaps, listed_pairs_by_bitmaps, pair_abundance, pair_abundance_interaction, pair_abundance_summary, unique_accessions, accession_metadata, accession_metadata_with_pairs, metadata_summary,
         coo_index_rows, coo_index_cols, coo_matrix, taxon_embeddings, taxon_embedding_columns, dataset_embeddings, dataset_vectors, sign_table, taxa_ids, coverage_report, duplicate_pairs, duplicate_labels, resolve_labels,
-        label_counts, sample_pairs, hypergeom_score, hypergeom_log_score, log_odds, log_odds_local, cooccurrence_metrics, fisher_p, fisher_p_universe, roc_points, auc_summary, auc_grid, auc_grid_all_ties, auc_grid_unsampled, class_medians, roc_label_text, score_histogram, status, io_roundtrip,
+        label_counts, sample_pairs, hypergeom_score, hypergeom_log_score, log_odds, log_odds_local, cooccurrence_metrics, fisher_p, fisher_p_universe, roc_points, auc_summary, auc_grid, auc_grid_all_ties, auc_grid_unsampled, class_medians, roc_label_text, score_histogram, status, row_groups, io_roundtrip,
     )
 }

@@ -50,11 +50,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), rows_per_file: int = 0, mode: str = "errorifexists", compression: str = "zstd", order_by: Sequence[str] = ()) -> None:
-    """``order_by`` sorts the rows over all files, whose names then follow the order."""
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), rows_per_file: int = 0, mode: str = "errorifexists", compression: str = "zstd", order_by: Sequence[str] = (), rows_per_group: int = 0) -> None:
+    """``order_by`` sorts the rows over all files, whose names then follow the order; ``rows_per_group`` bounds the rows of a row group.
+
+    Both together give row groups with narrow, ascending statistics of the first sort key, so that a reader skips all but a few.
+    """
     out = (df.orderBy(*order_by) if order_by else df).write.mode(mode).option("compression", compression)
     if rows_per_file:
         out = out.option("maxRecordsPerFile", rows_per_file)
+    if rows_per_group:
+        out = out.option("parquet.block.row.count.limit", rows_per_group)
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
 
@@ -62,9 +67,20 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", mode: str = "error
     df.write.mode(mode).option("header", True).option("delimiter", delimiter).csv(path)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    """CREATE OR REPLACE TABLE name AS; ``append`` adds to it."""
-    df.write.mode(mode).saveAsTable(name)
+def save_table(df: DataFrame, name: str, mode: str = "overwrite", bucket_by: Sequence[str] = (), buckets: int = 0, sort_by: Sequence[str] = ()) -> None:
+    """CREATE OR REPLACE TABLE name AS; ``append`` adds to it.
+
+    With ``bucket_by`` the rows are dealt into ``buckets`` by those columns once, as they are written; joins and aggregations by them
+    (or by them and others) then need no exchange.
+    """
+    if bool(bucket_by) != bool(buckets):
+        raise ValueError("bucket_by and buckets belong together")
+    # one file for each bucket, not one for each bucket and task
+    out = (df.repartition(buckets, *bucket_by) if bucket_by else df).write.mode(mode)
+    if bucket_by:
+        out = out.bucketBy(buckets, *bucket_by)
+        out = out.sortBy(*sort_by) if sort_by else out
+    out.saveAsTable(name)
 
 
 def view(df: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -128,13 +144,18 @@ def materialise(df: DataFrame, name: str, done: Sequence[DataFrame] = (), compre
     return out
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders wherever they are stored."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of materialised frames that nothing reads any more; other frames are left alone."""
     for df in frames:
         if path := _PLACES.pop(df, None):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(df.sparkSession, path)
 
 
 @contextmanager
