@@ -134,7 +134,7 @@ _SCOPES: list[list[DataFrame]] = []
 def materialise(df: DataFrame, name: str, done: Sequence[DataFrame] = (), compression: str = "zstd") -> DataFrame:
     """Writes the rows to the shared folder and reads them back, which cuts the lineage; then discards ``done`` and the write's shuffle files."""
     path = scratch(df.sparkSession, name)
-    with _shuffles_dropped(df.sparkSession):
+    with _shuffles_dropped(df.sparkSession), short_plans(df.sparkSession):
         write_parquet(df, path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PLACES[out] = path
@@ -170,6 +170,18 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def short_plans(spark: SparkSession, chars: int = 4096) -> Iterator[None]:
+    """Jobs inside describe their plans to the driver's listeners in so many characters; literal tables in a plan may be long."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(chars))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs inside hand at most so many rows to Python at once."""
