@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohabit.sources.io import discard, materialise, scope, scratch  # noqa: F401
+from cohabit.sources.io import arrow_rows, discard, materialise, scope, scratch  # noqa: F401
+
+#: Rows that jobs of this subpackage hand to Python at once: whole texts stand in them.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them back.  Frames of ``done`` are deleted then."""
-    return materialise(df, name, done, compression="snappy")
+    with arrow_rows(df.sparkSession, ARROW_ROWS):
+        return materialise(df, name, done, compression="snappy")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -39,7 +39,7 @@ from .common import count_bucket, free_name, least_bucket, without, written
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 FOLD_LIMIT = 60
-COMMON = 1_000_000
+COMMON = 300_000
 SLICE_BYTES = 1 << 19
 HELD_BYTES = 48 << 20
 
