@@ -5,8 +5,8 @@ order; each application joins all positions of its pairs and updates the lists o
 breaks or makes.  Words don't touch, so each of them sees its own merges in the order of their ranks, leftmost
 first, as if it were alone.
 
-A vocabulary may hold pairs that rank before a pair that made one of their sides (pieces chosen by score).  Such ranks
-are not ``safe``: their positions are joined one by one, and what ranks before them then comes in between.
+A vocabulary may hold pairs that do not rank after a pair that made one of their sides (pieces chosen by score).  Such ranks
+are not ``safe``: their positions are joined one by one, and what then ranks before the next one comes in between.
 """
 
 from __future__ import annotations
@@ -129,24 +129,23 @@ class PairIndex:
 
     def _join_each(self, r: int, places: list[int], sym, nxt, prv, cur, gone) -> None:
         n, rank, made, pair = len(sym) - 1, self.rank, self.made, self.pair
-        for first in places:
-            inner = [(r, first)]
-            while inner:
-                want, p = heapq.heappop(inner)
-                k = cur[p]
-                if k < 0 or rank[k] != want:
-                    continue
-                d = nxt[p]
-                after, before = nxt[d], prv[p]
-                sym[p] = made[k]
-                cur[d], gone[d], cur[p] = -1, True, -1
-                nxt[p], prv[after] = after, p
-                for a, b in ((before, p), (p, after)):
-                    if a < n and b < n:
-                        k = pair.get(sym[a] << 32 | sym[b], -1)
-                        cur[a] = k
-                        if k >= 0:
-                            if rank[k] < r:
-                                heapq.heappush(inner, (rank[k], a))
-                            else:
-                                self._file(rank[k], [a])
+        todo = [(r, p) for p in places]
+        while todo:
+            want, p = heapq.heappop(todo)
+            k = cur[p]
+            if k < 0 or rank[k] != want:
+                continue
+            d = nxt[p]
+            after, before = nxt[d], prv[p]
+            sym[p] = made[k]
+            cur[d], gone[d], cur[p] = -1, True, -1
+            nxt[p], prv[after] = after, p
+            for a, b in ((before, p), (p, after)):
+                if a < n and b < n:
+                    k = pair.get(sym[a] << 32 | sym[b], -1)
+                    cur[a] = k
+                    if k >= 0:
+                        if rank[k] <= r:
+                            heapq.heappush(todo, (rank[k], a))
+                        else:
+                            self._file(rank[k], [a])
