@@ -2,13 +2,15 @@
 
 Credentials that the three base patterns find are labelled by their pattern.  For each
 label a prefix tree of character classes is built and statistically compatible states are
-merged (ALERGIA: Carrasco and Oncina 1994), which gives a probabilistic automaton of the
-format.  Every token of eight characters or more, or what base spans leave of it, is then scored by its
-log-likelihood ratio (its end counts like a character), in bits per character, against a class-bigram model of all of these in the
-corpus; tokens that reach ``min_bits`` become spans of kind ``grammar``.
+merged (ALERGIA: Carrasco and Oncina 1994; equal depths first), which gives a probabilistic automaton of the
+format, its length included.  Every token of eight characters or more, or what base spans leave of it, is then scored by its
+log-likelihood ratio against a class-bigram model of all of these in the corpus: bits per character, less the bits that
+an unlikely end and steps that the automaton has never seen cost, which are not shared among the characters: a token ends
+once, at a length that fits the format or doesn't.
+Tokens that reach ``min_bits`` become spans of kind ``grammar``.
 
 The automata are fitted on at most ``max_values`` distinct credentials per label (those with
-the smallest hash); the background counts cover every document.  Scanning is one map over
+the smallest hash) of at most ``max_length`` characters; the background counts cover every document.  Scanning is one map over
 whole texts.
 
 Defined results: null and empty texts hold no spans; a corpus without credentials gives no
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import words
-from .common import free_name, without, written
+from .common import free_name, mapped, without, written
 
 KINDS = ("assign", "access", "hex", "grammar")
 # The base patterns and their least lengths.
@@ -50,11 +52,12 @@ _SEPARATOR = np.array([chr(b) in ":=" for b in range(256)])
 
 @dataclass
 class Automaton:
-    """Next state by (state, class), and log2 probability by (state, class or end)."""
+    """Next state by (state, class), log2 probability by (state, class or end), and which steps were ever seen."""
 
     label: str
     step: np.ndarray
     bits: np.ndarray
+    seen: np.ndarray
 
 
 @dataclass
@@ -65,75 +68,115 @@ class SecretModel:
     min_bits: float = 1.0
 
 
-def infer(label: str, values: list[str], alpha: float = 0.01, least: int = 20) -> Automaton:
-    """ALERGIA with red and blue states over class strings; states seen less than ``least`` times count as compatible."""
-    child: list[dict[int, int]] = [{}]
-    seen, ends = [0], [0]
-    for value in sorted(values):
-        q = 0
-        seen[0] += 1
-        for c in _CLASS[np.frombuffer(value.encode(), np.uint8)].tolist():
-            if c not in child[q]:
-                child[q][c] = len(child)
-                child.append({})
-                seen.append(0)
-                ends.append(0)
-            q = child[q][c]
-            seen[q] += 1
-        ends[q] += 1
-    spread = math.sqrt(0.5 * math.log(2 / alpha))
-
-    def through(q: int, c: int) -> int:
-        return taken[q].get(c, 0)
-
-    taken: list[dict[int, int]] = [{c: seen[k] for c, k in kids.items()} for kids in child]
-
-    def differ(x: int, n: int, y: int, m: int) -> bool:
-        return abs(x / n - y / m) > spread * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-
-    def alike(p: int, q: int) -> bool:
-        todo = [(p, q)]
+class _States:
+    """States of a prefix tree that can be merged: counts of visits, ends and steps, and where steps lead."""
+
+    def __init__(self, values: list[str], alpha: float) -> None:
+        self.child: list[dict[int, int]] = [{}]
+        self.seen, self.ends, self.depth = [0], [0], [0]
+        for value in sorted(values):
+            q = 0
+            self.seen[0] += 1
+            for c in _CLASS[np.frombuffer(value.encode(), np.uint8)].tolist():
+                if c not in self.child[q]:
+                    self.child[q][c] = len(self.child)
+                    self.child.append({})
+                    self.seen.append(0)
+                    self.ends.append(0)
+                    self.depth.append(self.depth[q] + 1)
+                q = self.child[q][c]
+                self.seen[q] += 1
+            self.ends[q] += 1
+        self.taken = [{c: self.seen[k] for c, k in kids.items()} for kids in self.child]
+        self.into = list(range(len(self.child)))
+        self.spread = math.sqrt(0.5 * math.log(2 / alpha))
+
+    def find(self, q: int) -> int:
+        while self.into[q] != q:
+            self.into[q] = self.into[self.into[q]]
+            q = self.into[q]
+        return q
+
+    def after(self, q: int) -> list[tuple[int, int]]:
+        return [(c, self.find(k)) for c, k in sorted(self.child[q].items())]
+
+    def differ(self, x: int, n: int, y: int, m: int) -> bool:
+        """Hoeffding's bound on two shares; few observations differ from nothing."""
+        return abs(x / n - y / m) > self.spread * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+    def alike(self, p: int, q: int) -> bool:
+        """Whether both states, and the states that equal steps lead to, end and go on alike."""
+        todo, known = [(p, q)], set()
         while todo:
-            a, b = todo.pop()
-            if min(seen[a], seen[b]) < least:
+            a, b = (self.find(x) for x in todo.pop())
+            if a == b or (a, b) in known:
                 continue
-            if differ(ends[a], seen[a], ends[b], seen[b]) or any(differ(through(a, c), seen[a], through(b, c), seen[b]) for c in {*child[a], *child[b]}):
+            known.add((a, b))
+            n, m = self.seen[a], self.seen[b]
+            steps = {*self.child[a], *self.child[b]}
+            if self.differ(self.ends[a], n, self.ends[b], m) or any(self.differ(self.taken[a].get(c, 0), n, self.taken[b].get(c, 0), m) for c in steps):
                 return False
-            todo += [(child[a][c], child[b][c]) for c in child[a] if c in child[b] and (child[a][c], child[b][c]) != (a, b)]
+            todo += [(self.child[a][c], self.child[b][c]) for c in steps if c in self.child[a] and c in self.child[b]]
         return True
 
-    def fold(p: int, q: int) -> None:
+    def merge(self, p: int, q: int) -> None:
+        """q becomes p; so do the states that equal steps lead to, since an automaton has one for each."""
         todo = [(p, q)]
         while todo:
-            a, b = todo.pop()
-            seen[a] += seen[b]
-            ends[a] += ends[b]
-            for c, k in child[b].items():
-                taken[a][c] = taken[a].get(c, 0) + taken[b][c]
-                if c in child[a]:
-                    todo.append((child[a][c], k))
+            a, b = (self.find(x) for x in todo.pop())
+            if a == b:
+                continue
+            self.into[b] = a
+            self.seen[a] += self.seen[b]
+            self.ends[a] += self.ends[b]
+            for c, k in self.child[b].items():
+                self.taken[a][c] = self.taken[a].get(c, 0) + self.taken[b][c]
+                if c in self.child[a]:
+                    todo.append((self.child[a][c], k))
                 else:
-                    child[a][c] = k
+                    self.child[a][c] = k
+
+
+def infer(label: str, values: list[str], alpha: float = 0.01) -> Automaton:
+    """State merging by Hoeffding bounds (ALERGIA) over class strings, in two rounds.
 
+    A credential's characters spread over so many prefixes that single states of the tree are seen too rarely to be told apart.
+    So states of equal depth are merged first, which adds up their counts; then, with these counts, states of different
+    depths.  Two depths stay apart where, some steps on, one ends and the other does not: lengths are learnt.
+    """
+    t = _States(values, alpha)
+    level = [0]
+    while level:
+        kept: list[int] = []
+        for q in sorted({k for p in level for _, k in t.after(t.find(p))}, key=lambda q: (-t.seen[q], q)):
+            q = t.find(q)
+            if q in kept:
+                continue
+            twin = next((r for r in kept if t.alike(r, q)), None)
+            if twin is None:
+                kept.append(q)
+            else:
+                t.merge(twin, q)
+        level = kept
     red = [0]
-    while blue := [(-seen[k], p, c, k) for p in red for c, k in sorted(child[p].items()) if k not in red]:
-        _, p, c, q = min(blue)
-        for r in red:
-            if alike(r, q):
-                child[p][c] = r
-                fold(r, q)
-                break
-        else:
+    while blue := [(-t.seen[k], t.depth[k], k) for p in red for _, k in t.after(p) if k not in red]:
+        q = min(blue)[2]
+        twin = next((r for r in red if t.alike(r, q)), None)
+        if twin is None:
             red.append(q)
+        else:
+            t.merge(twin, q)
+            red = list(dict.fromkeys(map(t.find, red)))
     at = {q: i for i, q in enumerate(red)}
-    step, bits = np.zeros((len(red), N_CLASS), np.int64), np.zeros((len(red), N_CLASS + 1))
+    step, bits, seen = np.zeros((len(red), N_CLASS), np.int64), np.zeros((len(red), N_CLASS + 1)), np.zeros((len(red), N_CLASS), dtype=bool)
     for q, i in at.items():
-        total = sum(taken[q].values()) + ends[q] + 0.1 * (N_CLASS + 1)
+        total = sum(t.taken[q].values()) + t.ends[q] + 0.1 * (N_CLASS + 1)
+        to = dict(t.after(q))
         for c in range(N_CLASS):
-            step[i, c] = at[child[q][c]] if c in child[q] else i
-            bits[i, c] = math.log2((through(q, c) + 0.1) / total)
-        bits[i, N_CLASS] = math.log2((ends[q] + 0.1) / total)
-    return Automaton(label, step, bits)
+            step[i, c], seen[i, c] = (at[to[c]], True) if c in to else (i, False)
+            bits[i, c] = math.log2((t.taken[q].get(c, 0) + 0.1) / total)
+        bits[i, N_CLASS] = math.log2((t.ends[q] + 0.1) / total)
+    return Automaton(label, step, bits, seen)
 
 
 def _spans(texts: pa.Array, min_length: int) -> Iterator[tuple]:
@@ -197,29 +240,31 @@ def _outside(start: np.ndarray, end: np.ndarray, row: np.ndarray, taken: list[tu
 
 
 def _score(model: SecretModel, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Best log-likelihood ratio in bits per character, ends included; tokens advance together, one character a turn."""
+    """Best log-likelihood ratio: bits per character less what the end and steps never seen cost; tokens advance together, one character a turn."""
     order = np.argsort(start - end, kind="stable")
     s, n = start[order], (end - start)[order]
     total = [np.zeros(len(s)) for _ in model.automata]
+    whole = [np.zeros(len(s)) for _ in model.automata]
     state = [np.zeros(len(s), np.int64) for _ in model.automata]
     last = np.full(len(s), N_CLASS, np.int64)
     for i in range(int(n[0]) if len(n) else 0):
         k = int(np.searchsorted(-n, -i, "left"))
         c = _CLASS[data[s[:k] + i]]
         free = model.background[last[:k], c]
-        for a, t, q in zip(model.automata, total, state, strict=True):
-            t[:k] += a.bits[q[:k], c] - free
+        for a, t, w, q in zip(model.automata, total, whole, state, strict=True):
+            gain, known = a.bits[q[:k], c] - free, a.seen[q[:k], c]
+            t[:k] += np.where(known, gain, 0.0)
+            w[:k] += np.where(known, 0.0, gain)
             q[:k] = a.step[q[:k], c]
         last[:k] = c
     best = np.full(len(s), -np.inf)
     if model.automata and len(s):
-        for a, t, q in zip(model.automata, total, state, strict=True):
-            t += a.bits[q, N_CLASS] - model.background[last, N_CLASS]
-        best[order] = np.max(total, axis=0) / n
+        ends = [np.minimum(0.0, a.bits[q, N_CLASS] - model.background[last, N_CLASS]) for a, q in zip(model.automata, state, strict=True)]
+        best[order] = np.max([t / n + w + e for t, w, e in zip(total, whole, ends, strict=True)], axis=0)
     return best
 
 
-def fit(docs: DataFrame, text: str = "text", max_values: int = 500, min_length: int = ASSIGN_VALUE, min_bits: float = 1.0) -> SecretModel:
+def fit(docs: DataFrame, text: str = "text", max_values: int = 500, min_length: int = ASSIGN_VALUE, min_bits: float = 1.0, max_length: int = 256) -> SecretModel:
     """Learns the automata and the background from the corpus itself."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +292,7 @@ def fit(docs: DataFrame, text: str = "text", max_values: int = 500, min_length:
         pairs[divmod(r["pair"], N_CLASS + 1)] = r["n"]
     automata = []
     for kind in KINDS[:3]:
-        values = [r[0] for r in seen.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(max_values).select("value").collect()]
+        values = [r[0] for r in seen.where((F.col("kind") == kind) & (F.length("value") <= max_length)).orderBy(F.xxhash64("value"), "value").limit(max_values).select("value").collect()]
         if values:
             automata.append(infer(kind, values))
     background = np.log2((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * (N_CLASS + 1)))
@@ -263,16 +308,17 @@ def find(docs: DataFrame, model: SecretModel, text: str = "text", to: str = "sec
         m = at.value
         for b in batches:
             out: list = []
-            for w, found, start, end, row, point in _spans(b.column(b.schema.get_field_index(text)), m.min_length):
+            for w, found, start, end, row, point in _spans(b.column(place), m.min_length):
                 hit = np.flatnonzero(_score(m, w.data, start, end) >= m.min_bits)
                 begin = point[start[hit]] - point[w.offsets[row[hit]]]
                 for lo, n, r in zip(begin.tolist(), (end - start)[hit].tolist(), row[hit].tolist(), strict=True):
                     found[r].append(("grammar", lo, lo + n, ""))
                 out += [[{"kind": k, "start": s, "end": e} for k, s, e, _ in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))] for spans in found]
-            yield pa.RecordBatch.from_arrays([pa.array(out, kind_of) if c == to else b.column(i) for i, c in enumerate(b.schema.names)], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind_of)], names=names)
 
-    plain = without(docs, to).withColumn(to, F.lit(None).cast("array<struct<kind:string,start:int,end:int>>"))
-    return plain.mapInArrow(run, plain.schema)
+    plain = without(docs, to)
+    place, names = plain.columns.index(text), [*plain.columns, to]
+    return mapped(plain, run, plain.withColumn(to, F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema)
 
 
 def redact(docs: DataFrame, model: SecretModel, text: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -285,4 +331,4 @@ def redact(docs: DataFrame, model: SecretModel, text: str = "text", mark: str =
     )
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     clean = F.aggregate(spans, start, piece, lambda a: F.concat(a["out"], F.substring(F.col(f"`{text}`"), a["at"] + 1, F.length(F.col(f"`{text}`")))))
-    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(f"`{text}`"))).select(*docs.columns)
+    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -358,3 +358,68 @@ def test_loser_tree():
     for k in (0, 1, 2, 5, 8):
         runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(12))) for _ in range(k)]
         assert [x for _, x in warc.LoserTree([iter(r) for r in runs])] == sorted(x for r in runs for x in r)
+
+
+def _hexes(seed, n, size):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("0123456789abcdef", k=size)) for _ in range(n)]
+
+
+def test_grammar_learns_length_and_order():
+    rng = random.Random(4)
+    hexes = secrets.infer("hex", _hexes(1, 200, 40))
+    assert len(hexes.step) == 41
+    end = 2 ** hexes.bits[:, secrets.N_CLASS]
+    q, stops = 0, []
+    for c in secrets._CLASS[np.frombuffer(_hexes(2, 1, 40)[0].encode(), np.uint8)].tolist():
+        stops.append(end[q])
+        q = hexes.step[q, c]
+    assert max(stops) < 0.001 and end[q] > 0.98  # it may stop after its last place only
+    keys = secrets.infer("key", ["k-" + "".join(rng.choices("ABCDEF", k=4)) + "".join(rng.choices("0123456789", k=6)) for _ in range(200)])
+    assert len(keys.step) == 13 and keys.seen.sum() == 12  # two signs, four letters, six digits, in this order
+    many = secrets.infer("any", ["".join(rng.choices("0123456789", k=rng.randint(8, 60))) for _ in range(300)])
+    assert len(many.step) < 30
+
+
+def _by_hand(model, value):
+    best = -np.inf
+    classes = [next(k for k, g in enumerate(secrets._GROUPS) if c in g) for c in value]
+    for a in model.automata:
+        q, last, shared, whole = 0, secrets.N_CLASS, 0.0, 0.0
+        for c in classes:
+            gain = a.bits[q][c] - model.background[last][c]
+            if a.seen[q][c]:
+                shared += gain
+            else:
+                whole += gain
+            q, last = a.step[q][c], c
+        best = max(best, shared / len(value) + whole + min(0.0, a.bits[q][secrets.N_CLASS] - model.background[last][secrets.N_CLASS]))
+    return best
+
+
+def test_grammar_likelihood_by_hand_and_held_out_credentials(spark):
+    rng = random.Random(3)
+    prose = [" ".join(rng.choices(["international", "considerations", "thereafter", "2024-01-02", "some_function_name", "half-hearted", "neighbours."], k=60)) for _ in range(200)]
+    mixed = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=32)) for _ in range(160)]
+    learnt = [f"{p} password: {v} {p[:40]}" for p, v in zip(prose, mixed[:150], strict=False)] + [f"token={v}" for v in _hexes(5, 60, 24)]
+    held = [f"{prose[180]} {v} and so on" for v in mixed[150:]]
+    docs = spark.createDataFrame(list(enumerate([*learnt, *held, *prose[150:]])), "doc_id long, text string")
+    model = secrets.fit(docs)
+    assert len(model.automata) == 1 and len(model.automata[0].step) > 3
+    values = [*mixed[150:], *_hexes(8, 3, 24), *_hexes(9, 3, 12), *_hexes(9, 3, 200), "international", "some_function_name", "x" * 3000]
+    ends = np.cumsum([len(v) for v in values])
+    got = secrets._score(model, np.frombuffer("".join(values).encode(), np.uint8), ends - [len(v) for v in values], ends)
+    assert got == pytest.approx([_by_hand(model, v) for v in values])
+    assert got[13:19].max() < got[10:13].min()  # other lengths score below the credentials' own
+    found = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["secret_spans"]] for r in secrets.find(docs, model).collect()}
+    for k, v in enumerate(mixed[150:], len(learnt)):
+        assert found[k] == [("grammar", v)]
+    assert not any(found[k] for k in range(len(learnt) + len(held), len(learnt) + len(held) + 50))
+    assert all(not any(kind == "grammar" for kind, _ in found[k]) for k in range(len(learnt)))
+    # a very long text, and column names with dots
+    long = spark.createDataFrame([(1, " ".join(["word"] * 60_000) + f" {mixed[155]} end", "c"), (2, None, "c"), (3, "y" * 150_000, "c")], "doc_id long, text string, `a.b` string")
+    assert secrets.fit(long).automata == []
+    spans = {r["doc_id"]: [tuple(s) for s in r["secret_spans"]] for r in secrets.find(long, model).collect()}
+    assert spans == {1: [("grammar", 300_000, 300_032)], 2: [], 3: []}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(long, model).select("doc_id", "text", "`a.b`").collect()}
+    assert clean[1].endswith("word [secret] end") and clean[2] is None and clean[3] == "y" * 150_000
