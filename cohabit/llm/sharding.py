@@ -34,13 +34,13 @@ PER_SHARD = 100
 LOW_BITS = 20
 
 
-def _case(key: Column, cuts: Sequence[float], lo: int = 0, hi: int | None = None) -> Column:
-    """How many of the sorted cuts the key has reached, as a balanced tree of comparisons."""
-    hi = len(cuts) if hi is None else hi
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < F.lit(cuts[mid]), _case(key, cuts, lo, mid)).otherwise(_case(key, cuts, mid + 1, hi))
+def _reached(key: Column, cuts: Sequence[float]) -> Column:
+    """How many of the sorted cuts the key has reached: a binary search in an array, so that the code of a plan doesn't grow with the cuts."""
+    if not cuts:
+        return F.lit(0)
+    table = F.lit(list(cuts))
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda n, step: F.when(F.get(table, n + step - 1) <= key, n + step).otherwise(n))
 
 
 def level(loads: Sequence[float], rest: float) -> float:
@@ -101,7 +101,7 @@ def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "
     cuts = drawn.agg(F.percentile_approx("key", [k / want for k in range(1, want)], 100 * want)).first()[0]
     cuts = sorted(set(cuts or []))
     tagged = records.join(F.broadcast(large), "group", "left").withColumn("at", F.when(small, F.col("group") * (1 << LOW_BITS)).otherwise(F.col("key")))
-    ranged = tagged.withColumn("range", _case(F.col("at"), cuts))
+    ranged = tagged.withColumn("range", _reached(F.col("at"), cuts))
     sums = ranged.groupBy("range").agg(F.sum("size").alias("b")).collect()  # one row per range
     mean = max(1, total // max(1, len(sums)))
     split = F.lit(0)
@@ -135,7 +135,7 @@ def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "
             done += part
             edges.append(done)
             owners.append(k)
-    pick = lambda shard_of, place_, ends: F.get(F.lit(shard_of), _case(place_, ends[:-1])) if shard_of else F.lit(0)
+    pick = lambda shard_of, place_, ends: F.get(F.lit(shard_of), _reached(place_, ends[:-1])) if shard_of else F.lit(0)
     shard = F.when(small, pick(homes, middle, bounds)).when(F.col("cut"), pick(owners, F.col("cut0") + F.col("cut_at"), edges)).otherwise(F.col("home")).cast("int")
     local = Window.partitionBy("range", "part", "shard").orderBy("at", "key", "id", "size")
     sharded = run.withColumn("shard", shard).withColumn("row", F.row_number().over(local).cast("long") - 1).select("id", "size", "crc", "range", "part", "shard", "row")
