@@ -6,7 +6,7 @@ as-of join gives every capture the rules that were active when it was fetched.
 
 Captures are reduced to distinct (candidate rule, fetch day) pairs first, so a host that holds a third of
 all captures asks the list once for each day.  Intervals and pairs meet in an equi-join on the
-rule with the dates as residual; the captures, by their distinct candidates and days, then look up their pairs.
+rule with the dates as residual; the captures, by a 128-bit hash of their candidates and day, then look up their pairs.
 
 Defined results: an entry is active from its own date (inclusive) to its rule's next entry
 (exclusive); of several entries of one rule and date the removal wins; null URLs, null times and
@@ -55,13 +55,17 @@ def intervals(entries: DataFrame, rule: str = "rule", date: str = "listed_on", a
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_on") -> DataFrame:
     """Adds ``blocked_by``, the sorted rules active at fetch time, to every capture."""
     captures, out = without(captures, "blocked_by"), "blocked_by"
-    day, rules = (free_name(captures, x) for x in ("_day", "_rules"))
-    plain = captures.withColumns({day: F.col(f"`{fetched}`").cast("date"), rules: rules_of(F.col(f"`{url}`"))})
-    site = plain.groupBy(F.col(rules).alias("rules"), F.col(day).alias("day")).agg(F.lit(1).alias("one")).where("rules is not null and day is not null")
-    pairs = site.select("rules", "day", F.explode("rules").alias("rule"))
-    asked = written(pairs.select("rule", "day").distinct(), "asked-rules")
-    valid = written(intervals(entries), "list-intervals")
+    keys = [free_name(captures, x) for x in ("_site", "_check")]
+    day, rules = F.col(f"`{fetched}`").cast("date"), rules_of(F.col(f"`{url}`"))
+    # 128 bits stand for the candidates and the day, so that no join carries arrays
+    hashes = [F.when(rules.isNotNull() & day.isNotNull(), F.xxhash64(F.lit(salt), rules, day)) for salt in keys]
+    plain = captures.withColumns(dict(zip(keys, hashes, strict=True)))
+    site = captures.select(*[h.alias(k) for h, k in zip(hashes, ("site", "check"), strict=True)], day.alias("day"), rules.alias("rules")).where("site is not null").groupBy("site", "check").agg(F.first("day").alias("day"), F.first("rules").alias("rules"))
+    pairs = written(site.select("site", "check", "day", F.explode("rules").alias("rule")), "asked-pairs")
+    asked = pairs.select("rule", "day").distinct()
+    # lists and questions both grow, so neither side is broadcast
+    valid = intervals(entries).hint("merge")
     active = asked.join(valid, "rule").where((F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))).select("rule", "day")
-    verdict = pairs.join(written(active.distinct(), "active-rules"), ["rule", "day"]).groupBy("rules", "day").agg(F.array_sort(F.collect_set("rule")).alias(out))
-    verdict = written(verdict, "verdicts").withColumnsRenamed({"rules": rules, "day": day})
-    return plain.join(verdict, [rules, day], "left").select(*[F.col(f"`{c}`") for c in captures.columns], F.coalesce(out, F.array().cast("array<string>")).alias(out))
+    verdict = pairs.join(written(active.distinct(), "active-rules").hint("merge"), ["rule", "day"]).groupBy("site", "check").agg(F.array_sort(F.collect_set("rule")).alias(out))
+    verdict = written(verdict, "verdicts", pairs).toDF(*keys, out).hint("merge")
+    return plain.join(verdict, keys, "left").select(*[F.col(f"`{c}`") for c in captures.columns], F.coalesce(out, F.array().cast("array<string>")).alias(out))

@@ -423,3 +423,38 @@ def test_grammar_likelihood_by_hand_and_held_out_credentials(spark):
     assert spans == {1: [("grammar", 300_000, 300_032)], 2: [], 3: []}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(long, model).select("doc_id", "text", "`a.b`").collect()}
     assert clean[1].endswith("word [secret] end") and clean[2] is None and clean[3] == "y" * 150_000
+
+
+def test_sharding_code_does_not_grow_with_the_cuts(spark):
+    rng = random.Random(6)
+    cuts = sorted(rng.sample(range(10_000), 191))
+    keys = [*range(0, 10_000, 7), *cuts]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding._reached(F.col("k"), cuts).alias("n"), sharding._reached(F.col("k"), cuts[:1]).alias("one"), sharding._reached(F.col("k"), []).alias("none")).collect()
+    assert all(r["n"] == sum(c <= r["k"] for c in cuts) and r["one"] == (r["k"] >= cuts[0]) and r["none"] == 0 for r in got)
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # a plan whose code can't be compiled fails
+    try:
+        assert sharding.assign(frame(spark, corpus()[:-2] * 3), 24).count() == 3 * len(corpus()[:-2])
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+
+
+def test_sharding_subdivides_overfull_ranges_and_writes_shards(spark, tmp_path):
+    texts = ["one text of a group that no range can hold alone " * 4] * 900 + [f"{i} text" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"slot": F.lit("clash"), "a.b": F.lit(1)})
+    rows = sharding.assign(docs, 4, ranges_per_shard=3, sample=40, per_shard=10).collect()
+    sums, slots = defaultdict(int), defaultdict(list)
+    for r in rows:
+        sums[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 1200 and all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(sums.values()) - min(sums.values()) <= sum(sums.values()) / 40 + 400
+    sharding.write(docs, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 1200 and back.groupBy("shard").count().count() == 4 and "a.b" in back.columns
+
+
+def test_url_filter_broadcasts_nothing(spark):
+    caps = spark.createDataFrame([(1, "http://a.example.com/x/y", "2024-01-05")], "id int, url string, fetched_on string")
+    entries = spark.createDataFrame([("example.com", "2024-01-01", "add")], "rule string, listed_on string, action string")
+    judged = urlfilter.judge(caps, entries)
+    assert judged.first()["blocked_by"] == ["example.com"] and "Broadcast" not in judged._jdf.queryExecution().executedPlan().toString()
