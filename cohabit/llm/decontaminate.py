@@ -5,8 +5,9 @@ scanned once with rolling word-window hashes, hits are verified byte by byte, an
 spans or whole documents are removed.  There is no shuffle of documents.
 
 The set is broadcast in blocks of at most ``block_windows`` windows, whose number is
-counted first: a larger benchmark takes several passes over the documents, and memory
-stays bounded.
+counted first, so memory stays bounded.  For a larger benchmark each block but one scans the texts alone and gives hits of distinct texts (by a
+128-bit hash), which are merged and meet the documents in the one pass that returns them; no block rewrites documents.
+A window of very many items is several rows of ``HELD_ITEMS`` each or so.
 
 Item ids are integers.  Defined results: null and empty texts have no words and no hits; a benchmark item
 without words has no window; repeated benchmark rows count once by their id; rows
@@ -24,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, windows, words
-from .common import free_name, without, written
+from .common import free_name, mapped, without, written
 
 WINDOW = 13
-BLOCK_WINDOWS = 500_000
+BLOCK_WINDOWS, HELD_ITEMS = 500_000, 1000
+HITS, IDS = "array<struct<lo:int,hi:int>>", "array<long>"
 ADDED = ("n_words", "hit_words", "item_ids", "spans", "n_hit", "clean_text")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> DataFrame:
-    """One row per distinct window: n words, hash, its words joined by spaces, and the item ids."""
+    """A row per distinct window (or per ``HELD_ITEMS`` of its items or so): n words, hash, its words joined by spaces, part, and the item ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -49,14 +51,20 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text: str = "t
                         out += [(n, int(k.view(np.int64)), b" ".join(tokens[i : i + n]), ids[w.first + r]) for i, k in enumerate(keys)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.int64()))], names=["n", "hash", "tokens", "item"])
 
+    key = ["n", "hash", "tokens"]
     rows = benchmark.select(F.col(f"`{text}`").cast("string"), F.col(f"`{item}`").cast("long")).mapInArrow(cut, "n int, hash long, tokens binary, item long")
-    return rows.groupBy("n", "hash", "tokens").agg(F.collect_set("item").alias("items"))
+    rows = written(rows.distinct(), "window-items")
+    many = rows.groupBy(*key).count().where(F.col("count") > HELD_ITEMS).select(*key, F.ceil(F.col("count") / HELD_ITEMS).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0)).alias("part")
+    found = rows.join(many, key, "left").select(*key, part, "item").groupBy(*key, "part").agg(F.collect_set("item").alias("items"))
+    return written(found, "benchmark-windows", rows)
 
 
-def _scanner(block, text: str):
+def _scanner(block, names: list[str], place: int, kept: int):
     """Marks the words of each document that any window of the block covers.
 
-    The block's value: {n: {hash: [(tokens, items)]}}.
+    The block's value: {n: {hash: [(tokens, items)]}}.  Rows come with their first ``kept`` columns, the text among them at ``place``, and, if there are more, the hits
+    and item ids that other blocks gave (lists of lists); they leave with ``names``.
     """
     filters: dict = {}
 
@@ -72,12 +80,13 @@ def _scanner(block, text: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_n = prepare()
         for b in batches:
-            old = b.column(b.schema.get_field_index("hit_words"))
-            old_hits = old.to_pylist() if old.null_count < len(old) else [None] * len(b)
-            old_ids = b.column(b.schema.get_field_index("item_ids")).to_pylist() if old.null_count < len(old) else [None] * len(b)
             n_words = np.zeros(len(b), dtype=np.int64)
-            hits, ids = [x or [] for x in old_hits], [x or [] for x in old_ids]
-            for w in words(b.column(b.schema.get_field_index(text)), ALNUM):
+            hits, ids = [[] for _ in range(len(b))], [[] for _ in range(len(b))]
+            if b.num_columns > kept:
+                for i, (spans, items) in enumerate(zip(b.column(kept).to_pylist(), b.column(kept + 1).to_pylist(), strict=True)):
+                    hits[i] = _merge([(x["lo"], x["hi"]) for some in spans or [] for x in some])
+                    ids[i] = sorted({x for some in items or [] for x in some})
+            for w in words(b.column(place), ALNUM):
                 n_words[w.first : w.first + w.rows] = np.diff(w.at)
                 h, row = w.hashes(), w.row_of_word()
                 found: dict[int, list] = {}
@@ -96,8 +105,7 @@ def _scanner(block, text: str):
                     hits[at] = _merge([(x["lo"], x["hi"]) for x in hits[at]] + [(i, i + n) for i, n, _ in spans])
                     ids[at] = sorted({*ids[at], *(x for _, _, items in spans for x in items)})
             kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-            done = {"n_words": pa.array(n_words), "hit_words": pa.array(hits, kind), "item_ids": pa.array(ids, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([done.get(c, b.column(i)) for i, c in enumerate(b.schema.names)], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(n_words), pa.array(hits, kind), pa.array(ids, pa.list_(pa.int64()))], names=names)
 
     return scan
 
@@ -112,13 +120,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _cutter(text: str):
+def _cutter(names: list[str], place: int, hit_place: int):
     """Spans of hit words in code points, and the text without them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text))
-            hits = b.column(b.schema.get_field_index("hit_words")).to_pylist()
+            texts = b.column(place)
+            hits = b.column(hit_place).to_pylist()
             spans: list = [[] for _ in hits]
             clean = texts.to_pylist()
             hit = [i for i, x in enumerate(hits) if x]
@@ -133,8 +141,7 @@ def _cutter(text: str):
                         last = hi
                     clean[at] = b"".join([*kept, raw[last:]]).decode()
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            done = {"spans": pa.array(spans, kind), "clean_text": pa.array(clean, pa.string())}
-            yield pa.RecordBatch.from_arrays([done.get(c, b.column(i)) for i, c in enumerate(b.schema.names)], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind), pa.array(clean, pa.string())], names=names)
 
     return cut
 
@@ -146,18 +153,34 @@ def contaminated(words_per_hit: int = 20):
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Adds n_words, n_hit, hit_words (word ranges) and item_ids to each document; needs the column ``text``."""
     spark = docs.sparkSession
-    found = written(benchmark_windows(benchmark, window), "benchmark-windows")
-    blocks = max(1, -(-found.agg(F.sum(F.greatest(F.size("items"), F.lit(1)))).first()[0] // block_windows)) if found.head(1) else 0
-    out = without(docs, *ADDED).withColumns({
-        "n_words": F.lit(0).cast("long"), "hit_words": F.lit(None).cast("array<struct<lo:int,hi:int>>"), "item_ids": F.lit(None).cast("array<long>"),
-    })
-    for k in range(max(1, blocks)):
+    found = benchmark_windows(benchmark, window)
+    total = found.agg(F.sum(F.greatest(F.size("items"), F.lit(1)))).first()[0] or 0
+    blocks = max(1, -(-total // block_windows))
+
+    def scanned(df: DataFrame, k: int, kept: int) -> DataFrame:
         value: dict = {}
-        for r in found.where(F.pmod("hash", F.lit(max(1, blocks))) == k).toLocalIterator():
+        for r in found.where(F.pmod(F.xxhash64("hash", "part"), F.lit(blocks)) == k).toLocalIterator():
             value.setdefault(r["n"], {}).setdefault(r["hash"], []).append((bytes(r["tokens"]), list(r["items"])))
-        if k:
-            out = written(out, "decontaminate")
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(value), text), out.schema)
+        first = df.select(*[F.col(f"`{c}`") for c in df.columns[:kept]])
+        shape = first.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(HITS).alias("hit_words"), F.lit(None).cast(IDS).alias("item_ids"))
+        return mapped(df, _scanner(spark.sparkContext.broadcast(value), shape.columns, df.columns.index(text), kept), shape.schema)
+
+    plain = without(docs, *ADDED)
+    kept = len(plain.columns)
+    if blocks > 1:
+        content = F.col(f"`{text}`").cast("string")
+        keys = [free_name(plain, x) for x in ("_text1", "_text2")]
+        hashes = [F.xxhash64(F.lit(k), content) for k in keys]
+        parts = None
+        for k in range(1, blocks):
+            hit = scanned(plain.select(*[h.alias(c) for h, c in zip(hashes, keys, strict=True)], content.alias(text)), k, 3).where(F.size("hit_words") > 0)
+            one = hit.groupBy(*keys).agg(F.first("hit_words").alias("hit_words"), F.first("item_ids").alias("item_ids"))  # copies of a text have the same hits
+            part = written(one, "block-hits")
+            parts = part if parts is None else parts.unionByName(part)
+        lists = [free_name(plain, x) for x in ("_hits", "_ids")]
+        merged = parts.groupBy(*keys).agg(F.collect_list("hit_words").alias(lists[0]), F.collect_list("item_ids").alias(lists[1]))  # a row for each block at most
+        plain = plain.withColumns(dict(zip(keys, hashes, strict=True))).join(merged, keys, "left").select(*[F.col(f"`{c}`") for c in [*plain.columns, *lists]])
+    out = scanned(plain, 0, kept)
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"])
     return out.withColumn("n_hit", n_hit)
 
@@ -176,5 +199,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
         kept = mark(docs.withColumnsRenamed(aside), benchmark, window, aside.get(text, text), block_windows).where(~contaminated(words_per_hit))
         return kept.drop(*ADDED).withColumnsRenamed({to: c for c, to in aside.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
     marked = mark(docs, benchmark, window, text, block_windows)
-    marked = marked.withColumns({"spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "clean_text": F.lit(None).cast("string")})
-    return marked.mapInArrow(_cutter(text), marked.schema)
+    shape = marked.select("*", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("string").alias("clean_text"))
+    return mapped(marked, _cutter(shape.columns, marked.columns.index(text), marked.columns.index("hit_words")), shape.schema)

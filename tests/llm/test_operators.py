@@ -458,3 +458,21 @@ def test_url_filter_broadcasts_nothing(spark):
     entries = spark.createDataFrame([("example.com", "2024-01-01", "add")], "rule string, listed_on string, action string")
     judged = urlfilter.judge(caps, entries)
     assert judged.first()["blocked_by"] == ["example.com"] and "Broadcast" not in judged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decontaminate_hot_windows_dotted_names_and_no_rewrite(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HELD_ITEMS", 7)
+    passage = " ".join(f"p{i}" for i in range(13))
+    bench = spark.createDataFrame([(i, passage) for i in range(100)] + [(200 + i, f"only {i} here") for i in range(30)], "item_id long, text string")
+    texts = [f"before {passage} after", f"{passage} only 3 here only 9 here", "clean", None, f"before {passage} after"] * 5
+    docs = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` int, _hits string")
+    rows = decontaminate.benchmark_windows(bench)
+    assert rows.where("n = 13").count() > 10 and rows.agg(F.sum(F.size("items"))).first()[0] == 130
+    for block in (decontaminate.BLOCK_WINDOWS, 9):
+        got = {r["doc_id"]: r for r in decontaminate.mark(docs, bench, block_windows=block).collect()}
+        for i, t in enumerate(texts):
+            want = [] if not t or t == "clean" else [*range(100), *([203, 209] if "only" in t else [])]
+            assert got[i]["item_ids"] == want and got[i]["n_hit"] == (13 if want else 0) + (6 if t and "only" in t else 0) and got[i]["a.b"] == 1 and got[i]["_hits"] == "c"
+        spans = decontaminate.decontaminate(docs, bench, action="span", block_windows=block)
+        assert {r["clean_text"] for r in spans.collect()} == {"before  after", "", "clean", None} and "a.b" in spans.columns
+        assert decontaminate.decontaminate(docs, bench, block_windows=block).count() == 10
