@@ -80,8 +80,8 @@ FROM p LEFT JOIN g ON p.page_id = g.page_id AND p.url = g.url
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sentencepiece.load()
-    coded = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, decoded="decoded")
-    return coded.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, decoded="decoded", best="n_viterbi")
+    return coded.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "n_viterbi", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

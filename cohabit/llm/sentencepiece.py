@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import row_groups, span_hashes
-from .common import count_bucket, free_name, least_bucket, without, written
+from .common import count_bucket, free_name, least_bucket, mapped, without, written
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -195,9 +195,11 @@ def _reach(pieces: Pieces) -> Column:
     return _constants(table.ravel().tolist(), "int")
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+def encode_units(units: DataFrame, pieces: Pieces, best: bool = False) -> DataFrame:
     """Distinct (unit, ...) to (unit, ..., ids); null ids for units of over FOLD_LIMIT characters.
 
+    ``best`` adds the pieces and the score of the Viterbi path over the same lattice, whatever the model's own fold is.
+
     The piece table is a vocabulary, so it is broadcast; rows dealt by unit stay where they are.
     """
     spark, kept = units.sparkSession, units.columns
@@ -217,12 +219,11 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     ends, inner = _bits(start, start + k)
     # sorted, the edges of a unit stand in the order of (rank, start)
     fields = [(F.col("rank").cast("long") * 64 + start).alias("order"), ends.alias("ends"), inner.alias("inner"), "id", "start"]
-    if pieces.fold == "viterbi":
+    if pieces.fold == "viterbi" or best:
         fields += [(start + k).alias("end"), F.get(_constants(order, "double"), F.col("rank")).alias("score")]
     lattice = found.groupBy(*kept).agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull() & (n <= FOLD_LIMIT), F.struct(*fields)))).alias("edges"))
-    if pieces.fold == "merge":
-        folded = lattice.withColumn("cuts", _merged(n, F.col("edges")))
-    else:
+    folded = lattice
+    if pieces.fold == "viterbi" or best:
         cost = [0.0] * (1 + max(ord(p) for p, _, _ in pieces.rows if len(p) == 1))
         for p, _, score in pieces.rows:
             if len(p) == 1:
@@ -232,7 +233,12 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
         chars = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.get(costs, code(i)).alias("score")))
         lone = F.filter(chars, lambda e: e["score"] < 0)
         whole = F.concat(F.transform("edges", lambda e: F.struct(e["start"], e["end"], e["score"])), lone)
-        folded = lattice.withColumn("path", _viterbi_cuts(n, whole)).withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
+        folded = folded.withColumn("path", F.when(n <= FOLD_LIMIT, _viterbi_cuts(n, whole)))
+    if pieces.fold == "merge":
+        folded = folded.withColumn("cuts", _merged(n, F.col("edges")))
+    else:
+        folded = folded.withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
+    kept = [*kept, *(["path"] if best else [])]
     mine = lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0)
     taken = folded.select(*kept, "cuts", F.transform(F.filter("edges", mine), lambda e: F.struct(e["start"], e["id"])).alias("taken"))
 
@@ -254,6 +260,21 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     return taken.select(*kept, F.when(n <= FOLD_LIMIT, ids).alias("ids"))
 
 
+def best_spans(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]]) -> list[tuple[int, int]]:
+    """The Viterbi path of one unit, from left to right."""
+    n = len(unit)
+    edges = [[(i, by_piece[unit[i:j]][1]) for i in range(max(0, j - pieces.longest), j) if unit[i:j] in by_piece] for j in range(n + 1)]
+    worst = min((s for e in edges for _, s in e), default=0.0) - 10.0
+    best: list[tuple[float, int]] = [(0.0, -1)]
+    for j in range(1, n + 1):
+        best.append(max(((best[i][0] + s, i) for i, s in edges[j]), key=lambda x: (x[0], -x[1]), default=(best[j - 1][0] + worst, j - 1)))
+    spans, j = [], n
+    while j > 0:
+        spans.append((best[j][1], j))
+        j = best[j][1]
+    return spans[::-1]
+
+
 def encode_long(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]]) -> list[int]:
     """The same rules for one very long unit: merges from a heap, or Viterbi from left to right."""
     n = len(unit)
@@ -281,16 +302,7 @@ def encode_long(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]
                 offer(left[a])
         spans = [(a, end[a]) for a in range(n) if alive[a]]
     else:
-        edges = [[(i, by_piece[unit[i:j]][1]) for i in range(max(0, j - pieces.longest), j) if unit[i:j] in by_piece] for j in range(n + 1)]
-        worst = min((s for e in edges for _, s in e), default=0.0) - 10.0
-        best: list[tuple[float, int]] = [(0.0, -1)]
-        for j in range(1, n + 1):
-            best.append(max(((best[i][0] + s, i) for i, s in edges[j]), key=lambda x: (x[0], -x[1]), default=(best[j - 1][0] + worst, j - 1)))
-        spans, j = [], n
-        while j > 0:
-            spans.append((best[j][1], j))
-            j = best[j][1]
-        spans.reverse()
+        spans = best_spans(unit, pieces, by_piece)
     out: list[int] = []
     for a, b in spans:
         known = by_piece.get(unit[a:b])
@@ -356,8 +368,8 @@ def _count_units(texts: DataFrame, cutter) -> DataFrame:
     return texts.mapInArrow(run, "unit string, n long")
 
 
-def _lexicon(texts: DataFrame, pieces: Pieces, cutter) -> DataFrame:
-    """(text) to (hash, n, ids) of every distinct unit: 64-bit hash, occurrences, ids."""
+def _lexicon(texts: DataFrame, pieces: Pieces, cutter, best: bool) -> DataFrame:
+    """(text) to (hash, n, ids, best) of every distinct unit: 64-bit hash, occurrences, ids, pieces of the Viterbi path (null unless asked for)."""
     spark = texts.sparkSession
     width = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # the rows grow in number when exploded, so not by their bytes
     units = _count_units(texts, cutter).repartition(width, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -365,31 +377,40 @@ def _lexicon(texts: DataFrame, pieces: Pieces, cutter) -> DataFrame:
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units, ids = b.column(0).to_pylist(), b.column(2)
+            units, ids, paths = b.column(0).to_pylist(), b.column(2), b.column(3)
             if ids.null_count:
-                ids = pa.array([encode_long(u, *rules.value) if x is None else x for u, x in zip(units, ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(hash_strings(units).view(np.int64)), b.column(1), ids], names=["hash", "n", "ids"])
-
-    return encode_units(units, pieces).mapInArrow(named, "hash long, n long, ids array<int>")
-
-
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece_ids", decoded: str | None = None, common: int = COMMON) -> DataFrame:
-    """Adds ``to``, the ids of each text, and, if ``decoded`` names a column, the text that they decode to."""
+                long = [k for k, x in enumerate(ids.is_null().to_pylist()) if x]
+                whole, counts = ids.to_pylist(), paths.to_pylist()
+                for k in long:
+                    whole[k] = encode_long(units[k], *rules.value)
+                    counts[k] = len(best_spans(units[k], *rules.value)) if best else None
+                ids, paths = pa.array(whole, pa.list_(pa.int32())), pa.array(counts, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(hash_strings(units).view(np.int64)), b.column(1), ids, paths], names=["hash", "n", "ids", "best"])
+
+    coded = encode_units(units, pieces, best)
+    count = F.size("path") - 1 if best else F.lit(None).cast("int")
+    return coded.select("unit", "n", "ids", count.cast("int").alias("best")).mapInArrow(named, "hash long, n long, ids array<int>, best int")
+
+
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece_ids", decoded: str | None = None, common: int = COMMON, best: str | None = None) -> DataFrame:
+    """Adds ``to``, the ids of each text; if ``decoded`` names a column, the text that they decode to; and if ``best`` names one, the
+    number of pieces of the Viterbi paths (characters without a piece count once)."""
     spark = docs.sparkSession
-    docs = without(docs, to, *([decoded] if decoded else []))
+    docs = without(docs, to, *[c for c in (decoded, best) if c])
     cutter = spark.sparkContext.broadcast(Cutter(pieces))
     content = F.col(f"`{text}`").cast("string")
-    lexicon = written(_lexicon(docs.select(content.alias("text")), pieces, cutter), "lexicon")
+    lexicon = written(_lexicon(docs.select(content.alias("text")), pieces, cutter, bool(best)), "lexicon")
     often = (F.col("n") > 1) & (count_bucket(F.col("n")) >= least_bucket(lexicon.where("n > 1"), common))
-    top = lexicon.where(often).select("hash", "ids").toArrow().combine_chunks()  # at most `common` rows
+    top = lexicon.where(often).select("hash", "ids", "best").toArrow().combine_chunks()  # at most `common` rows
     sizes, values = _lists(top["ids"].combine_chunks() if isinstance(top["ids"], pa.ChunkedArray) else top["ids"])
     names = top["hash"].to_numpy().view(np.uint64)
     order = np.argsort(names)
     starts = np.cumsum(sizes) - sizes
     # sorted hashes of the common units, and where their ids lie in one array
     narrow = np.uint16 if max(i for _, i, _ in pieces.rows) < 1 << 16 else np.int32
-    shared = spark.sparkContext.broadcast((names[order], starts[order].astype(np.int32), sizes[order].astype(np.int32), values.astype(narrow)))
-    del top, names, starts, sizes, values
+    lengths = top["best"].combine_chunks().fill_null(0).to_numpy() if isinstance(top["best"], pa.ChunkedArray) else top["best"].fill_null(0).to_numpy()
+    shared = spark.sparkContext.broadcast((names[order], starts[order].astype(np.int32), sizes[order].astype(np.int32), values.astype(narrow), lengths[order].astype(np.int32) if best else lengths[:0]))
+    del top, names, starts, sizes, values, lengths
     pa.default_memory_pool().release_unused()
 
     key, own = free_name(docs, "_key"), free_name(docs, "_own")
@@ -407,25 +428,26 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs // (len(new) + 1))), units], names=["key", "hash"])
 
     missing = keyed.select(F.col(key), content.alias("text")).mapInArrow(rare, "key long, hash long")
-    found = missing.join(lexicon.where(~often).select("hash", "ids"), "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "ids")).alias(own)).withColumnRenamed("key", key)
+    found = missing.join(lexicon.where(~often).select("hash", "ids", "best"), "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "ids", "best")).alias(own)).withColumnRenamed("key", key)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, place_of_text):
-            yield b.set_column(place_of_text, pa.field(text, pa.binary()), _pack(b.column(place_of_text)))
+            yield pa.RecordBatch.from_arrays([_pack(b.column(i)) if i == place_of_text else b.column(i) for i in range(b.num_columns)], names=loose_names)
 
-    place_of_text = keyed.columns.index(text)
+    place_of_text, loose_names = keyed.columns.index(text), keyed.columns
     loose = keyed.withColumn(text, content)
-    packed = loose.mapInArrow(pack, loose.withColumn(text, F.col(f"`{text}`").cast("binary")).schema)
+    packed = mapped(loose, pack, loose.withColumn(text, F.col(f"`{text}`").cast("binary")).schema)
     ready = packed.join(found, key, "left").withColumn(to, F.lit(None).cast("array<int>"))
     ready = ready.withColumn(decoded, F.lit(None).cast("string")) if decoded else ready
+    ready = ready.withColumn(best, F.lit(None).cast("long")) if best else ready
     drop = {key, own}
     out = ready.withColumn(text, F.col(f"`{text}`").cast("string")).select(*[F.col(f"`{c}`") for c in ready.columns if c not in drop])
     columns, names_in, words = out.columns, ready.columns, (pieces.text_of, pieces.prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, starts, sizes, values = shared.value
+        hashes, starts, sizes, values, lengths = shared.value
         for b in _slices(batches, names_in.index(text), SLICE_BYTES // 2):
-            names = b.schema.names
+            names = names_in
             own_units = b.column(names.index(own)).flatten()
             more, flat = _lists(own_units.field("ids"))
             own_hash = own_units.field("hash").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -443,9 +465,13 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
             ids = pool[np.arange(ends[-1]) + np.repeat(at[idx] - ends[:-1], n[idx])]
             lists = pa.ListArray.from_arrays(pa.array(ends[u.at], pa.int32()), pa.array(ids.astype(np.int32)), mask=absent if None in texts else None)
             new_columns = {to: lists, text: pa.array(texts, pa.string())} | ({decoded: _decoded(lists, *words)} if decoded else {})
+            if best:
+                every = np.concatenate((lengths, own_units.field("best").to_numpy(zero_copy_only=False).astype(np.int32)[by]))
+                total = np.concatenate(([0], np.cumsum(every[idx], dtype=np.int64)))
+                new_columns[best] = pa.array(np.diff(total[u.at]), pa.int64(), mask=absent.to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([new_columns.get(c, b.column(names.index(c))) for c in columns], names=columns)
 
-    return ready.mapInArrow(run, out.schema)
+    return mapped(ready, run, out.schema)
 
 
 def _decoded(lists: pa.Array, text_of: dict[int, bytes], prefix: bool) -> pa.Array:
@@ -459,11 +485,11 @@ def _decoded(lists: pa.Array, text_of: dict[int, bytes], prefix: bool) -> pa.Arr
 def decode(df: DataFrame, pieces: Pieces, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
     """Adds the text of the ids; null ids give null.  Bytes that are not UTF-8 become U+FFFD."""
     at = df.sparkSession.sparkContext.broadcast((pieces.text_of, pieces.prefix))
+    plain = without(df, to)
+    place, names = plain.columns.index(ids), [*plain.columns, to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = _decoded(b.column(b.schema.get_field_index(ids)), *at.value)
-            yield pa.RecordBatch.from_arrays([found if c == to else b.column(i) for i, c in enumerate(b.schema.names)], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, _decoded(b.column(place), *at.value)], names=names)
 
-    plain = without(df, to).withColumn(to, F.lit(None).cast("string"))
-    return plain.mapInArrow(run, plain.schema)
+    return mapped(plain, run, plain.withColumn(to, F.lit(None).cast("string")).schema)

@@ -126,8 +126,8 @@ def test_sentencepiece_equals_the_library_and_round_trips(spark):
     import sentencepiece as lib
 
     sp = lib.SentencePieceProcessor(model_file=MODEL)
-    texts = ["", None, " ", "  a  b   c", "\n\n x", "日本語テスト ok", "a" * 500 + " b", "😀 😀😀 <s> <0x0A>", "0123456789abcdef" * 30, " lead", "The the   Thes, über.\tq", "same", "same", *corpus()[:40]]
-    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, piece_ids string, _key string")
+    texts = ["", None, " ", "  a  b   c", "\n\n x", "日本語テスト ok", "a" * 500 + " b", "😀 😀😀 <s> <0x0A>", "0123456789abcdef" * 30, " lead", "The the   Thes, über.\tq", "same", "same", *corpus()[:40], "x" * 200_000, "x= " * 30_000]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, piece_ids string, _key string").withColumns({"a.b": F.lit(3), "_own": F.lit("clash"), "m": F.create_map(F.lit("k"), F.lit(1))})
     pieces = sentencepiece.load(MODEL)
     coded = sentencepiece.encode(df, pieces, decoded="back", common=5)
     for r in sentencepiece.decode(coded, pieces).collect():
