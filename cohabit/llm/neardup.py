@@ -9,8 +9,10 @@ partner of x in cell j can exist only if
 * d(x, p_j) <= R_j + r                   (R_j: radius of cell j),
 
 so x is replicated to those cells only, and only to cells after its own: every pair meets
-once.  Cells are cut into blocks of bounded size, and each block joins its own vectors and its
-visitors on its own, tile by tile, with matrix products.  A block emits link *counts* and
+once.  A cell of more vectors than a block may hold gets pivots of its own, as many as it needs, and its members and
+visitors go to its sub-cells by the first two rules.  What is still too large is cut by hash.
+Each block joins its own vectors and its visitors on its own, in tiles around local pivots: two tiles whose
+centres are further apart than their radii and r are skipped, the others are matrix products.  A block emits link *counts* and
 the components of its own link graph (at most one edge for each vector), never its pairs.
 Equal vectors are one vector with a multiplicity.
 
@@ -31,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import components
 
-PER_CELL, MAX_PIVOTS, BLOCK, VISITORS, TILE = 2048, 128, 4096, 16384, 1024
+#: Pivots of the first level at most (they are broadcast), bytes of the vectors of a block, rows of a tile.
+MAX_PIVOTS, BLOCK_BYTES, TILE = 512, 8 << 20, 512
 MARGIN = 1e-4
 
 
@@ -99,7 +102,24 @@ def _local_roots(hit: np.ndarray, a: np.ndarray, b: np.ndarray, parent: dict[int
                 parent[max(p, q)] = min(p, q)
 
 
+def _tiles(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Rows in tiles of TILE at most around rows of their own: (rows, centre, radius)."""
+    if not len(x):
+        return []
+    p = x[:: max(1, TILE // 2)]
+    near = np.concatenate([(x[k : k + 4096] @ p.T).argmax(1) for k in range(0, len(x), 4096)])
+    order = np.argsort(near, kind="stable")
+    out = []
+    for rows in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
+        for k in range(0, len(rows), TILE):
+            part, centre = rows[k : k + TILE], p[near[rows[0]]]
+            out.append((part, centre, float(np.sqrt(np.maximum(2 - 2 * x[part] @ centre, 0)).max())))
+    return out
+
+
 def _block(t: float):
+    r = float(np.sqrt(2 - 2 * t))
+
     def run(group):
         group = group.combine_chunks()
         ids, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
@@ -115,18 +135,18 @@ def _block(t: float):
                 s = x[rows] @ x[cols].T
             hit = s >= t
             if same:
-                hit &= rows[:, None] < cols[None, :]
+                hit &= np.arange(len(rows))[:, None] < np.arange(len(cols))[None, :]
             if hit.any():
                 np.add.at(counts, rows, hit @ copies[cols])
                 np.add.at(counts, cols, copies[rows] @ hit)
                 _local_roots(hit, ids[rows], ids[cols], parent)
 
-        for lo in range(0, len(homes), TILE):
-            part = homes[lo : lo + TILE]
-            for k in range(0, len(guests), TILE):
-                join(part, guests[k : k + TILE], False)
-            for k in range(lo, len(homes) if first else 0, TILE):
-                join(part, homes[k : k + TILE], True)
+        mine, others = ([(where[rows], c, far) for rows, c, far in _tiles(x[where])] for where in (homes, guests))
+        for i, (rows, centre, far) in enumerate(mine):
+            # a tile meets itself, the tiles after it, and the visitors'
+            for k, (cols, other, reach) in enumerate([*(mine[i:] if first else []), *others]):
+                if np.sqrt(max(2 - 2 * float(centre @ other), 0)) <= far + reach + r + 1e-6:
+                    join(rows, cols, first and k == 0)
         some = np.flatnonzero(counts)
         root = [parent.get(i, i) for i in ids[some].tolist()]
         return pa.table({"rep": pa.array(ids[some]), "links": pa.array(counts[some]), "joined": pa.array(root, pa.int64())})
@@ -134,6 +154,51 @@ def _block(t: float):
     return run
 
 
+def _subdivided(rows: DataFrame, block: int, r: float) -> DataFrame:
+    """(rep, v, copies, cell, own) to the same with ``sub``: a row for each sub-cell of its cell that a vector belongs to (own) or may have a partner in.
+
+    The pivots of a cell are a hash sample of its members, one for each block that it would fill, so a small share of it.
+    """
+    sizes = rows.groupBy("cell").agg(F.count_if("own").alias("members"), F.count("*").alias("all")).where(F.col("members") > block)
+    sizes = written(sizes.select("cell", F.ceil(F.col("members") / block).alias("subs"), F.ceil(F.col("all") / block).alias("chunks")), "large-cells")
+    large = rows.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    # members fall into as many slots as there are to be pivots, and the first of each slot by another hash is one
+    slot = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("subs"))
+    chosen = large.where("own").groupBy("cell", "chunks", slot.alias("slot")).agg(F.min_by("v", F.xxhash64("rep", F.lit(5))).alias("v"))
+    pivots = chosen.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "v").toDF("its_cell", "its_chunk", "pivot")
+
+    def run(key, left, right):
+        left = left.combine_chunks()
+        x, p = _matrix(left["v"].chunk(0)) if left.num_rows else np.zeros((0, 1)), _matrix(right.combine_chunks()["pivot"].chunk(0))
+        own = left["own"].to_numpy(zero_copy_only=False)
+        # the same order in every chunk
+        p = p[np.lexsort(p.T[::-1])]
+        between = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-18))
+        at, sub, mine = [], [], []
+        for k in range(0, len(x), 2048):
+            d2 = np.maximum(2 - 2 * x[k : k + 2048] @ p.T, 0)
+            d, home = np.sqrt(d2), d2.argmin(1)
+            row = np.arange(len(d))
+            near = d[row, home]
+            go = (d <= near[:, None] + 2 * r + 1e-7) & ((d2 - near[:, None] ** 2) / (2 * between[home]) <= r + 1e-7)
+            member = own[k : k + 2048].astype(bool)
+            go &= ~member[:, None] | (np.arange(len(p)) >= home[:, None])
+            i, j = np.nonzero(go)
+            at.append(i + k)
+            sub.append(j)
+            mine.append(member[i] & (j == home[i]))
+        if not at:
+            return pa.table({"rep": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64())), "copies": pa.array([], pa.int64()), "cell": pa.array([], pa.int32()), "own": pa.array([], pa.bool_()), "sub": pa.array([], pa.int32())})
+        where = pa.array(np.concatenate(at))
+        taken = left.select(["rep", "v", "copies", "cell"]).take(where)
+        return taken.append_column("own", pa.array(np.concatenate(mine))).append_column("sub", pa.array(np.concatenate(sub), pa.int32()))
+
+    names = "rep long, v array<double>, copies long, cell int, own boolean, sub int"
+    cut = large.groupBy("cell", "chunk").cogroup(pivots.groupBy("its_cell", "its_chunk")).applyInArrow(run, names)
+    rest = rows.join(sizes.select("cell"), "cell", "left_anti").select("rep", "v", "copies", "cell", "own", F.lit(0).alias("sub"))
+    return written(cut.unionByName(rest), "sub-cells", sizes)
+
+
 def links(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", pivots: int | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) for every row."""
     spark, r = vectors.sparkSession, float(np.sqrt(2 - 2 * threshold))
@@ -159,8 +224,9 @@ def links(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vecto
 
 
 def _links_of_size(distinct: DataFrame, r: float, threshold: float, pivots: int | None) -> DataFrame:
-    n = distinct.count()
-    k = pivots or max(1, min(MAX_PIVOTS, n // PER_CELL))
+    n, size = distinct.count(), distinct.select(F.size("v")).first()[0]
+    block = max(256, BLOCK_BYTES // (8 * size))
+    k = pivots or max(1, min(MAX_PIVOTS, n // block))
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
     scaled = F.transform("v", lambda x: x / top)
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
@@ -173,15 +239,18 @@ def _links_of_size(distinct: DataFrame, r: float, threshold: float, pivots: int
         radii[row["home"]] = row["radius"]
     placed = written(_place(unit, p, radii, r), "placed-vectors")
 
-    blocks = placed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = F.broadcast(blocks.select(F.col("home").alias("cell"), "blocks"))  # one row per pivot
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    at_home = placed.withColumn("cell", F.col("home")).join(blocks, "cell").withColumn("block", own)
-    among = at_home.select("rep", "v", "copies", "cell", F.explode(F.when(F.col("block") + 1 < F.col("blocks"), F.sequence(F.col("block") + 1, F.col("blocks") - 1))).alias("block"))
-    away = placed.select("rep", "v", "copies", F.explode("visits").alias("cell")).join(blocks, "cell").select("rep", "v", "copies", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    guests = among.unionByName(away)
-    many = guests.groupBy("cell", "block").agg(F.ceil(F.count("*") / VISITORS).alias("visitors"))
-    many = F.broadcast(many)  # one row per block of a cell
-    guests = guests.join(many, ["cell", "block"]).withColumn("visitors", F.pmod(F.xxhash64("rep"), F.col("visitors"))).withColumn("own", F.lit(False))
-    hosts = at_home.select("rep", "v", "copies", "cell", "block").join(many, ["cell", "block"], "left").withColumn("visitors", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("visitors", F.lit(1)) - 1))).withColumn("own", F.lit(True))
-    return hosts.unionByName(guests).groupBy("cell", "block", "visitors").applyInArrow(_block(threshold), "rep long, links long, joined long")
+    home = placed.select("rep", "v", "copies", F.col("home").alias("cell"), F.lit(True).alias("own"))
+    away = placed.select("rep", "v", "copies", F.explode("visits").alias("cell"), F.lit(False).alias("own"))
+    rows = _subdivided(home.unionByName(away), block, r)
+    discard(placed)
+
+    cell = ["cell", "sub"]
+    blocks = rows.where("own").groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    at_home = rows.where("own").drop("own").join(blocks, cell).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    among = at_home.select("rep", "v", "copies", *cell, F.explode(F.when(F.col("block") + 1 < F.col("blocks"), F.sequence(F.col("block") + 1, F.col("blocks") - 1))).alias("block"))
+    visiting = rows.where(~F.col("own")).drop("own").join(blocks, cell).select("rep", "v", "copies", *cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    guests = among.unionByName(visiting)
+    many = guests.groupBy(*cell, "block").agg(F.ceil(F.count("*") / block).alias("visitors"))
+    guests = guests.join(many, [*cell, "block"]).withColumn("visitors", F.pmod(F.xxhash64("rep"), F.col("visitors"))).withColumn("own", F.lit(False))
+    hosts = at_home.select("rep", "v", "copies", *cell, "block").join(many, [*cell, "block"], "left").withColumn("visitors", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("visitors", F.lit(1)) - 1))).withColumn("own", F.lit(True))
+    return hosts.unionByName(guests).groupBy(*cell, "block", "visitors").applyInArrow(_block(threshold), "rep long, links long, joined long")

@@ -476,3 +476,25 @@ def test_decontaminate_hot_windows_dotted_names_and_no_rewrite(spark, monkeypatc
         spans = decontaminate.decontaminate(docs, bench, action="span", block_windows=block)
         assert {r["clean_text"] for r in spans.collect()} == {"before  after", "", "clean", None} and "a.b" in spans.columns
         assert decontaminate.decontaminate(docs, bench, block_windows=block).count() == 10
+
+
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_near_duplicates_in_subdivided_cells(spark, monkeypatch, pivots):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 1)  # blocks of 256 vectors
+    monkeypatch.setattr(neardup, "TILE", 16)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 6))
+    x = np.concatenate([np.repeat(centres, 20, axis=0) + rng.normal(size=(800, 6)) * 0.25, np.tile(centres[0], (500, 1)) + rng.normal(size=(500, 6)) * 0.05, np.tile(centres[1], (300, 1))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    assert not (np.abs(u @ u.T - 0.9) < 1e-9).any()
+    np.fill_diagonal(hit, False)
+    root = np.arange(len(x))
+    while True:
+        low = np.minimum(root, np.where(hit, root[None, :], len(x)).min(1))
+        if (low == root).all():
+            break
+        root = low
+    df = spark.createDataFrame([(i, v, "c", "d") for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, cell string, `a.b` string").repartition(6)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.links(df, pivots=pivots).collect()}
+    assert got == {i: (int(hit[i].sum()), int(root[i])) for i in range(len(x))}
