@@ -203,3 +203,13 @@ SELECT Interaction_type, CAST(CASE WHEN hi > lo THEN least(50, 1 + floor((x - lo
 ORACLES |= {"shared_by_bitmaps": ORACLES["threshold_set_intersections"], "listed_pairs_by_bitmaps": ORACLES["listed_pair_shared_counts"]}
 ORACLES |= {"threshold_summary_incremental": ORACLES["threshold_summary"], "clustered_alpha_diversity": ORACLES["alpha_diversity"], "row_groups": ORACLES["io_roundtrip"]}
 ORACLES["pair_abundance_interaction"] = f"{_ABUND} SELECT * FROM pr WHERE (host_tax_id + microbe_tax_id) % 3 = 0"
+_CRC_BITS = "list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda z: CAST(0 AS BIGINT))), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+_CRC = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(acc, ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: {_CRC_BITS}), 4294967295)"
+ORACLES |= {
+    "scan_with_file": f"{DUCKDB} SELECT acc, tax_id, total_abundance, CASE WHEN tax_id > 1000 THEN 'true' ELSE 'false' END AS folder FROM fx_abundance",
+    "scan_by_name": f"{DUCKDB} SELECT * FROM fx_meta",
+    "scan_shards": f"{DUCKDB}, s AS (SELECT acc, CAST({_CRC} % 4 AS INTEGER) AS shard FROM (SELECT DISTINCT acc FROM fx_abundance)) SELECT acc, tax_id, total_abundance, shard FROM fx_abundance JOIN s USING (acc)",
+    "table_append": f"{DUCKDB} SELECT acc, tax_id, total_abundance FROM fx_abundance",
+    "update_from": f"{DUCKDB}, f AS (SELECT acc, count(*) AS n_rows, CAST(max(tax_id) AS VARCHAR) AS c FROM fx_host GROUP BY acc) SELECT acc, platform, coalesce(c, center) AS center, strftime(releasedate, '%Y-%m-%d') AS releasedate, n_rows FROM fx_sra_meta LEFT JOIN f USING (acc)",
+    "named_view": f"{DUCKDB} SELECT host_tax_id, count(*) AS n, count(DISTINCT Interaction_type) AS n_types FROM fx_meta GROUP BY host_tax_id",
+}

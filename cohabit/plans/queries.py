@@ -319,6 +319,58 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.status(frames(spark, sf_dir)["fx_meta"], "pairs")
 
 
+def _kept(df: DataFrame, *paths: str) -> DataFrame:
+    """The rows written apart, so that the folders they come from can go."""
+    out = io.materialise(df, "kept")
+    io.delete(df.sparkSession, *paths)
+    return out
+
+
+def scan_with_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a partitioned folder with their file, partition folders left alone."""
+    path = io.scratch(spark, "files")
+    io.write_parquet(frames(spark, sf_dir)["fx_abundance"].withColumn("kind", F.col("tax_id") > 1000), path, ["kind"])
+    rows = io.read_with_file(spark, path)
+    return _kept(rows.select("acc", "tax_id", "total_abundance", F.regexp_extract("filename", "/kind=([a-z]+)/[^/]*[.]parquet$", 1).alias("folder")), path)
+
+
+def scan_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = io.scratch(spark, "named")
+    io.write_parquet(frames(spark, sf_dir)["fx_meta"], path)
+    return _kept(io.read_by_name(spark, path), path)
+
+
+def scan_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shard of a table by itself, then all of them together."""
+    path = io.scratch(spark, "shards")
+    io.write_parquet(frames(spark, sf_dir)["fx_abundance"].withColumn("shard", F.pmod(F.crc32("acc"), F.lit(4)).cast("int")), path, ["shard"])
+    return _kept(io.union_by_name([io.read_shard(spark, path, "shard", k).select("acc", "tax_id", "total_abundance", "shard") for k in range(4)]), path)
+
+
+def table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table created from hosts to which microbes are added."""
+    fx, name = frames(spark, sf_dir), f"appended_{uuid.uuid4().hex}"
+    for t, mode in (("fx_host", "overwrite"), ("fx_microbe", "append")):
+        io.save_table(fx[t].select("acc", "tax_id", "total_abundance"), name, mode)
+    out = io.materialise(spark.table(name), "kept")
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def update_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata whose center is replaced, and which gets a count, where a dataset has host rows."""
+    fx = frames(spark, sf_dir)
+    found = fx["fx_host"].groupBy("acc").agg(F.count("*").alias("n_rows"), F.max("tax_id").cast("string").alias("center"))
+    return _plain_date(io.update_from(fx["fx_sra_meta"], found, "acc", ["center", "n_rows"]))
+
+
+def named_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projection under a name, asked by SQL."""
+    name = f"meta_{uuid.uuid4().hex}"
+    io.view(frames(spark, sf_dir)["fx_meta"], name, "host_tax_id", "Interaction_type")
+    return spark.sql(f"SELECT host_tax_id, count(*) AS n, count(DISTINCT Interaction_type) AS n_types FROM {name} GROUP BY host_tax_id")
+
+
 def io_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partitioned zstd Parquet, read with merged schemas, then CSV, read with its schema."""
     rows = frames(spark, sf_dir)["fx_abundance"]
@@ -336,6 +388,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         alpha_diversity, clustered_alpha_diversity, host_threshold_counts, microbe_threshold_counts, pair_abundances, joint_threshold_counts, threshold_summary, threshold_summary_incremental, expected_rows, listed_pair_shared_counts,
         threshold_set_intersections, threshold_sets, shared_by_bitmaps, listed_pairs_by_bitmaps, pair_abundance, pair_abundance_interaction, pair_abundance_summary, unique_accessions, accession_metadata, accession_metadata_with_pairs, metadata_summary,
         coo_index_rows, coo_index_cols, coo_matrix, taxon_embeddings, taxon_embedding_columns, dataset_embeddings, dataset_vectors, sign_table, taxa_ids, coverage_report, duplicate_pairs, duplicate_labels, resolve_labels,
-        label_counts, sample_pairs, hypergeom_score, hypergeom_log_score, log_odds, log_odds_local, cooccurrence_metrics, fisher_p, fisher_p_universe, roc_points, auc_summary, auc_grid, auc_grid_all_ties, auc_grid_unsampled, class_medians, roc_label_text, score_histogram, status, row_groups, io_roundtrip,
+        label_counts, sample_pairs, hypergeom_score, hypergeom_log_score, log_odds, log_odds_local, cooccurrence_metrics, fisher_p, fisher_p_universe, roc_points, auc_summary, auc_grid, auc_grid_all_ties, auc_grid_unsampled, class_medians, roc_label_text, score_histogram, status, scan_with_file, scan_by_name, scan_shards, table_append, update_from, named_view, row_groups, io_roundtrip,
     )
 }
