@@ -168,19 +168,35 @@ def _merged(n: Column, merges: Column) -> Column:
     return F.when(F.size(merges) == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n - 1, F.lit(1)), F.size(merges))), whole, step))
 
 
-def _viterbi_cuts(n: Column, edges: Column) -> Column:
-    """Boundaries of the best path; a character without a piece costs 10 more than the worst score."""
-    worst = F.coalesce(F.array_min(F.transform(edges, lambda e: e["score"])), F.lit(0.0)) - 10.0
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).alias("back")))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda, an expression would be computed at each step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _viterbi(n: Column, several: Column, cost: Column) -> Column:
+    """Per place of a unit the best (score, back, pieces) that leads there; ``back`` is minus the place before, so that of equal scores the longest last piece wins.
+
+    ``several`` holds the edges of two characters or more (start, end, score), ``cost`` gives the score of a single one (0: no piece).
+    A character without a piece that no edge ends at costs 10 more than the worst score.
+    """
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("pieces")))
+    lone = F.filter(F.transform(F.sequence(F.lit(0), n - 1), cost), lambda x: x < 0)
+    worst = F.least(F.array_min(F.transform(several, lambda e: e["score"])), F.coalesce(F.array_min(lone), F.lit(0.0))) - 10.0
 
     def step(best: Column, j: Column) -> Column:
-        into = F.transform(F.filter(edges, lambda e: e["end"] == j), lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back")))
-        single = F.struct((F.get(best, j - 1)["score"] + worst).alias("score"), (1 - j).alias("back"))
-        return F.concat(best, F.array(F.coalesce(F.array_max(into), single)))
+        over = lambda start, score: F.struct((F.get(best, start)["score"] + score).alias("score"), (-start).alias("back"), (F.get(best, start)["pieces"] + 1).alias("pieces"))
+        into = F.array_max(F.transform(F.filter(several, lambda e: e["end"] == j), lambda e: over(e["start"], e["score"])))
+        alone = cost(j - 1)
+        one = F.when(alone < 0, over(j - 1, alone))
+        return F.concat(best, F.array(F.coalesce(F.greatest(into, one), over(j - 1, worst))))
+
+    return F.aggregate(F.sequence(F.lit(1), n), first, step)
+
 
-    path = F.aggregate(F.sequence(F.lit(1), n), first, step)
-    back = lambda cuts, _: F.when(F.get(cuts, F.lit(0)) <= 0, cuts).otherwise(F.concat(F.array(-F.get(path, F.get(cuts, F.lit(0)))["back"]), cuts))
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
+def _cuts_of(n: Column, best: Column) -> Column:
+    """Boundaries of the best path, from the end back."""
+    back = lambda b: lambda cuts, _: F.when(F.get(cuts, F.lit(0)) <= 0, cuts).otherwise(F.concat(F.array(-F.get(b, F.get(cuts, F.lit(0)))["back"]), cuts))
+    return _let(best, lambda b: F.aggregate(F.sequence(F.lit(1), n), F.array(n), back(b)))
 
 
 def _reach(pieces: Pieces) -> Column:
@@ -198,7 +214,7 @@ def _reach(pieces: Pieces) -> Column:
 def encode_units(units: DataFrame, pieces: Pieces, best: bool = False) -> DataFrame:
     """Distinct (unit, ...) to (unit, ..., ids); null ids for units of over FOLD_LIMIT characters.
 
-    ``best`` adds the pieces and the score of the Viterbi path over the same lattice, whatever the model's own fold is.
+    ``best`` adds ``pieces``, their number on the Viterbi path over the same lattice, whatever the model's own fold is.
 
     The piece table is a vocabulary, so it is broadcast; rows dealt by unit stay where they are.
     """
@@ -230,15 +246,17 @@ def encode_units(units: DataFrame, pieces: Pieces, best: bool = False) -> DataFr
                 cost[ord(p)] = score
         costs = _constants(cost, "double")
         bit = lambda a, x: a + F.call_function("shiftleft", F.lit(1).cast("long"), x)
-        chars = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.get(costs, code(i)).alias("score")))
-        lone = F.filter(chars, lambda e: e["score"] < 0)
-        whole = F.concat(F.transform("edges", lambda e: F.struct(e["start"], e["end"], e["score"])), lone)
-        folded = folded.withColumn("path", F.when(n <= FOLD_LIMIT, _viterbi_cuts(n, whole)))
+        path = _viterbi(n, F.col("edges"), lambda i: F.get(costs, code(i)))
+        # a merge model needs the number of pieces only
+        told = _cuts_of(n, path) if pieces.fold == "viterbi" else F.get(path, n)["pieces"]
+        folded = folded.withColumn("path" if pieces.fold == "viterbi" else "pieces", F.when(n <= FOLD_LIMIT, told))
     if pieces.fold == "merge":
         folded = folded.withColumn("cuts", _merged(n, F.col("edges")))
     else:
         folded = folded.withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
-    kept = [*kept, *(["path"] if best else [])]
+    if best and pieces.fold == "viterbi":
+        folded = folded.withColumn("pieces", F.size("path") - 1)
+    kept = [*kept, *(["pieces"] if best else [])]
     mine = lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0)
     taken = folded.select(*kept, "cuts", F.transform(F.filter("edges", mine), lambda e: F.struct(e["start"], e["id"])).alias("taken"))
 
@@ -388,7 +406,7 @@ def _lexicon(texts: DataFrame, pieces: Pieces, cutter, best: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hash_strings(units).view(np.int64)), b.column(1), ids, paths], names=["hash", "n", "ids", "best"])
 
     coded = encode_units(units, pieces, best)
-    count = F.size("path") - 1 if best else F.lit(None).cast("int")
+    count = F.col("pieces") if best else F.lit(None)
     return coded.select("unit", "n", "ids", count.cast("int").alias("best")).mapInArrow(named, "hash long, n long, ids array<int>, best int")
 
 
