@@ -210,6 +210,6 @@ ORACLES |= {
     "scan_by_name": f"{DUCKDB} SELECT * FROM fx_meta",
     "scan_shards": f"{DUCKDB}, s AS (SELECT acc, CAST({_CRC} % 4 AS INTEGER) AS shard FROM (SELECT DISTINCT acc FROM fx_abundance)) SELECT acc, tax_id, total_abundance, shard FROM fx_abundance JOIN s USING (acc)",
     "table_append": f"{DUCKDB} SELECT acc, tax_id, total_abundance FROM fx_abundance",
-    "update_from": f"{DUCKDB}, f AS (SELECT acc, count(*) AS n_rows, CAST(max(tax_id) AS VARCHAR) AS c FROM fx_host GROUP BY acc) SELECT acc, platform, coalesce(c, center) AS center, strftime(releasedate, '%Y-%m-%d') AS releasedate, n_rows FROM fx_sra_meta LEFT JOIN f USING (acc)",
+    "update_from": f"{DUCKDB}, f AS (SELECT acc, count(*) AS n_rows, CAST(max(tax_id) AS VARCHAR) AS c FROM fx_host GROUP BY acc) SELECT acc, platform, coalesce(c, center) AS center, strftime(releasedate, '%Y-%m-%d') AS releasedate, coalesce(n_rows, 0) AS n_rows FROM fx_sra_meta LEFT JOIN f USING (acc)",
     "named_view": f"{DUCKDB} SELECT host_tax_id, count(*) AS n, count(DISTINCT Interaction_type) AS n_types FROM fx_meta GROUP BY host_tax_id",
 }

@@ -361,7 +361,7 @@ def update_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata whose center is replaced, and which gets a count, where a dataset has host rows."""
     fx = frames(spark, sf_dir)
     found = fx["fx_host"].groupBy("acc").agg(F.count("*").alias("n_rows"), F.max("tax_id").cast("string").alias("center"))
-    return _plain_date(io.update_from(fx["fx_sra_meta"], found, "acc", ["center", "n_rows"]))
+    return _plain_date(io.update_from(fx["fx_sra_meta"], found, "acc", ["center", "n_rows"]).fillna(0, ["n_rows"]))
 
 
 def named_view(spark: SparkSession, sf_dir: str) -> DataFrame:
