@@ -20,6 +20,8 @@ from cohabit.schemas import need
 
 #: Rows whose signed values are held as a matrix at once, and bytes of sums that a task holds before it passes them on.
 SLICE, HELD_BYTES = 2048, 32 << 20
+#: Cells of a matrix of keys and others for each row, up to which a product is cheaper than sums of rows.
+DENSE = 32
 
 
 def _signature(key: Column, dims: int) -> Column:
@@ -61,20 +63,29 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, SLICE)
 
 
+def _key_sums(b: pa.RecordBatch, dims: int) -> tuple[list, np.ndarray]:
+    """Distinct keys of (key, other, x) and the sum of each: one product of matrices where keys and others repeat, else sums of sorted rows."""
+    keys, other = b.column(0).dictionary_encode(null_encoding="encode"), b.column(1).dictionary_encode()
+    at, to, x = keys.indices.to_numpy(), other.indices.to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+    t, u = len(keys.dictionary), len(other.dictionary)
+    if t * u <= DENSE * len(b):
+        return keys.dictionary.to_pylist(), np.bincount(at.astype(np.int64) * u + to, x, t * u).reshape(t, u) @ signs(other.dictionary.to_pylist(), dims)
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return [keys.dictionary[k].as_py() for k in at[order][starts].tolist()], np.add.reduceat(_signed(b, dims)[order], starts)
+
+
 def _accumulated(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
     """Sums of each key in a task, in one dense matrix that is passed on when it reaches its bound."""
     place: dict[object, int] = {}
     totals, kind = np.zeros((16, dims)), None
     for b in _slices(batches):
         kind = b.schema.field(0).type
-        keys = b.column(0).dictionary_encode(null_encoding="encode")
-        at = keys.indices.to_numpy()
-        order = np.argsort(at, kind="stable")
-        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
-        mine = np.array([place.setdefault(k, len(place)) for k in keys.dictionary.to_pylist()])[at[order][starts]]
+        keys, sums = _key_sums(b, dims)
+        mine = np.array([place.setdefault(k, len(place)) for k in keys])
         if len(place) > len(totals):
             totals = np.vstack((totals, np.zeros((max(len(totals), len(place) - len(totals)), dims))))
-        totals[mine] += np.add.reduceat(_signed(b, dims)[order], starts)
+        totals[mine] += sums
         if totals.nbytes >= HELD_BYTES:
             yield _sums(pa.array(list(place), kind), totals[: len(place)])
             place, totals = {}, np.zeros((16, dims))

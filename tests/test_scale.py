@@ -159,7 +159,9 @@ def test_row_groups_of_a_given_number_of_rows(spark, tmp_path):
     assert all(a[1] < b[0] for a, b in zip(groups[:-1], groups[1:], strict=True))
 
 
-def test_vectors_do_not_depend_on_batches_and_bounds(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 32])
+def test_vectors_do_not_depend_on_batches_and_bounds(spark, monkeypatch, dense):
+    monkeypatch.setattr(embed, "DENSE", dense)
     rng = random.Random(5)
     rows = [(rng.choice(["hot", f"S{rng.randrange(50)}", None]), rng.choice([None, *range(12)]), rng.choice([None, rng.random()])) for _ in range(3000)]
     want_t, want_d = defaultdict(lambda: np.zeros(40)), defaultdict(lambda: np.zeros(40))
