@@ -39,7 +39,7 @@ from .common import count_bucket, free_name, least_bucket, mapped, without, writ
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 FOLD_LIMIT = 60
-COMMON = 300_000
+COMMON = 1_000_000
 SLICE_BYTES = 1 << 19
 HELD_BYTES = 48 << 20
 
@@ -174,21 +174,33 @@ def _let(value: Column, body) -> Column:
 
 
 def _viterbi(n: Column, several: Column, cost: Column) -> Column:
-    """Per place of a unit the best (score, back, pieces) that leads there; ``back`` is minus the place before, so that of equal scores the longest last piece wins.
+    """Per place of a unit the best (score, few, back) that leads there; of equal scores the one of the fewest pieces, then of the longest last piece.
 
-    ``several`` holds the edges of two characters or more (start, end, score), ``cost`` gives the score of a single one (0: no piece).
-    A character without a piece that no edge ends at costs 10 more than the worst score.
+    ``several`` holds the edges of two characters or more (start, end, score), ``cost`` gives the score of a single one (0: no piece); ``few`` is minus
+    the number of pieces, ``back`` minus the place before.  A character without a piece that no edge ends at costs 10 more than the worst score.
     """
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("pieces")))
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("few"), F.lit(0).alias("back")))
+    over = lambda best, start, score: F.struct((F.get(best, start)["score"] + score).alias("score"), (F.get(best, start)["few"] - 1).alias("few"), (-start).alias("back"))
+    return _folded(n, several, cost, first, over)
+
+
+def _best_pieces(n: Column, several: Column, cost: Column, whole: bool) -> Column:
+    """Number of pieces of the best path.  Scores that are whole numbers (ranks) leave room below the point for it, and the fold then carries single numbers."""
+    if not whole:
+        return -F.get(_viterbi(n, several, cost), n)["few"]
+    over = lambda best, start, score: F.get(best, start) + (score * 64 - 1)  # noqa: E731  units have less than 64 characters
+    return F.pmod(-F.get(_folded(n, several, cost, F.array(F.lit(0.0)), over), n), F.lit(64.0)).cast("int")
+
+
+def _folded(n: Column, several: Column, cost: Column, first: Column, over) -> Column:
     lone = F.filter(F.transform(F.sequence(F.lit(0), n - 1), cost), lambda x: x < 0)
     worst = F.least(F.array_min(F.transform(several, lambda e: e["score"])), F.coalesce(F.array_min(lone), F.lit(0.0))) - 10.0
 
     def step(best: Column, j: Column) -> Column:
-        over = lambda start, score: F.struct((F.get(best, start)["score"] + score).alias("score"), (-start).alias("back"), (F.get(best, start)["pieces"] + 1).alias("pieces"))
-        into = F.array_max(F.transform(F.filter(several, lambda e: e["end"] == j), lambda e: over(e["start"], e["score"])))
+        into = F.array_max(F.transform(F.filter(several, lambda e: e["end"] == j), lambda e: over(best, e["start"], e["score"])))
         alone = cost(j - 1)
-        one = F.when(alone < 0, over(j - 1, alone))
-        return F.concat(best, F.array(F.coalesce(F.greatest(into, one), over(j - 1, worst))))
+        one = F.when(alone < 0, over(best, j - 1, alone))
+        return F.concat(best, F.array(F.coalesce(F.greatest(into, one), over(best, j - 1, worst))))
 
     return F.aggregate(F.sequence(F.lit(1), n), first, step)
 
@@ -246,9 +258,9 @@ def encode_units(units: DataFrame, pieces: Pieces, best: bool = False) -> DataFr
                 cost[ord(p)] = score
         costs = _constants(cost, "double")
         bit = lambda a, x: a + F.call_function("shiftleft", F.lit(1).cast("long"), x)
-        path = _viterbi(n, F.col("edges"), lambda i: F.get(costs, code(i)))
+        cost_of = lambda i: F.get(costs, code(i))
         # a merge model needs the number of pieces only
-        told = _cuts_of(n, path) if pieces.fold == "viterbi" else F.get(path, n)["pieces"]
+        told = _cuts_of(n, _viterbi(n, F.col("edges"), cost_of)) if pieces.fold == "viterbi" else _best_pieces(n, F.col("edges"), cost_of, all(x == int(x) for x in order))
         folded = folded.withColumn("path" if pieces.fold == "viterbi" else "pieces", F.when(n <= FOLD_LIMIT, told))
     if pieces.fold == "merge":
         folded = folded.withColumn("cuts", _merged(n, F.col("edges")))
@@ -283,13 +295,13 @@ def best_spans(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]]
     n = len(unit)
     edges = [[(i, by_piece[unit[i:j]][1]) for i in range(max(0, j - pieces.longest), j) if unit[i:j] in by_piece] for j in range(n + 1)]
     worst = min((s for e in edges for _, s in e), default=0.0) - 10.0
-    best: list[tuple[float, int]] = [(0.0, -1)]
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
     for j in range(1, n + 1):
-        best.append(max(((best[i][0] + s, i) for i, s in edges[j]), key=lambda x: (x[0], -x[1]), default=(best[j - 1][0] + worst, j - 1)))
+        best.append(max(((best[i][0] + s, best[i][1] - 1, -i) for i, s in edges[j]), default=(best[j - 1][0] + worst, best[j - 1][1] - 1, 1 - j)))
     spans, j = [], n
     while j > 0:
-        spans.append((best[j][1], j))
-        j = best[j][1]
+        spans.append((-best[j][2], j))
+        j = -best[j][2]
     return spans[::-1]
 
 
