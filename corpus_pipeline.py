@@ -15,6 +15,8 @@ from cohabit.llm.common import free_name, scope, table, written
 
 #: Documents of a lower score are rejected.
 LEAST_QUALITY = 0.3
+#: Units whose ids are broadcast in the last stage: fewer than the operator's own number, since five stages share the driver.
+COMMON_UNITS = 300_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds piece_ids, n_pieces and round_trip: whether the ids decode to the text."""
     back = free_name(docs, "_decoded")
-    coded = sentencepiece.encode(docs, sentencepiece.load(), decoded=back)
+    coded = sentencepiece.encode(docs, sentencepiece.load(), decoded=back, common=COMMON_UNITS)
     return coded.withColumns({"n_pieces": F.size("piece_ids").cast("long"), "round_trip": F.col(back).eqNullSafe(F.col("text"))}).drop(back)
 
 
