@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from cohabit import schemas
 from cohabit.functions import stats
 from cohabit.operators import bitmaps, diversity, embed, evaluate, extract, matrix, prefilter, ranks, scores, state, thresholds
+from cohabit.plans import queries
 from cohabit.sources import io
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -213,3 +216,16 @@ def test_tails_share_terms_and_equal_exact_integers(spark):
         stats._log_tail(s[k] - (sign < 0), h[k], n - h[k], m[k], sign > 0, None, alone)
     assert sum(shared.count) < 0.7 * sum(alone)
     assert os.path.isdir(io.shared_dir(spark).removeprefix("file:"))
+
+
+def test_vectors_are_summed_as_products_and_rounded_without_decimals(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"S{rng.randrange(60):02}", rng.randrange(9), rng.choice([None, rng.random()])) for _ in range(4000)]
+    a = spark.createDataFrame(rows, schemas.ABUNDANCE).repartition(3)
+    got = {r["acc"]: np.array(r["embedding"]) for r in embed.dataset_vectors(a, 70).collect()}
+    want = defaultdict(lambda: np.zeros(70))
+    for acc, t, x in rows:
+        want[acc] += (x or 0.0) * embed.signs([str(t)], 70)[0] / math.sqrt(70)
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+    text = plan(queries.QUERIES["dataset_embeddings"](spark, SF)) + plan(queries.QUERIES["dataset_vectors"](spark, SF))
+    assert "round(" not in text and text.count("lambdafunction") == 1
