@@ -23,7 +23,7 @@ from cohabit.sources.io import arrow_rows, materialise
 
 #: Numbers in a chunk: the size of Spark's bitmaps (4 KB).
 CHUNK = 32_768
-#: Rows of two chunks that a task holds at once.
+#: Rows of chunks that a task holds unpacked, or side by side, at once.
 HELD = 64
 
 
@@ -58,16 +58,20 @@ def members(sets: DataFrame, to: str = "members") -> DataFrame:
     """``bits`` as the ascending numbers that they hold (a chunk at most)."""
     kept = [c for c in sets.columns if c != "bits"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    return sets.mapInArrow(lambda batches: _numbers(batches, kept, to), sets.select(*kept, F.array().cast("array<long>").alias(to)).schema)
+
+
+def _numbers(batches: Iterator[pa.RecordBatch], kept: Sequence[str], to: str) -> Iterator[pa.RecordBatch]:
+    """A few chunks at a time: a chunk of 4 KB may hold 256 KB of numbers."""
+    for whole in batches:
+        for k in range(0, len(whole), HELD):
+            b = whole.slice(k, HELD)
             bits = np.unpackbits(np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8), bitorder="little").reshape(len(b), CHUNK)
             row, bit = np.nonzero(bits)
             number = bit + b.column("chunk").to_numpy()[row] * CHUNK
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(b) + 1)), pa.int32()), pa.array(number, pa.int64()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], lists], names=[*kept, to])
 
-    return sets.mapInArrow(run, sets.select(*kept, F.array().cast("array<long>").alias(to)).schema)
-
 
 def _counted(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Rows of two chunks (h and m: lists of level and bits) to the size of each intersection of their levels."""

@@ -8,6 +8,7 @@ from collections import defaultdict
 from statistics import median
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -218,6 +219,15 @@ def test_tails_share_terms_and_equal_exact_integers(spark):
     assert os.path.isdir(io.shared_dir(spark).removeprefix("file:"))
 
 
+def test_members_are_unpacked_a_few_chunks_at_a_time():
+    n = 5 * bitmaps.HELD + 3
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([bytes([k % 256]) + bytes(4094) + b"\x80" for k in range(n)])], names=["chunk", "bits"])
+    got = list(bitmaps._numbers(iter([rows]), ["chunk"], "members"))
+    assert max(len(b) for b in got) <= bitmaps.HELD
+    found = [m for b in got for m in b.column("members").to_pylist()]
+    assert found == [[k * bitmaps.CHUNK + i for i in range(8) if k >> i & 1] + [(k + 1) * bitmaps.CHUNK - 1] for k in range(n)]
+
+
 def test_vectors_are_summed_as_products_and_rounded_without_decimals(spark, tmp_path):
     rng = random.Random(6)
     rows = [(f"S{rng.randrange(60):02}", rng.randrange(9), rng.choice([None, rng.random()])) for _ in range(4000)]
