@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohabit import schemas
 from cohabit.functions import stats
-from cohabit.operators import bitmaps, diversity, embed, evaluate, extract, matrix, prefilter, ranks, scores, state, thresholds
+from cohabit.operators import bitmaps, deal, diversity, embed, evaluate, extract, matrix, prefilter, ranks, scores, state, thresholds
 from cohabit.plans import queries
 from cohabit.sources import io
 
@@ -228,6 +228,31 @@ def test_members_are_unpacked_a_few_chunks_at_a_time():
     assert found == [[k * bitmaps.CHUNK + i for i in range(8) if k >> i & 1] + [(k + 1) * bitmaps.CHUNK - 1] for k in range(n)]
 
 
+def test_threshold_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(deal, "ROWS", 100)
+    rng = random.Random(3)
+    # one host and one microbe hold nearly all rows; some taxa are not listed
+    h = [(1 if rng.random() < 0.9 else rng.choice([2, 5]), f"S{rng.randrange(900)}", rng.choice([None, 0.0, 0.1, 0.5, 2.0])) for _ in range(3000)]
+    m = [(11 if rng.random() < 0.9 else rng.choice([12, 15]), f"S{rng.randrange(900)}", rng.choice([0.1, 0.5, 2.0]), "V") for _ in range(2000)]
+    hosts, microbes = spark.createDataFrame(h, schemas.HOST), spark.createDataFrame(m, schemas.MICROBE)
+    pairs, levels = spark.createDataFrame([(i, 10 + j, "V", "h", "p") for i in (1, 2, 3) for j in (1, 2)], schemas.PAIRS), (0.1, 0.4)
+    for few in (deal.IDS, 1):
+        monkeypatch.setattr(deal, "IDS", few)
+        joint, met = thresholds.shared_counts(hosts, microbes, pairs, levels), thresholds.pair_abundances(hosts, microbes, pairs)
+        counts = thresholds.threshold_counts(hosts, pairs.select(F.col("host_tax_id").alias("tax_id")), levels)
+        for df, times in ((joint, 2), (met, 2), (counts, 1)):
+            assert plan(df).count("hashpartitioning(acc") == times
+        assert plan(joint).count(", 30), REPARTITION_BY_NUM") >= 2 and plan(met).count(", 30), REPARTITION_BY_NUM") == 2
+        passing = lambda rows, t, x: {r[1] for r in rows if r[0] == t and r[2] is not None and r[2] >= x}
+        assert {(r["tax_id"], r["threshold"]): r["n"] for r in counts.collect()} == {(t, x): len(passing(h, t, x)) for t in (1, 2, 3) for x in levels}
+        assert {tuple(r)[:4]: r[4] for r in joint.collect()} == {(i, j, x, y): len(passing(h, i, x) & passing(m, j, y)) for i in (1, 2, 3) for j in (11, 12) for x in levels for y in levels}
+        by = defaultdict(list)
+        for t, acc, x, _ in m:
+            by[acc].append((t, x))
+        want = [(i, j, acc, x, y) for i, acc, x in h if i in (1, 2) for j, y in by[acc] if j in (11, 12)]
+        assert sorted(map(str, map(tuple, met.collect()))) == sorted(map(str, want))
+
+
 def test_vectors_are_summed_as_products_and_rounded_without_decimals(spark, tmp_path):
     rng = random.Random(6)
     rows = [(f"S{rng.randrange(60):02}", rng.randrange(9), rng.choice([None, rng.random()])) for _ in range(4000)]
