@@ -10,6 +10,9 @@ unit.  A Spark higher-order ``aggregate`` then folds each unit's edges:
   leftmost first, until none is left.  For a BPE model the Viterbi path is *not* what the
   library returns (see the README for the share that differs), so the model's type decides.
 
+The number of pieces of the Viterbi path, whatever the model, comes from the same lattice by the same fold over the
+places of all units of a batch at once (``path_lengths``).
+
 Units are encoded once for the corpus: counted inside tasks, dealt by unit, and folded where they
 lie, so the lattice needs no shuffle of its own.  The most frequent ones (``common`` at most, a fixed
 number) are broadcast; of the others, 64-bit hashes meet the lexicon and return to their documents by a join.
@@ -181,18 +184,6 @@ def _viterbi(n: Column, several: Column, cost: Column) -> Column:
     """
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("few"), F.lit(0).alias("back")))
     over = lambda best, start, score: F.struct((F.get(best, start)["score"] + score).alias("score"), (F.get(best, start)["few"] - 1).alias("few"), (-start).alias("back"))
-    return _folded(n, several, cost, first, over)
-
-
-def _best_pieces(n: Column, several: Column, cost: Column, whole: bool) -> Column:
-    """Number of pieces of the best path.  Scores that are whole numbers (ranks) leave room below the point for it, and the fold then carries single numbers."""
-    if not whole:
-        return -F.get(_viterbi(n, several, cost), n)["few"]
-    over = lambda best, start, score: F.get(best, start) + (score * 64 - 1)  # noqa: E731  units have less than 64 characters
-    return F.pmod(-F.get(_folded(n, several, cost, F.array(F.lit(0.0)), over), n), F.lit(64.0)).cast("int")
-
-
-def _folded(n: Column, several: Column, cost: Column, first: Column, over) -> Column:
     lone = F.filter(F.transform(F.sequence(F.lit(0), n - 1), cost), lambda x: x < 0)
     worst = F.least(F.array_min(F.transform(several, lambda e: e["score"])), F.coalesce(F.array_min(lone), F.lit(0.0))) - 10.0
 
@@ -211,6 +202,43 @@ def _cuts_of(n: Column, best: Column) -> Column:
     return _let(best, lambda b: F.aggregate(F.sequence(F.lit(1), n), F.array(n), back(b)))
 
 
+def path_tables(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Scores by rank, best first, and by code point (-inf: no piece of that one character)."""
+    lone = {ord(p): score for p, _, score in pieces.rows if len(p) == 1}
+    single = np.full(2 + max(lone, default=0), -np.inf)  # the last one stands for all characters beyond
+    single[list(lone)] = list(lone.values())
+    return np.array(sorted({score for _, _, score in pieces.rows}, reverse=True)), single
+
+
+def path_lengths(units: list[str], lattice: pa.Array, scores: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Number of pieces of each unit's Viterbi path, by the rules of ``_viterbi``, place by place over all units (of at most ``FOLD_LIMIT`` characters).
+
+    ``lattice`` lists the edges of two characters or more as (rank * 64 + start) * 64 + end.
+    """
+    size, (edges, packed) = np.array([len(u) for u in units], dtype=np.int64), _lists(lattice)
+    unit, start, end, score = np.repeat(np.arange(len(units)), edges), packed >> 6 & 63, packed & 63, scores[packed >> 12]
+    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alone = np.full((len(units), size.max(initial=0)), -np.inf)
+    alone[np.arange(alone.shape[1]) < size[:, None]] = single[np.minimum(codes, len(single) - 1)]
+    worst = np.where(np.isfinite(alone), alone, 0.0).min(axis=1, initial=0.0)
+    np.minimum.at(worst, unit, score)
+    best, few = np.zeros((alone.shape[1] + 1, len(units))), np.zeros((alone.shape[1] + 1, len(units)), dtype=np.int64)
+    by = np.argsort(end, kind="stable")
+    at = np.searchsorted(end[by], np.arange(alone.shape[1] + 2))
+    for j in range(1, alone.shape[1] + 1):
+        into = by[at[j] : at[j + 1]]
+        u, total, steps = unit[into], best[start[into], unit[into]] + score[into], few[start[into], unit[into]] + 1
+        one = best[j - 1] + alone[:, j - 1]
+        most = one.copy()
+        np.maximum.at(most, u, total)
+        count = np.where(one == most, few[j - 1] + 1, FOLD_LIMIT + 1)
+        equal = total == most[u]
+        np.minimum.at(count, u[equal], steps[equal])
+        none = np.isneginf(most)
+        best[j], few[j] = np.where(none, best[j - 1] + worst - 10.0, most), np.where(none, few[j - 1] + 1, count)
+    return few[size, np.arange(len(units))]
+
+
 def _reach(pieces: Pieces) -> Column:
     """Longest piece by its first two characters (index 128 a + b; the word sign counts as 1, other characters as 0), at least 2."""
     at = lambda c: ord(c) if ord(c) < 128 else int(c == SPACE)
@@ -226,7 +254,7 @@ def _reach(pieces: Pieces) -> Column:
 def encode_units(units: DataFrame, pieces: Pieces, best: bool = False) -> DataFrame:
     """Distinct (unit, ...) to (unit, ..., ids); null ids for units of over FOLD_LIMIT characters.
 
-    ``best`` adds ``pieces``, their number on the Viterbi path over the same lattice, whatever the model's own fold is.
+    ``best`` adds ``lattice``, the edges as ``path_lengths`` takes them.
 
     The piece table is a vocabulary, so it is broadcast; rows dealt by unit stay where they are.
     """
@@ -245,30 +273,24 @@ def encode_units(units: DataFrame, pieces: Pieces, best: bool = False) -> DataFr
     parts = starts.select(*kept, "start", F.explode(F.sequence(F.lit(2), F.greatest(F.col("most"), F.lit(2)))).alias("k"))
     found = parts.withColumn("piece", F.substring(F.col("unit"), start + 1, k)).join(F.broadcast(table), "piece", "left").where("id is not null or (start = 0 and k = 2)")
     ends, inner = _bits(start, start + k)
-    # sorted, the edges of a unit stand in the order of (rank, start)
-    fields = [(F.col("rank").cast("long") * 64 + start).alias("order"), ends.alias("ends"), inner.alias("inner"), "id", "start"]
-    if pieces.fold == "viterbi" or best:
+    # sorted, the edges of a unit stand in the order of (rank, start, end)
+    fields = [((F.col("rank").cast("long") * 64 + start) * 64 + start + k).alias("order"), ends.alias("ends"), inner.alias("inner"), "id", "start"]
+    if pieces.fold == "viterbi":
         fields += [(start + k).alias("end"), F.get(_constants(order, "double"), F.col("rank")).alias("score")]
     lattice = found.groupBy(*kept).agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull() & (n <= FOLD_LIMIT), F.struct(*fields)))).alias("edges"))
-    folded = lattice
-    if pieces.fold == "viterbi" or best:
+    if pieces.fold == "merge":
+        folded = lattice.withColumn("cuts", _merged(n, F.col("edges")))
+    else:
         cost = [0.0] * (1 + max(ord(p) for p, _, _ in pieces.rows if len(p) == 1))
         for p, _, score in pieces.rows:
             if len(p) == 1:
                 cost[ord(p)] = score
         costs = _constants(cost, "double")
         bit = lambda a, x: a + F.call_function("shiftleft", F.lit(1).cast("long"), x)
-        cost_of = lambda i: F.get(costs, code(i))
-        # a merge model needs the number of pieces only
-        told = _cuts_of(n, _viterbi(n, F.col("edges"), cost_of)) if pieces.fold == "viterbi" else _best_pieces(n, F.col("edges"), cost_of, all(x == int(x) for x in order))
-        folded = folded.withColumn("path" if pieces.fold == "viterbi" else "pieces", F.when(n <= FOLD_LIMIT, told))
-    if pieces.fold == "merge":
-        folded = folded.withColumn("cuts", _merged(n, F.col("edges")))
-    else:
-        folded = folded.withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
-    if best and pieces.fold == "viterbi":
-        folded = folded.withColumn("pieces", F.size("path") - 1)
-    kept = [*kept, *(["pieces"] if best else [])]
+        path = _cuts_of(n, _viterbi(n, F.col("edges"), lambda i: F.get(costs, code(i))))
+        folded = lattice.withColumn("path", F.when(n <= FOLD_LIMIT, path)).withColumn("cuts", F.aggregate("path", F.lit(0).cast("long"), bit))
+    if best:
+        folded, kept = folded.withColumn("lattice", F.col("edges")["order"]), [*kept, "lattice"]
     mine = lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0)
     taken = folded.select(*kept, "cuts", F.transform(F.filter("edges", mine), lambda e: F.struct(e["start"], e["id"])).alias("taken"))
 
@@ -404,10 +426,14 @@ def _lexicon(texts: DataFrame, pieces: Pieces, cutter, best: bool) -> DataFrame:
     width = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # the rows grow in number when exploded, so not by their bytes
     units = _count_units(texts, cutter).repartition(width, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
     rules = spark.sparkContext.broadcast((pieces, {p: (i, s) for p, i, s in pieces.rows}))
+    tables = spark.sparkContext.broadcast(path_tables(pieces))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units, ids, paths = b.column(0).to_pylist(), b.column(2), b.column(3)
+            units, ids, paths = b.column(0).to_pylist(), b.column(2), pa.nulls(len(b), pa.int32())
+            if best:
+                # a long unit has no edges, and gets its own number below
+                paths = pa.array(path_lengths([u[:FOLD_LIMIT] for u in units], b.column(3), *tables.value), pa.int32())
             if ids.null_count:
                 long = [k for k, x in enumerate(ids.is_null().to_pylist()) if x]
                 whole, counts = ids.to_pylist(), paths.to_pylist()
@@ -418,8 +444,7 @@ def _lexicon(texts: DataFrame, pieces: Pieces, cutter, best: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hash_strings(units).view(np.int64)), b.column(1), ids, paths], names=["hash", "n", "ids", "best"])
 
     coded = encode_units(units, pieces, best)
-    count = F.col("pieces") if best else F.lit(None)
-    return coded.select("unit", "n", "ids", count.cast("int").alias("best")).mapInArrow(named, "hash long, n long, ids array<int>, best int")
+    return coded.select("unit", "n", "ids", *(["lattice"] if best else [])).mapInArrow(named, "hash long, n long, ids array<int>, best int")
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece_ids", decoded: str | None = None, common: int = COMMON, best: str | None = None) -> DataFrame:

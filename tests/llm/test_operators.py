@@ -145,6 +145,36 @@ def test_viterbi_fold_is_optimal(spark):
     assert got == {u: sentencepiece.encode_long(u, pieces, known) for u in units}
 
 
+@pytest.mark.parametrize("fold", ["merge", "viterbi"])
+def test_path_lengths_against_all_segmentations(spark, fold):
+    rng = random.Random(8)
+    # ties, a piece of score 0, characters without a piece (c, beyond all pieces: 日), units without any piece
+    words = ["a", "b", "ab", "ba", "aab", "bb", "abc", "cc", "▁a", "▁ab"]
+    pieces = sentencepiece.Pieces([(w, i, -float(i // 2)) for i, w in enumerate(words)], [], 99, fold, True, {})
+    score = {p: s for p, _, s in pieces.rows}
+    units = sorted({"".join(rng.choice("aabbc▁日") for _ in range(rng.randrange(1, 10))) for _ in range(150)} | {"c", "日", "a", "ab" * (sentencepiece.FOLD_LIMIT // 2)})
+    rows = sentencepiece.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), pieces, True).select("unit", "lattice").toArrow()
+    names = rows["unit"].to_pylist()
+    got = dict(zip(names, sentencepiece.path_lengths(names, rows["lattice"].combine_chunks(), *sentencepiece.path_tables(pieces)).tolist(), strict=True))
+
+    def paths(u):
+        if not u:
+            yield 0.0, 0
+        for k in range(1, len(u) + 1):
+            if u[:k] in score:
+                for s, n in paths(u[k:]):
+                    yield score[u[:k]] + s, n - 1
+
+    known = {p: (i, s) for p, i, s in pieces.rows}
+    assert set(got) == set(units) and got["ab" * (sentencepiece.FOLD_LIMIT // 2)] == sentencepiece.FOLD_LIMIT  # a and b cost nothing
+    assert all(got[u] == len(sentencepiece.best_spans(u, pieces, known)) for u in units)
+    whole = {u: -max(paths(u))[1] for u in units if len(u) < 10 and set(u) <= set("ab")}
+    assert len(whole) > 10 and all(got[u] == n for u, n in whole.items())
+    folds = sentencepiece.encode_units(spark.createDataFrame([("ab",)], "unit string"), pieces, True)._jdf.queryExecution().optimizedPlan().toString()
+    plain = sentencepiece.encode_units(spark.createDataFrame([("ab",)], "unit string"), pieces)._jdf.queryExecution().optimizedPlan().toString()
+    assert folds.count("aggregate(sequence") == plain.count("aggregate(sequence")
+
+
 def brute_components(texts, n, num, den):
     sets = []
     for t in texts:
