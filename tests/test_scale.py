@@ -253,6 +253,17 @@ def test_threshold_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
         assert sorted(map(str, map(tuple, met.collect()))) == sorted(map(str, want))
 
 
+def test_every_table_of_the_grid_is_dealt_by_dataset(spark, monkeypatch):
+    monkeypatch.setattr(deal, "ROWS", 100)
+    fx = queries.frames(spark, SF)
+    n = -(-fx["fx_host"].count() // 100)
+    text = thresholds.threshold_summary(fx["fx_host"], fx["fx_microbe"], fx["fx_meta"])._jdf.queryExecution().optimizedPlan().toString()
+    # hosts, microbes, and both again for the joint counts
+    assert n > 50 and text.count("RepartitionByExpression [acc#") == len([x for x in text.splitlines() if "RepartitionByExpression [acc#" in x and x.rstrip().endswith(f", {n}")]) == 4
+    counts = queries.microbe_threshold_counts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in counts.splitlines() if "RepartitionByExpression [acc#" in x and x.rstrip().endswith(f", {n}")]) == 1
+
+
 def test_vectors_are_summed_as_products_and_rounded_without_decimals(spark, tmp_path):
     rng = random.Random(6)
     rows = [(f"S{rng.randrange(60):02}", rng.randrange(9), rng.choice([None, rng.random()])) for _ in range(4000)]
