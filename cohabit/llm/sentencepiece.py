@@ -497,10 +497,11 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
     ready = ready.withColumn(best, F.lit(None).cast("long")) if best else ready
     drop = {key, own}
     out = ready.withColumn(text, F.col(f"`{text}`").cast("string")).select(*[F.col(f"`{c}`") for c in ready.columns if c not in drop])
-    columns, names_in, words = out.columns, ready.columns, (pieces.text_of, pieces.prefix)
+    columns, names_in, text_of, prefix = out.columns, ready.columns, pieces.text_of, pieces.prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, starts, sizes, values, lengths = shared.value
+        words = _words(text_of)
         for b in _slices(batches, names_in.index(text), SLICE_BYTES // 2):
             names = names_in
             own_units = b.column(names.index(own)).flatten()
@@ -519,7 +520,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
             ends = np.concatenate(([0], np.cumsum(n[idx])))
             ids = pool[np.arange(ends[-1]) + np.repeat(at[idx] - ends[:-1], n[idx])]
             lists = pa.ListArray.from_arrays(pa.array(ends[u.at], pa.int32()), pa.array(ids.astype(np.int32)), mask=absent if None in texts else None)
-            new_columns = {to: lists, text: pa.array(texts, pa.string())} | ({decoded: _decoded(lists, *words)} if decoded else {})
+            new_columns = {to: lists, text: pa.array(texts, pa.string())} | ({decoded: _decoded(lists, words, prefix)} if decoded else {})
             if best:
                 every = np.concatenate((lengths, own_units.field("best").to_numpy(zero_copy_only=False).astype(np.int32)[by]))
                 total = np.concatenate(([0], np.cumsum(every[idx], dtype=np.int64)))
@@ -529,11 +530,21 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece
     return mapped(ready, run, out.schema)
 
 
-def _decoded(lists: pa.Array, text_of: dict[int, bytes], prefix: bool) -> pa.Array:
-    out = []
-    for x in lists:
-        raw = b"".join([text_of.get(i, b"") for i in x.values.to_numpy().tolist()]) if x.is_valid else b""
-        out.append(raw[1 if prefix and raw[:1] == b" " else 0 :].decode(errors="replace") if x.is_valid else None)
+def _words(text_of: dict[int, bytes]) -> pa.Array:
+    """The bytes of each id; the last one, without any, stands for all other ids."""
+    return pa.array([text_of.get(i, b"") for i in range(2 + max(text_of, default=-1))], pa.large_binary())
+
+
+def _decoded(lists: pa.Array, words: pa.Array, prefix: bool) -> pa.Array:
+    ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    taken = words.take(pa.array(np.where((ids >= 0) & (ids < len(words)), ids, len(words) - 1)))
+    # the bytes of all lists, one after another
+    at = pc.binary_length(taken).to_numpy(zero_copy_only=False).cumsum() if len(ids) else np.zeros(0, np.int64)
+    edge = np.concatenate(([0], at))[np.concatenate(([0], np.cumsum(_lists(lists)[0])))].tolist()
+    raw, out = taken.buffers()[2].to_pybytes() if edge[-1] else b"", []
+    for known, lo, hi in zip(lists.is_valid().to_pylist(), edge[:-1], edge[1:], strict=True):
+        lo += prefix and raw[lo : min(lo + 1, hi)] == b" "
+        out.append(raw[lo:hi].decode(errors="replace") if known else None)
     return pa.array(out, pa.string())
 
 
@@ -544,7 +555,9 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "piece_ids", to: str = "dec
     place, names = plain.columns.index(ids), [*plain.columns, to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_of, prefix = at.value
+        words = _words(text_of)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, _decoded(b.column(place), *at.value)], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, _decoded(b.column(place), words, prefix)], names=names)
 
     return mapped(plain, run, plain.withColumn(to, F.lit(None).cast("string")).schema)

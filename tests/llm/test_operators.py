@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,15 @@ def test_viterbi_fold_is_optimal(spark):
     assert got == {u: sentencepiece.encode_long(u, pieces, known) for u in units}
 
 
+def test_lists_are_decoded_at_once():
+    words = sentencepiece._words({0: b" a", 2: b"b ", 3: "é".encode()[:1], 4: "é".encode()[1:]})
+    lists = pa.array([[9], [0, 2], None, [], [0, 0, 3, 4], [1, -1, 7, 3], [3], [2, None]], pa.list_(pa.int32()))
+    want = ["", "ab ", None, "", "a aé", "\ufffd", "\ufffd", "b "]
+    assert len(words) == 6 and sentencepiece._decoded(lists, words, True).to_pylist() == want
+    assert sentencepiece._decoded(lists[1:5], words, False).to_pylist() == [" ab ", None, "", " a aé"]
+    assert sentencepiece._decoded(lists[:0], words, True).to_pylist() == [] and sentencepiece._decoded(lists[2:4], words, True).to_pylist() == [None, ""]
+
+
 @pytest.mark.parametrize("fold", ["merge", "viterbi"])
 def test_path_lengths_against_all_segmentations(spark, fold):
     rng = random.Random(8)
