@@ -11,7 +11,8 @@ unit.  A Spark higher-order ``aggregate`` then folds each unit's edges:
   library returns (see the README for the share that differs), so the model's type decides.
 
 The number of pieces of the Viterbi path, whatever the model, comes from the same lattice by the same fold over the
-places of all units of a batch at once (``path_lengths``).
+places of all units of a batch at once (``path_lengths``).  Characters that no edge covers get their ids there too
+(``ids_of``): a table of all code points stays out of the plan, which the driver describes as text again and again.
 
 Units are encoded once for the corpus: counted inside tasks, dealt by unit, and folded where they
 lie, so the lattice needs no shuffle of its own.  The most frequent ones (``common`` at most, a fixed
@@ -145,14 +146,6 @@ def _constants(values: Iterable, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _byte_ids(char: Column, pieces: Pieces) -> Column:
-    if not pieces.byte_ids:
-        return F.array(F.lit(pieces.unknown))
-    table = _constants(pieces.byte_ids, "int")
-    digits = F.hex(F.encode(char, "UTF-8"))
-    return F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), lambda k: F.element_at(table, F.conv(F.substring(digits, k * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
-
-
 def _bits(start: Column, end: Column) -> tuple[Column, Column]:
     """As bits of a long: the two boundaries of an edge, and the boundaries between them."""
     lo, hi = (F.call_function("shiftleft", F.lit(1).cast("long"), x) for x in (start, end))
@@ -251,10 +244,58 @@ def _reach(pieces: Pieces) -> Column:
     return _constants(table.ravel().tolist(), "int")
 
 
+def single_tables(pieces: Pieces) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids by code point (-1: no piece of that one character), those of bytes, and that of the unknown piece."""
+    lone = {ord(p): i for p, i, _ in pieces.rows if len(p) == 1}
+    by_code = np.full(2 + max(lone, default=0), -1, dtype=np.int32)  # the last one stands for all characters beyond
+    by_code[list(lone)] = list(lone.values())
+    return by_code, np.array(pieces.byte_ids, dtype=np.int32), pieces.unknown
+
+
+def ids_of(units: list[str], cuts: pa.Array, taken: pa.Array, by_code: np.ndarray, of_byte: np.ndarray, unknown: int) -> pa.Array:
+    """Ids of each unit: of the edges taken (id * 64 + start), and of each character between two neighbouring boundaries; null for units of over FOLD_LIMIT characters."""
+    size, bits = np.array([len(u) for u in units], dtype=np.int64), cuts.fill_null(0).to_numpy(zero_copy_only=False)
+    long = size > FOLD_LIMIT
+    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    unit = np.repeat(np.arange(len(units)), size)
+    start = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    alone = np.flatnonzero(~long[unit] & (bits[unit] >> np.minimum(start, FOLD_LIMIT) & 3 == 3))
+    at, code = unit[alone] * 64 + start[alone], codes[alone].astype(np.int64)
+    ids = by_code[np.minimum(code, len(by_code) - 1)]
+    if len(of_byte):
+        n = np.where(ids < 0, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 1)
+        raw = "".join(map(chr, code[ids < 0].tolist())).encode()
+        at, ids = np.repeat(at, n), np.repeat(ids, n)
+        ids[ids < 0] = of_byte[np.frombuffer(raw, np.uint8)]
+    else:
+        ids[ids < 0] = unknown
+    edges, packed = _lists(taken)
+    at = np.concatenate((at, np.repeat(np.arange(len(units)), edges) * 64 + (packed & 63)))
+    order = np.argsort(at, kind="stable")  # the bytes of a character stay in order
+    edge = np.searchsorted(at[order], np.arange(len(units) + 1) * 64)
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate((ids, packed >> 6))[order].astype(np.int32)), mask=pa.array(long) if long.any() else None)
+
+
 def encode_units(units: DataFrame, pieces: Pieces, best: bool = False) -> DataFrame:
     """Distinct (unit, ...) to (unit, ..., ids); null ids for units of over FOLD_LIMIT characters.
 
     ``best`` adds ``lattice``, the edges as ``path_lengths`` takes them.
+    """
+    tables = units.sparkSession.sparkContext.broadcast(single_tables(pieces))
+    folded = fold_units(units, pieces, best)
+    kept = folded.drop("cuts", "taken")
+    place, names = kept.columns.index("unit"), [*kept.columns, "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *same, cuts, taken = b.columns
+            yield pa.RecordBatch.from_arrays([*same, ids_of(same[place].to_pylist(), cuts, taken, *tables.value)], names=names)
+
+    return folded.mapInArrow(run, kept.withColumn("ids", F.lit(None).cast("array<int>")).schema)
+
+
+def fold_units(units: DataFrame, pieces: Pieces, best: bool = False) -> DataFrame:
+    """Distinct (unit, ...) to (unit, ...[, lattice], cuts, taken): the boundaries as bits, and the edges of two characters or more on the path as ``ids_of`` takes them.
 
     The piece table is a vocabulary, so it is broadcast; rows dealt by unit stay where they are.
     """
@@ -292,24 +333,7 @@ def encode_units(units: DataFrame, pieces: Pieces, best: bool = False) -> DataFr
     if best:
         folded, kept = folded.withColumn("lattice", F.col("edges")["order"]), [*kept, "lattice"]
     mine = lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0)
-    taken = folded.select(*kept, "cuts", F.transform(F.filter("edges", mine), lambda e: F.struct(e["start"], e["id"])).alias("taken"))
-
-    ids = [-1] * (1 + max(ord(p) for p, _, _ in pieces.rows if len(p) == 1))
-    for p, i, _ in pieces.rows:
-        if len(p) == 1:
-            ids[ord(p)] = i
-    by_code = _constants(ids, "int")
-
-    def single(s: Column) -> Column:
-        known = F.coalesce(F.get(by_code, code(s)), F.lit(-1))
-        return F.when(known >= 0, F.array(known)).otherwise(_byte_ids(F.substring(F.col("unit"), s + 1, F.lit(1)), pieces))
-
-    # a character between two neighbouring boundaries is a piece of its own
-    alone = lambda s: F.call_function("shiftright", F.col("cuts"), s).bitwiseAND(F.lit(3)) == 3
-    several = F.transform("taken", lambda t: F.struct(t["start"].alias("start"), F.array(t["id"]).alias("ids")))
-    singles = F.transform(F.filter(F.sequence(F.lit(0), n - 1), alone), lambda s: F.struct(s.alias("start"), single(s).alias("ids")))
-    ids = F.flatten(F.transform(F.sort_array(F.concat(several, singles)), lambda x: x["ids"]))
-    return taken.select(*kept, F.when(n <= FOLD_LIMIT, ids).alias("ids"))
+    return folded.select(*kept, "cuts", F.transform(F.filter("edges", mine), lambda e: e["id"].cast("long") * 64 + e["start"]).alias("taken"))
 
 
 def best_spans(unit: str, pieces: Pieces, by_piece: dict[str, tuple[int, float]]) -> list[tuple[int, int]]:
@@ -426,14 +450,15 @@ def _lexicon(texts: DataFrame, pieces: Pieces, cutter, best: bool) -> DataFrame:
     width = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # the rows grow in number when exploded, so not by their bytes
     units = _count_units(texts, cutter).repartition(width, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
     rules = spark.sparkContext.broadcast((pieces, {p: (i, s) for p, i, s in pieces.rows}))
-    tables = spark.sparkContext.broadcast(path_tables(pieces))
+    tables, singles = (spark.sparkContext.broadcast(x) for x in (path_tables(pieces), single_tables(pieces)))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units, ids, paths = b.column(0).to_pylist(), b.column(2), pa.nulls(len(b), pa.int32())
+            units, paths = b.column(0).to_pylist(), pa.nulls(len(b), pa.int32())
+            ids = ids_of(units, b.column(2), b.column(3), *singles.value)
             if best:
                 # a long unit has no edges, and gets its own number below
-                paths = pa.array(path_lengths([u[:FOLD_LIMIT] for u in units], b.column(3), *tables.value), pa.int32())
+                paths = pa.array(path_lengths([u[:FOLD_LIMIT] for u in units], b.column(4), *tables.value), pa.int32())
             if ids.null_count:
                 long = [k for k, x in enumerate(ids.is_null().to_pylist()) if x]
                 whole, counts = ids.to_pylist(), paths.to_pylist()
@@ -443,8 +468,8 @@ def _lexicon(texts: DataFrame, pieces: Pieces, cutter, best: bool) -> DataFrame:
                 ids, paths = pa.array(whole, pa.list_(pa.int32())), pa.array(counts, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(hash_strings(units).view(np.int64)), b.column(1), ids, paths], names=["hash", "n", "ids", "best"])
 
-    coded = encode_units(units, pieces, best)
-    return coded.select("unit", "n", "ids", *(["lattice"] if best else [])).mapInArrow(named, "hash long, n long, ids array<int>, best int")
+    folded = fold_units(units, pieces, best)
+    return folded.select("unit", "n", "cuts", "taken", *(["lattice"] if best else [])).mapInArrow(named, "hash long, n long, ids array<int>, best int")
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "piece_ids", decoded: str | None = None, common: int = COMMON, best: str | None = None) -> DataFrame:

@@ -185,6 +185,23 @@ def test_path_lengths_against_all_segmentations(spark, fold):
     assert folds.count("aggregate(sequence") == plain.count("aggregate(sequence")
 
 
+def test_ids_of_characters_come_without_a_table_in_the_plan(spark):
+    real = sentencepiece.load(MODEL)
+    far = max((ord(p), i) for p, i, _ in real.rows if len(p) == 1)
+    assert far[0] > 100_000
+    units = ["\u65e5", "\U0001F600a", "a", chr(far[0]), chr(far[0] + 1) + "z" + chr(0x10FFFF), "q\u00ff\u0001", "x" * (sentencepiece.FOLD_LIMIT + 1), "x" * sentencepiece.FOLD_LIMIT]
+    rows = spark.createDataFrame([(u,) for u in units], "unit string")
+    for fold in ("merge", "viterbi"):
+        for of_byte in (real.byte_ids, []):
+            pieces = sentencepiece.Pieces(real.rows, of_byte, real.unknown, fold, real.prefix, real.text_of)
+            known = {p: (i, s) for p, i, s in pieces.rows}
+            coded = sentencepiece.encode_units(rows, pieces)
+            assert {r["unit"]: r["ids"] for r in coded.collect()} == {u: sentencepiece.encode_long(u, pieces, known) if len(u) <= sentencepiece.FOLD_LIMIT else None for u in units}
+    # the driver describes each plan as text at each step of adaptive execution
+    plan = sentencepiece.encode_units(rows, real)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 400_000, len(plan)
+
+
 def brute_components(texts, n, num, den):
     sets = []
     for t in texts:
