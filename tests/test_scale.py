@@ -264,6 +264,28 @@ def test_every_table_of_the_grid_is_dealt_by_dataset(spark, monkeypatch):
     assert len([x for x in counts.splitlines() if "RepartitionByExpression [acc#" in x and x.rstrip().endswith(f", {n}")]) == 1
 
 
+def test_deals_into_many_tasks_hold_no_file_split(spark, monkeypatch, tmp_path):
+    rng = random.Random(8)
+    h = [(rng.choice([1, 1, 2, 5]), f"S{rng.randrange(300)}", rng.choice([None, 0.0, 0.1, 0.5, 2.0])) for _ in range(3000)]
+    m = [(rng.choice([11, 11, 12, 15]), f"S{rng.randrange(300)}", rng.choice([0.1, 0.5, 2.0]), "V") for _ in range(2000)]
+    for rows, schema, name in ((h, schemas.HOST, "h"), (m, schemas.MICROBE, "m")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    hosts, microbes = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("h", "m"))
+    pairs, levels = spark.createDataFrame([(i, 10 + j, "V", "h", "p") for i in (1, 2, 3) for j in (1, 2)], schemas.PAIRS), (0.1, 0.4)
+    passing = lambda rows, t, x: {r[1] for r in rows if r[0] == t and r[2] is not None and r[2] >= x}
+    monkeypatch.setattr(deal, "ROWS", 10)  # 300 tasks
+    for direct, coarse in ((200, 1), (300, 0)):
+        monkeypatch.setattr(deal, "DIRECT", direct)
+        joint, counts = thresholds.shared_counts(hosts, microbes, pairs, levels), thresholds.threshold_counts(hosts, pairs.select(F.col("host_tax_id").alias("tax_id")), levels)
+        for df, times in ((joint, 2), (counts, 1)):
+            deals = [x for x in plan(df).splitlines() if "Exchange hashpartitioning(acc" in x]
+            assert [sum(f", {n}), REPARTITION_BY_NUM" in x for x in deals) for n in (200, 300)] == [coarse * times, times]
+            # whatever passes no threshold is dropped below the first deal
+            assert "Filter" in plan(df).split("Exchange hashpartitioning(acc")[-1]
+        assert {(r["tax_id"], r["threshold"]): r["n"] for r in counts.collect()} == {(t, x): len(passing(h, t, x)) for t in (1, 2, 3) for x in levels}
+        assert {tuple(r)[:4]: r[4] for r in joint.collect()} == {(i, j, x, y): len(passing(h, i, x) & passing(m, j, y)) for i in (1, 2, 3) for j in (11, 12) for x in levels for y in levels}
+
+
 def test_vectors_are_summed_as_products_and_rounded_without_decimals(spark, tmp_path):
     rng = random.Random(6)
     rows = [(f"S{rng.randrange(60):02}", rng.randrange(9), rng.choice([None, rng.random()])) for _ in range(4000)]
